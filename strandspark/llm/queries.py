@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import secret_scan, substring_dedup, suffix_dedup, toxicity
 from .common import documents
 
+
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 QUERIES = {
     "op2_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup(documents(spark, sf_dir)),
     "op3_suffix_dedup": lambda spark, sf_dir: suffix_dedup.dedup(documents(spark, sf_dir)),
+    "op4_secret_scan": lambda spark, sf_dir: secret_scan.find(documents(spark, sf_dir)),
+    "op7_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir)),
 }
 
 SQL: dict[str, str] = {}
