@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from . import mixing, packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op2_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup(documents(spark, sf_dir)),
     "op3_suffix_dedup": lambda spark, sf_dir: suffix_dedup.dedup(documents(spark, sf_dir)),
     "op4_secret_scan": lambda spark, sf_dir: secret_scan.find(documents(spark, sf_dir)),
+    "op6_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash_dedup.groups(documents(spark, sf_dir)),
