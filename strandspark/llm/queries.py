@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from . import mixing, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op7_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash_dedup.groups(documents(spark, sf_dir)),
+    "op10_quality": lambda spark, sf_dir: quality.verdicts(documents(spark, sf_dir), quality.trusted_ids(labels(spark, sf_dir))),
 }
 
 SQL: dict[str, str] = {}
