@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from . import hamming_search, mixing, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
 from .common import documents
 
 
@@ -10,10 +10,17 @@ def labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def fixity(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc_fixity.audit(warc_fixity.index(warc_fixity.records(pages)), warc_fixity.damaged(pages))
+
+
 QUERIES = {
+    "op1_warc_fixity": fixity,
     "op2_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup(documents(spark, sf_dir)),
     "op3_suffix_dedup": lambda spark, sf_dir: suffix_dedup.dedup(documents(spark, sf_dir)),
     "op4_secret_scan": lambda spark, sf_dir: secret_scan.find(documents(spark, sf_dir)),
+    "op5_hamming_search": lambda spark, sf_dir: hamming_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op6_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
@@ -21,4 +28,4 @@ QUERIES = {
     "op10_quality": lambda spark, sf_dir: quality.verdicts(documents(spark, sf_dir), quality.trusted_ids(labels(spark, sf_dir))),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc_fixity": warc_fixity.SQL, "op5_hamming_search": hamming_search.SQL}
