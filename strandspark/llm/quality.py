@@ -47,7 +47,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     Always BUCKETS values, so it may travel with the plan; a subquery can't be used inside a higher-order function.
     """
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(1))
-    rows = with_hashes(keyed(docs).join(good, "doc_id", "left")).select("good", F.explode(F.concat("one", "two")).alias("h"))
+    # a sort-merge join at every size: labels grow with the documents
+    rows = with_hashes(keyed(docs).join(good.hint("merge"), "doc_id", "left")).select("good", F.explode(F.concat("one", "two")).alias("h"))
     counts = rows.groupBy(bucket(F.col("h")).alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = checkpoint(dense.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))
