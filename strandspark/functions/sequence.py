@@ -34,10 +34,15 @@ def codon_map() -> Column:
     return F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
 
 
+def pieces(seq: Column, size: int, overlap: int = 0) -> Column:
+    """Array of stretches of size, each with the next overlap symbols; places in a string are found by walking, so long strings are cut first."""
+    n = F.ceil(F.length(seq) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: F.substring(seq, j * size + 1, F.lit(size + overlap)))).otherwise(F.array().cast("array<string>"))
+
+
 def codons(seq: Column) -> Column:
     """Array of codons, a last shorter one included."""
-    n = F.ceil(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(seq, k * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(pieces(seq, 300), lambda c: F.transform(F.sequence(F.lit(0), F.ceil(F.length(c) / 3).cast("int") - 1), lambda k: F.substring(c, k * 3 + 1, F.lit(3)))))
 
 
 def translate(seq: Column, table: Column | None = None) -> Column:
@@ -87,8 +92,9 @@ def gap_map(seq: Column, gap: str = "-") -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """Array of all k-mers in their order."""
-    n = F.length(seq) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(seq, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    each = lambda c: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - k, F.lit(0))), lambda i: F.substring(c, i + 1, F.lit(k)))).otherwise(none)
+    return F.flatten(F.transform(pieces(seq, 256, k - 1), each))
 
 
 def canonical(kmer: Column) -> Column:

@@ -168,7 +168,7 @@ def union_runs(peaks: DataFrame, pad: int = 0, drop_last: bool = False, width: i
 def merge_runs(peaks: DataFrame, join_cut: float, pad: int = 0, drop_last: bool = False) -> DataFrame:
     """As union_runs, but neighbours merge only if their overlap is more than join_cut of either one's length; else the earlier one is cut before the later.
 
-    The outcome depends on the order, so it's a fold; it runs within union_runs' islands, which no merge crosses.
+    The outcome depends on the order, so it's a fold; it runs over some of union_runs' islands at a time, which no merge crosses.
     """
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["s", "e", "st"])
@@ -193,7 +193,8 @@ def merge_runs(peaks: DataFrame, join_cut: float, pad: int = 0, drop_last: bool
     rows = running_max(rows, ["chr"], ["e", "st"], "s", F.col("e"), "_reach")
     rows = running_sum(rows, ["chr"], ["e", "st"], "s", F.when(F.col("_reach") > F.col("s"), 0).otherwise(1), "_run")
     kind = dict(rows.dtypes)["chr"]
-    runs = rows.groupBy("chr", "_run").applyInPandas(fold, f"chr {kind}, s long, e long, n long, sets long")
+    # neighbouring islands share a group; the fold breaks between them by itself
+    runs = rows.groupBy("chr", F.floor(F.col("_run") / 512).alias("_some")).applyInPandas(fold, f"chr {kind}, s long, e long, n long, sets long")
     if drop_last:
         last = runs.agg(F.max(F.struct("chr", "s")).alias("l")).select("l.*")
         runs = runs.join(F.broadcast(last), ["chr", "s"], "left_anti")  # one row

@@ -1,0 +1,91 @@
+"""Agents that climb a field of Gaussian sources: a run-and-tumble simulation, one projection a step."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def gaussian_field(points: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """key, field: the sum over sources (x, y, a, sx, sy) of a exp(-(dx^2 / (2 sx)^2 + dy^2 / (2 sy)^2)). sources are a handful and go to every task."""
+    s = sources.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "a", "sx", "sy")
+    part = F.col("a") * F.exp(-(F.pow(F.col("x") - F.col("_x"), 2) / F.pow(2 * F.col("sx"), 2) + F.pow(F.col("y") - F.col("_y"), 2) / F.pow(2 * F.col("sy"), 2)))
+    return points.crossJoin(F.broadcast(s)).groupBy(key).agg(F.sum(part).alias("field"))
+
+
+def field_grid(spark, width: int, height: int, step: int, sources: DataFrame) -> DataFrame:
+    """cell, x, y, field: at the middle of each cell of that size."""
+    across, down = -(-width // step), -(-height // step)
+    cells = spark.range(across * down).select(F.col("id").alias("cell"), ((F.col("id") % across) * step + 0.5).alias("x"), (F.floor(F.col("id") / across) * step + 0.5).alias("y"))
+    return cells.join(gaussian_field(cells, sources, "cell"), "cell")
+
+
+def tumble_probability(c: Column, slope: float, middle: float, low: float = 0.0, high: float = 1.0) -> Column:
+    """Logistic: low + (high - low) / (1 + exp(-slope (-c - middle)))."""
+    return low + (high - low) / (1 + F.exp(-slope * (-c - middle)))
+
+
+def angle_limit(c: Column, slope: float, middle: float) -> Column:
+    return math.pi / (1 + F.exp(slope * (-c - middle)))
+
+
+def memory_ratio(history: Column, memory: float, last_only: bool = False) -> Column:
+    """log(c / c1) less memory times the log of the history's mean; history: array, newest first. last_only: the last value over n for the mean, as the older code has it."""
+    n = F.size(history)
+    mean = F.element_at(history, -1) / n if last_only else F.aggregate(history, F.lit(0.0), lambda s, x: s + x) / n
+    return F.log(F.get(history, 0) / F.get(history, 1)) - memory * F.log(mean)
+
+
+def start_agents(spark, n: int, arena: float, seed: int = 1) -> DataFrame:
+    """agent, kind, x, y, heading, c1, c2, c3: uniform places from a hash of the agent, sensors at small seeds."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 40)) / float(1 << 40)
+    return spark.range(n).select(F.col("id").alias("agent"), (F.col("id") % 2).cast("int").alias("kind"), (u(0) * arena).alias("x"), (u(1) * arena).alias("y"), (u(2) * 2 * math.pi).alias("heading"), F.lit(0.0001 * arena).alias("c1"), F.lit(0.0002 * arena).alias("c2"), F.lit(0.0002 * arena).alias("c3"))
+
+
+def step_agents(agents: DataFrame, sources: DataFrame, step: int, arena: float, speed: float = 1.0, slope: float = 5.0, middle: float = 0.0, seed: int = 1) -> DataFrame:
+    """Agents one step on: those who tumble turn by a normal angle, the others run on; the arena wraps around. Draws hash agent and step, so a lost task repeats itself."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.lit(k), "agent"), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))
+    change = F.log((F.col("field") + 1e-12) / (F.col("c1") + 1e-12))
+    now = agents.join(gaussian_field(agents.select("agent", "x", "y"), sources, "agent"), "agent")
+    tumbles = u(0) < tumble_probability(change, slope, middle)
+    heading = F.when(tumbles, F.col("heading") + normal * angle_limit(change, slope, middle)).otherwise(F.col("heading"))
+    moved = now.withColumns({"_t": tumbles, "_h": heading})
+    x = F.when(F.col("_t"), F.col("x")).otherwise(F.col("x") + speed * (F.cos("_h") - F.sin("_h")))
+    y = F.when(F.col("_t"), F.col("y")).otherwise(F.col("y") + speed * (F.sin("_h") + F.cos("_h")))
+    wrap = lambda v: F.when(v < 1e-12, v + arena).when(v > arena, v - arena).otherwise(v)
+    return moved.select("agent", "kind", wrap(x).alias("x"), wrap(y).alias("y"), F.col("_h").alias("heading"), F.col("field").alias("c1"), F.col("c1").alias("c2"), F.col("c2").alias("c3"))
+
+
+def simulate(agents: DataFrame, sources: DataFrame, steps: int, arena: float, every: int = 10, **options) -> DataFrame:
+    """agent, step, x, y, heading at each step; lineage is cut at a reliable checkpoint every few steps."""
+    sc = agents.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(agents.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    shown = lambda a, k: a.select("agent", F.lit(k).alias("step"), "x", "y", "heading")
+    out = shown(agents, 0)
+    for k in range(1, steps + 1):
+        agents = step_agents(agents, sources, k, arena, **options)
+        if k % every == 0:
+            agents = agents.checkpoint()
+        out = out.unionByName(shown(agents, k))
+    return out
+
+
+def trajectory(states: DataFrame, upto: int) -> DataFrame:
+    return states.where(F.col("step") <= upto)
+
+
+def pair_distances(states: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
+    """step, pairs, mean: pairs of agents within the radius of each other and their mean distance. Agents meet in grid cells as wide as the radius, so far ones never pair."""
+    cell = cell or radius
+    a = states.select("step", "agent", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = a.withColumn("_d", F.explode(around)).select("step", F.col("agent").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+    near = a.join(b, ["step", "cx", "cy"]).where("agent < other").withColumn("d", d).where(F.col("d") <= radius)
+    return near.groupBy("step").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"))

@@ -1,5 +1,303 @@
-"""Queries."""
+"""Queries over alignments, genes, domain rates, tracks and the simulation."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import alignment as A
+from ..operators import genes as G
+from ..operators import simulation as Z
 from .registry import registry
+from .views import view
 
 Q, SQL, query = registry()
+
+
+def block(spark, d):
+    return view(spark, d, "aligned")
+
+
+def cols(spark, d):
+    rows = block(spark, d)
+    return A.with_parent(A.columns(rows), rows)
+
+
+COLS = """l as (select block, species, i as col, substr(seq, cast(i + 1 as int), 1) as base, p_start, strand, length(replace(seq, '-', '')) as bases from (select *, unnest(range(length(seq))) as i from aligned)),
+  c as (select block, species, cast(col as int) as col, base, cast(coalesce(sum(case when base != '-' then 1 else 0 end) over (partition by block, species order by col rows between unbounded preceding and 1 preceding), 0) as bigint) as u, p_start, strand, bases from l),
+  p as (select block, species, col, base, u, case when base != '-' then case when strand = '-' then p_start + bases - u else p_start + u end end as parent from c)"""
+
+
+@query(f"with {COLS} select * from p")
+def ungap_map(spark, d):
+    return cols(spark, d)
+
+
+@query(f"""with {COLS} select c.block, c.species, c.col, case when c.u >= c.bases then 0 else c.u end as u from c""")
+def unaligned_coords(spark, d):
+    return A.unaligned(A.columns(block(spark, d)), block(spark, d)).select("block", "species", "col", "u")
+
+
+@query(f"with {COLS} select a.block, a.col, a.parent as source_pos, b.parent as target_pos from p a join p b on a.block = b.block and a.col = b.col where a.species = 0 and b.species = 1 and a.parent is not null")
+def lift_coords(spark, d):
+    return A.lift(cols(spark, d), 0, 1).select("block", "col", F.col("from").alias("source_pos"), F.col("to").alias("target_pos"))
+
+
+@query("""select block, species, substr(seq, 101, 200) as seq, p_start + case when strand = '-' then length(replace(substr(seq, 301), '-', '')) else length(replace(substr(seq, 1, 100), '-', '')) end as p_start, strand from aligned""")
+def alignment_slice(spark, d):
+    return A.slice_columns(block(spark, d), 100, 300)
+
+
+@query(f"""with {COLS}, e as (select block, min(col) as lo, max(col) as hi from p where species = 2 and base != '-' and u >= 50 and u < 150 group by block)
+  select p.block, p.species, string_agg(base, '' order by col) as seq from p join e on e.block = p.block and col between lo and hi group by 1, 2""")
+def alignment_slice_by_reference(spark, d):
+    return A.slice_by_reference(cols(spark, d), 2, 50, 150)
+
+
+@query(f"""with {COLS} select p.block, p.species, string_agg(p.base, '' order by p.col) as seq from p join p r on r.block = p.block and r.col = p.col and r.species = 3 and r.base != '-' group by 1, 2""")
+def alignment_reference_columns(spark, d):
+    return A.reference_columns(cols(spark, d), 3)
+
+
+@query("select block, species, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) as seq, case when strand = '-' then '+' else '-' end as strand from aligned")
+def alignment_revcomp(spark, d):
+    return A.revcomp_blocks(block(spark, d)).select("block", "species", "seq", "strand")
+
+
+STATS = f"""{COLS}, s as (select block, col, case when count(distinct upper(base)) = 1 and max(base) != '-' then '*' else ' ' end as match,
+  count(distinct case when base != '-' then base end) as bases, count(*) filter (base = '-') as gaps from p group by block, col)"""
+
+
+@query(f"with {STATS} select block, string_agg(match, '' order by col) as line from s group by block")
+def match_line(spark, d):
+    return A.match_line(cols(spark, d))
+
+
+@query(f"with {STATS} select block, string_agg(case when gaps <= 2 then '.' else ' ' end, '' order by col) as line from s group by block")
+def no_gap_line(spark, d):
+    return A.no_gap_line(cols(spark, d), 2)
+
+
+@query(f"with {STATS} select block, col, bases from s where bases > 1")
+def segregating_sites(spark, d):
+    return A.segregating_sites(cols(spark, d))
+
+
+@query(f"""with {COLS}, o as (select a.block, a.col, a.base from p a where a.species = 1 and a.base != 'N' and not exists (select 1 from p b where b.block = a.block and b.col = a.col and (b.base in ('-', 'N') or (b.species != 1 and b.base = a.base)))
+  and exists (select 1 from p b where b.block = a.block and b.col = a.col and b.species != 1)) select * from o""")
+def private_alleles(spark, d):
+    return A.private_alleles(cols(spark, d), 1)
+
+
+@query(f"""with {COLS}, g as (select block, species, u, min(col) as lo, max(col) as hi from p where parent is null group by 1, 2, 3),
+  x as (select p.*, g.lo, g.hi, b.parent as before, a.parent as after from p left join g on g.block = p.block and g.species = p.species and g.u = p.u
+    left join p b on b.block = p.block and b.species = p.species and b.parent is not null and b.u + 1 = p.u left join p a on a.block = p.block and a.species = p.species and a.parent is not null and a.u = p.u)
+  select block, species, col, case when parent is not null then parent when (col - lo) * 2 < hi - lo + 1 then coalesce(before, after) else coalesce(after, before) end as near from x""")
+def gap_interpolation(spark, d):
+    return A.fill_gaps(cols(spark, d)).select("block", "species", "col", "near")
+
+
+@query(f"""with {COLS}, s as (select u, parent, case when parent is not null then (parent % 10)::double end as v, block, col from p where species = 0),
+  b as (select block, u + 1 as k, v from s where parent is not null)
+  select s.block, s.col, coalesce(b.v, 0) as val from s left join b on b.block = s.block and b.k = case when s.parent is not null then s.u + 1 else s.u end""")
+def signal_on_alignment(spark, d):
+    c = cols(spark, d)
+    signal = c.where("species = 0 and parent is not null").select(F.col("parent").alias("loc"), (F.col("parent") % 10).cast("double").alias("val")).distinct()
+    return A.signal_on_columns(c, signal, 0)
+
+
+TARGETS = "t as (select block as pid, 0 as chr, p_start + 100 as s, p_start + 300 as e from aligned where species = 0)"
+PARTS = f"{TARGETS}, q as (select t.pid, b.block, greatest(t.s, b.p_start) as s, least(t.e, b.p_start + length(replace(b.seq, '-', '')) - 1) as e from t join aligned b on b.species = 0 and length(replace(b.seq, '-', '')) > 0 and t.s <= b.p_start + length(replace(b.seq, '-', '')) - 1 and t.e >= b.p_start)"
+
+
+def on_target(spark, d):
+    b = block(spark, d).withColumn("chr", F.lit(0))
+    targets = b.where("species = 0").select(F.col("block").alias("pid"), "chr", (F.col("p_start") + 100).alias("s"), (F.col("p_start") + 300).alias("e"))
+    return b, targets
+
+
+@query(f"with {PARTS} select pid, block, s, e from q")
+def blocks_on_target(spark, d):
+    return A.blocks_on_target(*on_target(spark, d), 0)
+
+
+LIFTED = f"{COLS}, {PARTS}, y as (select q.pid, q.block, min(b.parent) as t_s, max(b.parent) as t_e, count(*) as n from q join p a on a.block = q.block and a.species = 0 and a.parent between q.s and q.e join p b on b.block = a.block and b.col = a.col and b.species = 1 and b.parent is not null group by 1, 2)"
+
+
+@query(f"with {LIFTED} select * from y")
+def lift_intervals(spark, d):
+    return A.lift_intervals(cols(spark, d), A.blocks_on_target(*on_target(spark, d), 0), 0, 1)
+
+
+@query(f"with {LIFTED} select pid, s, e from t where pid not in (select pid from y)")
+def unlifted_intervals(spark, d):
+    b, targets = on_target(spark, d)
+    return A.unlifted(targets, A.lift_intervals(cols(spark, d), A.blocks_on_target(b, targets, 0), 0, 1)).select("pid", "s", "e")
+
+
+@query("""with a as (select * from peaks where st = 0), b as (select * from peaks where st = 1), m as (select count(*) as n from a join b on a.chr = b.chr and (abs(a.s - b.s) < 3 or abs(a.e - b.e) < 3))
+  select n as "both", (select count(*) from a) - n as only_a, (select count(*) from b) - n as only_b from m""")
+def shared_sites(spark, d):
+    peaks = view(spark, d, "peaks")
+    return A.shared_sites(peaks.where("st = 0"), peaks.where("st = 1"))
+
+
+@query("select block, cast(k as int) as part, species, rpad(cast(species as varchar), 20, ' ') || substr(seq, cast(k * 60 + 1 as int), 60) as line from (select *, unnest(range(cast(ceil(length(seq) / 60.0) as bigint))) as k from aligned)")
+def clustal_lines(spark, d):
+    return A.clustal(block(spark, d))
+
+
+@query("select block, species, '>' || species || ' ' || block || ':' || p_start || '-' || (p_start + length(replace(seq, '-', ''))) || ':' || strand || chr(10) || seq as text from aligned")
+def alignment_fasta(spark, d):
+    return A.fasta_lines(block(spark, d))
+
+
+def species_genes(spark, d):
+    a = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    b = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return a, b, a.select(F.col("key").alias("key1"), "nation").join(b.select(F.col("key").alias("key2"), "nation"), "nation").select("key1", "key2")
+
+
+@query("select c_custkey as a_key, s_suppkey as b_key, s_name as name from customer join supplier on c_nationkey = s_nationkey")
+def ortholog_pairs(spark, d):
+    a, b, orth = species_genes(spark, d)
+    return G.ortholog_pairs(a, orth, b)
+
+
+@query("select c_custkey as a_key, min(s_suppkey) as b_key, arg_min(s_name, s_suppkey) as name from customer join supplier on c_nationkey = s_nationkey group by c_custkey")
+def ortholog_first(spark, d):
+    a, b, orth = species_genes(spark, d)
+    return G.ortholog_pairs(a, orth, b, first_only=True)
+
+
+@query("""with c as (select p_partkey as key1, case when p_partkey % 3 = 0 then 'g' || p_partkey else 'none' end as fbid, p_partkey % 5 as chr, p_partkey * 100 as s, p_partkey * 100 + p_size * 10 + case when p_partkey % 7 = 0 then 1 else 0 end as e from part)
+  select distinct c.key1, coalesce(i.gid, p.gid) as key2 from c left join genes i on 'g' || i.gid = c.fbid left join genes p on p.chr = c.chr and p.s = c.s and p.e = c.e where coalesce(i.gid, p.gid) is not null""")
+def ortholog_table(spark, d):
+    genes = view(spark, d, "genes").select(F.col("gid").alias("key"), F.concat(F.lit("g"), F.col("gid").cast("string")).alias("fbid"), "chr", "s", "e")
+    part = spark.read.parquet(f"{d}/part.parquet")
+    k = F.col("p_partkey")
+    claims = part.select(k.alias("key1"), F.when(k % 3 == 0, F.concat(F.lit("g"), k.cast("string"))).otherwise("none").alias("fbid"), (k % 5).alias("chr"), (k * 100).alias("s"), (k * 100 + F.col("p_size") * 10 + F.when(k % 7 == 0, 1).otherwise(0)).alias("e"))
+    return G.ortholog_table(claims, genes)
+
+
+def sided(spark, d, m):
+    orders = spark.read.parquet(f"{d}/orders.parquet").where(F.col("o_orderkey") % 2 == m)
+    return orders.select(F.col("o_orderkey").alias("pid"), F.when(F.col("o_custkey") % 2 == 0, "us").otherwise("ds").alias("side"), F.col("o_custkey").alias("gene"))
+
+
+@query("""with s as (select o_orderkey as pid, o_orderkey % 2 as m, case when o_custkey % 2 = 0 then 'us' else 'ds' end as side, o_custkey as gene from orders)
+  select a.pid as a_pid, b.pid as b_pid, min(a.gene) as gene, min(a.side || '-' || b.side) as kind from s a join s b on a.gene = b.gene and a.m = 0 and b.m = 1 group by 1, 2""")
+def paired_peaks(spark, d):
+    return G.paired_peaks(sided(spark, d, 0), sided(spark, d, 1))
+
+
+@query()
+def gene_clusters(spark, d):
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    return G.gene_clusters(line.select(F.col("l_orderkey").alias("pid"), F.col("l_partkey").alias("gene")))
+
+
+@query("""select count(*) filter (a and b) as "both", count(*) filter (a and not b) as only_a, count(*) filter (b and not a) as only_b from (
+  select o_custkey, bool_or(o_orderkey % 2 = 0) as a, bool_or(o_orderkey % 2 = 1) as b from orders group by 1)""")
+def cluster_overlap(spark, d):
+    return G.cluster_counts(sided(spark, d, 0), sided(spark, d, 1))
+
+
+@query("select family, count(*) as n, median(rate) as median from rates group by family having median(rate) >= 0")
+def domain_medians(spark, d):
+    return G.family_medians(view(spark, d, "rates"), ["family"])
+
+
+@query("""with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as "F", coalesce(median(rate) filter (pair = 'O'), -1) as "O" from rates group by family) select *, "F" + "O" as total from m""")
+def domain_median_matrix(spark, d):
+    return G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"])
+
+
+@query("""with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as f, coalesce(median(rate) filter (pair = 'O'), -1) as o from rates group by family) select printf('%d&%.2f&%.2f', family, f, o) || chr(92) as text from m""")
+def domain_table_rows(spark, d):
+    return G.latex_rows(G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"]), "family", ["F", "O"])
+
+
+@query("select least(cast(floor(l_quantity / 5) as bigint) + 1, 10) as bin, count(*) as n from lineitem where l_quantity between 0 and 50 group by 1")
+def value_histogram(spark, d):
+    return G.rate_histogram(spark.read.parquet(f"{d}/lineitem.parquet"), 0.0, 50.0, 10, "l_quantity")
+
+
+@query("select round(avg(abs(l_tax / l_discount)), 9) as mean from lineitem where l_discount != 0")
+def mean_ratio(spark, d):
+    return G.mean_ratio(spark.read.parquet(f"{d}/lineitem.parquet"), "l_tax", "l_discount").select(F.round("mean", 9).alias("mean"))
+
+
+def track(spark, d):
+    g = view(spark, d, "genes")
+    tags = F.create_map(F.lit("score"), ((F.col("gid") * 7) % 100).cast("string"), F.lit("strand"), F.col("strand"))
+    return g.select("gid", F.col("chr").alias("seq_id"), F.col("s").alias("start"), F.col("e").alias("end"), F.when(F.col("gid") % 2 == 0, "gene").otherwise("exon").alias("type"), tags.alias("tags"))
+
+
+@query("""select gid from genes where gid % 2 = 0 and s >= 10000 and e <= 150000 and (gid * 7) % 100 >= 50""")
+def track_filters(spark, d):
+    return G.features_above(G.features_in(G.features_of_type(track(spark, d), "gene"), 10000, 150000), 50.0).select("gid")
+
+
+@query("""with r as (select gid, chr, row_number() over (partition by chr order by (gid * 7) % 100 desc, s, e) as k from genes) select chr as seq_id, gid from r where k = 1""")
+def track_best(spark, d):
+    return G.best_feature(track(spark, d), ["seq_id"], "score").select("seq_id", "gid")
+
+
+@query("""select gid, case when gid % 2 = 0 then 'gene' else 'exon' end || '|start:' || s || '|end:' || e || '|tags:(chr:' || chr || '),(score:' || (gid * 7) % 100 || '),(strand:' || strand || ')' as text from genes""")
+def track_text(spark, d):
+    return G.with_tag(track(spark, d), "chr", F.col("seq_id")).select("gid", G.feature_text().alias("text"))
+
+
+@query()
+def gene_lanes(spark, d):
+    return G.gene_lanes(view(spark, d, "genes"))
+
+
+@query("""with n as (select range as id from range(1, 32)), s(i, name) as (values (0, 'ana'), (1, 'mel'), (2, 'pse'), (3, 'vir'), (4, 'yak'))
+  select string_agg(name, ',' order by i) as subset from n join s on (n.id >> s.i) & 1 = 1 group by n.id""")
+def power_set(spark, d):
+    return G.species_subsets(spark, ["mel", "yak", "ana", "pse", "vir"])
+
+
+@query()
+def pruned_trees(spark, d):
+    nodes = spark.createDataFrame([("root", None, 0.0), ("in", "root", 1.0), ("mel", "in", 0.2), ("yak", "in", 0.3), ("pse", "root", 1.5)], "node string, parent string, length double")
+    return G.pruned_trees(nodes, G.species_subsets(spark, ["mel", "yak", "pse"]))
+
+
+SOURCES = [(0.1, 0.0, 1.0, 0.2, 0.3), (-0.2, 0.1, 0.5, 0.1, 0.1), (0.0, -0.1, 2.0, 0.4, 0.2)]
+
+
+def sources(spark):
+    return spark.createDataFrame(SOURCES, "x double, y double, a double, sx double, sy double")
+
+
+@query("""with s(x, y, a, sx, sy) as (values (0.1::double, 0.0::double, 1.0::double, 0.2::double, 0.3::double), (-0.2, 0.1, 0.5, 0.1, 0.1), (0.0, -0.1, 2.0, 0.4, 0.2))
+  select vec_id, round(sum(a * exp(-(pow(embedding[1]::double - x, 2) / pow(2 * sx, 2) + pow(embedding[2]::double - y, 2) / pow(2 * sy, 2)))), 9) as field from embeddings, s group by vec_id""")
+def gaussian_field(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return Z.gaussian_field(e, sources(spark), "vec_id").withColumn("field", F.round("field", 9))
+
+
+@query("""with e as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings)
+  select a.label as step, count(*) as pairs, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9) as mean from e a join e b on a.label = b.label and a.vec_id < b.vec_id where sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.05 group by 1""")
+def pairwise_distance(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("step"), F.col("vec_id").alias("agent"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return Z.pair_distances(e, 0.05).withColumn("mean", F.round("mean", 9))
+
+
+@query("select event_id, round(1 / (1 + exp(-2.0::double * (-(value / 100) - 0.5))), 9) as tumble, round(3.141592653589793::double / (1 + exp(2.0::double * (-(value / 100) - 0.5))), 9) as angle from events")
+def response_functions(spark, d):
+    c = F.col("value") / 100
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(Z.tumble_probability(c, 2.0, 0.5), 9).alias("tumble"), F.round(Z.angle_limit(c, 2.0, 0.5), 9).alias("angle"))
+
+
+@query()
+def arena_grid(spark, d):
+    return Z.field_grid(spark, 50, 40, 5, sources(spark))
+
+
+@query()
+def simulation(spark, d):
+    s = spark.createDataFrame([(25.0, 25.0, 10.0, 5.0, 5.0)], "x double, y double, a double, sx double, sy double")
+    return Z.simulate(Z.start_agents(spark, 50, 50.0), s, 12, 50.0, every=4)
