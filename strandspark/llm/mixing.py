@@ -5,7 +5,7 @@ fraction to round. Rounding works on pairs: of two fractional documents one give
 whole, in the direction drawn so that both expectations hold; the source's words stay the same at every step. Chunks of
 about CHUNK documents fold this way to one residual each; residuals meet in chunks again, a reduction tree of
 log(documents) / log(CHUNK) levels, each one shuffle of partly aggregated rows. The last residual of a source is rounded
-to the nearer side, and the few words it's off are made up by flipping the document nearest to them in size.
+to the nearer side, and what it's off by is made up in one of the source's chunks, by flipping documents, large ones first, that fit into the rest.
 """
 
 from __future__ import annotations
@@ -46,6 +46,12 @@ aggregate(items, named_struct('carry', cast(null as {ITEM}), 'done', cast(array(
     named_struct('carry', named_struct('row', j.row, 'doc_id', j.doc_id, 'size', j.size, 'p', j.p), 'done', s.done),
     {STEP}))
 """
+#: Rows of the chunk's documents to flip: those taken too much (or too little) that fit into what's left, large ones first.
+FLIPS = """
+aggregate(sort_array(transform(done, d -> named_struct('size', d.size, 'doc_id', d.doc_id, 'row', d.row, 'x', d.x)), false),
+  named_struct('left', abs(off), 'rows', cast(array() as array<bigint>)),
+  (s, d) -> if(d.x = cast(off > 0 as int) and d.size <= s.left, named_struct('left', s.left - d.size, 'rows', concat(s.rows, array(d.row))), s)).rows
+"""
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sources = sources.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
     rows = _with(sized, sources.select("key", "n", "p"), n, "key")
     live = rows.where("p > 0 and size > 0").select("key", "n", "row", "doc_id", "size", "p")
-    done, span = [], 1
+    done, span, first = [], 1, None
     while True:
         span *= chunk
         draw = [F.xxhash64(F.lit(seed + k), F.lit(span), "doc_id", "size") for k in range(3)]
@@ -102,6 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         item = F.struct(draw[1].alias("h"), "doc_id", "size", "row", "p", (F.pmod(draw[2], F.lit(1 << 40)) / float(1 << 40)).alias("u"))
         chunks = live.withColumn("item", item).withColumn("part", part).groupBy("key", "part").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
         chunks = checkpoint(chunks.select("key", "n", F.expr(FOLD).alias("out")))
+        first = first or chunks
         done.append(chunks.select("key", F.explode("out.done").alias("d")).select("key", "d.*"))
         live = chunks.where("out.carry is not null").select("key", "n", "out.carry.*")
         if span >= (largest or 0):
@@ -110,13 +117,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     decided = done[0]
     for d in done[1:]:
         decided = decided.unionByName(d)
-    # one document a source makes up for the last rounding
     off = last.select("key", ((F.col("x") - F.col("p")) * F.col("size")).alias("off"))
-    gap = F.abs(F.abs("off") - F.col("size"))
-    flips = _with(decided, off, n, "key").where((gap < F.abs("off")) & (F.col("x") == (F.col("off") > 0).cast("int")))
-    flips = flips.groupBy("key").agg(F.min(F.struct(gap.alias("gap"), "doc_id", "row")).alias("f")).select("key", F.col("f.row").alias("flip"))
+    words = F.aggregate("out.done", F.lit(0).cast("long"), lambda s, d: s + d["size"])
+    largest_chunk = first.groupBy("key").agg(F.max_by("out.done", F.struct(words, F.col("out.done"))).alias("done"))
+    flips = _with(largest_chunk, off, n, "key").select(F.explode(F.expr(FLIPS)).alias("row"), F.lit(True).alias("flip"))
     decided = decided.unionByName(last.select("key", "row", "doc_id", "size", "x"))
-    decided = _with(decided, checkpoint(flips), n, "key", "left").withColumn("x", F.when(F.col("row") == F.col("flip"), 1 - F.col("x")).otherwise(F.col("x")))
+    flips = checkpoint(flips)  # a few for each source
+    decided = _with(decided, flips, flips.count(), "row", "left").withColumn("x", F.when(F.col("flip"), 1 - F.col("x")).otherwise(F.col("x")))
     settled = rows.where("not (p > 0 and size > 0)").select("key", "row", "doc_id", "size", F.lit(0).alias("x"))
     out = _with(decided.select("key", "row", "doc_id", "size", "x").unionByName(settled), sources.select("key", "source_size", "target", "whole"), n, "key")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("x")).otherwise(F.lit(0)).cast("long")

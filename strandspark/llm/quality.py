@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, keyed, real_id
 
 BUCKETS = 1 << 16
+PRIOR = 4.0
 #: Mean nats an n-gram; clean text lies near 0 or above.
 THRESHOLD = -0.2
 LEAST_WORDS = 50
@@ -42,7 +43,10 @@ def bucket(h: Column) -> Column:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
-    """A constant array, log(p_target / p_corpus) by bucket, add-one smoothed, to six places. trusted: the doc_ids of the target.
+    """A constant array, log(p_target / p_corpus) by bucket, to six places. trusted: the doc_ids of the target.
+
+    Each bucket gets PRIOR grams more of the target, and of the corpus as many as make the same share, so that what is rarely
+    seen tells little.
 
     Always BUCKETS values, so it may travel with the plan; a subquery can't be used inside a higher-order function.
     """
@@ -53,8 +57,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = checkpoint(dense.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
-    # without trusted n-grams there is nothing to tell apart
-    value = F.log((F.col("target") + 1) / float(target + BUCKETS)) - F.log((F.col("raw") + 1) / float(raw + BUCKETS)) if target else F.lit(0.0)
+    # smoothing both multinomials leaves this; without trusted n-grams there is nothing to tell apart
+    value = F.log((F.col("target") + PRIOR) / (F.col("raw") * (target / raw) + PRIOR)) if target else F.lit(0.0)
     values = [r[0] for r in counts.orderBy("bucket").select(F.round(value, 6)).collect()]  # BUCKETS values
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 

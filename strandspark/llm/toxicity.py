@@ -2,7 +2,7 @@
 
 1. Lexicon voters are drawn from a bounded sample of labelled rows: words and word stems far more frequent in toxic
    documents, dealt over many lexicons; pattern voters look at shouting, exclamation runs and symbols. Each votes
-   toxic (1), clean (0) or abstains (-1).
+   toxic (1), clean (0) or abstains (-1); the label itself, which may err, is the prior.
 2. A generative label model (class-conditional vote rates by expectation maximisation, a voter's log-likelihood ratio
    divided by one plus its summed correlations with other voters given the class) turns votes into posteriors.
 3. A linear classifier on words and stems is trained on the posteriors of the same sample.
@@ -25,6 +25,8 @@ from .common import keyed, mix, real_id
 
 #: Labelled rows that the model is fitted on, at most; taken in the order of a hash of doc_id.
 SAMPLE = 16_000
+#: P(toxic) of rows labelled clean and toxic, before any voter is heard.
+LABEL_TRUST = (0.02, 0.9)
 #: Terms of the classifier, at most.
 MAX_TERMS = 4_096
 STEMS = (4, 5, 6)
@@ -66,20 +68,24 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(words, pa.string()), pa.array(hits, pa.int64())], names=["toxic", "words", "hits"])
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """P(toxic) of each row of votes (1, 0, -1 abstains): accuracies by expectation maximisation, correlations by residuals."""
+def label_model(votes: np.ndarray, prior: float | np.ndarray, rounds: int = 50) -> np.ndarray:
+    """P(toxic) of each row of votes (1, 0, -1 abstains): accuracies by expectation maximisation, correlations by residuals.
+
+    prior: before any vote, for all rows or each. Abstaining is no evidence.
+    """
     n, m = votes.shape
     values = np.array([1, 0, -1])
     said = (votes[:, :, None] == values).astype(float)  # row, voter, what it says
-    score = (votes == 1).sum(1) - 0.25 * (votes == 0).sum(1)
-    post = np.where((votes == 1).any(1), 0.9, prior / 4)
+    score = (votes == 1).sum(1) - 0.5 * (votes == 0).sum(1)
+    prior = np.clip(np.broadcast_to(prior, n), 1e-3, 0.999)
+    post = np.maximum(np.where(score >= 2, 0.9, np.where(score >= 1, 0.5, prior / 4)), np.where(prior > 0.5, prior, 0))
     discount = np.ones(m)
     for k in range(rounds):
         weight = np.stack([1 - post, post])
         rates = np.einsum("cn,nmv->cmv", weight, said) + np.array([[1.0, 2.0, 1.0], [2.0, 1.0, 1.0]])[:, None, :]
         rates /= rates.sum(2, keepdims=True)
-        share = np.clip(post.mean(), 1e-3, 0.5)
-        if k >= 3:  # correlations given the class shrink a voter's say
+        share = float(np.clip(post.mean(), 1e-3, 0.5))
+        if k:  # correlations given the class shrink a voter's say
             total = np.zeros((m, m))
             for c in (0, 1):
                 w = weight[c] / max(weight[c].sum(), 1e-9)
@@ -89,9 +95,10 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
                 total += np.maximum(cov / np.outer(sd, sd), 0) * (share if c else 1 - share)
             discount = 1 / (1 + np.maximum(total.sum(1) - np.diag(total), 0))
         ratio = np.log(rates[1] / rates[0])
-        logit = np.log(share / (1 - share)) + (np.einsum("nmv,mv->nm", said, ratio) * discount).sum(1)
+        ratio[:, 2] = 0
+        logit = np.log(prior / (1 - prior)) + (np.einsum("nmv,mv->nm", said, ratio) * discount).sum(1)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
+        if k > 4 and np.abs(new - post).max() < 1e-4:
             return new
         post = new
     return post
@@ -131,15 +138,14 @@ def train(rows: list[tuple[int, list[str], int]]) -> tuple[dict[str, float], flo
             stats.append((float(far) if q > prior else -float(far), float(np.log((a + 0.5) / (len(at) - a + 0.5))), t))
     # lexicons: terms that aren't uneven by chance, most telling first, dealt in turn
     telling = sorted((x for x in stats if x[0] > many + 2 and x[1] > 1), key=lambda x: (-x[0], x[2]))[: MAX_TERMS // 2]
-    votes = np.full((len(y), 2 * LEXICONS + len(PATTERNS) + 1), -1, np.int8)
+    votes = np.full((len(y), 2 * LEXICONS + len(PATTERNS)), -1, np.int8)
     for k, (_, _, t) in enumerate(telling):
         votes[by_term[t], k % LEXICONS + LEXICONS * t.endswith("*")] = 1
     for k in range(len(PATTERNS)):
         hit = np.array([h >> k & 1 for _, _, h in rows], bool)
         odds = (y[hit].sum() + 0.5) / (hit.sum() + 1) / prior
         votes[hit, 2 * LEXICONS + k] = 1 if odds > 2 else 0 if odds < 0.5 else -1
-    votes[(votes[:, : 2 * LEXICONS] != 1).all(1), -1] = 0  # no term of any lexicon
-    post = label_model(votes, prior)
+    post = label_model(votes, np.where(y == 1, LABEL_TRUST[1], LABEL_TRUST[0]))
     # the classifier: the terms that split most unevenly, either way
     chosen = [t for _, _, t in sorted((x for x in stats if abs(x[0]) > many), key=lambda x: (-abs(x[0]), x[2]))[:MAX_TERMS]]
     col = np.repeat(np.arange(len(chosen)), [len(by_term[t]) for t in chosen])

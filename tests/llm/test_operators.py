@@ -1,0 +1,418 @@
+"""Each operator against brute force on small made-up tables with awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandspark.llm import hamming_search, mixing, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
+
+SCHEMA = "doc_id long, text string, source string, lang string, runs string, size int"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def made(seed=7, n=60):
+    """Random documents, copies, near copies, shared passages, loops; null, empty and long texts; a repeated row; a null id."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdeéß", k=rng.randint(1, 6))) for _ in range(80)]
+    prose = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    shared, texts = prose(60), []
+    for i in range(n):
+        t = prose(rng.randint(0, 120))
+        if i % 7 == 0:
+            t = f"{t[: len(t) // 2]} {shared} \n{t[len(t) // 2 :]}"
+        if i % 9 == 0 and texts:
+            t = rng.choice(texts) or ""
+        if i % 11 == 0:
+            words = (rng.choice([x for x in texts if x] or ["a b c"])).split(" ")
+            words[rng.randrange(len(words))] = "changed"
+            t = " ".join(words)
+        texts.append(t)
+    texts += [None, "", " \t\n", "one", "one two", "loop " * 300, "ab" * 400, prose(3000), shared.upper()]
+    rows = [(i, t, None if i % 13 == 0 else f"s{i % 4}", "xx", "clash", 1) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (None, shared, "s1", "xx", "clash", 1)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return made()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def raw(text):
+    return (text or "").encode()
+
+
+def key(doc_id):
+    return -(2**63) if doc_id is None else doc_id
+
+
+def same(got, want):
+    assert Counter(map(str, got)) == Counter(map(str, want))
+
+
+def test_substring_dedup(docs, rows, empty):
+    first = {}
+    for i, t, *_ in rows:
+        words = raw(t).split()
+        for s in range(len(words) - 19):
+            w = tuple(words[s : s + 20])
+            first[w] = min(first.get(w, (2**63, 0)), (key(i), s))
+    want = []
+    for i, t, *_ in rows:
+        words = raw(t).split()
+        gone = {j for s in range(len(words) - 19) if first[tuple(words[s : s + 20])] < (key(i), s) for j in range(s, s + 20)}
+        kept = [w for j, w in enumerate(words) if j not in gone]
+        want.append((i, len(words), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    same([tuple(r) for r in substring_dedup.dedup(docs).collect()], want)
+    assert sum(w[2] for w in want) > 500
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_suffix_dedup(docs, rows, empty):
+    places = defaultdict(set)
+    for i, t, *_ in rows:
+        for s in range(len(raw(t)) - 199):
+            places[raw(t)[s : s + 200]].add((i, s))
+    want = []
+    for i, t, *_ in rows:
+        b = raw(t)
+        mark = bytearray(len(b))
+        for s in range(len(b) - 199):
+            if len(places[b[s : s + 200]]) > 1:
+                mark[s : s + 200] = b"\1" * 200
+        spans = len(re.findall(b"\1+", bytes(mark)))
+        want.append((i, len(b), sum(mark), spans, hashlib.sha256(bytes(x for x, m in zip(b, mark, strict=True) if not m)).hexdigest()))
+    same([tuple(r) for r in suffix_dedup.dedup(docs).collect()], want)
+    assert sum(w[2] for w in want) > 1000
+    assert suffix_dedup.dedup(empty).count() == 0
+
+
+def test_multikey_sort_matches_equal_strings():
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 2, 3000).astype(np.uint8)
+    flat = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    words = sum((flat[j : len(flat) - 8 + j] << np.uint64(8 * (7 - j)) for j in range(8)), np.zeros(3000, np.uint64))
+    at = np.arange(2980)
+    group = suffix_dedup.multikey_groups(at, np.zeros(2980, np.int64), words, 20)
+    by = defaultdict(set)
+    for a in at.tolist():
+        by[text[a : a + 20].tobytes()].add(int(group[a]))
+    assert all(len(g) == 1 for g in by.values()) and len(by) == len({x for g in by.values() for x in g})
+
+
+def test_simhash(docs, rows, empty):
+    def fingerprint(t):
+        w = raw(t).lower().split()
+        shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
+
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    label = [key(i) for i, *_ in rows]
+    while True:
+        new = [min(label[b] for b in range(len(rows)) if (prints[a] ^ prints[b]).bit_count() <= 3) for a in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    want = [(i, f"{p:016x}", None if c == -(2**63) else c) for (i, *_), p, c in zip(rows, prints, label, strict=True)]
+    same([tuple(r) for r in simhash_dedup.groups(docs).collect()], want)
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    same([r.doc_id for r in kept.select("doc_id").collect()], {None if c == -(2**63) else c for c in label})
+    assert simhash_dedup.groups(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 90, 900])
+def test_gray_tree_links_all_and_only_close_prints(n):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 2**63, 6, dtype=np.uint64)[rng.integers(0, 6, n)]
+    for _ in range(4):
+        x = x ^ np.where(rng.random(n) < 0.6, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    x = np.unique(x)
+    x = x[np.argsort(simhash_dedup.gray_rank(x))]
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+    label = np.arange(len(x))
+    while not (new := np.where(near, label[None, :], n).min(1)).tolist() == label.tolist():
+        label = new
+    assert simhash_dedup.linked(x).tolist() == label.tolist()
+
+
+def test_gray_rank_inverts_the_code():
+    n = np.arange(5000, dtype=np.uint64)
+    assert (simhash_dedup.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+
+
+def test_components_settle_on_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)]
+    got = {r.u: r.root for r in simhash_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
+
+
+BASE = [
+    ("my password=abc12 ok", []),
+    ("PassWord : 'abcdef' token=secret=abcdefgh api-key", [("assign", 0, 18), ("assign", 20, 41)]),
+    ("é AKIA" + "A" * 16 + " AKIAshort " + "0a" * 12 + " " + "f" * 23, [("access", 2, 22), ("hex", 33, 57)]),
+]
+
+
+@pytest.mark.parametrize("text,want", BASE)
+def test_secret_base(text, want):
+    base, _ = secret_scan.scan(text)
+    assert sorted((k, a, b) for a, b, k in base) == sorted(want)
+
+
+def test_secret_lexing(docs, rows, empty):
+    text = 'A_KEY = "Qz7Lm2Xw9TbV"\nlimit = 12\nclient_secret = A_KEY + "k4"\nauth.password => "${ENV}"\nnote: plain words\n{"private_key": "Zx81LmQpw22"}'
+    kinds = {text[a:b]: k for a, b, k in secret_scan.lex(text)}
+    assert kinds == {"Qz7Lm2Xw9TbV": "literal", "k4": "literal", "Zx81LmQpw22": "literal"}
+    late = 'part = "Qz7Lm2Xw9TbV"\npassword_for_db = part\n'
+    assert [(late[a:b], k) for a, b, k in secret_scan.lex(late)] == [("Qz7Lm2Xw9TbV", "constant")]
+    got = secret_scan.find(docs)
+    assert got.count() == len(rows) and got.agg(F.sum("n_assign")).first()[0] == 0
+    assert got.where("doc_id is null").count() == 1
+    assert secret_scan.find(empty).count() == 0
+    assert secret_scan.redact_text("x token=abcdef123 y") == "x [REDACTED] y"
+    assert secret_scan.redact_text("plain") == "plain"
+
+
+def test_secret_find_agrees_with_the_patterns(spark):
+    rng = random.Random(3)
+    parts = ["password=", "token: ", "AKIA", "0123456789abcdef", "ABCDEF0123", " ", "secret", "=", "x", '"', "api_key = '"]
+    rows = [(i, "".join(rng.choices(parts, k=30))) for i in range(200)]
+    want = {}
+    for i, t in rows:
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP]asswd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        want[i] = (*[sum(s[1] == k for s in spans) for k in range(3)], hashlib.sha256(text.encode()).hexdigest())
+    got = {r[0]: tuple(r)[1:5] for r in secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_search_is_exact(spark):
+    rng = np.random.default_rng(5)
+    codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63 - 1, 400, dtype=np.int64))]
+    codes += [(1000 + i, codes[0][1]) for i in range(60)] + [(2000 + i, codes[1][1] ^ (1 << i)) for i in range(40)] + [codes[5]]
+    table = spark.createDataFrame(codes, "vec_id long, code long")
+    queries = table.where("vec_id % 50 = 0")
+    want = set()
+    for q, c in {x for x in codes if x[0] % 50 == 0}:
+        near = sorted(((c ^ o) & (2**64 - 1)).bit_count() * 10**6 + i for i, o in set(codes) if i != q)[:10]
+        want |= {(q, r + 1, x % 10**6, x // 10**6) for r, x in enumerate(near)}
+    assert {tuple(r) for r in hamming_search.top_k(table, queries).collect()} == want
+    assert hamming_search.top_k(table.limit(0), queries).count() == 0
+    few = hamming_search.top_k(table.where("vec_id < 3"), table.where("vec_id = 0"))
+    assert few.count() == 2
+
+
+def test_sign_codes(spark):
+    rows = [(0, [1.0, -1.0, 0.0, 2.0]), (1, None), (None, [1.0]), (2, [])]
+    got = hamming_search.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {tuple(r) for r in got} == {(0, 9), (2, 0)}
+
+
+def test_mixing(docs, rows, empty):
+    got = [r.asDict() for r in mixing.mix(docs).collect()]
+    assert len(got) == len(rows)
+    sizes = defaultdict(int)
+    for _, t, s, *_ in rows:
+        sizes[s] += len(raw(t).split())
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {s: 0.0 for s in order}, set(order), 1.5 * sum(sizes.values())
+    while left > 1e-6 and open_:
+        w = sum(weights[s] for s in open_)
+        share = {s: left * weights[s] / w for s in open_}
+        left = 0.0
+        for s, x in share.items():
+            target[s] += x
+            if target[s] >= 2 * sizes[s]:
+                left += target[s] - 2 * sizes[s]
+                target[s] = 2 * sizes[s]
+                open_.discard(s)
+    source = {}
+    for i, _, s, *_ in rows:
+        source[i] = s
+    taken = defaultdict(int)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["target"] == pytest.approx(target[s]) and r["source_size"] == sizes[s]
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        taken[s] += r["taken"]
+    for s in order:
+        assert abs(taken[s] - target[s]) <= 0.05 * target[s] + 60
+    again = mixing.mix(docs.repartition(3))
+    same([tuple(r) for r in again.collect()], [tuple(r.values()) for r in got])
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_pivotal_rounding_keeps_expectations(spark):
+    rows = [(i, " ".join("w" * (1 + i % 5)), f"s{i % 3}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    means = defaultdict(float)
+    for seed in range(8):
+        for r in mixing.mix(table, seed=seed * 1000).collect():
+            means[r.doc_id % 3] += r.taken / 8
+    target = {r.doc_id % 3: r.target for r in mixing.mix(table).collect()}
+    for s, t in target.items():
+        assert means[s] == pytest.approx(t, abs=3)
+
+
+def test_packing(docs, rows, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t, *_ in rows:
+        ids = hf.encode(t or "", add_special_tokens=False).ids + [0]
+        for k, (a, n) in enumerate(packing.cut(len(ids))):
+            want.append((i, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())))
+    got = packing.pack(docs).collect()
+    same([tuple(r)[:5] for r in got], want)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for spans in bins.values():
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at <= 2048
+    assert len(bins) == packing.lower_bound(np.array([w[3] for w in want]))
+    many = packing.pack(docs, part=10)
+    assert many.agg(F.count_distinct("sequence_id")).first()[0] <= len(bins) + 2
+    assert packing.pack(empty).count() == 0
+    whole = packing.pack(docs, ids=True).where("doc_id = 67").orderBy("piece").collect()
+    assert [x for r in whole for x in r.ids] == hf.encode(rows[67][1] or "", add_special_tokens=False).ids + [0]
+
+
+@pytest.mark.parametrize("text", ["", " ", "a<|endoftext|>b", "naïve ñandú — 漢字 🙂", "x" * 5000, "don't   stop\n\n\t12345", "\r\n\x00"])
+def test_tokens_are_those_of_the_tokenizers_library(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text, packing.vocabulary()).tolist() == hf.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_cut_and_bounds():
+    assert packing.cut(1) == [(0, 1)] and packing.cut(2048) == [(0, 2048)]
+    assert packing.cut(2049) == [(0, 1), (1, 2048)] and packing.cut(4096) == [(0, 2048), (2048, 2048)]
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sizes = rng.integers(1, 2049, 40)
+        bins, _, room = packing.best_fit(sizes)
+        assert packing.lower_bound(sizes) <= len(room) and (np.bincount(bins, sizes) <= 2048).all()
+    assert packing.lower_bound(np.array([1025] * 7)) == 7 and packing.lower_bound(np.array([700] * 6)) == 3
+
+
+def test_quality(docs, rows, empty, spark):
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(None,), (0,), (99_999,)], "doc_id long")
+    got = quality.verdicts(docs, trusted).collect()
+    want = []
+    for i, t, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(zip(words, words[1:], words[2:], strict=False))
+        cover = {j + k for j in range(len(words) - 2) if grams[tuple(words[j : j + 3])] > 1 for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(words) < 50 or 100 * len(cover) > 50 * len(words)
+        want.append((i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), failed))
+    same([tuple(r)[:7] for r in got], want)
+    assert all(r.kept == (not r.base_failed and r.ratio >= quality.THRESHOLD) for r in got)
+    assert quality.verdicts(empty, trusted).count() == 0
+    plain = quality.verdicts(docs, trusted.limit(0)).collect()
+    assert all(r.ratio == 0 and r.kept == (not r.base_failed) for r in plain)
+
+
+def test_quality_ratio_tells_junk_from_prose(spark):
+    rng = random.Random(1)
+    prose, junk = [f"w{k}" for k in range(50)], [f"J{k}!" for k in range(50)]
+    rows = [(i, " ".join(rng.choices(junk if i % 4 == 0 else prose, k=80))) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = table.where("doc_id % 4 = 1").select("doc_id")
+    bad = [r for r in quality.verdicts(table, trusted).collect() if not r.base_failed and r.kept != (r.doc_id % 4 != 0)]
+    assert not bad
+
+
+def test_toxicity(spark, docs, rows, empty):
+    rng = random.Random(4)
+    prose, toxic = [f"word{k}" for k in range(300)], ["vilest", "scumbag", "awfulness", "nastyone"]
+    made_docs, labels = [], []
+    for i in range(1500):
+        words = rng.choices(prose, k=rng.randint(20, 80))
+        bad = i % 8 == 0
+        if bad:
+            for w in rng.sample(toxic, 3):
+                words.insert(rng.randrange(len(words)), w)
+        made_docs.append((i, " ".join(words), "s", "xx"))
+        labels.append((i, 1, int(bad)))
+    table = spark.createDataFrame(made_docs, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame(labels + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(table, marks).collect()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.predicted == int(r.doc_id % 8 == 0) and 0 <= r.score <= 1
+    assert toxicity.clean(table, marks).count() == sum(i % 8 != 0 for i in range(1500))
+    odd = toxicity.score(docs, marks).collect()
+    assert len(odd) == len(rows) and all(0 <= r.score <= 1 for r in odd)
+    none = toxicity.score(docs, marks.limit(0)).collect()
+    assert len(none) == len(rows)
+    assert toxicity.score(empty, marks).count() == 0
+
+
+def test_label_model_discounts_copies_of_a_voter():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.15
+    good = np.stack([np.where(truth, rng.random(4000) < 0.6, rng.random(4000) < 0.01) for _ in range(4)], axis=1)
+    bad = np.repeat((rng.random((4000, 1)) < 0.05), 5, axis=1)
+    votes = np.where(np.concatenate((good, bad), axis=1), 1, -1).astype(np.int8)
+    post = toxicity.label_model(votes, 0.15)
+    # any vote is right for 0.928 of the rows, two votes, which the five copies have, for 0.932
+    assert np.mean((post > 0.5) == truth) > 0.96
+
+
+PAGES = [(i, f"http://h{i % 3}/p", "x" * (i * 37 % 900)) for i in range(2500)] + [(2600, None, None), (2601, "u", ""), (None, "u", "null id"), (7, "http://again", "second row")]
+
+
+def test_fixity(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    good = warc_fixity.index(warc_fixity.records(pages))
+    assert warc_fixity.audit(good, good).count() == 0
+    bad = warc_fixity.damaged(pages)
+    a = {(r.file, r.offset): r.digest for r in good.collect()}
+    b = {(r.file, r.offset): r.digest for r in bad.collect()}
+    want = {(k[0], k[1], "missing" if k not in b else "extra" if k not in a else "changed") for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
+    got = warc_fixity.audit(good, bad)
+    assert {(r.file, r.offset, r.status) for r in got.collect()} == want and len(want) > 30
+    small = warc_fixity.audit(good, bad, span=256, fan=2)
+    same([tuple(r) for r in small.collect()], [tuple(r) for r in got.collect()])
+    assert warc_fixity.audit(good.limit(0), good.limit(0)).count() == 0
+    assert warc_fixity.audit(good, good.limit(0)).where("status = 'missing'").count() == good.count()
+
+
+def test_fixity_offsets_are_those_of_a_file(spark):
+    pages = spark.createDataFrame(PAGES[:50], "page_id long, url string, html string")
+    rows = warc_fixity.records(pages).orderBy("page_id").collect()
+    blob = "".join(r.record for r in rows).encode()
+    for r in warc_fixity.index(warc_fixity.records(pages)).collect():
+        assert hashlib.sha256(blob[r.offset : r.offset + r.length]).hexdigest() == r.digest
