@@ -171,7 +171,7 @@ def flybase_genes(rows: DataFrame) -> DataFrame:
 def parse_regions(rows: DataFrame) -> DataFrame:
     """id, chr, start, end, peak: a row for each place in the comma list."""
     out = fields(rows.where(~F.col("value").startswith("#") & (F.trim("value") != "")), r"\t", "id", "chr", "start:long", "end:long", "peaks")
-    return out.select("id", "chr", "start", "end", F.explode(F.split(F.rtrim(F.col("peaks"), F.lit(",")), ",")).cast("long").alias("peak"))
+    return out.select("id", "chr", "start", "end", F.explode(F.split(F.rtrim(F.col("peaks"), F.lit(",")), ",").cast("array<bigint>")).alias("peak"))
 
 
 def peak_places(rows: DataFrame, kind: int) -> DataFrame:
