@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as A
 from ..operators import genes as G
 from ..operators import simulation as Z
+from ..streaming import events as E
 from .registry import registry
 from .views import view
 
@@ -301,3 +302,19 @@ def arena_grid(spark, d):
 def simulation(spark, d):
     s = spark.createDataFrame([(25.0, 25.0, 10.0, 5.0, 5.0)], "x double, y double, a double, sx double, sy double")
     return Z.simulate(Z.start_agents(spark, 50, 50.0), s, 12, 50.0, every=4)
+
+
+def shown(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@query("""select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 6) as total from events group by 1, 2""")
+def event_windows(spark, d):
+    return E.window_counts(spark.read.parquet(f"{d}/events.parquet"), "1 hour").select("event_type", shown("start"), "n", F.round("total", 6).alias("total"))
+
+
+@query("""with o as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+  g as (select user_id, ts, sum(case when before is null or ts >= before + interval 2 hour then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as run from o)
+  select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 2 hour, '%Y-%m-%d %H:%M:%S') as "end", count(*) as n from g group by user_id, run""")
+def event_sessions(spark, d):
+    return E.sessions(spark.read.parquet(f"{d}/events.parquet"), "2 hours").select("user_id", shown("start"), shown("end"), "n")
