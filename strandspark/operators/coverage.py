@@ -22,9 +22,10 @@ def at_least(tags: DataFrame, mapq: int | None) -> DataFrame:
 
 
 def first_tags(tags: DataFrame, mapq: int | None = None, line: str = "line") -> DataFrame:
-    """One tag a position and strand: the first accepted, in the order of line."""
+    """One tag a position and strand: the first accepted, in the order of line, then of the other columns."""
     tags = at_least(tags, mapq)
-    return tags.groupBy(*STRAND_KEY).agg(*[F.min_by(c, line).alias(c) for c in tags.columns if c not in STRAND_KEY]).select(*tags.columns)
+    rest = [line, *[c for c in tags.columns if c not in (*STRAND_KEY, line)]]
+    return tags.groupBy(*STRAND_KEY).agg(F.min(F.struct(*rest)).alias("_first")).select(*STRAND_KEY, "_first.*").select(*tags.columns)
 
 
 def totals(tags: DataFrame, mapq: int | None = None) -> DataFrame:

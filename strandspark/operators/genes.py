@@ -90,7 +90,7 @@ def mean_ratio(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def latex_rows(matrix: DataFrame, row: str, names: list[str]) -> DataFrame:
     """text: `row&m1&m2\\` with two decimals."""
-    return matrix.select(F.concat(F.concat_ws("&", F.col(row).cast("string"), *[F.format_string("%.2f", F.col(f"`{n}`")) for n in names]), F.lit("\\")).alias("text"))
+    return matrix.select(F.concat(F.concat_ws("&", F.col(row).cast("string"), *[F.format_string(f"%.{digits}f", F.col(f"`{n}`")) for n in names]), F.lit("\\")).alias("text"))
 
 
 def features_of_type(features: DataFrame, kind: str) -> DataFrame:

@@ -213,9 +213,9 @@ def domain_median_matrix(spark, d):
     return G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"])
 
 
-@query("""with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as f, coalesce(median(rate) filter (pair = 'O'), -1) as o from rates group by family) select printf('%d&%.2f&%.2f', family, f, o) || chr(92) as text from m""")
+@query("""with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as f, coalesce(median(rate) filter (pair = 'O'), -1) as o from rates group by family) select printf('%d&%.3f&%.3f', family, f, o) || chr(92) as text from m""")
 def domain_table_rows(spark, d):
-    return G.latex_rows(G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"]), "family", ["F", "O"])
+    return G.latex_rows(G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"]), "family", ["F", "O"], digits=3)
 
 
 @query("select least(cast(floor(l_quantity / 5) as bigint) + 1, 10) as bin, count(*) as n from lineitem where l_quantity between 0 and 50 group by 1")

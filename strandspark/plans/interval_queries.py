@@ -156,7 +156,7 @@ def tag_counts(spark, d):
     return C.tag_counts(view(spark, d, "tags"))
 
 
-@query("with r as (select *, row_number() over (partition by chr, strand, loc order by line) as k from tags where mapq >= 10) select chr, strand, loc, mapq, line from r where k = 1")
+@query("with r as (select *, row_number() over (partition by chr, strand, loc order by line, mapq) as k from tags where mapq >= 10) select chr, strand, loc, mapq, line from r where k = 1")
 def tags_unique(spark, d):
     return C.first_tags(view(spark, d, "tags"), 10).select("chr", "strand", "loc", "mapq", "line")
 
