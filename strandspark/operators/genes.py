@@ -88,9 +88,10 @@ def mean_ratio(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.where(F.col(b) != 0).agg(F.avg(F.abs(F.col(a) / F.col(b))).alias("mean"))
 
 
-def latex_rows(matrix: DataFrame, row: str, names: list[str]) -> DataFrame:
-    """text: `row&m1&m2\\` with two decimals."""
-    return matrix.select(F.concat(F.concat_ws("&", F.col(row).cast("string"), *[F.format_string(f"%.{digits}f", F.col(f"`{n}`")) for n in names]), F.lit("\\")).alias("text"))
+def latex_rows(matrix: DataFrame, row: str, names: list[str], digits: int = 2) -> DataFrame:
+    """text: the row's name and its values with so many decimals, by '&', then a backslash."""
+    values = [F.format_string(f"%.{digits}f", F.col(f"`{n}`")) for n in names]
+    return matrix.select(F.concat(F.concat_ws("&", F.col(row).cast("string"), *values), F.lit("\\")).alias("text"))
 
 
 def features_of_type(features: DataFrame, kind: str) -> DataFrame:
