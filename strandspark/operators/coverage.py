@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import interval_join
-from .ordered import running_sum
+from .ordered import checkpoint, running_sum
 
 STRAND_KEY = ["chr", "strand", "loc"]
 
@@ -149,10 +149,11 @@ def enrichment(peaks: DataFrame, experiments: dict[str, DataFrame], reference: s
 
 
 def with_rank(rows: DataFrame, by, key: str, name: str = "rank") -> DataFrame:
-    """rows with their place in a global order, from 1: a range-partitioned sort, then places within partitions on top of the sizes before."""
-    from pyspark.sql.functions import spark_partition_id
+    """rows with their place in a global order, from 1: a range-partitioned sort, then places within partitions on top of the sizes before.
 
-    ranged = rows.repartitionByRange(by, F.col(key)).withColumn("_part", spark_partition_id())
+    The ranges are drawn from a sample, so they are checkpointed before they are used twice.
+    """
+    ranged = checkpoint(rows.repartitionByRange(by, F.col(key)).withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(by, key)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

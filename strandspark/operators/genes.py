@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import checkpoint
+
 
 def ortholog_pairs(genes_a: DataFrame, orth: DataFrame, genes_b: DataFrame, first_only: bool = False) -> DataFrame:
     """a_key, b_key, name: genes of two species by ortholog keys (key1, key2); first_only: one partner each, the least key."""
@@ -36,18 +38,13 @@ def paired_peaks(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def gene_clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """pid, cluster: peaks connected through shared genes, named by the least pid; pairs are (pid, gene). Labels spread until none changes, cut at a reliable checkpoint each round."""
-    sc = pairs.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    pairs = pairs.select("pid", "gene").distinct().checkpoint()
-    labels = pairs.select("pid").distinct().withColumn("cluster", F.col("pid")).checkpoint()
+    pairs = checkpoint(pairs.select("pid", "gene").distinct())
+    labels = checkpoint(pairs.select("pid").distinct().withColumn("cluster", F.col("pid")))
     for _ in range(rounds):
         of_gene = pairs.join(labels, "pid").groupBy("gene").agg(F.min("cluster").alias("c"))
         new = pairs.join(of_gene, "gene").groupBy("pid").agg(F.min("c").alias("cluster"))
         # a label's own label is at least as small
-        hop = new.alias("n").join(new.select(F.col("pid").alias("_p"), F.col("cluster").alias("_c")), F.col("n.cluster") == F.col("_p")).select("pid", F.least("n.cluster", "_c").alias("cluster")).checkpoint()
+        hop = checkpoint(new.alias("n").join(new.select(F.col("pid").alias("_p"), F.col("cluster").alias("_c")), F.col("n.cluster") == F.col("_p")).select("pid", F.least("n.cluster", "_c").alias("cluster")))
         if not hop.join(labels.withColumnRenamed("cluster", "old"), "pid").where("cluster != old").take(1):
             return hop
         labels = hop

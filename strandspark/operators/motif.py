@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import acgt_only, canonical, kmers, revcomp
 from .intervals import interval_join
+from .ordered import checkpoint
 
 
 def pssm(counts: DataFrame) -> DataFrame:
@@ -178,14 +179,16 @@ def ranks(rows: DataFrame, by: Column, key: str) -> DataFrame:
 
 def step_cut(rows: DataFrame, fdr: float, key: str, p: str = "p", by: str = "slope") -> DataFrame:
     """Rows with p under (rank / m) * fdr, rank from 0 by `by`, greatest first, as the older scripts rank."""
+    rows = checkpoint(rows)
     m = rows.count()
     return ranks(rows, F.col(by).desc(), key).where(F.col(p) < F.col("rank") / m * fdr) if m else rows.withColumn("rank", F.lit(0))
 
 
 def benjamini_hochberg(rows: DataFrame, fdr: float, key: str, p: str = "p") -> DataFrame:
     """Rows up to the last whose p, in rising order, is at most rank / m * fdr."""
+    rows = checkpoint(rows)
     m = rows.count()
-    placed = ranks(rows, F.col(p), key).withColumn("rank", F.col("rank") + 1)
+    placed = checkpoint(ranks(rows, F.col(p), key).withColumn("rank", F.col("rank") + 1))
     last = placed.where(F.col(p) <= F.col("rank") / max(m, 1) * fdr).agg(F.max("rank").alias("_last"))
     return placed.join(F.broadcast(last)).where(F.col("rank") <= F.col("_last")).drop("_last")  # one row
 

@@ -6,12 +6,22 @@ to the rows, which run on within their bin only.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 16
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; a private one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def _carried(df: DataFrame, part: list[str], pos: str, total: Column, width: int) -> DataFrame:
     df = df.withColumn("_bin", F.floor(F.col(pos) / width))
     before = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import checkpoint
+
 
 def gaussian_field(points: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """key, field: the sum over sources (x, y, a, sx, sy) of a exp(-(dx^2 / (2 sx)^2 + dy^2 / (2 sy)^2)). sources are a handful and go to every task."""
@@ -61,17 +63,12 @@ def step_agents(agents: DataFrame, sources: DataFrame, step: int, arena: float,
 
 def simulate(agents: DataFrame, sources: DataFrame, steps: int, arena: float, every: int = 10, **options) -> DataFrame:
     """agent, step, x, y, heading at each step; lineage is cut at a reliable checkpoint every few steps."""
-    sc = agents.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(agents.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
     shown = lambda a, k: a.select("agent", F.lit(k).alias("step"), "x", "y", "heading")
     out = shown(agents, 0)
     for k in range(1, steps + 1):
         agents = step_agents(agents, sources, k, arena, **options)
         if k % every == 0:
-            agents = agents.checkpoint()
+            agents = checkpoint(agents)
         out = out.unionByName(shown(agents, k))
     return out
 
