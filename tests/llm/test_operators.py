@@ -191,6 +191,14 @@ def test_secret_lexing(docs, rows, empty):
     assert secret_scan.redact_text("plain") == "plain"
 
 
+def test_secret_lexing_of_very_long_runs_ends():
+    dense = "a=b:" * 60_000
+    assert secret_scan.scan(dense) == ([], [])
+    many = 'token="abcdef1" x="y" ' * 20_000
+    base, added = secret_scan.scan(many)
+    assert len(base) == 20_000 and not added
+
+
 def test_secret_find_agrees_with_the_patterns(spark):
     rng = random.Random(3)
     parts = ["password=", "token: ", "AKIA", "0123456789abcdef", "ABCDEF0123", " ", "secret", "=", "x", '"', "api_key = '"]
