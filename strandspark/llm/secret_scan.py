@@ -34,9 +34,13 @@ PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|e
 OPERATOR = re.compile(r"[=:]")
 TARGET = re.compile(r"""(?a)([A-Za-z_][\w.-]*)(?:["']?\]|["'])?[ \t]*\Z""")
 BARE = r"""[^\s"',;(){}<>\[\]#]"""
-#: A longer run without quotes isn't a literal; else each operator within it would read the rest of it.
-LONGEST = 1_024
-TERM = re.compile(rf"""(?a)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|({BARE}{{1,{LONGEST}}}+)(?!{BARE}))""")
+RUN = re.compile(rf"{BARE}+")
+#: Quoted, or where a run without quotes starts.
+TERM = re.compile(rf"""(?a)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(?={BARE}))""")
+#: Names are looked for in so many characters before an operator; a longer run is none.
+REACH = 128
+#: Characters of either end by which a long placeholder is told.
+ENDS = 64
 PLUS = re.compile(r"[ \t]*\+(?!=)")
 NAME_PARTS = re.compile(r"(?a)[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -49,18 +53,92 @@ def name_weight(name: str) -> float:
 
 def strength(value: str) -> float:
     """0 to 1: long values of many different characters are strong; placeholders and short values are not."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    return _strength(len(value), Counter(value), value[:ENDS], value[-ENDS:])
+
+
+def _strength(n: int, counts: Counter, head: str, tail: str) -> float:
+    """Of a value of n characters with these counts and ends; up to ENDS characters it is its head."""
+    if n < 6 or any(c.isspace() for c in counts):
+        return 0.0
+    if n > ENDS and (counts.keys() <= {"x", "X"} or counts.keys() == {"*"} or counts.keys() == {"."}):
+        return 0.0
+    if PLACEHOLDER.match(head if n <= ENDS else f"{head}-{tail}"):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
+    entropy = -sum(p * math.log2(p) for c in counts.values() if (p := c / n))
+    classes = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts})
     return min(1.0, entropy / 4) * (0.55 + 0.15 * classes)
 
 
+class _Chain:
+    """Two literals or more in a row, each a span of the text or an earlier chain."""
+
+    __slots__ = ("parts", "summary", "reported")
+
+    def __init__(self, parts: list) -> None:
+        self.parts, self.summary, self.reported = parts, None, False
+
+
+class _Values:
+    """What _strength() needs of spans and chains; each chain is summed up once, and spans with one end share a count."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.tails: dict[int, list] = {}
+
+    def _span(self, start: int, end: int) -> tuple[int, Counter, str, str]:
+        text = self.text
+        if end - start <= 1_024:
+            counts = Counter(text[start:end])
+        elif end not in self.tails:
+            counts = Counter(text[start:end])
+            self.tails[end] = [start, counts.copy()]
+        else:
+            tail = self.tails[end]
+            at, held = tail
+            for c, k in Counter(text[min(at, start) : max(at, start)]).items():
+                held[c] += k if start < at else -k
+                if not held[c]:
+                    del held[c]
+            tail[0] = start
+            counts = held.copy()
+        return end - start, counts, text[start : min(end, start + ENDS)], text[max(start, end - ENDS) : end]
+
+    def summary(self, value: tuple[int, int] | _Chain) -> tuple[int, Counter, str, str]:
+        if isinstance(value, tuple):
+            return self._span(*value)
+        todo = [value]
+        while todo:
+            chain = todo[-1]
+            open_ = [] if chain.summary else [p for p in chain.parts if isinstance(p, _Chain) and not p.summary]
+            if open_:
+                todo += open_
+                continue
+            todo.pop()
+            if chain.summary:
+                continue
+            n, counts, head, tail = 0, Counter(), "", ""
+            for part in chain.parts:
+                more, own, first, last = self._span(*part) if isinstance(part, tuple) else part.summary
+                n += more
+                for c, k in own.items():
+                    counts[c] += k
+                if len(head) < ENDS:
+                    head = (head + first)[:ENDS]
+                tail = (tail + last)[-ENDS:]
+            chain.summary = n, counts, head, tail
+        return value.summary
+
+
 def lex(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of literals that reach sensitive names."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    """(start, end, kind) of literals that reach sensitive names.
+
+    Constants refer to the ones they are made of, and the end of a run without quotes is found once for all operators in it.
+    """
+    constants: dict[str, tuple[int, int] | _Chain] = {}
     found: dict[tuple[int, int], str] = {}
+    values = _Values(text)
+    run = (0, 0)
+    ends: dict[int, int] = {}
     after = 0
     for m in OPERATOR.finditer(text):
         i = m.start()
@@ -71,21 +149,31 @@ def lex(text: str) -> list[tuple[int, int, str]]:
             continue
         if text[stop : stop + 1] in (">", "="):  # => and :=
             stop += 1
-        name = TARGET.search(text, max(0, i - 128), i)
+        name = TARGET.search(text, max(0, i - REACH), i)
         if not name:
             continue
-        parts: list[tuple[int, int, str]] = []
-        direct = 0
+        parts: list[tuple[int, int] | _Chain] = []
         at = stop
+        first = True
         while term := TERM.match(text, at):
             at = term.end()
-            for g in (1, 2, 3):
-                if term[g] is not None:
-                    if g == 3 and term[3] in constants:
-                        parts += constants[term[3]][:64]
-                    elif g < 3 or term[3].lower() != name[1].lower():
-                        parts.append((*term.span(g), term[g]))
-                        direct += 1
+            if term.lastindex:
+                parts.append(term.span(term.lastindex))
+            else:
+                start = at
+                if not first:
+                    at = ends.get(start) or ends.setdefault(start, RUN.match(text, start).end())
+                elif run[0] <= start < run[1]:
+                    at = run[1]
+                else:
+                    at = RUN.match(text, start).end()
+                    run = (start, at)
+                word = text[start:at] if at - start <= REACH else None
+                if word in constants:
+                    parts.append(constants[word])
+                elif word is None or word.lower() != name[1].lower():
+                    parts.append((start, at))
+            first = False
             plus = PLUS.match(text, at)
             if not plus:
                 break
@@ -93,13 +181,19 @@ def lex(text: str) -> list[tuple[int, int, str]]:
         if not parts:
             continue
         after = max(after, stop)
-        if len(constants) < 100_000 or name[1] in constants:
-            constants[name[1]] = parts[:64]
+        value = parts[0] if len(parts) == 1 else _Chain(parts)
+        constants[name[1]] = value
         weight = name_weight(name[1])
-        if weight and weight * strength("".join(p[2] for p in parts)) >= THRESHOLD:
-            for start, end, _ in parts:
-                if end > start:
-                    found.setdefault((start, end), "literal" if start >= i else "constant")
+        if weight and weight * _strength(*values.summary(value)) >= THRESHOLD:
+            todo = [value]
+            while todo:
+                part = todo.pop()
+                if isinstance(part, tuple):
+                    if part[1] > part[0]:
+                        found.setdefault(part, "literal" if part[0] >= i else "constant")
+                elif not part.reported:
+                    part.reported = True
+                    todo += part.parts
     return [(a, b, kind) for (a, b), kind in found.items()]
 
 

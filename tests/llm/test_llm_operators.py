@@ -199,6 +199,26 @@ def test_secret_lexing_of_very_long_runs_ends():
     assert len(base) == 20_000 and not added
 
 
+@pytest.mark.parametrize("length", [1_024, 1_025, 1_600, 200_000])
+def test_secret_bare_literals_of_any_length(length):
+    value = "".join(random.Random(length).choices("ABCDEFGHIJabcdefghij0123456789+/", k=length))
+    for head in ("PRIVATE_KEY=", "credentials: ", "bearer="):
+        text = f"{head}{value} end"
+        assert secret_scan.lex(text) == [(len(head), len(head) + length, "literal")]
+        assert secret_scan.redact_text(text) == f"{head}[REDACTED] end"
+
+
+def test_secret_constants_have_no_caps():
+    many = "".join(f"n{k} = 1\n" for k in range(100_001)) + 'part = "Qz7Lm2Xw9TbV"\nprivate_key = part\n'
+    assert [(many[a:b], k) for a, b, k in secret_scan.lex(many)] == [("Qz7Lm2Xw9TbV", "constant")]
+    chain = "part = " + " + ".join(f'"Qz{k}"' for k in range(100)) + "\nprivate_key = part\n"
+    assert [chain[a:b] for a, b, _ in sorted(secret_scan.lex(chain))] == [f"Qz{k}" for k in range(100)]
+    doubled = 'part = "Qz7Lm2Xw9TbV"\n' + "part = part + part\n" * 2_000 + "private_key = part\n"
+    assert [doubled[a:b] for a, b, _ in secret_scan.lex(doubled)] == ["Qz7Lm2Xw9TbV"]
+    nested = "Private_Key=Zx8:" * 20_000
+    assert len(secret_scan.lex(nested)) == 19_999  # the last one is too short
+
+
 def test_secret_find_agrees_with_the_patterns(spark):
     rng = random.Random(3)
     parts = ["password=", "token: ", "AKIA", "0123456789abcdef", "ABCDEF0123", " ", "secret", "=", "x", '"', "api_key = '"]
