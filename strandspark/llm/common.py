@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id while rows travel; returned as null.
@@ -32,6 +33,21 @@ def real_id(name: str = "doc_id"):
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
 
 
+#: Seeds of xxhash64(text) and of xxhash64(1, text), which hashes the text by the hash of 1.
+TEXT_SEEDS = (42, xxhash.xxh64_intdigest(b"\1\0\0\0", 42))
+
+
+def text_hash(which: int = 0, text: str = "text") -> Column:
+    """One of two independent 64-bit hashes of text (null is empty), as text_hashes() has them."""
+    column = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(F.lit(1), column) if which else F.xxhash64(column)
+
+
+def text_hashes(texts: list[bytes], which: int = 0) -> np.ndarray:
+    seed = TEXT_SEEDS[which]
+    return np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder of spark.checkpoint.dir, which executors share; a private one only where none is set."""
     sc = df.sparkSession.sparkContext

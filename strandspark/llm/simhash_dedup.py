@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpoint, keyed, real_id, sorted_groups, text_chunks
+from .common import NULL_ID, checkpoint, keyed, real_id, sorted_groups, text_chunks, text_hash, text_hashes
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -30,6 +30,7 @@ FAN = 32
 PREFIX = 31
 CHUNK = 1 << 20
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+FINGERPRINT_ROWS = pa.schema([("doc_id", pa.int64()), ("_h1", pa.int64()), ("_h2", pa.int64()), ("print", pa.int64())])
 RANKED = pa.schema([("node", pa.int64()), ("rank", pa.int64())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -66,6 +67,12 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fingerprints_of(texts).view(np.int64))], schema=FINGERPRINTS)
 
 
+def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with two hashes of the text, which together with doc_id tell rows apart."""
+    for ids, texts in text_chunks(batches, CHUNK):
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text_hashes(texts, 0)), pa.array(text_hashes(texts, 1)), pa.array(fingerprints_of(texts).view(np.int64))], schema=FINGERPRINT_ROWS)
+
+
 def _moves() -> list[list[tuple[int, int, int]]]:
     """For each order, (shift in the print, width, shift in the permuted print) of the blocks."""
     shifts = [64 - sum(BLOCKS[: k + 1]) for k in range(len(BLOCKS))]
@@ -231,6 +238,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _rooted(prints: DataFrame, row: Column) -> DataFrame:
+    """print, least, root for each different print: its least row, and what names its component."""
+    different = prints.groupBy("print").agg(F.min(row).alias("least"))
+    roots = components(links(different.select("print")))
+    return different.join(roots, different.print == roots.u, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint, component_id.
 
@@ -238,16 +252,21 @@ def groups(docs: DataFrame) -> DataFrame:
     other, as they are alike. A null doc_id is less than all others; its components' id is null. An empty table gives no rows.
     """
     prints = checkpoint(fingerprints(docs))
-    different = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(links(different.select("print")))
-    rooted = different.join(roots, different.print == roots.u, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    rooted = _rooted(prints, F.col("doc_id"))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(by_root, "root").select("print", "component_id")
     return prints.join(named, "print").select(real_id(), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), real_id("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the least doc_id of each group, one row of each doc_id; the columns stay."""
-    kept = groups(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept")).distinct()
+    """docs with one row of each group, the least by doc_id (null first) and then by hashes of the text; the columns stay.
+
+    Rows are told apart by doc_id and 128 bits of text, so rows that share an id, or have none, count each by its own text.
+    """
+    prints = checkpoint(keyed(docs).mapInArrow(_fingerprint_rows, "doc_id long, _h1 long, _h2 long, print long"))
+    kept = _rooted(prints, F.struct("doc_id", "_h1", "_h2")).groupBy("root").agg(F.min("least").alias("least"))
+    keys = ["_kept", "_h1", "_h2"]
+    kept = kept.select(F.col("least.doc_id").alias("_kept"), "least._h1", "least._h2")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.withColumn("_kept", key).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    rows = docs.withColumns({"_kept": key, "_h1": text_hash(0), "_h2": text_hash(1)})
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

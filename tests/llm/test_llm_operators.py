@@ -138,6 +138,15 @@ def test_simhash(docs, rows, empty):
     assert simhash_dedup.groups(empty).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (5, a), (6, d), (6, e), (7, d), (8, f), (8, f), (None, None), (9, "")]
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    same([tuple(r) for r in got], [(None, a), (None, b), (None, c), (6, d), (6, e), (8, f), (None, None)])
+
+
 @pytest.mark.parametrize("n", [3, 90, 900])
 def test_gray_tree_links_all_and_only_close_prints(n):
     rng = np.random.default_rng(n)
