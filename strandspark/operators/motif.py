@@ -154,13 +154,18 @@ def binomial_tail(x: int, n: int, p: float) -> float:
         return 1.0
     if p <= 0 or p >= 1:
         return float(p >= 1)
-    term = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p))
-    total, k = 0.0, x
-    while k <= n and term > total * 1e-16:
+    if x > n:
+        return 0.0
+    lower = x <= n * p
+    k = x - 1 if lower else x  # the greatest term of the side that is summed
+    log_term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term = 0.0, 1.0  # in units of that term
+    while 0 <= k <= n and term > total * 1e-16:
         total += term
-        term *= (n - k) / (k + 1) * p / (1 - p)
-        k += 1
-    return min(1.0, total)
+        term *= k / (n - k + 1) * (1 - p) / p if lower else (n - k) / (k + 1) * p / (1 - p)
+        k += -1 if lower else 1
+    side = math.exp(min(0.0, log_term + math.log(total)))
+    return 1.0 - side if lower else side
 
 
 def regressions(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:

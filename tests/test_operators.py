@@ -223,6 +223,16 @@ def test_binomial_tail():
     assert M.binomial_tail(4, 10, 0.3) == pytest.approx(want) and M.binomial_tail(0, 10, 0.3) == 1
 
 
+def test_binomial_tail_far_from_the_mean():
+    assert M.binomial_tail(5_000, 600_000_000, 1e4 / 6e8) == pytest.approx(1)
+    assert M.binomial_tail(220_000, 600_000_000, 2.4e5 / 6e8) == pytest.approx(1)
+    assert M.binomial_tail(20_000, 600_000_000, 1e4 / 6e8) == 0
+    assert M.binomial_tail(11, 10, 0.3) == 0
+    for x in range(1, 61):
+        want = sum(math.comb(60, k) * 0.4**k * 0.6 ** (60 - k) for k in range(x, 61))
+        assert M.binomial_tail(x, 60, 0.4) == pytest.approx(want)
+
+
 def test_step_cut_ranks_by_slope(spark):
     rows = spark.createDataFrame([(k, float(-k), 0.04) for k in range(4)], "k int, slope double, p double")
     assert sorted(r.k for r in M.step_cut(rows, 0.1, "k").collect()) == [2, 3]
