@@ -5,7 +5,7 @@ windows with one anchor make a seed run, which carries a fingerprint of each win
 the anchor agrees to the left and right. Equal windows have equal anchors, so it's enough to compare, anchor by
 anchor, each run with the runs before it; runs of windows found before are the extended matches. Copies within a
 chunk of a partition are settled there, so that a passage in millions of documents sends one row a chunk.
-Then documents meet their matches by doc_id and lose the covered words.
+Then documents meet their matches by doc_id and a hash of the text and lose the covered words.
 
 A window counts as repeated when its anchor (64 bits), and of its own hash 40 bits more, agree.
 """
@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, anchor_runs, keyed, mix, prefix, real_id, runs_of, sorted_groups, spans, text_chunks
+from .common import Powers, anchor_runs, keyed, mix, prefix, real_id, runs_of, sorted_groups, spans, text_chunks, text_hash, text_hashes
 
 WINDOW, GRAM, CHUNK = 20, 6, 3 << 20
 FINGERPRINT = 5  # bytes
-SEEDS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("prints", pa.binary())])
-MATCHES = pa.schema([("doc_id", pa.int64()), ("packed", pa.int64())])
+SEEDS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("prints", pa.binary())])
+MATCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("packed", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -61,7 +61,8 @@ def _seeds(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = _Hashes(), Powers(0x9E3779B97F4A7C15)
         for ids, texts in text_chunks(batches, CHUNK):
-            order = np.argsort(ids, kind="stable")
+            hashed = text_hashes(texts)
+            order = np.lexsort((hashed, ids))
             split = [texts[i].split() for i in order]
             counts = np.array([len(w) for w in split], np.int64)
             total = int(counts.sum())
@@ -70,7 +71,8 @@ def _seeds(window: int, gram: int):
             h = np.fromiter((hashes[w] for words in split for w in words), np.uint64, total)
             first = np.concatenate(([0], np.cumsum(counts)[:-1]))
             doc_of = np.repeat(np.arange(len(counts)), counts)
-            ids = ids[order]
+            ids, hashed = ids[order], hashed[order]
+            row = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]) | (hashed[1:] != hashed[:-1]))))
             sums = prefix(mix(h), powers)
             own = mix(spans(sums, window, powers))
             n = len(own)
@@ -88,8 +90,8 @@ def _seeds(window: int, gram: int):
             pick = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             if pick.any():
                 few = by[pick]
-                # the place orders windows by (doc_id, start): repeated rows of one document are one place
-                place = np.unique(ids, return_inverse=True)[1][doc_of[few]] * (int(counts.max()) + 1) + few - first[doc_of[few]]
+                # the place orders windows by (doc_id, hash, start): repeated rows of one document are one place
+                place = row[doc_of[few]] * (int(counts.max()) + 1) + few - first[doc_of[few]]
                 seen[few] = _repeats(own[few], least[few], place)
             fresh = valid & ~seen
             cut = np.zeros(n + 1, bool)
@@ -97,27 +99,27 @@ def _seeds(window: int, gram: int):
             starts = np.flatnonzero(fresh & (cut[:n] | np.concatenate(([True], ~fresh[:-1]))))
             ends = np.flatnonzero(fresh & (cut[1:] | np.concatenate((~fresh[1:], [True])))) + 1
             d = doc_of[starts]
-            yield pa.RecordBatch.from_arrays([pa.array(least[starts].view(np.int64)), pa.array(ids[d]), pa.array((starts - first[d]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), _packed(own, starts, ends - starts)], schema=SEEDS)
+            yield pa.RecordBatch.from_arrays([pa.array(least[starts].view(np.int64)), pa.array(ids[d]), pa.array(hashed[d]), pa.array((starts - first[d]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), _packed(own, starts, ends - starts)], schema=SEEDS)
             s, e = runs_of(seen)
             d = doc_of[s]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(ids[d].view(np.uint64)).view(np.int64)), pa.array(ids[d]), pa.array((s - first[d]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.nulls(len(s), pa.binary())], schema=SEEDS)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(ids[d].view(np.uint64)).view(np.int64)), pa.array(ids[d]), pa.array(hashed[d]), pa.array((s - first[d]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.nulls(len(s), pa.binary())], schema=SEEDS)
 
     return run
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From seeds sorted by anchor, doc_id and start: the windows found before, as runs (doc_id, start << 32 | windows)."""
+    """From seeds sorted by anchor, doc_id, hash and start: the windows found before, as runs (doc_id, hash, start << 32 | windows)."""
     for table in sorted_groups(batches):
         table = table.combine_chunks()
-        anchor, doc, start, n = (table.column(i).to_numpy() for i in range(4))
-        settled = table.column(4).is_null().to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(doc[settled]), pa.array(start[settled].astype(np.int64) << 32 | n[settled])], schema=MATCHES)
+        anchor, doc, hashed, start, n = (table.column(i).to_numpy() for i in range(5))
+        settled = table.column(5).is_null().to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(doc[settled]), pa.array(hashed[settled]), pa.array(start[settled].astype(np.int64) << 32 | n[settled])], schema=MATCHES)
         rows = np.flatnonzero(~settled)
         same = anchor[rows[1:]] == anchor[rows[:-1]]
         rows = rows[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
         if not len(rows):
             continue
-        prints = table.column(4).take(pa.array(rows))
+        prints = table.column(5).take(pa.array(rows))
         prints = prints.combine_chunks() if isinstance(prints, pa.ChunkedArray) else prints
         flat = np.zeros((int(n[rows].sum()), 8), np.uint8)
         flat[:, 8 - FINGERPRINT :] = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, FINGERPRINT)
@@ -126,24 +128,24 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(n[rows])[:-1])), n[rows])
         group = np.cumsum(np.concatenate(([0], anchor[rows[1:]] != anchor[rows[:-1]])))[row]
         # places follow the rows' order but for repeated rows of one document
-        d, s = doc[rows][row], start[rows][row] + inner
-        by = np.lexsort((s, d, flat, group))
+        d, t, s = doc[rows][row], hashed[rows][row], start[rows][row] + inner
+        by = np.lexsort((s, t, d, flat, group))
         first = np.concatenate(([True], (flat[by[1:]] != flat[by[:-1]]) | (group[by[1:]] != group[by[:-1]])))
         leader = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
         seen = np.empty(len(by), bool)
-        seen[by] = (d[by] != d[leader]) | (s[by] != s[leader])
+        seen[by] = (d[by] != d[leader]) | (t[by] != t[leader]) | (s[by] != s[leader])
         a, b = runs_of(seen)
         if len(a):  # a run of windows ends with its row
             inside = np.flatnonzero(seen[1:] & seen[:-1] & (row[1:] != row[:-1])) + 1
             a, b = np.sort(np.concatenate((a, inside))), np.sort(np.concatenate((b, inside)))
-            yield pa.RecordBatch.from_arrays([pa.array(d[a].astype(np.int64)), pa.array(s[a].astype(np.int64) << 32 | (b - a))], schema=MATCHES)
+            yield pa.RecordBatch.from_arrays([pa.array(d[a].astype(np.int64)), pa.array(t[a]), pa.array(s[a].astype(np.int64) << 32 | (b - a))], schema=MATCHES)
 
 
 def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, packed): packed >> 32 is the first word of a run of repeated windows, the lower half their number."""
-    seeds = keyed(docs).mapInArrow(_seeds(window, gram), "anchor long, doc_id long, start int, n int, prints binary")
+    """(doc_id, hash, packed): hash is that of the text, packed >> 32 is the first word of a run of repeated windows, the lower half their number."""
+    seeds = keyed(docs).mapInArrow(_seeds(window, gram), "anchor long, doc_id long, hash long, start int, n int, prints binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_extend, "doc_id long, packed long")
+    return seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "start").mapInArrow(_extend, "doc_id long, hash long, packed long")
 
 
 def _removed(window: int):
@@ -170,9 +172,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256.
 
     Null and empty texts have no words. Repeated rows of a document are that document: each is returned, neither
-    removes the other; rows with one doc_id and different texts count as one document at equal word positions.
-    A null doc_id comes before all others. An empty table gives no rows; other columns are ignored.
+    removes the other; rows with one doc_id and different texts are different documents, ordered by a hash of the text.
+    A null doc_id comes before all others, and its rows are told apart likewise. An empty table gives no rows; other columns are ignored.
     """
-    found = matches(docs, window, gram).groupBy("doc_id").agg(F.collect_list("packed").alias("runs"))
-    joined = keyed(docs).join(found, "doc_id", "left").select("doc_id", "text", "runs")
+    found = matches(docs, window, gram).groupBy("doc_id", "hash").agg(F.collect_list("packed").alias("runs"))
+    joined = keyed(docs, text_hash().alias("hash")).join(found, ["doc_id", "hash"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", real_id())

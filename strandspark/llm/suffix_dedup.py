@@ -10,7 +10,7 @@ A suffix array of every byte would shuffle 200 bytes for each byte of text. It i
    leading token, the anchor gram; since splitters are whole grams, windows that agree share a bucket, and groups are
    carried over batch boundaries. A bucket sorts all suffixes of its segments by multikey quicksort, eight bytes a key,
    partitions of one going no deeper; suffixes still together after 200 bytes are repeats.
-3. Documents meet their repeats by doc_id and lose the covered bytes.
+3. Documents meet their repeats by doc_id and a hash of the text and lose the covered bytes.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, anchor_runs, checkpoint, keyed, mix, prefix, real_id, runs_of, sorted_groups, span, spans, text_chunks
+from .common import Powers, anchor_runs, checkpoint, keyed, mix, prefix, real_id, runs_of, sorted_groups, span, spans, text_chunks, text_hash, text_hashes
 
 LENGTH, GRAM, CHUNK = 200, 16, 3 << 19
-SEGMENTS = pa.schema([("anchor", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64())])
-SUFFIXES = pa.schema([("gram", pa.binary()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64())])
+SEGMENTS = pa.schema([("anchor", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64())])
+SUFFIXES = pa.schema([("gram", pa.binary()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 #: Random odd numbers, one for each value of a byte.
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -40,6 +40,7 @@ def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, powers2 = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
         for ids, texts in text_chunks(batches, CHUNK):
+            hashed = text_hashes(texts)
             counts = np.array([len(t) for t in texts], np.int64)
             total = int(counts.sum())
             if total < length:
@@ -59,16 +60,16 @@ def _segments(length: int, gram: int):
             stops = runs + lengths + length - 1
             prints = mix(span(sums, runs, stops, powers) ^ mix(span(prefix(values, powers2), runs, stops, powers2) + lengths.astype(np.uint64)))
             d = np.searchsorted(first + counts, runs, "right")
-            doc, start = ids[d], (runs - first[d]).astype(np.int32)
+            doc, text, start = ids[d], hashed[d], (runs - first[d]).astype(np.int32)
             # repeated rows of a document are one: a segment at the same place of the same document is the same
-            by = np.lexsort((start, doc, prints, anchors))
+            by = np.lexsort((start, text, doc, prints, anchors))
             same = (prints[by[1:]] == prints[by[:-1]]) & (anchors[by[1:]] == anchors[by[:-1]])
             leads = np.concatenate(([True], ~same))
             group = np.cumsum(leads) - 1
-            twin = same & (doc[by[1:]] == doc[by[:-1]]) & (start[by[1:]] == start[by[:-1]])
+            twin = same & (doc[by[1:]] == doc[by[:-1]]) & (text[by[1:]] == text[by[:-1]]) & (start[by[1:]] == start[by[:-1]])
             places = np.bincount(group, ~np.concatenate(([False], twin)))
             settled = by[places[group] > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[by[leads]].view(np.int64), prints[by[leads]].view(np.int64), doc[by[leads]], start[by[leads]], lengths[by[leads]].astype(np.int32))], schema=SEGMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[by[leads]].view(np.int64), prints[by[leads]].view(np.int64), doc[by[leads]], text[by[leads]], start[by[leads]], lengths[by[leads]].astype(np.int32))], schema=SEGMENTS)
             # runs of settled segments of one document become one row
             settled = np.sort(settled)
             if len(settled):
@@ -76,7 +77,7 @@ def _segments(length: int, gram: int):
                 new = np.concatenate(([True], a[1:] != b[:-1]))
                 a, b = a[new], b[np.concatenate((new[1:], [True]))]
                 d = np.searchsorted(first + counts, a, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(mix(ids[d].view(np.uint64)).view(np.int64)), pa.nulls(len(a), pa.int64()), pa.array(ids[d]), pa.array((a - first[d]).astype(np.int32)), pa.array((b - a).astype(np.int32))], schema=SEGMENTS)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(ids[d].view(np.uint64)).view(np.int64)), pa.nulls(len(a), pa.int64()), pa.array(ids[d]), pa.array(hashed[d]), pa.array((a - first[d]).astype(np.int32)), pa.array((b - a).astype(np.int32))], schema=SEGMENTS)
 
     return run
 
@@ -85,13 +86,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From segments sorted by anchor and print: the repeated ones, anchor null, and one of each print where an anchor has several."""
     for table in sorted_groups(batches):
         settled = table.column(1).is_null().to_numpy()
-        anchor, doc, start, n = (table.column(i).to_numpy() for i in (0, 2, 3, 4))
+        anchor, doc, text, start, n = (table.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
         prints = table.column(1).fill_null(0).to_numpy()
         rows = np.flatnonzero(~settled)
         anchor_changes = anchor[rows[1:]] != anchor[rows[:-1]]
         changes = np.concatenate(([True], anchor_changes | (prints[rows[1:]] != prints[rows[:-1]])))[: len(rows)]
         group = np.cumsum(changes) - 1
-        twin = np.concatenate(([False], (doc[rows[1:]] == doc[rows[:-1]]) & (start[rows[1:]] == start[rows[:-1]])))[: len(rows)] & ~changes
+        twin = np.concatenate(([False], (doc[rows[1:]] == doc[rows[:-1]]) & (text[rows[1:]] == text[rows[:-1]]) & (start[rows[1:]] == start[rows[:-1]])))[: len(rows)] & ~changes
         repeated = rows[np.bincount(group, ~twin)[group] > 1] if len(rows) else rows
         anchors = np.cumsum(np.concatenate(([True], anchor_changes))[: len(rows)]) - 1
         several = np.bincount(anchors, changes)[anchors] > 1 if len(rows) else changes
@@ -99,7 +100,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.concatenate((np.flatnonzero(settled), repeated))
         out = np.concatenate((whole, lead))
         known = pa.array(anchor[out], mask=np.arange(len(out)) < len(whole))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out]), pa.array(n[out]), known], schema=FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(start[out]), pa.array(n[out]), known], schema=FOUND)
 
 
 def _fetch(length: int, gram: int):
@@ -107,15 +108,13 @@ def _fetch(length: int, gram: int):
         powers = Powers(0x9E3779B97F4A7C15)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, segments in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text, segments, hashed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for s in segments:
                     part = text[s["start"] : s["start"] + s["n"] + length - 1]
                     # the anchor is the gram of that hash: the last one in the segment's first window
                     values = mix(spans(prefix(BYTE_HASH[np.frombuffer(part, np.uint8)], powers), gram, powers)).view(np.int64)
                     at = np.flatnonzero(values[: length - gram + 1] == s["anchor"])
-                    if not len(at):  # another row with this doc_id has the segment
-                        continue
-                    out.append((part[at[-1] : at[-1] + gram], part, doc, s["start"], s["anchor"]))
+                    out.append((part[at[-1] : at[-1] + gram], part, doc, hashed, s["start"], s["anchor"]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SUFFIXES, strict=True)], schema=SUFFIXES)
                     out = []
@@ -149,9 +148,9 @@ def multikey_groups(at: np.ndarray, group: np.ndarray, words: np.ndarray, length
 
 def _bucket(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, key=4, least=20_000):
+        for table in sorted_groups(batches, key=5, least=20_000):
             parts = table.column(1).to_pylist()
-            anchor, doc, start = (table.column(i).to_numpy() for i in (4, 2, 3))
+            anchor, doc, text, start = (table.column(i).to_numpy() for i in (5, 2, 3, 4))
             sizes = np.array([len(p) for p in parts], np.int64)
             # anchors one after another, as many at a time as make about a million suffixes
             edges = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
@@ -174,28 +173,28 @@ def _bucket(length: int):
                 # group names are positions of suffixes from here on, so start with such
                 group = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[group]
                 group = multikey_groups(at, group.astype(np.int64), words, length)
-                d, s = doc[a:b][row], start[a:b][row] + inner
+                d, t, s = doc[a:b][row], text[a:b][row], start[a:b][row] + inner
                 # repeats are at two places at least; repeated rows of a document are one place
-                by = np.lexsort((s, d, group))
-                other = np.concatenate(([True], (group[by[1:]] != group[by[:-1]]) | (d[by[1:]] != d[by[:-1]]) | (s[by[1:]] != s[by[:-1]])))
+                by = np.lexsort((s, t, d, group))
+                other = np.concatenate(([True], (group[by[1:]] != group[by[:-1]]) | (d[by[1:]] != d[by[:-1]]) | (t[by[1:]] != t[by[:-1]]) | (s[by[1:]] != s[by[:-1]])))
                 seen = np.bincount(group[by], other, minlength=len(row))[group] > 1
                 x, y = runs_of(seen)
                 if len(x):
                     inside = np.flatnonzero(seen[1:] & seen[:-1] & (row[1:] != row[:-1])) + 1
                     x, y = np.sort(np.concatenate((x, inside))), np.sort(np.concatenate((y, inside)))
-                    yield pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(s[x].astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(len(x), pa.int64())], schema=FOUND)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(t[x]), pa.array(s[x].astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(len(x), pa.int64())], schema=FOUND)
 
     return run
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, n): runs of n byte offsets at which a string starts that also starts elsewhere."""
+    """(doc_id, hash, start, n), hash that of the text: runs of n byte offsets at which a string starts that also starts elsewhere."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = "doc_id long, start int, n int, anchor long"
-    segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, print long, doc_id long, start int, n int")
-    sieved = checkpoint(segments.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "doc_id", "start").mapInArrow(_compare, found))
-    wanted = sieved.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("segments"))
-    suffixes = keyed(docs).join(wanted, "doc_id").select("doc_id", "text", "segments").mapInArrow(_fetch(length, gram), "gram binary, segment binary, doc_id long, start int, anchor long")
+    found = "doc_id long, hash long, start int, n int, anchor long"
+    segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, print long, doc_id long, hash long, start int, n int")
+    sieved = checkpoint(segments.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "doc_id", "hash", "start").mapInArrow(_compare, found))
+    wanted = sieved.where("anchor is not null").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("segments"))
+    suffixes = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "segments", "hash").mapInArrow(_fetch(length, gram), "gram binary, segment binary, doc_id long, hash long, start int, anchor long")
     ordered = suffixes.repartitionByRange(n, "gram").sortWithinPartitions("anchor")
     return sieved.where("anchor is null").unionByName(ordered.mapInArrow(_bucket(length), found)).drop("anchor")
 
@@ -226,9 +225,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null and empty texts have no bytes. Repeated rows of a document are one document and don't remove each other;
-    rows with one doc_id and different texts count as one document at equal offsets. An empty table gives no rows;
+    rows with one doc_id, or none, and different texts are different documents. An empty table gives no rows;
     other columns are ignored. length is 8 or more.
     """
-    runs = repeats(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.expr("shiftleft(cast(start as long), 32) | n")).alias("runs"))
-    joined = keyed(docs).join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    runs = repeats(docs, length, gram).groupBy("doc_id", "hash").agg(F.collect_list(F.expr("shiftleft(cast(start as long), 32) | n")).alias("runs"))
+    joined = keyed(docs, text_hash().alias("hash")).join(runs, ["doc_id", "hash"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", real_id())

@@ -1,6 +1,7 @@
 """Each operator against brute force on small made-up tables with awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -103,6 +104,20 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    prose = lambda k: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(k))
+    shared, a, b, c, d = prose(60), prose(90), prose(90), prose(90), prose(90)
+    texts = [f"{a} {shared}", f"{shared} {b}", f"{shared} {c}", d]
+    for i in (None, 5):
+        docs = spark.createDataFrame([(i, t) for t in [*texts, d]], "doc_id long, text string").repartition(3)
+        words = sorted(r.n_removed for r in substring_dedup.dedup(docs).collect())
+        assert words == [0, 0, 0, 60, 60]
+        got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(docs).collect())
+        longer = len(os.path.commonprefix([f"{shared} {b}", f"{shared} {c}"]))
+        assert sorted(n for _, n in got) == [0, 0, len(shared), longer, longer]
+
+
 def test_multikey_sort_matches_equal_strings():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 2, 3000).astype(np.uint8)
