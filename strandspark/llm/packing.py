@@ -11,6 +11,7 @@ rounds or until nothing improves.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,6 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import checkpoint, keyed, real_id
 
@@ -27,6 +29,7 @@ CAPACITY = 2048
 PART = 20_000
 ROUNDS = 3
 END = 0
+SPECIAL = "<|endoftext|>"
 #: A bin with less room than this isn't worth exchanging.
 ROOM = 8
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -45,12 +48,25 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+
+
+@cache
+def slower_encoder(path: str) -> Tokenizer:
+    """The same vocabulary by its .json beside that file: no text is too monotonous for it."""
+    return Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
+
+
+def _encoded(text: str, path: str) -> np.ndarray | list[int]:
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # runs of white space beyond what its pattern's backtracking bears
+        return slower_encoder(path).encode(text, add_special_tokens=False).ids
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    ids = encoder(path).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
-    return np.append(ids, END).astype("<u4")
+    """Ids of any text, however long or monotonous, and the closing id."""
+    return np.append(_encoded(text, path) if text else np.zeros(0, np.uint32), END).astype("<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -358,7 +358,7 @@ def test_packing(docs, rows, empty):
     assert [x for r in whole for x in r.ids] == hf.encode(rows[67][1] or "", add_special_tokens=False).ids + [0]
 
 
-@pytest.mark.parametrize("text", ["", " ", "a<|endoftext|>b", "naïve ñandú — 漢字 🙂", "x" * 5000, "don't   stop\n\n\t12345", "\r\n\x00"])
+@pytest.mark.parametrize("text", ["", " ", "a<|endoftext|>b", "naïve ñandú — 漢字 🙂", "x" * 5000, "don't   stop\n\n\t12345", "\r\n\x00", " " * 1_000_000, "x" + "\n" * 1_000_000 + " y", "a" * 1_000_000])
 def test_tokens_are_those_of_the_tokenizers_library(text):
     import public_tokenizers
     from tokenizers import Tokenizer
