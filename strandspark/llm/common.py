@@ -141,6 +141,32 @@ def anchor_runs(grams: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.nd
     return starts[keep], lengths[keep], least[starts[keep]]
 
 
+def anchor_places(grams: np.ndarray, width: int, starts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where the anchor of each run lies: the last gram of its first window that is the least."""
+    at = np.full(len(starts), -1)
+    left = np.arange(len(starts))
+    for j in range(width - 1, -1, -1):
+        hit = grams[starts[left] + j] == least[left]
+        at[left[hit]] = starts[left[hit]] + j
+        left = left[~hit]
+        if not len(left):
+            break
+    return at
+
+
+def refine(classes: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Splits classes by key; what is alone in its class then leaves with -1."""
+    out = np.full(len(classes), -1)
+    rows = np.flatnonzero(classes >= 0)
+    if len(rows):
+        by = rows[np.lexsort((key[rows], classes[rows]))]
+        new = np.concatenate(([True], (classes[by[1:]] != classes[by[:-1]]) | (key[by[1:]] != key[by[:-1]])))
+        sizes = np.diff(np.append(np.flatnonzero(new), len(by)))
+        keep = np.repeat(sizes > 1, sizes)
+        out[by[keep]] = (np.cumsum(new) - 1)[keep]
+    return out
+
+
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, stops) of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))

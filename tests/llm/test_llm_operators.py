@@ -85,6 +85,32 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_substring_dedup_carries_leaders_over_blocks(docs):
+    whole = substring_dedup.dedup(docs).collect()
+    same([tuple(r) for r in substring_dedup.dedup(docs, block=3).collect()], [tuple(r) for r in whole])
+
+
+def test_extension_finds_windows_with_an_earlier_equal():
+    rng = np.random.default_rng(3)
+    window, gram = 9, 3
+    words = rng.integers(0, 3, 4000).astype(np.uint64)
+    at = np.arange(10, 3900)
+    grams = [tuple(words[i : i + gram]) for i in at]
+    group = np.unique(grams, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((at, group))
+    at, group = at[order], group[order]
+    open_ = rng.integers(0, 1 << (window - gram + 1), len(at))
+    seen = substring_dedup.extend(group, at, open_, lambda j, rows: words[at[rows] + j], window, gram)
+    first: dict = {}
+    for k, i in sorted(enumerate(at.tolist()), key=lambda x: x[1]):
+        for o in range(window - gram + 1):
+            if open_[k] >> o & 1:
+                key = (o, tuple(words[i - o : i - o + window]))
+                assert bool(seen[k] >> o & 1) == (key in first), (k, o)
+                first.setdefault(key, i)
+    assert seen.any()
+
+
 def test_suffix_dedup(docs, rows, empty):
     places = defaultdict(set)
     for i, t, *_ in rows:
