@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -167,12 +168,55 @@ def refine(classes: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, stops) of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
     return edges[::2], edges[1::2]
 
 
+#: A seed at a place of a document, or, where open is 0, a settled run of n windows from there on, with any anchor.
+SEEDS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("n", pa.int32())])
+SIEVED = pa.schema(list(SEEDS)[1:])
+
+
+def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From SEEDS sorted by anchor, doc_id, hash and at: settled ones (open 0), and one for each place whose anchor has another place.
+
+    Rows of one place join their bits of open. One row is held between batches, however many share an anchor.
+    """
+    held, known = [np.zeros(0, np.int64)] * 5, False
+    for batch in chain(batches, (None,)):
+        more = held
+        if batch is not None:
+            anchor, doc, text, at, open_, n = (batch.column(i).to_numpy() for i in range(6))
+            done = open_ == 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (doc, text, at, open_, n)], schema=SIEVED)
+            more = [np.concatenate((a, b[~done])) for a, b in zip(held, (anchor, doc, text, at, open_), strict=True)]
+        anchor, doc, text, at, open_ = more
+        if not len(anchor):
+            continue
+        starts = np.flatnonzero(changes(anchor, doc, text, at))
+        open_ = np.bitwise_or.reduceat(open_, starts)
+        anchor, doc, text, at = (x[starts] for x in (anchor, doc, text, at))
+        group = np.cumsum(changes(anchor)) - 1
+        several = np.bincount(group)[group] > 1
+        if known:  # the held row's anchor has a place further up
+            several |= group == 0
+        if batch is not None:
+            held, known, several = [x[-1:] for x in (anchor, doc, text, at, open_)], bool(several[-1]), several[:-1]
+        out = np.flatnonzero(several)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(at[out].astype(np.int32)), pa.array(open_[out].astype(np.int32)), pa.array(np.zeros(len(out), np.int32))], schema=SIEVED)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: int = 0, least: int = 100_000) -> Iterator[pa.Table]:
     """Tables of at least `least` rows that never cut a group of equal keys, from batches sorted by that column."""
     held: list[pa.RecordBatch] = []

@@ -27,13 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, anchor_places, anchor_runs, checkpoint, keyed, mix, prefix, real_id, refine, runs_of, spans, text_chunks, text_hash, text_hashes
+from .common import SEEDS, Powers, anchor_places, anchor_runs, changes, checkpoint, keyed, mix, prefix, real_id, refine, runs_of, shared_anchors, spans, text_chunks, text_hash, text_hashes
 
 WINDOW, GRAM, CHUNK = 20, 6, 3 << 20
 #: Rows that are extended together; of a longer group the leaders are carried on.
 BLOCK = 100_000
-SEEDS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("n", pa.int32())])
-SIEVED = pa.schema(list(SEEDS)[1:])
 CONTEXTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("before", pa.int32()), ("words", pa.binary())])
 MATCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("packed", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -81,15 +79,6 @@ def extend(group: np.ndarray, place: np.ndarray, open_: np.ndarray, word: Callab
     return seen
 
 
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    """True where a row differs from the one before it; the first does."""
-    out = np.zeros(len(columns[0]), bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
-
-
 def _seeds(window: int, gram: int):
     """Seeds with windows that are open still, and settled runs of windows: open 0, n windows from `at` on, any anchor."""
     reach = window - gram
@@ -108,7 +97,7 @@ def _seeds(window: int, gram: int):
             first = np.concatenate(([0], np.cumsum(counts)[:-1]))
             doc_of = np.repeat(np.arange(len(counts)), counts)
             ids, hashed = ids[order], hashed[order]
-            row = np.cumsum(_changes(ids, hashed))
+            row = np.cumsum(changes(ids, hashed))
             n = total - window + 1
             valid = (first + counts - window)[doc_of[:n]] >= np.arange(n)
             grams = mix(spans(prefix(mix(h), powers), gram, powers))
@@ -121,11 +110,11 @@ def _seeds(window: int, gram: int):
             place = row[d] * (int(counts.max()) + 1) + at - first[d]
             open_ = ((1 << lengths) - 1) << (at - runs - lengths + 1)
             by = np.lexsort((place, anchors))
-            group = np.cumsum(_changes(anchors[by])) - 1
+            group = np.cumsum(changes(anchors[by])) - 1
             by = by[(np.bincount(group) > 1)[group]]
             settled = np.zeros(len(runs), np.int64)
             if len(by):
-                settled[by] = extend(np.cumsum(_changes(anchors[by])) - 1, place[by], open_[by], lambda j, rows, at=at, by=by: h[at[by[rows]] + j], window, gram)
+                settled[by] = extend(np.cumsum(changes(anchors[by])) - 1, place[by], open_[by], lambda j, rows, at=at, by=by: h[at[by[rows]] + j], window, gram)
             left = open_ & ~settled
             live = left > 0
             yield pa.RecordBatch.from_arrays([pa.array(anchors[live].view(np.int64)), pa.array(ids[d[live]]), pa.array(hashed[d[live]]), pa.array((at - first[d])[live].astype(np.int32)), pa.array(left[live].astype(np.int32)), pa.array(np.zeros(int(live.sum()), np.int32))], schema=SEEDS)
@@ -139,32 +128,6 @@ def _seeds(window: int, gram: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From seeds sorted by anchor, doc_id, hash and at: settled ones, and one for each place whose anchor has another place. Holds one row between batches."""
-    held, known = [np.zeros(0, np.int64)] * 5, False
-    for batch in chain(batches, (None,)):
-        more = held
-        if batch is not None:
-            anchor, doc, text, at, open_, n = (batch.column(i).to_numpy() for i in range(6))
-            done = open_ == 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (doc, text, at, open_, n)], schema=SIEVED)
-            more = [np.concatenate((a, b[~done])) for a, b in zip(held, (anchor, doc, text, at, open_), strict=True)]
-        anchor, doc, text, at, open_ = more
-        if not len(anchor):
-            continue
-        starts = np.flatnonzero(_changes(anchor, doc, text, at))
-        open_ = np.bitwise_or.reduceat(open_, starts)
-        anchor, doc, text, at = (x[starts] for x in (anchor, doc, text, at))
-        group = np.cumsum(_changes(anchor)) - 1
-        several = np.bincount(group)[group] > 1
-        if known:  # the held row's anchor has a place further up
-            several |= group == 0
-        if batch is not None:
-            held, known, several = [x[-1:] for x in (anchor, doc, text, at, open_)], bool(several[-1]), several[:-1]
-        out = np.flatnonzero(several)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(at[out].astype(np.int32)), pa.array(open_[out].astype(np.int32)), pa.array(np.zeros(len(out), np.int32))], schema=SIEVED)
-
-
 def _contexts(window: int, gram: int):
     """Each seed with its words: once for windows with more to the left of the gram, once for the others, by the gram and what must be next to it."""
     reach = window - gram
@@ -212,8 +175,8 @@ def _extend(window: int, gram: int, block: int):
             whole = cut > 0  # else one group so far: what leads in it is carried on
             now = table.slice(0, cut) if whole else table
             keys, doc, text, at, open_, before = (now.column(i).to_numpy() for i in range(6))
-            group = np.cumsum(_changes(keys)) - 1
-            place = np.cumsum(_changes(keys, doc, text, at))
+            group = np.cumsum(changes(keys)) - 1
+            place = np.cumsum(changes(keys, doc, text, at))
             live = np.flatnonzero((np.bincount(group) > 1)[group])
             seen = np.zeros(now.num_rows, np.int64)
             if len(live):
@@ -244,7 +207,7 @@ def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     """(doc_id, hash, packed): hash is that of the text, packed >> 32 is the first word of a run of repeated windows, the lower half their number."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seeds = keyed(docs).mapInArrow(_seeds(window, gram), "anchor long, doc_id long, hash long, at int, open int, n int")
-    sieved = checkpoint(seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "at").mapInArrow(_shared, "doc_id long, hash long, at int, open int, n int"))
+    sieved = checkpoint(seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "at").mapInArrow(shared_anchors, "doc_id long, hash long, at int, open int, n int"))
     wanted = sieved.where("open > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("at", "open")).alias("seeds"))
     texts = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "seeds", "hash")
     contexts = texts.mapInArrow(_contexts(window, gram), "key long, doc_id long, hash long, at int, open int, before int, words binary")

@@ -2,15 +2,20 @@
 
 A suffix array of every byte would shuffle 200 bytes for each byte of text. It is kept sparse instead:
 
-1. Of each 200-byte window the rightmost least hash of its 16-byte grams is the anchor (winnowing); neighbouring
-   windows with one anchor form a segment. Equal windows have equal anchors, so segments with an anchor of their own
-   hold no repeats and go no further. Segments equal as a whole (128-bit hashes) are repeats as a whole. What
-   is left are different segments around one anchor, one row for each different segment.
-2. Those segments fetch their bytes. repartitionByRange samples splitters and range-partitions them by their
-   leading token, the anchor gram; since splitters are whole grams, windows that agree share a bucket, and groups are
-   carried over batch boundaries. A bucket sorts all suffixes of its segments by multikey quicksort, eight bytes a key,
-   partitions of one going no deeper; suffixes still together after 200 bytes are repeats.
-3. Documents meet their repeats by doc_id and a hash of the text and lose the covered bytes.
+1. Sampling. Of each 200-byte window the rightmost least hash of its 16-byte grams is the anchor (winnowing); neighbouring
+   windows with one anchor form a segment. Equal windows have equal anchors, so segments whose anchor lies at one place only
+   hold no repeats and go no further. Equal segments of one chunk of text, told by a hash and compared byte by byte, are
+   one from there on.
+2. Range partition. The others fetch their bytes as sampled suffixes: one from the anchor on for windows with most
+   of their bytes to the right of it, one from half a window to the left of it for the rest. repartitionByRange samples
+   splitters and deals them by their leading bytes, all those that any of their windows must share, then by place, so
+   that suffixes with equal leading bytes may lie in several neighbouring buckets, and no passage is one task.
+3. Buckets. Of suffixes with equal leading bytes the different ones give all their windows' suffixes to a multikey
+   quicksort: three-way partitions by the next eight bytes around a pivot, the equal part going eight bytes deeper. Suffixes
+   still together after 200 bytes are repeats.
+4. Across boundaries. What has a bucket's first or last leading bytes is compared with that of the neighbouring buckets:
+   each sends its different segments, with a mark on those it has several of, and they are sorted once more.
+5. Documents meet their repeats by doc_id and a hash of the text and lose the covered bytes.
 """
 
 from __future__ import annotations
@@ -23,29 +28,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, anchor_runs, checkpoint, keyed, mix, prefix, real_id, runs_of, sorted_groups, span, spans, text_chunks, text_hash, text_hashes
+from .common import SEEDS, Powers, anchor_places, anchor_runs, changes, checkpoint, keyed, mix, prefix, real_id, runs_of, shared_anchors, span, spans, text_chunks, text_hash, text_hashes
 
 LENGTH, GRAM, CHUNK = 200, 16, 3 << 19
-SEGMENTS = pa.schema([("anchor", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64())])
-SUFFIXES = pa.schema([("gram", pa.binary()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64())])
+#: Suffixes that are sorted together, about; a group of equal leading bytes isn't cut.
+SORTED = 1_000_000
+SUFFIXES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("many", pa.bool_()), ("segment", pa.binary())])
+SUFFIXES_DDL = "doc_id long, hash long, start int, n int, lead int, many boolean, segment binary"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 #: Random odd numbers, one for each value of a byte.
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _segments(length: int, gram: int):
-    """All segments of a chunk; print 0 and no anchor: settled, equal ones were found in the chunk."""
+    """SEEDS: one for each different segment of a chunk, open being its number of windows << 16 | bytes before the anchor; settled ones were found twice in the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, powers2 = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
+        powers = Powers(0x9E3779B97F4A7C15)
         for ids, texts in text_chunks(batches, CHUNK):
             hashed = text_hashes(texts)
             counts = np.array([len(t) for t in texts], np.int64)
             total = int(counts.sum())
             if total < length:
                 continue
-            values = BYTE_HASH[np.frombuffer(b"".join(texts), np.uint8)]
+            flat = b"".join(texts)
             first = np.concatenate(([0], np.cumsum(counts)[:-1]))
             n = total - length + 1
             valid = np.zeros(n + 1, np.int8)
@@ -53,68 +59,55 @@ def _segments(length: int, gram: int):
             np.add.at(valid, first[real], 1)
             np.add.at(valid, (first + counts - length + 1)[real], -1)
             valid = np.cumsum(valid[:n], dtype=np.int8).view(bool)
-            sums = prefix(values, powers)
-            runs, lengths, anchors = anchor_runs(mix(spans(sums, gram, powers)), length - gram + 1, valid)
+            sums = prefix(BYTE_HASH[np.frombuffer(flat, np.uint8)], powers)
+            grams = mix(spans(sums, gram, powers))
+            runs, lengths, anchors = anchor_runs(grams, length - gram + 1, valid)
             if not len(runs):
                 continue
+            at = anchor_places(grams, length - gram + 1, runs, anchors)
             stops = runs + lengths + length - 1
-            prints = mix(span(sums, runs, stops, powers) ^ mix(span(prefix(values, powers2), runs, stops, powers2) + lengths.astype(np.uint64)))
+            prints = mix(span(sums, runs, stops, powers) + lengths.astype(np.uint64))
             d = np.searchsorted(first + counts, runs, "right")
             doc, text, start = ids[d], hashed[d], (runs - first[d]).astype(np.int32)
-            # repeated rows of a document are one: a segment at the same place of the same document is the same
             by = np.lexsort((start, text, doc, prints, anchors))
-            same = (prints[by[1:]] == prints[by[:-1]]) & (anchors[by[1:]] == anchors[by[:-1]])
-            leads = np.concatenate(([True], ~same))
-            group = np.cumsum(leads) - 1
-            twin = same & (doc[by[1:]] == doc[by[:-1]]) & (text[by[1:]] == text[by[:-1]]) & (start[by[1:]] == start[by[:-1]])
-            places = np.bincount(group, ~np.concatenate(([False], twin)))
-            settled = by[places[group] > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[by[leads]].view(np.int64), prints[by[leads]].view(np.int64), doc[by[leads]], text[by[leads]], start[by[leads]], lengths[by[leads]].astype(np.int32))], schema=SEGMENTS)
-            # runs of settled segments of one document become one row
+            same = ~changes(prints[by], anchors[by])
+            a, b, size = runs[by].tolist(), stops[by].tolist(), len(by)
+            for k in np.flatnonzero(same).tolist():
+                same[k] = flat[a[k] : b[k]] == flat[a[k - 1] : b[k - 1]]
+            group = np.cumsum(~same) - 1
+            # repeated rows of a document are one: a segment at the same place of the same document is the same
+            other = ~same | changes(doc[by], text[by], start[by])
+            settled = by[np.bincount(group, other, size)[group] > 1]
+            lead = by[~same]
+            open_ = lengths[lead] << 16 | (at - runs)[lead]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[lead].view(np.int64), doc[lead], text[lead], start[lead], open_.astype(np.int32), np.zeros(len(lead), np.int32))], schema=SEEDS)
+            # settled segments of one document next to each other become one row
             settled = np.sort(settled)
             if len(settled):
                 a, b = runs[settled], (runs + lengths)[settled]
                 new = np.concatenate(([True], a[1:] != b[:-1]))
                 a, b = a[new], b[np.concatenate((new[1:], [True]))]
                 d = np.searchsorted(first + counts, a, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(mix(ids[d].view(np.uint64)).view(np.int64)), pa.nulls(len(a), pa.int64()), pa.array(ids[d]), pa.array(hashed[d]), pa.array((a - first[d]).astype(np.int32)), pa.array((b - a).astype(np.int32))], schema=SEGMENTS)
+                spread = mix(ids[d].view(np.uint64) + a.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, ids[d], hashed[d], (a - first[d]).astype(np.int32), np.zeros(len(a), np.int32), (b - a).astype(np.int32))], schema=SEEDS)
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments sorted by anchor and print: the repeated ones, anchor null, and one of each print where an anchor has several."""
-    for table in sorted_groups(batches):
-        settled = table.column(1).is_null().to_numpy()
-        anchor, doc, text, start, n = (table.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
-        prints = table.column(1).fill_null(0).to_numpy()
-        rows = np.flatnonzero(~settled)
-        anchor_changes = anchor[rows[1:]] != anchor[rows[:-1]]
-        changes = np.concatenate(([True], anchor_changes | (prints[rows[1:]] != prints[rows[:-1]])))[: len(rows)]
-        group = np.cumsum(changes) - 1
-        twin = np.concatenate(([False], (doc[rows[1:]] == doc[rows[:-1]]) & (text[rows[1:]] == text[rows[:-1]]) & (start[rows[1:]] == start[rows[:-1]])))[: len(rows)] & ~changes
-        repeated = rows[np.bincount(group, ~twin)[group] > 1] if len(rows) else rows
-        anchors = np.cumsum(np.concatenate(([True], anchor_changes))[: len(rows)]) - 1
-        several = np.bincount(anchors, changes)[anchors] > 1 if len(rows) else changes
-        lead = rows[changes & several]
-        whole = np.concatenate((np.flatnonzero(settled), repeated))
-        out = np.concatenate((whole, lead))
-        known = pa.array(anchor[out], mask=np.arange(len(out)) < len(whole))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(start[out]), pa.array(n[out]), known], schema=FOUND)
-
-
-def _fetch(length: int, gram: int):
+def _suffixes(length: int, gram: int):
+    """The sampled suffixes of wanted segments: segment holds n windows from start on; the leading bytes are those from lead on."""
+    half = (length - gram) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(0x9E3779B97F4A7C15)
         for batch in batches:
             out: list[tuple] = []
             for doc, text, segments, hashed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for s in segments:
-                    part = text[s["start"] : s["start"] + s["n"] + length - 1]
-                    # the anchor is the gram of that hash: the last one in the segment's first window
-                    values = mix(spans(prefix(BYTE_HASH[np.frombuffer(part, np.uint8)], powers), gram, powers)).view(np.int64)
-                    at = np.flatnonzero(values[: length - gram + 1] == s["anchor"])
-                    out.append((part[at[-1] : at[-1] + gram], part, doc, hashed, s["start"], s["anchor"]))
+                    start, n, before = s["at"], s["open"] >> 16, s["open"] & 0xFFFF
+                    turn = min(n, max(0, before - half))  # windows before it have more than half of their other bytes left of the anchor
+                    for a, b, lead in ((0, turn, before - half - 1), (turn, n, before)):
+                        if a < b:
+                            out.append((doc, hashed, start + a, b - a, lead - a, False, text[start + a : start + b + length - 1]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SUFFIXES, strict=True)], schema=SUFFIXES)
                     out = []
@@ -124,65 +117,139 @@ def _fetch(length: int, gram: int):
     return run
 
 
-def multikey_groups(at: np.ndarray, group: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
-    """Sorts the strings of `length` bytes at these offsets within their groups, key by key; returns each one's class of equals.
+def multikey_quicksort(at: np.ndarray, group: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the strings of `length` bytes at these offsets within their groups, which are in order: (order, whether each equals the one before it).
 
-    words[i]: the eight bytes from offset i on as one key. A string that is alone in its class isn't compared any deeper.
+    words[i]: the eight bytes from offset i on as one key. All open partitions are split at once, each three ways around the
+    key of its middle string; the equal part goes eight bytes deeper, a partition of one is done.
     """
-    live = np.arange(len(at))
-    done = 0
-    while done < length and len(live):
-        step = min(done, length - 8)  # the last key overlaps the one before it
-        key = words[at[live] + step]
-        by = np.lexsort((key, group[live]))
-        live, key = live[by], key[by]
-        g = group[live]
-        changes = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
-        starts = np.flatnonzero(changes)
-        sizes = np.diff(np.append(starts, len(live)))
-        group[live] = np.repeat(live[starts], sizes)  # a class is named by one of its members
-        live = live[np.repeat(sizes > 1, sizes)]
-        done += 8
-    return group
-
-
-def _bucket(length: int):
+    order, same = np.arange(len(at)), np.zeros(len(at), bool)
+    place, part, depth = np.arange(len(at)), group, np.zeros(len(at), np.int64)
+    while len(place):
+        first = changes(part)
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(part)))
+        if (sizes == 1).any():
+            keep = np.repeat(sizes > 1, sizes)
+            place, part, depth = place[keep], part[keep], depth[keep]
+            sizes = sizes[sizes > 1]
+            starts = np.cumsum(sizes) - sizes
+            if not len(place):
+                break
+        string = order[place]
+        key = words[at[string] + np.minimum(depth, length - 8)]  # the last key overlaps the one before it
+        pivot = np.repeat(key[starts + sizes // 2], sizes)
+        less, equal = key < pivot, key == pivot
+        # a stable three-way partition of each: less, equal, greater
+        seen_less, seen_equal = np.cumsum(less), np.cumsum(equal)
+        base = np.repeat(starts, sizes)
+        before_less, before_equal = (seen_less - less)[base], (seen_equal - equal)[base]
+        ends = starts + sizes - 1
+        n_less, n_equal = (np.repeat(x[ends], sizes) - b for x, b in ((seen_less, before_less), (seen_equal, before_equal)))
+        rank_less, rank_equal = seen_less - less - before_less, seen_equal - equal - before_equal
+        rank = np.arange(len(key)) - base
+        to = base + np.where(less, rank_less, np.where(equal, n_less + rank_equal, n_less + n_equal + rank - rank_less - rank_equal))
+        moved = np.empty_like(string)
+        moved[to] = string
+        order[place] = moved
+        side = np.empty(len(key), np.int64)
+        side[to] = np.where(less, 0, np.where(equal, 1, 2))
+        part = np.cumsum(changes(np.repeat(np.arange(len(starts)), sizes), side))
+        depth = depth + 8 * (side == 1)
+        done = (side == 1) & (depth >= length)
+        same[place[done & ~changes(part)]] = True
+        place, part, depth = place[~done], part[~done], depth[~done]
+    return order, same
+
+
+def _repeated(segments: list[bytes], n: np.ndarray, group: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+    """Of different segments, groups being those with equal leading bytes: whether each of their windows, one segment after the other, is a repeat."""
+    out = np.zeros(int(n.sum()), bool)
+    first_window = np.cumsum(n) - n
+    alone = np.bincount(group)[group] == 1
+    out[np.repeat(many, n)] = True
+    rows = np.flatnonzero(~alone)
+    edges = np.append(np.flatnonzero(changes(group[rows])), len(rows))
+    total = np.concatenate(([0], np.cumsum(n[rows])))
+    lo = 0
+    while lo < len(edges) - 1:  # as many groups at a time as have about SORTED suffixes
+        hi = max(lo + 1, int(np.searchsorted(total[edges], total[edges[lo]] + SORTED, "right")) - 1)
+        part = rows[edges[lo] : edges[hi]]
+        lo = hi
+        flat = np.frombuffer(b"".join([segments[i] for i in part.tolist()]) + b"\0" * 8, np.uint8).astype(np.uint64)
+        words = flat[:-8].copy()
+        for j in range(1, 8):
+            words <<= np.uint64(8)
+            words |= flat[j : len(flat) - 8 + j]
+        size = n[part]
+        row = np.repeat(np.arange(len(part)), size)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        at = (np.cumsum(size + length - 1) - size - length + 1)[row] + inner
+        order, same = multikey_quicksort(at, group[part][row], words, length)
+        # a class of equal suffixes is repeated if it has two, or one of a segment that lies at several places
+        kind = np.cumsum(~same) - 1
+        hit = np.bincount(kind, 1 + many[part][row][order])[kind] > 1
+        out[(first_window[part][row] + inner)[order[hit]]] = True
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Table, list[bytes], np.ndarray, bool]]:
+    """(rows, their leading bytes, group numbers, whether these are the last): some 50,000 rows sorted by leading bytes and place, no group cut."""
+    held, rows, least, batches = [], 0, 50_000, iter(batches)
+    while True:
+        batch = next(batches, None)
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < least:
+                continue
+        if not rows:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = [s[a : a + width] for s, a in zip(table.column("segment").to_pylist(), table.column("lead").to_pylist(), strict=True)]
+        group = np.cumsum([True, *(a != b for a, b in zip(keys[1:], keys, strict=False))]) - 1
+        cut = rows if batch is None else int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield table.slice(0, cut), keys[:cut], group[:cut], batch is None
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        least = 2 * rows + 50_000
+        if batch is None:
+            return
+
+
+def _bucket(length: int, gram: int, borders: bool):
+    """From suffixes sorted by leading bytes and place: the repeats, n windows from start on; with borders also the different segments of the first and the last leading bytes."""
+    width = gram + (length - gram + 1) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, key=5, least=20_000):
-            parts = table.column(1).to_pylist()
-            anchor, doc, text, start = (table.column(i).to_numpy() for i in (5, 2, 3, 4))
-            sizes = np.array([len(p) for p in parts], np.int64)
-            # anchors one after another, as many at a time as make about a million suffixes
-            edges = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
-            suffixes = np.concatenate(([0], np.cumsum(sizes - length + 1)))
-            lo = 0
-            while lo < len(edges) - 1:
-                hi = max(lo + 1, int(np.searchsorted(suffixes[edges], suffixes[edges[lo]] + 1_000_000, "right")) - 1)
-                a, b = edges[lo], edges[hi]
-                lo = hi
-                flat = np.frombuffer(b"".join(parts[a:b]) + b"\0" * 8, np.uint8).astype(np.uint64)
-                words = flat[:-8].copy()
-                for j in range(1, 8):
-                    words <<= np.uint64(8)
-                    words |= flat[j : len(flat) - 8 + j]
-                n = (sizes[a:b] - length + 1).astype(np.int64)
-                row = np.repeat(np.arange(b - a), n)
-                inner = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                at = np.concatenate(([0], np.cumsum(sizes[a:b])[:-1]))[row] + inner
-                group = np.cumsum(np.concatenate(([0], anchor[a + 1 : b] != anchor[a : b - 1])))[row]
-                # group names are positions of suffixes from here on, so start with such
-                group = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[group]
-                group = multikey_groups(at, group.astype(np.int64), words, length)
-                d, t, s = doc[a:b][row], text[a:b][row], start[a:b][row] + inner
-                # repeats are at two places at least; repeated rows of a document are one place
-                by = np.lexsort((s, t, d, group))
-                other = np.concatenate(([True], (group[by[1:]] != group[by[:-1]]) | (d[by[1:]] != d[by[:-1]]) | (t[by[1:]] != t[by[:-1]]) | (s[by[1:]] != s[by[:-1]])))
-                seen = np.bincount(group[by], other, minlength=len(row))[group] > 1
-                x, y = runs_of(seen)
-                if len(x):
-                    inside = np.flatnonzero(seen[1:] & seen[:-1] & (row[1:] != row[:-1])) + 1
-                    x, y = np.sort(np.concatenate((x, inside))), np.sort(np.concatenate((y, inside)))
-                    yield pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(t[x]), pa.array(s[x].astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(len(x), pa.int64())], schema=FOUND)
+        opening = True
+        for table, keys, group, last in _groups(batches, width):
+            doc, text, start, n, lead, many = (table.column(i).to_numpy() for i in range(6))
+            parts = table.column("segment").to_pylist()
+            # of each different segment one row; `of` leads from a row to it
+            known: dict[tuple, int] = {}
+            of = np.fromiter((known.setdefault(x, len(known)) for x in zip(group.tolist(), lead.tolist(), parts, strict=True)), np.int64, len(parts))
+            one = np.unique(of, return_index=True)[1]
+            new = changes(group, of, doc, text, start)  # repeated rows of one document are one place
+            several = (np.bincount(of, new) > 1) | (np.bincount(of, many) > 0)
+            seen = _repeated([parts[i] for i in one.tolist()], n[one].astype(np.int64), group[one], several, length)
+            first_window = np.cumsum(n[one]) - n[one]
+            rows = np.flatnonzero(new)
+            size = n[rows].astype(np.int64)
+            row = np.repeat(rows, size)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            hit = seen[first_window[of[row]] + inner]
+            flags = np.zeros(len(row) + len(rows), bool)  # a gap after each row
+            flags[np.arange(len(row)) + np.repeat(np.arange(len(rows)), size)] = hit
+            x, y = runs_of(flags)
+            r = np.repeat(rows, size + 1)[x]
+            at = x - (np.cumsum(size + 1) - size - 1)[np.searchsorted(np.cumsum(size + 1), x, "right")]
+            nothing = len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(text[r]), pa.array((start[r] + at).astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.bool_()), pa.nulls(nothing, pa.binary())], schema=SUFFIXES)
+            if borders:
+                edge = one[(opening & (group[one] == 0)) | (last & (group[one] == group[-1]))]
+                yield table.take(pa.array(edge)).set_column(5, "many", pa.array(several[of[edge]])).cast(SUFFIXES).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if len(edge) else pa.RecordBatch.from_pylist([], SUFFIXES)
+            opening = False
 
     return run
 
@@ -190,13 +257,21 @@ def _bucket(length: int):
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, hash, start, n), hash that of the text: runs of n byte offsets at which a string starts that also starts elsewhere."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = "doc_id long, hash long, start int, n int, anchor long"
-    segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, print long, doc_id long, hash long, start int, n int")
-    sieved = checkpoint(segments.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "doc_id", "hash", "start").mapInArrow(_compare, found))
-    wanted = sieved.where("anchor is not null").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("segments"))
-    suffixes = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "segments", "hash").mapInArrow(_fetch(length, gram), "gram binary, segment binary, doc_id long, hash long, start int, anchor long")
-    ordered = suffixes.repartitionByRange(n, "gram").sortWithinPartitions("anchor")
-    return sieved.where("anchor is null").unionByName(ordered.mapInArrow(_bucket(length), found)).drop("anchor")
+    segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, doc_id long, hash long, at int, open int, n int")
+    sieved = checkpoint(segments.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "at").mapInArrow(shared_anchors, "doc_id long, hash long, at int, open int, n int"))
+    wanted = sieved.where("open > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("at", "open")).alias("segments"))
+    texts = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "segments", "hash")
+    suffixes = checkpoint(texts.mapInArrow(_suffixes(length, gram), SUFFIXES_DDL))  # range partitioning reads it twice
+    leading = F.expr(f"substring(segment, lead + 1, {gram + (length - gram + 1) // 2})")
+    order = [leading, "doc_id", "hash", "start"]
+    sorted_ = checkpoint(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_bucket(length, gram, True), SUFFIXES_DDL))
+    borders = sorted_.where("segment is not null").repartition(n, leading).sortWithinPartitions(*order)
+    across = borders.mapInArrow(_bucket(length, gram, False), SUFFIXES_DDL)
+    found = [sorted_.where("segment is null"), across, sieved.where("open = 0").withColumnRenamed("at", "start")]
+    first, *rest = (x.select("doc_id", "hash", "start", "n") for x in found)
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
 def _removed(length: int):

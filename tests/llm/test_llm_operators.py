@@ -144,17 +144,33 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
         assert sorted(n for _, n in got) == [0, 0, len(shared), longer, longer]
 
 
-def test_multikey_sort_matches_equal_strings():
+@pytest.mark.parametrize("letters", [1, 2, 200])
+def test_multikey_quicksort_sorts_and_finds_equal_strings(letters):
     rng = np.random.default_rng(1)
-    text = rng.integers(0, 2, 3000).astype(np.uint8)
+    text = rng.integers(0, letters, 3000).astype(np.uint8)
     flat = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
     words = sum((flat[j : len(flat) - 8 + j] << np.uint64(8 * (7 - j)) for j in range(8)), np.zeros(3000, np.uint64))
-    at = np.arange(2980)
-    group = suffix_dedup.multikey_groups(at, np.zeros(2980, np.int64), words, 20)
-    by = defaultdict(set)
-    for a in at.tolist():
-        by[text[a : a + 20].tobytes()].add(int(group[a]))
-    assert all(len(g) == 1 for g in by.values()) and len(by) == len({x for g in by.values() for x in g})
+    at = rng.permutation(2980)
+    group = np.sort(rng.integers(0, 3, 2980))
+    order, equal = suffix_dedup.multikey_quicksort(at, group, words, 20)
+    got = [(int(group[k]), text[at[k] : at[k] + 20].tobytes()) for k in order]
+    assert got == sorted(got) and sorted(order.tolist()) == list(range(2980))
+    assert equal.tolist() == [False, *(x == y for x, y in zip(got[1:], got, strict=False))]
+
+
+def test_suffix_dedup_compares_across_bucket_borders(spark):
+    rng = random.Random(12)
+    prose = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    shared = prose(400)
+    # one passage with different surroundings in all documents: its leading bytes are most rows of the range partition
+    docs = [(i, prose(250) + shared[: 400 - i % 150] + prose(250)) for i in range(120)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(60)
+    places = defaultdict(set)
+    for i, t in docs:
+        for s in range(len(t) - 199):
+            places[t[s : s + 200]].add((i, s))
+    want = {i: len({j for s in range(len(t) - 199) if len(places[t[s : s + 200]]) > 1 for j in range(s, s + 200)}) for i, t in docs}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(table).collect()} == want
 
 
 def test_simhash(docs, rows, empty):
