@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and an assignment-aware lexer for source and configuration syntax.
 
-The lexer reads every `name = literal`, `name: literal`, `"name" => "a" + B` and the like into name-literal pairs,
-in text order. A name assigned a literal becomes a constant; constants used later, alone or in `+` chains, stand
-for their value. A literal that reaches a sensitive name (by assignment or through constants) is scored: weight of
+The lexer goes over a text once, past comments and strings, and reads every `name = literal`, `name: literal`,
+`"name" => "a" + B`, `name: |` with a deeper block and the like into name-literal pairs, in text order; literals may be in triple quotes,
+in parentheses over several lines, or templates with ${NAME} in them. A name assigned a literal becomes a constant
+until it is assigned anew; constants used later, alone, in `+` chains or in templates, stand for their value. Calls and
+items (`getenv("X")`) are no literals. A literal that reaches a sensitive name (by assignment or through constants) is scored: weight of
 the name times strength of the value. Those at THRESHOLD or above are reported: kind `literal` where assigned,
 `constant` where a constant was defined whose value went there.
 """
@@ -31,17 +33,32 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.7, "bearer": 0.9, "auth": 0.7, "key": 0.6, "salt": 0.6, "signature": 0.6, "dsn": 0.6}
 THRESHOLD = 0.45
 PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example|placeholder|redacted|x+|\*+|\.+|your[-_].*|\$\{.*\}|<.*>|%\(.*\)s?)$")
-OPERATOR = re.compile(r"[=:]")
-TARGET = re.compile(r"""(?a)([A-Za-z_][\w.-]*)(?:["']?\]|["'])?[ \t]*\Z""")
-BARE = r"""[^\s"',;(){}<>\[\]#]"""
-RUN = re.compile(rf"{BARE}+")
-#: Quoted, or where a run without quotes starts.
-TERM = re.compile(rf"""(?a)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(?={BARE}))""")
-#: Names are looked for in so many characters before an operator; a longer run is none.
+#: Where a name may stand before an operator, in quotes or not.
+OPERATOR = r"(?:\])?+[ \t]*+(?P<{}>:=|=>|[=:](?![=~:]))"
+STRING = r"""(?:\"{3}[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"{3}|'{3}[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
+#: A comment up to the line's end, the start of a longer one, a string, or a name with its operator: what a scan stops at.
+TOKEN = re.compile(
+    rf"""(?a)(?P<line>(?<!\S)(?:#|//|--[ \t])[^\n]*+)|(?P<block>/\*|<!--)|(?<![\w"'`\\])(?P<string>[rRbBuUfF]{{0,2}}+{STRING})|(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+){OPERATOR.format("op")}"""
+)
+KEYED = re.compile(rf"(?a){OPERATOR.format('op')}")
+CLOSES = {"/*": "*/", "<!--": "-->"}
+BARE = r"""[^\s"',;(){}<>\[\]#`]"""
+RUN = re.compile(rf"{BARE}++")
+#: A term of a value: a string with its prefix (also `a template`), a reference in shell style, or where a run without quotes starts.
+TERM = re.compile(rf"""(?a)(?P<prefix>[rRbBuUfF]{{0,2}}+)(?P<string>{STRING}|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)|\$\{{(?P<ref>\w++)\}}|(?={BARE})""")
+SPACE = re.compile(r"(?:[ \t]|\\\r?\n)*+")
+SPACES = re.compile(r"\s*+")
+OPEN = re.compile(r"[ \t]*+\(")
+#: A block of a configuration file: its lines are deeper than the name's.
+SCALAR = re.compile(r"[ \t]*+[|>][0-9+-]{0,2}+[ \t]*+\r?\n")
+INDENTED = re.compile(r"(?:[ \t]*+\r?\n)*+([ \t]++)(?=\S)")
+HOLE = re.compile(r"(?a)\$\{(\w++)\}")
+BRACES = re.compile(r"(?a)\$?\{(\w++)[^{}\n]*+\}")
+#: A longer run without quotes is no name of a constant.
 REACH = 128
 #: Characters of either end by which a long placeholder is told.
 ENDS = 64
-PLUS = re.compile(r"[ \t]*\+(?!=)")
+PLUS = re.compile(r"[ \t]*+\+(?!=)")
 NAME_PARTS = re.compile(r"(?a)[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -52,13 +69,13 @@ def name_weight(name: str) -> float:
 
 
 def strength(value: str) -> float:
-    """0 to 1: long values of many different characters are strong; placeholders and short values are not."""
-    return _strength(len(value), Counter(value), value[:ENDS], value[-ENDS:])
+    """0 to 1: long values of many different characters are strong; placeholders and short values are not. Of several words the strongest counts."""
+    return max((_strength(len(w), Counter(w), w[:ENDS], w[-ENDS:]) for w in value.split()), default=0.0)
 
 
 def _strength(n: int, counts: Counter, head: str, tail: str) -> float:
     """Of a value of n characters with these counts and ends; up to ENDS characters it is its head."""
-    if n < 6 or any(c.isspace() for c in counts):
+    if n < 6:
         return 0.0
     if n > ENDS and (counts.keys() <= {"x", "X"} or counts.keys() == {"*"} or counts.keys() == {"."}):
         return 0.0
@@ -128,69 +145,151 @@ class _Values:
             chain.summary = n, counts, head, tail
         return value.summary
 
+    def strength(self, value: tuple[int, int] | _Chain) -> float:
+        """Of several words in one literal the strongest counts; of a chain that has spaces, its strongest literal."""
+        n, counts, head, tail = self.summary(value)
+        if not any(map(str.isspace, counts)):
+            return _strength(n, counts, head, tail)
+        if isinstance(value, tuple):
+            return strength(self.text[value[0] : value[1]])
+        return max(map(self.strength, (p for p in value.parts if isinstance(p, tuple))), default=0.0)
 
-def lex(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of literals that reach sensitive names.
 
-    Constants refer to the ones they are made of, and the end of a run without quotes is found once for all operators in it.
-    """
-    constants: dict[str, tuple[int, int] | _Chain] = {}
-    found: dict[tuple[int, int], str] = {}
-    values = _Values(text)
-    run = (0, 0)
-    ends: dict[int, int] = {}
-    after = 0
-    for m in OPERATOR.finditer(text):
-        i = m.start()
-        if i < after or (i and text[i - 1] in "=!<>+-*/%&|^~:"):
-            continue
-        stop = i + 1
-        if text[i] == "=" and text[stop : stop + 1] in ("=", "~"):
-            continue
-        if text[stop : stop + 1] in (">", "="):  # => and :=
-            stop += 1
-        name = TARGET.search(text, max(0, i - REACH), i)
-        if not name:
-            continue
-        parts: list[tuple[int, int] | _Chain] = []
-        at = stop
-        first = True
-        while term := TERM.match(text, at):
-            at = term.end()
-            if term.lastindex:
-                parts.append(term.span(term.lastindex))
+class _Lexer:
+    """One pass over a text. Comments and what strings hold are never read as assignments."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.constants: dict[str, tuple[int, int] | _Chain | None] = {}
+        self.run = (0, 0)
+        self.unclosed: set[str] = set()
+
+    def pairs(self) -> Iterator[tuple[str, tuple[int, int] | _Chain, int]]:
+        """(name, value, where its operator is), in text order; the name is a constant of that value from there on."""
+        text, at = self.text, 0
+        while m := TOKEN.search(text, at):
+            at = m.end()
+            if m["line"] is not None:
+                continue
+            if m["block"]:
+                if m["block"] not in self.unclosed:
+                    close = text.find(CLOSES[m["block"]], at)
+                    if close < 0:
+                        self.unclosed.add(m["block"])  # there is none further on either
+                    else:
+                        at = close + len(CLOSES[m["block"]])
+                continue
+            name, start = m["name"], m.start()
+            if name is None:
+                key = KEYED.match(text, at)
+                if not key:
+                    continue
+                name, m, at = m["string"].strip("rRbBuUfF\"'"), key, key.end()
+            parts, end = self.value(at, start, name, m["op"])
+            at = max(at, end)
+            if parts is None:
+                self.constants.pop(name, None)
+            elif parts:
+                value = parts[0] if len(parts) == 1 else _Chain(parts)
+                self.constants[name] = value
+                yield name, value, m.start("op")
+
+    def value(self, at: int, start: int, name: str, operator: str) -> tuple[list | None, int]:
+        """(literals and constants that the value is made of, where to read on); None if it isn't made of such."""
+        text = self.text
+        if operator == ":" and (scalar := SCALAR.match(text, at)):
+            return self.scalar(scalar.end(), start)
+        inside = OPEN.match(text, at)
+        space = SPACES if inside else SPACE
+        at = inside.end() if inside else at
+        parts: list = []
+        terms = 0
+        while True:
+            begin = space.match(text, at).end()
+            if text.startswith(("#", "//"), begin) and (begin == 0 or text[begin - 1].isspace()):
+                break
+            term = TERM.match(text, begin)
+            if not term:
+                break
+            terms += 1
+            if term["string"]:
+                at = term.end()
+                parts += self.pieces(*term.span("string"), term["prefix"])
+            elif term["ref"]:
+                at = term.end()
+                if self.constants.get(term["ref"]):
+                    parts.append(self.constants[term["ref"]])
+                if RUN.match(text, at):  # ${A}rest is no constant alone
+                    at = self.run_end(at)
             else:
-                start = at
-                if not first:
-                    at = ends.get(start) or ends.setdefault(start, RUN.match(text, start).end())
-                elif run[0] <= start < run[1]:
-                    at = run[1]
-                else:
-                    at = RUN.match(text, start).end()
-                    run = (start, at)
-                word = text[start:at] if at - start <= REACH else None
-                if word in constants:
-                    parts.append(constants[word])
-                elif word is None or word.lower() != name[1].lower():
-                    parts.append((start, at))
-            first = False
+                at = self.run_end(begin)
+                if text.startswith(("(", "["), at):
+                    return None, begin  # a call or an item, whose arguments are read like anything else
+                word = text[begin:at] if at - begin <= REACH else None
+                if word in self.constants:
+                    if self.constants[word]:
+                        parts.append(self.constants[word])
+                elif word is None or word.lower() != name.lower():
+                    parts.append((begin, at))
+                if terms == 1 and not PLUS.match(text, at):
+                    return parts, begin  # a run may hold assignments itself, as addresses do
             plus = PLUS.match(text, at)
-            if not plus:
+            if plus:
+                at = plus.end()
+            elif not inside or not term["string"]:
                 break
-            at = plus.end()
-        if not parts:
-            continue
-        after = max(after, stop)
-        value = parts[0] if len(parts) == 1 else _Chain(parts)
-        constants[name[1]] = value
-        weight = name_weight(name[1])
-        if weight and weight * _strength(*values.summary(value)) >= THRESHOLD:
+        return parts, at
+
+    def run_end(self, at: int) -> int:
+        """The end of the run without quotes; found once for all places in it."""
+        if not self.run[0] <= at < self.run[1]:
+            self.run = (at, RUN.match(self.text, at).end())
+        return self.run[1]
+
+    def pieces(self, a: int, b: int, prefix: str) -> list:
+        """What a string is made of: its text, or around ${NAME} (and {NAME} in templates) the pieces and the constants."""
+        text = self.text
+        quotes = 3 if b - a >= 6 and text[a : a + 3] in ('\"\"\"', "'''") else 1
+        template = "f" in prefix.lower() or text[a] == "`"
+        a, b = a + quotes, b - quotes
+        out: list = []
+        for hole in (BRACES if template else HOLE).finditer(text, a, b):
+            if hole.start() > a:
+                out.append((a, hole.start()))
+            if self.constants.get(hole[1]):
+                out.append(self.constants[hole[1]])
+            a = hole.end()
+        if b > a:
+            out.append((a, b))
+        return out
+
+    def scalar(self, at: int, start: int) -> tuple[list, int]:
+        """The lines of a block that is deeper than the line of its name."""
+        text = self.text
+        line = text.rfind("\n", max(0, start - REACH), start) + 1
+        depth = len(text[line:start]) - len(text[line:start].lstrip(" \t-")) if line or start < REACH else 0
+        begin = None
+        end = at
+        while (m := INDENTED.match(text, end)) and len(m[1]) > depth:
+            begin = m.end() if begin is None else begin
+            stop = text.find("\n", m.end())
+            end = len(text) if stop < 0 else stop + 1
+        return ([(begin, len(text[:end].rstrip()) if end - at < REACH else end - (len(text[at:end]) - len(text[at:end].rstrip())))] if begin is not None else []), end
+
+
+def lex(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of literals that reach sensitive names."""
+    found: dict[tuple[int, int], str] = {}
+    values = _Values(text)
+    for name, value, at in _Lexer(text).pairs():
+        weight = name_weight(name)
+        if weight and weight * values.strength(value) >= THRESHOLD:
             todo = [value]
             while todo:
                 part = todo.pop()
                 if isinstance(part, tuple):
                     if part[1] > part[0]:
-                        found.setdefault(part, "literal" if part[0] >= i else "constant")
+                        found.setdefault(part, "literal" if part[0] >= at else "constant")
                 elif not part.reported:
                     part.reported = True
                     todo += part.parts

@@ -257,6 +257,76 @@ def test_secret_lexing(docs, rows, empty):
     assert secret_scan.redact_text("plain") == "plain"
 
 
+def program(rng):
+    """A source text of random statements, and which literals of it reach a sensitive name: {literal: kind}."""
+    made, lines, want, constants = 0, [], {}, {}
+
+    def literal():
+        nonlocal made
+        made += 1
+        return f"Qz7Lm2Xw{made:04d}TbVk"
+
+    for k in range(rng.randint(5, 40)):
+        x = literal()
+        quote = rng.choice(['"', "'", '"""', "'''"])
+        style = rng.randrange(14)
+        name = rng.choice(["private_key", "credential", "auth.salt", "Bearer", "dbPwd"])
+        if style == 0:
+            lines.append(f"{rng.choice(['#', '//', '-- '])} {name} = {quote}{x}{quote}")
+        elif style == 1:
+            lines.append(f"/* {name} = {quote}{x}{quote}\n {name}: {x} */")
+        elif style == 2:
+            lines.append(f"msg{k} = \"set {name} = {x} now\"")
+        elif style == 3:
+            lines.append(f"{name} {rng.choice(['=', ':', ':=', '=>'])} {rng.choice(['', 'r', 'b', 'f'])}{quote}{x}{quote}  # {name} = {x}x")
+            want[x] = "literal"
+        elif style == 4:
+            lines.append(f"{name}={x}")
+            want[x] = "literal"
+        elif style == 5:
+            lines.append(f"CONST{k} = {quote}{x}{quote}")
+            constants[f"CONST{k}"] = x
+        elif style == 6 and constants:
+            c = rng.choice(list(constants))
+            lines.append(rng.choice(["{n} = {c}", "{n}: ${{{c}}}", '{n} = f"{{{c}}}"', '{n} = "${{{c}}}"', "{n} = `${{{c}}}`", "{n} = ({c})"]).format(n=name, c=c))
+            want.setdefault(constants[c], "constant")
+        elif style == 7 and constants:
+            c = rng.choice(list(constants))
+            lines.append(f"{name} = {c} + {quote}{x}{quote}")
+            want.setdefault(constants[c], "constant")
+            want[x] = "literal"
+        elif style == 8 and constants:
+            c = rng.choice(list(constants))
+            lines.append(f"{c} = 12")  # assigned anew
+            del constants[c]
+        elif style == 9:
+            lines.append(f"{name} = {rng.choice(['getenv', 'os.environ.get', 'vault'])}({quote}{x}{quote})")
+        elif style == 10:
+            y = literal()
+            lines.append(f"{name} = (\n    {quote}{x}{quote}\n    {quote}{y}{quote}\n)")
+            want |= {x: "literal", y: "literal"}
+        elif style == 11:
+            lines.append(f"{name}: |\n    {x}\n\n    {x}\nplain: 1")
+            want[f"{x}\n\n    {x}"] = "literal"
+        elif style == 12:
+            lines.append(f"if {name} == {quote}{x}{quote}: pass")
+        else:
+            lines.append(f"limit{k} = {quote}{x}{quote}")
+    return "\n".join(lines) + "\n", want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_secret_lexing_of_made_programs(seed):
+    text, want = program(random.Random(seed))
+    found = {text[a:b]: k for a, b, k in secret_scan.lex(text)}
+    assert found == want, text
+
+
+def test_secret_lexing_stays_linear():
+    for text in ("key: " * 50_000, "key: |\n" * 50_000, "key: |\n" + " a\n" * 100_000, "key = (\n" * 50_000, "/* " * 200_000, '"' * 200_000, "key = " + "\\\n" * 50_000, "Private_Key=Zx8:" * 10_000):
+        secret_scan.scan(text)
+
+
 def test_secret_lexing_of_very_long_runs_ends():
     dense = "a=b:" * 60_000
     assert secret_scan.scan(dense) == ([], [])
