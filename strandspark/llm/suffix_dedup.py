@@ -4,10 +4,10 @@ A suffix array of every byte would shuffle 200 bytes for each byte of text. It i
 
 1. Sampling. Of each 200-byte window the rightmost least hash of its 16-byte grams is the anchor (winnowing); neighbouring
    windows with one anchor form a segment. Equal windows have equal anchors, so segments whose anchor lies at one place only
-   hold no repeats and go no further. Equal segments of one chunk of text, told by a hash and compared byte by byte, are
-   one from there on.
-2. Range partition. The others fetch their bytes as sampled suffixes: one from the anchor on for windows with most
-   of their bytes to the right of it, one from half a window to the left of it for the rest. repartitionByRange samples
+   hold no repeats and go no further. Copies are settled before the shuffle of bytes: of segments equal as a whole (anchor and another
+   64 bits; within a chunk of text byte by byte) one goes on, marked as lying at many places.
+2. Range partition. Different segments around one anchor fetch their bytes as sampled suffixes: one from the anchor on for windows
+   with most of their bytes to the right of it, one from half a window to the left of it for the rest. repartitionByRange samples
    splitters and deals them by their leading bytes, all those that any of their windows must share, then by place, so
    that suffixes with equal leading bytes may lie in several neighbouring buckets, and no passage is one task.
 3. Buckets. Of suffixes with equal leading bytes the different ones give all their windows' suffixes to a multikey
@@ -22,17 +22,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEEDS, Powers, anchor_places, anchor_runs, changes, checkpoint, keyed, mix, prefix, real_id, runs_of, shared_anchors, span, spans, text_chunks, text_hash, text_hashes
+from .common import Powers, anchor_places, anchor_runs, changes, checkpoint, keyed, mix, prefix, real_id, runs_of, span, spans, text_chunks, text_hash, text_hashes
 
 LENGTH, GRAM, CHUNK = 200, 16, 3 << 19
 #: Suffixes that are sorted together, about; a group of equal leading bytes isn't cut.
 SORTED = 1_000_000
+SEEDS = pa.schema([("anchor", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("n", pa.int32())])
+SIEVED = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("n", pa.int32())])
 SUFFIXES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("many", pa.bool_()), ("segment", pa.binary())])
 SUFFIXES_DDL = "doc_id long, hash long, start int, n int, lead int, many boolean, segment binary"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -41,7 +45,7 @@ BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 
 
 def _segments(length: int, gram: int):
-    """SEEDS: one for each different segment of a chunk, open being its number of windows << 16 | bytes before the anchor; settled ones were found twice in the chunk."""
+    """SEEDS: one for each different segment of a chunk, open being its number of windows << 16 | bytes before the anchor. Settled ones, found twice in the chunk, have open 0 and n windows from `at` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(0x9E3779B97F4A7C15)
@@ -80,7 +84,7 @@ def _segments(length: int, gram: int):
             settled = by[np.bincount(group, other, size)[group] > 1]
             lead = by[~same]
             open_ = lengths[lead] << 16 | (at - runs)[lead]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[lead].view(np.int64), doc[lead], text[lead], start[lead], open_.astype(np.int32), np.zeros(len(lead), np.int32))], schema=SEEDS)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[lead].view(np.int64), prints[lead].view(np.int64), doc[lead], text[lead], start[lead], open_.astype(np.int32), np.zeros(len(lead), np.int32))], schema=SEEDS)
             # settled segments of one document next to each other become one row
             settled = np.sort(settled)
             if len(settled):
@@ -89,11 +93,45 @@ def _segments(length: int, gram: int):
                 a, b = a[new], b[np.concatenate((new[1:], [True]))]
                 d = np.searchsorted(first + counts, a, "right")
                 spread = mix(ids[d].view(np.uint64) + a.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, ids[d], hashed[d], (a - first[d]).astype(np.int32), np.zeros(len(a), np.int32), (b - a).astype(np.int32))], schema=SEEDS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, np.zeros(len(a), np.int64), ids[d], hashed[d], (a - first[d]).astype(np.int32), np.zeros(len(a), np.int32), (b - a).astype(np.int32))], schema=SEEDS)
 
     return run
 
 
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From SEEDS sorted by anchor, print, doc_id, hash and at: settled ones, segments that are equal as a whole at several places as settled
+    too, and of each print one segment (open; n 1 if it lies at many places) if its anchor has other prints. Holds one row between batches, however many share an anchor."""
+    held, known = [np.zeros(0, np.int64)] * 7, False  # the last column: many
+    for batch in chain(batches, (None,)):
+        now = held
+        if batch is not None:
+            anchor, print_, doc, text, at, open_, n = (batch.column(i).to_numpy() for i in range(7))
+            done = open_ == 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (doc, text, at, open_, n)], schema=SIEVED)
+            new = (anchor, print_, doc, text, at, open_, np.zeros(len(done), np.int64))
+            now = [np.concatenate((a, b[~done])) for a, b in zip(held, new, strict=True)]
+        if not len(now[0]):
+            continue
+        starts = np.flatnonzero(changes(*now[:5]))  # repeated rows of a document are one place
+        many0 = np.bitwise_or.reduceat(now[6], starts)
+        anchor, print_, doc, text, at, open_ = (x[starts] for x in now[:6])
+        first = changes(anchor, print_)
+        run = np.cumsum(first) - 1
+        many = (np.bincount(run) > 1) | (np.bincount(run, many0) > 0)
+        whole = np.flatnonzero(many[run] & (many0 == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x[whole].astype(t)) for x, t in ((doc, np.int64), (text, np.int64), (at, np.int32), (np.zeros_like(at), np.int32), (open_ >> 16, np.int32))], schema=SIEVED)
+        lead = np.flatnonzero(first)
+        group = np.cumsum(changes(anchor[lead])) - 1
+        several = np.bincount(group)[group] > 1
+        if known:  # the held row's anchor has had another print
+            several |= group == 0
+        if batch is not None:
+            last = lead[-1:]
+            held, known, several = [x[last] for x in (anchor, print_, doc, text, at, open_)] + [many[-1:].astype(np.int64)], bool(several[-1]), several[:-1]
+        out = lead[np.flatnonzero(several)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(t)) for x, t in ((doc, np.int64), (text, np.int64), (at, np.int32), (open_, np.int32), (many[run], np.int32))], schema=SIEVED)
+
+
 def _suffixes(length: int, gram: int):
     """The sampled suffixes of wanted segments: segment holds n windows from start on; the leading bytes are those from lead on."""
     half = (length - gram) // 2
@@ -103,11 +141,11 @@ def _suffixes(length: int, gram: int):
             out: list[tuple] = []
             for doc, text, segments, hashed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for s in segments:
-                    start, n, before = s["at"], s["open"] >> 16, s["open"] & 0xFFFF
+                    start, n, before, many = s["at"], s["open"] >> 16, s["open"] & 0xFFFF, s["n"] > 0
                     turn = min(n, max(0, before - half))  # windows before it have more than half of their other bytes left of the anchor
                     for a, b, lead in ((0, turn, before - half - 1), (turn, n, before)):
                         if a < b:
-                            out.append((doc, hashed, start + a, b - a, lead - a, False, text[start + a : start + b + length - 1]))
+                            out.append((doc, hashed, start + a, b - a, lead - a, many, text[start + a : start + b + length - 1]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SUFFIXES, strict=True)], schema=SUFFIXES)
                     out = []
@@ -217,13 +255,24 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
             return
 
 
+def _without_found(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without their rows that have no segment, which go to `passed`."""
+    for batch in batches:
+        found = batch.column(6).is_null()
+        passed.append(batch.filter(found))
+        yield batch.filter(pc.invert(found))
+
+
 def _bucket(length: int, gram: int, borders: bool):
     """From suffixes sorted by leading bytes and place: the repeats, n windows from start on; with borders also the different segments of the first and the last leading bytes."""
     width = gram + (length - gram + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []  # what earlier buckets found
         opening = True
-        for table, keys, group, last in _groups(batches, width):
+        for table, keys, group, last in _groups(_without_found(batches, passed), width):
+            yield from passed
+            passed.clear()
             doc, text, start, n, lead, many = (table.column(i).to_numpy() for i in range(6))
             parts = table.column("segment").to_pylist()
             # of each different segment one row; `of` leads from a row to it
@@ -250,6 +299,7 @@ def _bucket(length: int, gram: int, borders: bool):
                 edge = one[(opening & (group[one] == 0)) | (last & (group[one] == group[-1]))]
                 yield table.take(pa.array(edge)).set_column(5, "many", pa.array(several[of[edge]])).cast(SUFFIXES).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if len(edge) else pa.RecordBatch.from_pylist([], SUFFIXES)
             opening = False
+        yield from passed
 
     return run
 
@@ -257,21 +307,19 @@ def _bucket(length: int, gram: int, borders: bool):
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, hash, start, n), hash that of the text: runs of n byte offsets at which a string starts that also starts elsewhere."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, doc_id long, hash long, at int, open int, n int")
-    sieved = checkpoint(segments.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "at").mapInArrow(shared_anchors, "doc_id long, hash long, at int, open int, n int"))
-    wanted = sieved.where("open > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("at", "open")).alias("segments"))
+    segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, print long, doc_id long, hash long, at int, open int, n int")
+    sieve = segments.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "doc_id", "hash", "at").mapInArrow(_sieve, "doc_id long, hash long, at int, open int, n int")
+    sieved = checkpoint(sieve)
+    wanted = sieved.where("open > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("at", "open", "n")).alias("segments"))
     texts = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "segments", "hash")
-    suffixes = checkpoint(texts.mapInArrow(_suffixes(length, gram), SUFFIXES_DDL))  # range partitioning reads it twice
+    suffixes = texts.mapInArrow(_suffixes(length, gram), SUFFIXES_DDL)
     leading = F.expr(f"substring(segment, lead + 1, {gram + (length - gram + 1) // 2})")
     order = [leading, "doc_id", "hash", "start"]
-    sorted_ = checkpoint(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_bucket(length, gram, True), SUFFIXES_DDL))
-    borders = sorted_.where("segment is not null").repartition(n, leading).sortWithinPartitions(*order)
-    across = borders.mapInArrow(_bucket(length, gram, False), SUFFIXES_DDL)
-    found = [sorted_.where("segment is null"), across, sieved.where("open = 0").withColumnRenamed("at", "start")]
-    first, *rest = (x.select("doc_id", "hash", "start", "n") for x in found)
-    for x in rest:
-        first = first.unionByName(x)
-    return first
+    found = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_bucket(length, gram, True), SUFFIXES_DDL)
+    # equal leading bytes meet across buckets; what is found already is dealt by document and passes
+    route = F.when(F.col("segment").isNull(), F.xxhash64("doc_id", "hash")).otherwise(F.xxhash64(leading))
+    across = found.repartition(n, route).sortWithinPartitions(*order).mapInArrow(_bucket(length, gram, False), SUFFIXES_DDL)
+    return across.select("doc_id", "hash", "start", "n").unionByName(sieved.where("open = 0").select("doc_id", "hash", F.col("at").alias("start"), "n"))
 
 
 def _removed(length: int):
