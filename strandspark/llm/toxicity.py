@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
-1. Lexicon voters are drawn from a bounded sample of labelled rows: words and word stems far more frequent in toxic
-   documents, dealt over many lexicons; pattern voters look at shouting, exclamation runs and symbols. Each votes
-   toxic (1), clean (0) or abstains (-1); the label itself, which may err, is the prior.
-2. A generative label model (class-conditional vote rates by expectation maximisation, a voter's log-likelihood ratio
-   divided by one plus its summed correlations with other voters given the class) turns votes into posteriors.
-3. A linear classifier on words and stems is trained on the posteriors of the same sample.
+1. Voters. Labelled rows of a bounded sample are dealt over CROSS folds. For each fold lexicons are written from the other
+   folds: terms (words and word stems) uneven beyond chance are dealt over lexicons by how telling they are, toxic ones and clean
+   ones. On the fold's own rows, whose labels it never saw, a lexicon votes toxic (1) for a toxic term, else clean (0) for a clean one, else
+   abstains (-1); pattern voters look at shouting, exclamation runs and symbols.
+2. A generative label model learns, from the votes alone, the share of toxic rows, each voter's rates of every vote given the class
+   (expectation maximisation) and the pairwise correlations of voters given the class: a voter's log-likelihood ratio
+   is divided by one plus its summed correlations with others. The given label, which may err, is one more voter: how far to trust it
+   is learnt like any other's accuracy.
+3. A linear classifier on words and stems is trained on the posteriors of the same sample; its terms are chosen by them too.
 
 Scoring reads whole texts of all documents and carries only the classifier, at most MAX_TERMS weights.
 """
@@ -25,10 +28,14 @@ from .common import keyed, mix, real_id
 
 #: Labelled rows that the model is fitted on, at most; taken in the order of a hash of doc_id.
 SAMPLE = 16_000
-#: P(toxic) of rows labelled clean and toxic, before any voter is heard.
-LABEL_TRUST = (0.02, 0.9)
+#: Different words of a sampled row that the model is fitted on, at most: those of least hash. Scores read all words.
+ROW_WORDS = 1_024
+#: Folds of the sample; lexicons that vote on one are written from the others.
+CROSS = 4
 #: Terms of the classifier, at most.
 MAX_TERMS = 4_096
+#: Nats by which a term's split must surprise for a clean lexicon, a toxic one, the classifier.
+TELLING = (11.0, 12.0, 9.0)
 STEMS = (4, 5, 6)
 LEXICONS = 12
 FOLDS = 5
@@ -58,52 +65,60 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, terms of the document, pattern hits): each document's different words, space-joined."""
+    """(toxic, words, hits): each document's different words, space-joined, and which patterns it has."""
     for batch in batches:
         y, words, hits = [], [], []
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             y.append(toxic)
-            words.append(" ".join(sorted(set(WORDS.findall(text.lower())))))
+            different = set(WORDS.findall(text.lower()))
+            if len(different) > ROW_WORDS:
+                different = sorted(different, key=lambda w: (zlib.crc32(w.encode()), w))[:ROW_WORDS]
+            words.append(" ".join(sorted(different)))
             hits.append(sum(1 << k for k, p in enumerate(PATTERNS) if p.search(text)))
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(words, pa.string()), pa.array(hits, pa.int64())], names=["toxic", "words", "hits"])
 
 
-def label_model(votes: np.ndarray, prior: float | np.ndarray, rounds: int = 50) -> np.ndarray:
+def label_model(votes: np.ndarray, prior: float | None = None, rounds: int = 50) -> np.ndarray:
     """P(toxic) of each row of votes (1, 0, -1 abstains): accuracies by expectation maximisation, correlations by residuals.
 
-    prior: before any vote, for all rows or each. Abstaining is no evidence.
+    prior: the share of toxic rows, learnt with the rest if None. Abstaining is no evidence. Class 1 starts as the rows with toxic votes.
     """
-    n, m = votes.shape
+    m = votes.shape[1]
     values = np.array([1, 0, -1])
-    said = (votes[:, :, None] == values).astype(float)  # row, voter, what it says
-    score = (votes == 1).sum(1) - 0.5 * (votes == 0).sum(1)
-    prior = np.clip(np.broadcast_to(prior, n), 1e-3, 0.999)
-    post = np.maximum(np.where(score >= 2, 0.9, np.where(score >= 1, 0.5, prior / 4)), np.where(prior > 0.5, prior, 0))
+    said = (votes[:, :, None] == values).astype(np.float32)  # row, voter, what it says
+    toxic = (votes == 1).sum(1)
+    post = np.where(toxic >= 2, 0.9, np.where(toxic == 1, 0.5, 0.02))
     discount = np.ones(m)
     for k in range(rounds):
         weight = np.stack([1 - post, post])
         rates = np.einsum("cn,nmv->cmv", weight, said) + np.array([[1.0, 2.0, 1.0], [2.0, 1.0, 1.0]])[:, None, :]
         rates /= rates.sum(2, keepdims=True)
-        share = float(np.clip(post.mean(), 1e-3, 0.5))
-        if k:  # correlations given the class shrink a voter's say
+        learnt = float(np.clip(post.mean(), 1e-3, 0.5))
+        share = learnt if prior is None else prior
+        if k:  # correlations given the likelier class shrink a voter's say
             total = np.zeros((m, m))
             for c in (0, 1):
-                w = weight[c] / max(weight[c].sum(), 1e-9)
-                x = said[:, :, 0] - rates[c, :, 0]
+                w = ((post > 0.5) == c).astype(float)
+                w /= max(w.sum(), 1.0)
+                x = said[:, :, 0] - w @ said[:, :, 0]
                 cov = (x * w[:, None]).T @ x
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-                total += np.maximum(cov / np.outer(sd, sd), 0) * (share if c else 1 - share)
+                total += np.maximum(cov / np.outer(sd, sd), 0) * (learnt if c else 1 - learnt)
             discount = 1 / (1 + np.maximum(total.sum(1) - np.diag(total), 0))
         ratio = np.log(rates[1] / rates[0])
         ratio[:, 2] = 0
-        logit = np.log(prior / (1 - prior)) + (np.einsum("nmv,mv->nm", said, ratio) * discount).sum(1)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = np.log(share / (1 - share)) + (np.einsum("nmv,mv->nm", said, ratio) * discount).sum(1)
+        new = _sigmoid(logit)
         if k > 4 and np.abs(new - post).max() < 1e-4:
             return new
         post = new
     return post
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def without_copies(rows: list[tuple[int, list[str], int]]) -> list[tuple[int, list[str], int]]:
     """One of each group of near copies, by min-hashes of the words: copies would make any of their words telling."""
     kept, seen = [], set()
@@ -117,6 +132,60 @@ def without_copies(rows: list[tuple[int, list[str], int]]) -> list[tuple[int, li
     return kept
 
 
+class _Terms:
+    """Which rows have which terms, as pairs sorted by term: term, row, and the terms' names."""
+
+    def __init__(self, rows: list[tuple[int, list[str], int]]) -> None:
+        number: dict[str, int] = {}
+        of_word: dict[str, np.ndarray] = {}
+        parts = []
+        for _, words, _ in rows:
+            for w in words:
+                if w not in of_word:
+                    of_word[w] = np.array([number.setdefault(t, len(number)) for t in terms_of(w)], np.int32)
+            parts.append(np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int32))
+        self.names = list(number)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
+        term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        by = np.argsort(term, kind="stable")
+        self.term, self.row = term[by], row[by]
+
+    def split(self, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each term over these rows (a mask): how many have it, how surprising its split by y is in nats (below 0: fewer toxic), its odds."""
+        pairs = rows[self.row]
+        many = np.bincount(self.term[pairs], minlength=len(self.names)).astype(float)
+        a = np.bincount(self.term[pairs], y[self.row[pairs]], len(self.names))
+        prior = float(np.clip(y[rows].mean(), 1e-6, 1 - 1e-6))
+        q = np.clip(a / np.maximum(many, 1), 1e-12, 1 - 1e-12)
+        far = many * (q * np.log(q / prior) + (1 - q) * np.log((1 - q) / (1 - prior)))
+        return many, np.where(q > prior, far, -far), np.log((a + 0.5) / (many - a + 0.5))
+
+
+def cross_votes(terms: _Terms, y: np.ndarray, hits: np.ndarray, fold_of: np.ndarray) -> np.ndarray:
+    """Votes on each fold's rows of voters made from the others: 2 * LEXICONS of words and of stems, and the patterns."""
+    votes = np.full((len(y), 2 * LEXICONS + len(PATTERNS)), -1, np.int8)
+    stem = np.array([t.endswith("*") for t in terms.names], bool)
+    for f in range(CROSS):
+        others = fold_of != f
+        if not 0 < y[others].sum() < others.sum():
+            continue
+        many, far, odds = terms.split(y, others)
+        own = ~others[terms.row]
+        # clean lexicons first, so that toxic terms have the last word
+        for say, chosen in ((0, (many >= 3) & (far < -TELLING[0])), (1, (many >= 3) & (far > TELLING[1]) & (odds > 2))):
+            telling = np.flatnonzero(chosen)
+            telling = telling[np.lexsort((telling, -np.abs(far[telling])))][: MAX_TERMS // 2]
+            voter = np.full(len(terms.names), -1)
+            voter[telling] = np.arange(len(telling)) % LEXICONS + LEXICONS * stem[telling]
+            pairs = own & (voter[terms.term] >= 0)
+            votes[terms.row[pairs], voter[terms.term[pairs]]] = say
+        for k in range(len(PATTERNS)):
+            hit = hits >> k & 1 > 0
+            rate = (y[hit & others].sum() + 0.5) / ((hit & others).sum() + 1) / y[others].mean()
+            votes[hit & ~others, 2 * LEXICONS + k] = 1 if rate > 2 else 0 if rate < 0.5 else -1
+    return votes
+
+
 def train(rows: list[tuple[int, list[str], int]]) -> tuple[dict[str, float], float]:
     """Weights by term and the bias. Without rows of both classes: no weights, a bias of the share of toxic rows."""
     rows = without_copies(rows)
@@ -125,43 +194,29 @@ def train(rows: list[tuple[int, list[str], int]]) -> tuple[dict[str, float], flo
     prior = (positives + 0.5) / (len(y) + 10)
     if not 0 < positives < len(y):
         return {}, float(np.log(prior / (1 - prior)))
-    by_term: dict[str, list[int]] = {}
-    for i, (_, words, _) in enumerate(rows):
-        for t in {t for w in words for t in terms_of(w)}:
-            by_term.setdefault(t, []).append(i)
-    # (surprise, odds, term): surprise bounds how unlikely so uneven a split is by chance, in nats
-    stats, many = [], np.log(len(by_term) + 1)
-    for t, at in by_term.items():
-        if len(at) >= 3:
-            a, q = y[at].sum(), y[at].mean()
-            far = sum(x * np.log(x / z) for x, z in ((q, prior), (1 - q, 1 - prior)) if x > 0) * len(at)
-            stats.append((float(far) if q > prior else -float(far), float(np.log((a + 0.5) / (len(at) - a + 0.5))), t))
-    # lexicons: terms that aren't uneven by chance, most telling first, dealt in turn
-    telling = sorted((x for x in stats if x[0] > many + 2 and x[1] > 1), key=lambda x: (-x[0], x[2]))[: MAX_TERMS // 2]
-    votes = np.full((len(y), 2 * LEXICONS + len(PATTERNS)), -1, np.int8)
-    for k, (_, _, t) in enumerate(telling):
-        votes[by_term[t], k % LEXICONS + LEXICONS * t.endswith("*")] = 1
-    for k in range(len(PATTERNS)):
-        hit = np.array([h >> k & 1 for _, _, h in rows], bool)
-        odds = (y[hit].sum() + 0.5) / (hit.sum() + 1) / prior
-        votes[hit, 2 * LEXICONS + k] = 1 if odds > 2 else 0 if odds < 0.5 else -1
-    post = label_model(votes, np.where(y == 1, LABEL_TRUST[1], LABEL_TRUST[0]))
-    # the classifier: the terms that split most unevenly, either way
-    chosen = [t for _, _, t in sorted((x for x in stats if abs(x[0]) > many), key=lambda x: (-abs(x[0]), x[2]))[:MAX_TERMS]]
-    col = np.repeat(np.arange(len(chosen)), [len(by_term[t]) for t in chosen])
-    row = np.array([i for t in chosen for i in by_term[t]], np.int64)
+    terms = _Terms(rows)
+    # rows are in the order of label and words: every fold gets its share of both labels
+    votes = cross_votes(terms, y, np.array([r[2] for r in rows]), np.arange(len(y)) % CROSS)
+    post = label_model(np.column_stack((votes, y.astype(np.int8))), prior)
+    # the classifier: the terms that split the posteriors most unevenly, either way
+    many, far, _ = terms.split(post, np.ones(len(y), bool))
+    chosen = np.flatnonzero((many >= 3) & (np.abs(far) > TELLING[2]))
+    chosen = chosen[np.lexsort((chosen, -np.abs(far[chosen])))][:MAX_TERMS]
+    place = np.full(len(terms.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    pairs = place[terms.term] >= 0
+    row, col = terms.row[pairs], place[terms.term[pairs]]
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, 401):
-        z = b + np.bincount(row, w[col], len(y))
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post) / len(y)
+        err = (_sigmoid(b + np.bincount(row, w[col], len(y))) - post) / len(y)
         g = np.bincount(col, err[row], len(w)) + 2e-6 * w
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         b -= 0.05 * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.99**k)) + 1e-9)
-    return {t: float(x) for t, x in zip(chosen, w, strict=True) if abs(x) > 0.02}, float(b)
+    return {terms.names[t]: float(x) for t, x in zip(chosen, w, strict=True) if abs(x) > 0.02}, float(b)
 
 
 class Scores(dict):
