@@ -35,7 +35,7 @@ CROSS = 4
 #: Terms of the classifier, at most.
 MAX_TERMS = 4_096
 #: Nats by which a term's split must surprise for a clean lexicon, a toxic one, the classifier.
-TELLING = (11.0, 12.0, 9.0)
+TELLING = (11.0, 9.0, 5.0)
 STEMS = (4, 5, 6)
 LEXICONS = 12
 FOLDS = 5
@@ -95,11 +95,10 @@ def label_model(votes: np.ndarray, prior: float | None = None, rounds: int = 50)
         rates /= rates.sum(2, keepdims=True)
         learnt = float(np.clip(post.mean(), 1e-3, 0.5))
         share = learnt if prior is None else prior
-        if k:  # correlations given the likelier class shrink a voter's say
+        if k:  # correlations given the class shrink a voter's say
             total = np.zeros((m, m))
             for c in (0, 1):
-                w = ((post > 0.5) == c).astype(float)
-                w /= max(w.sum(), 1.0)
+                w = weight[c] / max(weight[c].sum(), 1e-9)
                 x = said[:, :, 0] - w @ said[:, :, 0]
                 cov = (x * w[:, None]).T @ x
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
@@ -172,7 +171,7 @@ def cross_votes(terms: _Terms, y: np.ndarray, hits: np.ndarray, fold_of: np.ndar
         many, far, odds = terms.split(y, others)
         own = ~others[terms.row]
         # clean lexicons first, so that toxic terms have the last word
-        for say, chosen in ((0, (many >= 3) & (far < -TELLING[0])), (1, (many >= 3) & (far > TELLING[1]) & (odds > 2))):
+        for say, chosen in ((0, (many >= 3) & (far < -TELLING[0])), (1, (many >= 3) & (far > TELLING[1]) & (odds > 1))):
             telling = np.flatnonzero(chosen)
             telling = telling[np.lexsort((telling, -np.abs(far[telling])))][: MAX_TERMS // 2]
             voter = np.full(len(terms.names), -1)
