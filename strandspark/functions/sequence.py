@@ -90,13 +90,40 @@ def gap_map(seq: Column, gap: str = "-") -> Column:
     return F.filter(F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(seq, i + 1, F.lit(1)) != gap)
 
 
+#: Windows are read from stretches so long: places in a string are found by walking.
+STRETCH = 64
+
+
 def kmers(seq: Column, k: int) -> Column:
-    """Array of all k-mers in their order."""
+    """Array of all k-mers in their order; windows() gives them as rows, faster."""
     none = F.array().cast("array<string>")
     each = lambda c: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - k, F.lit(0))), lambda i: F.substring(c, i + 1, F.lit(k)))).otherwise(none)
     return F.flatten(F.transform(pieces(seq, 256, k - 1), each))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, where a scan gives fewer: what follows makes many rows of one."""
+    session = rows.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(max(cores, int(session.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]))
+
+
+def windows(rows: DataFrame, width: int, seq: str = "seq", mirrored: dict[str, str] | None = None) -> DataFrame:
+    """Other columns of rows, pos from 0 and w: every window of that width.
+
+    mirrored: a map of symbols; adds m, the window reversed with its symbols mapped. Stretches are mapped once, not each window.
+    """
+    keep = [c for c in rows.columns if c != seq]
+    cut = spread(rows).select(*keep, F.posexplode(pieces(F.col(seq), STRETCH, width - 1)).alias("_k", "_c")).where(F.length("_c") >= width)
+    if mirrored:
+        cut = cut.withColumn("_d", F.translate("_c", "".join(mirrored), "".join(mirrored.values())))
+    each = cut.select("*", F.explode(F.sequence(F.lit(1), F.length("_c") - width + 1)).alias("_i"))
+    at = lambda c: F.substring(F.col(c), F.col("_i"), F.lit(width))
+    return each.select(*keep, (F.col("_k") * STRETCH + F.col("_i") - 1).alias("pos"), at("_c").alias("w"), *([F.reverse(at("_d")).alias("m")] if mirrored else []))
+
+
 def canonical(kmer: Column) -> Column:
     """The first of a k-mer and its reverse complement in the order A, T, G, C."""
     order = lambda x: F.translate(x, "ATGC", "0123")

@@ -152,9 +152,10 @@ def blocks_on_target(block: DataFrame, targets: DataFrame, species, key: str = "
 
 def lift_intervals(cols: DataFrame, parts: DataFrame, source, target, key: str = "pid") -> DataFrame:
     """key, block, t_s, t_e, n: where parts (key, block, s, e in the source's parent) lie in the target's, n bases aligned; parts that hit gaps only are left out."""
-    both = lift(cols, source, target)
-    hit = parts.join(both, "block").where((F.col("from") >= F.col("s")) & (F.col("from") <= F.col("e")) & F.col("to").isNotNull())
-    return hit.groupBy(key, "block").agg(F.min("to").alias("t_s"), F.max("to").alias("t_e"), F.count("*").alias("n"))
+    both = lift(cols, source, target).where("to is not null")
+    points = both.select(F.col("block").alias("chr"), F.col("from").alias("s"), F.col("from").alias("e"), "to")
+    hit = interval_join(parts.select(key, F.col("block").alias("chr"), "s", "e"), points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")), width=256)
+    return hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block")).agg(F.min("r_to").alias("t_s"), F.max("r_to").alias("t_e"), F.count("*").alias("n"))
 
 
 def unlifted(targets: DataFrame, lifted: DataFrame, key: str = "pid") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import interval_join
-from .ordered import checkpoint, running_sum
+from .ordered import checkpoint, next_value, running_sum
 
 STRAND_KEY = ["chr", "strand", "loc"]
 
@@ -80,8 +80,8 @@ def extend(counts: DataFrame, ext: int, length: DataFrame | None = None) -> Data
     steps = spans.select("chr", F.explode(F.array(F.struct(F.col("a").alias("pos"), F.col("n").alias("d")), F.struct(F.col("b").alias("pos"), (-F.col("n")).alias("d")))).alias("s"))
     steps = steps.groupBy("chr", F.col("s.pos").alias("pos")).agg(F.sum("s.d").alias("d")).where("d != 0")
     signal = running_sum(steps, ["chr"], [], "pos", F.col("d"), "val")
-    after = F.lead("pos").over(Window.partitionBy("chr").orderBy("pos"))
-    return signal.withColumn("end", after).where("val != 0 and end is not null").select("chr", F.col("pos").alias("start"), "end", "val")
+    signal = next_value(signal, ["chr"], "pos", "end")
+    return signal.where("val != 0 and end is not null").select("chr", F.col("pos").alias("start"), "end", "val")
 
 
 def shift_bins(counts: DataFrame, shift: int, width: int) -> DataFrame:
@@ -130,21 +130,37 @@ def smooth(bins: DataFrame, steps: int = 5, step: int = 1) -> DataFrame:
     return out.select("chr", "start", "val", F.when(F.col("hi") - F.col("lo") + 1 > steps, mean).otherwise(F.col("val").cast("double")).alias("smooth"))
 
 
+def _joined_signal(peaks: DataFrame, points: DataFrame, key: str, on) -> DataFrame:
+    """Pairs of peaks and points (chr, loc, values), in bins about as wide as a peak is long."""
+    length = peaks.agg(F.avg(F.abs(F.col("e") - F.col("s")))).first()[0] or 0
+    width = max(64, 1 << int(length).bit_length())
+    return interval_join(peaks.select(key, "chr", "s", "e"), points.withColumns({"s": F.col("loc"), "e": F.col("loc")}), on, width=width)
+
+
+def peak_means(peaks: DataFrame, experiments: dict[str, DataFrame], key: str = "pid", value: str = "n") -> DataFrame:
+    """peaks with total_, most_ and mean_ of each experiment: its signal in the peak's [s, e), 0 where there's none; mean is total / length, 0 for no length. One join serves all."""
+    tagged = None
+    for name, counts in experiments.items():
+        rows = counts.select(F.lit(name).alias("_x"), "chr", "loc", F.col(value).alias("_v"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    # one row a position: of each experiment its sum there
+    points = tagged.groupBy("chr", "loc").agg(*[F.sum(F.when(F.col("_x") == name, F.col("_v"))).alias(f"v_{name}") for name in experiments])
+    inside = _joined_signal(peaks, points, key, lambda: (F.col("r_s") >= F.col("l_s")) & (F.col("r_s") < F.col("l_e")))
+    each = [f(f"r_v_{n}").alias(f"{c}_{n}") for n in experiments for c, f in (("total", F.sum), ("most", F.max))]
+    sums = inside.groupBy(F.col(f"l_{key}").alias(key)).agg(*each)
+    length = F.col("e") - F.col("s")
+    out = peaks.join(sums, key, "left").withColumns({f"{c}_{n}": F.coalesce(f"{c}_{n}", F.lit(0)) for n in experiments for c in ("total", "most")})
+    return out.withColumns({f"mean_{n}": F.when(length > 0, F.col(f"total_{n}") / length).otherwise(F.lit(0.0)) for n in experiments})
+
+
 def peak_signal(peaks: DataFrame, counts: DataFrame, key: str = "pid", value: str = "n") -> DataFrame:
     """key, total, most, mean: the signal in each peak's [s, e), 0 where there's none; mean is total / length, 0 for no length."""
-    points = counts.select("chr", F.col("loc").alias("s"), F.col("loc").alias("e"), F.col(value).alias("v")).groupBy("chr", "s", "e").agg(F.sum("v").alias("v"))
-    inside = interval_join(peaks.select(key, "chr", "s", "e"), points, lambda: (F.col("r_s") >= F.col("l_s")) & (F.col("r_s") < F.col("l_e")))
-    sums = inside.groupBy(F.col(f"l_{key}").alias(key)).agg(F.sum("r_v").alias("total"), F.max("r_v").alias("most"))
-    length = F.col("e") - F.col("s")
-    out = peaks.join(sums, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "most")})
-    return out.select(key, "total", "most", F.when(length > 0, F.col("total") / length).otherwise(F.lit(0.0)).alias("mean"))
+    return peak_means(peaks, {"x": counts}, key, value).select(key, *[F.col(f"{c}_x").alias(c) for c in ("total", "most", "mean")])
 
 
 def enrichment(peaks: DataFrame, experiments: dict[str, DataFrame], reference: str, key: str = "pid") -> DataFrame:
     """key, a mean column for each experiment, and rank by the reference's, from 1, most first."""
-    out = peaks.select(key)
-    for name, counts in experiments.items():
-        out = out.join(peak_signal(peaks, counts, key).select(key, F.col("mean").alias(name)), key)
+    out = peak_means(peaks, experiments, key).select(key, *[F.col(f"mean_{n}").alias(n) for n in experiments])
     return with_rank(out, F.col(reference).desc(), key)
 
 
@@ -160,9 +176,13 @@ def with_rank(rows: DataFrame, by, key: str, name: str = "rank") -> DataFrame:
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")  # a row a partition
 
 
+def _both_means(peaks: DataFrame, x: DataFrame, y: DataFrame, key: str) -> DataFrame:
+    return peak_means(peaks, {"x": x, "y": y}, key).select(key, F.col("mean_x").alias("x"), F.col("mean_y").alias("y"))
+
+
 def difference_rank(peaks: DataFrame, x: DataFrame, y: DataFrame, relative: bool = False, absolute: bool = False, key: str = "pid") -> DataFrame:
     """key, diff, rank: mean signal of x less that of y, over x if relative; peaks with neither are left out."""
-    both = peak_signal(peaks, x, key).select(key, F.col("mean").alias("x")).join(peak_signal(peaks, y, key).select(key, F.col("mean").alias("y")), key).where("x != 0 or y != 0")
+    both = _both_means(peaks, x, y, key).where("x != 0 or y != 0")
     diff = F.col("x") - F.col("y")
     diff = F.when(F.col("x") != 0, diff / F.col("x")).otherwise(F.lit(0.0)) if relative else diff
     return with_rank(both.select(key, (F.abs(diff) if absolute else diff).alias("diff")), F.col("diff").desc(), key)
@@ -171,8 +191,8 @@ def difference_rank(peaks: DataFrame, x: DataFrame, y: DataFrame, relative: bool
 def input_ratio(peaks: DataFrame, sample: DataFrame, control: DataFrame, key: str = "pid") -> DataFrame:
     """key, diff, ratio: sums over [s, e] less the control's; ratio is the plain sum where the control has none. Regions with fewer than two samples are left out."""
     def sums(counts: DataFrame, name: str) -> DataFrame:
-        points = counts.groupBy("chr", F.col("loc").alias("s")).agg(F.sum("n").alias("v")).withColumn("e", F.col("s"))
-        inside = interval_join(peaks.select(key, "chr", "s", "e"), points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")))
+        points = counts.groupBy("chr", "loc").agg(F.sum("n").alias("v"))
+        inside = _joined_signal(peaks, points, key, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")))
         return inside.groupBy(F.col(f"l_{key}").alias(key)).agg(F.sum("r_v").alias(name), F.count("*").alias(f"n_{name}"))
 
     both = sums(sample, "a").where("n_a >= 2").join(sums(control, "b"), key, "left").fillna(0, ["b"])
@@ -182,19 +202,21 @@ def input_ratio(peaks: DataFrame, sample: DataFrame, control: DataFrame, key: st
 def region_profile(counts: DataFrame, chrom, start: int, end: int) -> DataFrame:
     """loc, val, rel: the signal in [start, end) and its share of the region's most."""
     rows = counts.where((F.col("chr") == chrom) & (F.col("loc") >= start) & (F.col("loc") < end)).groupBy("loc").agg(F.sum("n").alias("val"))
-    return rows.withColumn("rel", F.col("val") / F.max("val").over(Window.partitionBy()))
+    most = rows.agg(F.max("val").alias("_most"))
+    return rows.join(F.broadcast(most)).withColumn("rel", F.col("val") / F.col("_most")).drop("_most")  # one row
 
 
 def signal_slice(signal: DataFrame, chrom, start: int, end: int) -> DataFrame:
     """One row: lo, hi, step (second position less the first), n and the sum of values between both ends."""
     rows = signal.where((F.col("chr") == chrom) & F.col("loc").between(start, end))
-    second = F.sort_array(F.collect_set("loc"))
-    return rows.agg(F.min("loc").alias("lo"), F.max("loc").alias("hi"), (F.get(second, 1) - F.get(second, 0)).alias("step"), F.count("*").alias("n"), F.sum("val").alias("total"))
+    out = rows.agg(F.min("loc").alias("lo"), F.max("loc").alias("hi"), F.count("*").alias("n"), F.sum("val").alias("total"))
+    second = rows.join(F.broadcast(out.select("lo"))).where("loc > lo").agg(F.min("loc").alias("_second"))  # one row each
+    return out.join(F.broadcast(second)).select("lo", "hi", (F.col("_second") - F.col("lo")).alias("step"), "n", "total")
 
 
 def top_peaks(peaks: DataFrame, tags: DataFrame, control: DataFrame, n: int, one_less: bool = False, key: str = "pid") -> DataFrame:
     """key, score: the n peaks of the greatest mean signal less the control's; one_less: n - 1, as the older scripts give."""
-    both = peak_signal(peaks, tags, key).select(key, F.col("mean").alias("x")).join(peak_signal(peaks, control, key).select(key, F.col("mean").alias("y")), key)
+    both = _both_means(peaks, tags, control, key)
     return both.select(key, (F.col("x") - F.col("y")).alias("score")).orderBy(F.col("score").desc(), key).limit(n - one_less)
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import acgt_only, canonical, kmers, revcomp
+from ..functions.sequence import revcomp, windows
 from .intervals import interval_join
 from .ordered import checkpoint
 
@@ -31,15 +31,25 @@ def log_matrix(counts: DataFrame) -> DataFrame:
     return counts.withColumn("score", F.log((F.col("n") + pseudo) / (F.sum(F.col("n") + pseudo).over(everything) + F.sum(pseudo).over(everything))))
 
 
-def literal_score(seq: Column, columns: list[dict[str, float]]) -> Column:
+def literal_score(seq: Column, columns: list[dict[str, float]], upper: bool = True) -> Column:
     """Score of the first len(columns) bases; null with a symbol that isn't ACGT or too short a sequence."""
-    parts = [F.element_at(F.create_map(*[F.lit(x) for kv in c.items() for x in kv]), F.upper(F.substring(seq, k + 1, 1))) for k, c in enumerate(columns)]
+    parts = []
+    for k, c in enumerate(columns):
+        base = F.substring(seq, k + 1, 1)
+        place = F.call_function("instr", F.lit("ACGT"), F.upper(base) if upper else base)
+        # 0: no base, or the empty text, which stands before every text
+        parts.append(F.when(base != "", F.get(F.array(F.lit(None).cast("double"), *[F.lit(float(c[b])) for b in "ACGT"]), place)))
     total = parts[0]
     for p in parts[1:]:
         total = total + p
     return total
 
 
+def mirrored(columns: list[dict[str, float]]) -> list[dict[str, float]]:
+    """The matrix that scores a sequence as `columns` scores its reverse complement."""
+    return [{b: c["TGCA"["ACGT".index(b)]] for b in "ACGT"} for c in reversed(columns)]
+
+
 def best_strand(seq: Column, columns: list[dict[str, float]]) -> Column:
     """struct(score, strand): the better of both strands, forward if equal."""
     head = F.substring(seq, 1, len(columns))
@@ -48,13 +58,17 @@ def best_strand(seq: Column, columns: list[dict[str, float]]) -> Column:
 
 
 def scan(seqs: DataFrame, columns: list[dict[str, float]], cutoff: float, seq: str = "seq") -> DataFrame:
-    """Other columns of seqs, pos (from 0), strand, score of every window of either strand at cutoff or above."""
-    width = len(columns)
+    """Other columns of seqs, pos (from 0), strand, score of every window of either strand at cutoff or above.
+
+    The other strand is scored by the mirrored matrix, added up from its own first base on; windows under the cutoff on both strands go before strands are rows.
+    """
     keep = [c for c in seqs.columns if c != seq]
-    windows = seqs.select(*keep, F.posexplode(kmers(F.col(seq), width)).alias("pos", "_w"))
-    both = windows.withColumn("_s", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("_w").alias("w")), F.struct(F.lit("-").alias("strand"), revcomp(F.col("_w")).alias("w")))))
-    scored = both.select(*keep, "pos", "_s.strand", literal_score(F.col("_s.w"), columns).alias("score"))
-    return scored.where(F.col("score") >= cutoff)
+    complement = dict(zip("ACGTacgt", "TGCATGCA", strict=True))
+    found = windows(seqs, len(columns), seq, mirrored=complement)
+    scored = found.select(*keep, "pos", literal_score(F.col("w"), columns).alias("_f"), literal_score(F.col("m"), columns, upper=False).alias("_r"))
+    both = scored.where((F.col("_f") >= cutoff) | (F.col("_r") >= cutoff))
+    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("_f").alias("score")), F.struct(F.lit("-").alias("strand"), F.col("_r").alias("score")))
+    return both.select(*keep, "pos", F.explode(strands).alias("_s")).select(*keep, "pos", "_s.strand", "_s.score").where(F.col("score") >= cutoff)
 
 
 def hits_above(hits: DataFrame, cutoff: float | None) -> DataFrame:
@@ -119,16 +133,31 @@ def oriented_hits(peaks: DataFrame, hits: DataFrame, window: int, reference: str
     return pairs.join(ref, key).join(per, key).select(key, "class", "matrix", F.when(F.col("_strand") == "-", -F.col("offset")).otherwise(F.col("offset")).alias("offset"))
 
 
+#: Bases by their place in the order A, T, G, C, other symbols as N, and each one's complement.
+ORDERED = ("ATGCatgc", "01230123")
+OPPOSITE = {"0": "1", "1": "0", "2": "3", "3": "2"}
+
+
+def _canonical_windows(seqs: DataFrame, keep: list[str], k: int, seq: str) -> DataFrame:
+    """keep, pos, code: each k-mer without other symbols than ACGT by the lesser code of both strands."""
+    coded = F.translate(F.regexp_replace(seq, "[^ACGTacgt]", "N"), *ORDERED)
+    found = windows(seqs.select(*keep, coded.alias(seq)), k, seq, mirrored=OPPOSITE)
+    return found.where(~F.contains("w", F.lit("N"))).select(*keep, "pos", F.least("w", "m").alias("code"))
+
+
+def _decoded(code: str) -> Column:
+    return F.translate(code, "0123", "ATGC").alias("kmer")
+
+
 def kmer_profile(seqs: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
-    """key, kmer, n: canonical k-mers; those with other symbols than ACGT are skipped."""
-    found = seqs.select(key, F.explode(kmers(F.upper(F.col(seq)), k)).alias("kmer")).where(acgt_only(F.col("kmer")))
-    return found.groupBy(key, canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    """key, kmer, n: canonical k-mers; those with other symbols than ACGT are skipped. Codes are counted, what is left is decoded."""
+    return _canonical_windows(seqs, [key], k, seq).groupBy(key, "code").agg(F.count("*").alias("n")).select(key, _decoded("code"), "n")
 
 
 def kmer_positions(seqs: DataFrame, key: str, k: int, width: int, seq: str = "seq") -> DataFrame:
     """kmer, key, bin: which canonical k-mers start in which stretch of width bases."""
-    found = seqs.select(key, F.posexplode(kmers(F.upper(F.col(seq)), k)).alias("pos", "kmer")).where(acgt_only(F.col("kmer")))
-    return found.select(canonical(F.col("kmer")).alias("kmer"), key, F.floor(F.col("pos") / width).cast("long").alias("bin")).distinct()
+    found = _canonical_windows(seqs, [key], k, seq).select("code", key, F.floor(F.col("pos") / width).cast("long").alias("bin")).distinct()
+    return found.select(_decoded("code"), key, "bin")
 
 
 def cooccurrence(positions: DataFrame, key: str, cells: int, targets: DataFrame) -> DataFrame:

@@ -15,10 +15,13 @@ BIN = 1 << 16
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a private one only where none is set."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; a private one only in local mode where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -44,3 +47,11 @@ def running_max(df: DataFrame, part: list[str], order: list, pos: str, value: Co
     local = Window.partitionBy(*part, "_bin").orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.join(carry, [*part, "_bin"])
     return rows.withColumn(name, F.greatest("_carry", F.max("_value").over(local))).drop("_bin", "_value", "_carry")
+
+
+def next_value(df: DataFrame, part: list[str], pos: str, name: str, width: int = BIN) -> DataFrame:
+    """Adds name: pos of the next row of the part, null for the last; the last row of a bin takes the next bin's first."""
+    df, firsts, _ = _carried(df, part, pos, F.min(pos), width)
+    after = firsts.select(*part, "_bin", F.lead("_total").over(Window.partitionBy(*part).orderBy("_bin")).alias("_following"))
+    local = Window.partitionBy(*part, "_bin").orderBy(pos)
+    return df.join(after, [*part, "_bin"]).withColumn(name, F.coalesce(F.lead(pos).over(local), "_following")).drop("_bin", "_following")

@@ -1,4 +1,4 @@
-"""Queries over alignments, genes, domain rates, tracks and the simulation."""
+"""Queries over alignments, genes, domain rates, tracks and points."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import genes as G
-from ..operators import simulation as Z
+from ..operators import points as Z
 from ..streaming import events as E
 from .registry import registry
 from .views import view
@@ -287,23 +287,6 @@ def pairwise_distance(spark, d):
     return Z.pair_distances(e, 0.05).withColumn("mean", F.round("mean", 9))
 
 
-@query("select event_id, round(1 / (1 + exp(-2.0::double * (-(value / 100) - 0.5))), 9) as tumble, round(3.141592653589793::double / (1 + exp(2.0::double * (-(value / 100) - 0.5))), 9) as angle from events")
-def response_functions(spark, d):
-    c = F.col("value") / 100
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(Z.tumble_probability(c, 2.0, 0.5), 9).alias("tumble"), F.round(Z.angle_limit(c, 2.0, 0.5), 9).alias("angle"))
-
-
-@query()
-def arena_grid(spark, d):
-    return Z.field_grid(spark, 50, 40, 5, sources(spark))
-
-
-@query()
-def simulation(spark, d):
-    s = spark.createDataFrame([(25.0, 25.0, 10.0, 5.0, 5.0)], "x double, y double, a double, sx double, sy double")
-    return Z.simulate(Z.start_agents(spark, 50, 50.0), s, 12, 50.0, every=4)
-
-
 def shown(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 

@@ -6,6 +6,8 @@ Each parser takes lines, a DataFrame with a string column `value`, so that it wo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -269,3 +271,55 @@ def parse_mapper_report(pieces: DataFrame) -> DataFrame:
     span = r"genome \S+?:([\d,]+)\.\.([\d,]+)"
     number = lambda k: F.replace(F.regexp_extract("value", span, k), F.lit(","), F.lit("")).cast("long")
     return rows.select(F.regexp_extract("value", r"^>?(\S+)", 1).alias("name"), get(r"TEMPLATE:\s*(\S+)").alias("template"), get(r"DIRECTION:\s*(\S+)").alias("direction"), get(r"cDNA direction:\s*(\S+)").alias("cdna"), get(at).alias("chr"), number(1).alias("start"), number(2).alias("end"), get(r"Percent identity:\s*([\d.]+)").cast("double").alias("identity"))
+
+
+def mercator_species(blocks: DataFrame) -> DataFrame:
+    """block, species (sorted array), places (species to chr, start, end, strand) of parse_mercator()'s rows; species without a place are left out."""
+    each = F.array_sort(F.collect_list(F.struct("species", "chr", "start", "end", "strand")))
+    found = blocks.where("chr is not null").groupBy("block").agg(each.alias("_all"))
+    return found.select("block", F.transform("_all", lambda x: x["species"]).alias("species"), F.map_from_entries(F.transform("_all", lambda x: F.struct(x["species"], x))).alias("places"))
+
+
+def stage(stages: DataFrame, name: str, chrs: list | None = None) -> DataFrame:
+    """chr, strand, loc, val of one stage of a count store, of some chromosomes if given: partitions that it doesn't name aren't read."""
+    out = stages.where(F.col("stage") == name)
+    return (out if chrs is None else out.where(F.col("chr").isin(chrs))).drop("stage")
+
+
+def of_species(block: DataFrame, species: list) -> DataFrame:
+    """Rows of those species; fails at run time for one that the alignment lacks."""
+    found = block.where(F.col("species").isin(species)).select("species").distinct().agg(F.count("*").alias("_n"))
+    known = F.assert_true(F.col("_n") == len(set(species)), "the alignment lacks a species").isNull()
+    return block.where(F.col("species").isin(species)).join(F.broadcast(found)).where(known).drop("_n")  # one row
+
+
+def parse_newick(trees: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, node, parent, length of each node of Newick texts; the root has no parent, nodes without a name are called by their number."""
+    kind = dict(trees.dtypes)[key]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(k, *edge) for k, t in zip(frame[key], frame[text], strict=True) for edge in newick_edges(t)]
+            yield pd.DataFrame(rows, columns=[key, "node", "parent", "length"])
+
+    return trees.select(key, text).mapInPandas(run, f"{key} {kind}, node string, parent string, length double")
+
+
+def newick_edges(text: str) -> list[tuple[str, str | None, float | None]]:
+    """(node, parent, length): children come before their parents."""
+    out: list[tuple[str, str | None, float | None]] = []
+    open_: list[list[int]] = [[]]
+    for token in re.finditer(r"\(|\)?\s*([^(),:;]*)(?::\s*([-+.\deE]+))?\s*[,;]?", text):
+        part = token[0]
+        if part == "(":
+            open_.append([])
+        elif part:
+            children = open_.pop() if part.startswith(")") else []
+            name = token[1].strip() or str(len(out))
+            for i in children:
+                out[i] = (out[i][0], name, out[i][2])
+            open_[-1].append(len(out))
+            out.append((name, None, float(token[2]) if token[2] else None))
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import next_value, running_sum
+
 
 def bed(hits: DataFrame) -> DataFrame:
     """chr, value: chr, start, end, name, score, strand and ln_p where there is one, by tabs."""
@@ -42,8 +44,7 @@ def fixed_wig(signal: DataFrame, parity: bool = False, exclude: tuple = ()) -> D
     first = rows.agg(F.min("chr").alias("c"))
     lead = rows.join(F.broadcast(first), F.col("chr") == F.col("c")).select("chr", "loc").distinct().orderBy("loc").limit(2).collect()
     step = lead[1]["loc"] - lead[0]["loc"] if len(lead) > 1 else 1
-    by = Window.partitionBy("chr").orderBy("loc")
-    placed = rows.withColumns({"n": F.row_number().over(by), "_last": F.lead("loc").over(by).isNull()})
+    placed = running_sum(next_value(rows, ["chr"], "loc", "_next"), ["chr"], [], "loc", F.lit(1), "n").withColumn("_last", F.col("_next").isNull())
     if parity:
         lost = F.col("_last") | ((F.col("chr") == lead[0]["chr"]) & (F.col("n") == 1)) if lead else F.lit(False)
         placed = placed.where(~lost)
@@ -97,10 +98,34 @@ def append_new(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def mixed_fastq(a: DataFrame, b: DataFrame, share: float, n: int, seed: int = 1) -> DataFrame:
     """i, name, seq, qual: n draws, from a with that chance, each side taken in the order of name; a side that ran out gives nulls."""
     from ..operators.coverage import with_rank
-    from ..operators.ordered import running_sum
 
     u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)
     draws = a.sparkSession.range(n).select(F.col("id").alias("i"), F.when(u <= share, 0).otherwise(1).alias("side"))
     draws = running_sum(draws, ["side"], [], "i", F.lit(1), "rank")
     both = with_rank(a, F.col("name"), "name").withColumn("side", F.lit(0)).unionByName(with_rank(b, F.col("name"), "name").withColumn("side", F.lit(1)))
     return draws.join(both, ["side", "rank"], "left").select("i", "name", "seq", "qual")
+
+
+def with_new_ids(table: DataFrame, names: DataFrame, name: str, id_: str = "id") -> DataFrame:
+    """table (id, name) and a row for each name that it lacks, numbered on in the order of names: what a get-or-create of keys leaves."""
+    from ..operators.coverage import with_rank
+
+    fresh = append_new(names.select(name).distinct(), table, name)
+    last = table.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_last"))
+    numbered = with_rank(fresh, F.col(name), name, "_rank").join(F.broadcast(last))  # one row
+    return table.select(id_, name).unionByName(numbered.select((F.col("_last") + F.col("_rank")).alias(id_), name))
+
+
+def count_stages(counts: DataFrame, to: float = 1e6, limit: int = 3) -> DataFrame:
+    """stage (raw, norm, lim), chr, strand, loc, val: what a store keeps of one experiment."""
+    from ..operators.coverage import limit_tags, normalize
+
+    at = ["chr", "strand", "loc"]
+    raw = counts.select(F.lit("raw").alias("stage"), *at, F.col("n").cast("double").alias("val"))
+    norm = normalize(counts, to).select(F.lit("norm").alias("stage"), *at, F.col("norm").alias("val"))
+    return raw.unionByName(norm).unionByName(limit_tags(counts, limit).select(F.lit("lim").alias("stage"), *at, F.col("n").cast("double").alias("val")))
+
+
+def write_store(stages: DataFrame, path: str) -> None:
+    """Parquet by stage and chromosome, so that a reader opens only what it names."""
+    stages.write.partitionBy("stage", "chr").parquet(path)

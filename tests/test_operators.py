@@ -12,7 +12,7 @@ from strandspark.operators import coverage as C
 from strandspark.operators import genes as G
 from strandspark.operators import intervals as I
 from strandspark.operators import motif as M
-from strandspark.operators import simulation as Z
+from strandspark.operators import points as Z
 from strandspark.operators.ordered import running_max, running_sum
 
 
@@ -310,13 +310,7 @@ def test_track(spark):
         G.checked_parent(f, F.lit("ACG"), 4).collect()
 
 
-def test_simulation_pieces(spark):
-    h = [2.0, 1.0, 4.0]
-    assert one(spark, Z.memory_ratio(F.array(*[F.lit(x) for x in h]), 1.0)) == pytest.approx(math.log(2) - math.log(7 / 3))
-    assert one(spark, Z.memory_ratio(F.array(*[F.lit(x) for x in h]), 1.0, last_only=True)) == pytest.approx(math.log(2) - math.log(4 / 3))
+def test_kernel_sums(spark):
     points = spark.createDataFrame([(0, 1.0, 0.0)], "k int, x double, y double")
     source = spark.createDataFrame([(0.0, 0.0, 2.0, 0.5, 0.5)], "x double, y double, a double, sx double, sy double")
     assert Z.gaussian_field(points, source, "k").first().field == pytest.approx(2 * math.exp(-1))
-    states = Z.simulate(Z.start_agents(spark, 20, 10.0), source, 3, 10.0, every=2)
-    assert states.count() == 80 and states.where("x < 0 or x > 10 or y < 0 or y > 10").count() == 0
-    assert Z.trajectory(states, 1).count() == 40
