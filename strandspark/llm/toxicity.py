@@ -132,7 +132,7 @@ def without_copies(rows: list[tuple[int, list[str], int]]) -> list[tuple[int, li
 
 
 class _Terms:
-    """Which rows have which terms, as pairs sorted by term: term, row, and the terms' names."""
+    """Which rows have which terms, as pairs: term, row, and the terms' names."""
 
     def __init__(self, rows: list[tuple[int, list[str], int]]) -> None:
         number: dict[str, int] = {}
@@ -144,10 +144,8 @@ class _Terms:
                     of_word[w] = np.array([number.setdefault(t, len(number)) for t in terms_of(w)], np.int32)
             parts.append(np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int32))
         self.names = list(number)
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
-        term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        by = np.argsort(term, kind="stable")
-        self.term, self.row = term[by], row[by]
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
+        self.term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def split(self, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each term over these rows (a mask): how many have it, how surprising its split by y is in nats (below 0: fewer toxic), its odds."""
@@ -245,7 +243,9 @@ def text_score(text: str, words: Scores, bias: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
     found = training_rows(docs, labels, sample).mapInArrow(_terms, "toxic long, words string, hits long")
-    return train([(r[0], r[1].split(), r[2]) for r in sorted(tuple(r) for r in found.toLocalIterator())])  # SAMPLE rows at most
+    rows = sorted(tuple(r) for r in found.toLocalIterator())  # SAMPLE rows of ROW_WORDS words at most
+    same: dict[str, str] = {}  # a word is held once
+    return train([(toxic, [same.setdefault(w, w) for w in words.split()], hits) for toxic, words, hits in rows])
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
