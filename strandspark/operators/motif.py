@@ -68,7 +68,7 @@ def scan(seqs: DataFrame, columns: list[dict[str, float]], cutoff: float, seq: s
     scored = found.select(*keep, "pos", literal_score(F.col("w"), columns).alias("_f"), literal_score(F.col("m"), columns, upper=False).alias("_r"))
     both = scored.where((F.col("_f") >= cutoff) | (F.col("_r") >= cutoff))
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("_f").alias("score")), F.struct(F.lit("-").alias("strand"), F.col("_r").alias("score")))
-    return both.select(*keep, "pos", F.explode(strands).alias("_s")).select(*keep, "pos", "_s.strand", "_s.score").where(F.col("score") >= cutoff)
+    return both.select(*keep, "pos", F.explode(strands).alias("_hit")).select(*keep, "pos", "_hit.strand", "_hit.score").where(F.col("score") >= cutoff)
 
 
 def hits_above(hits: DataFrame, cutoff: float | None) -> DataFrame:
@@ -204,6 +204,42 @@ def regressions(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFr
     return out.select(by, "n", "slope", "intercept", t.alias("t"))
 
 
+def residuals(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
+    """pairs with residual: y less the group's line at x."""
+    line = regressions(pairs, by, x, y).select(by, "slope", "intercept")
+    return pairs.join(line, by).withColumn("residual", F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))).drop("slope", "intercept")
+
+
+def with_p(lines: DataFrame) -> DataFrame:
+    """regressions()' rows with p, the chance of so steep a slope either way: Student's t of n - 2 degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def two_sided(t: pd.Series, n: pd.Series) -> pd.Series:
+        free = np.maximum(n.to_numpy(float) - 2, 1)
+        return pd.Series(incomplete_beta(free / 2, np.full(len(free), 0.5), free / (free + t.to_numpy(float) ** 2)))
+
+    return lines.withColumn("p", F.when(F.col("t").isNotNull(), two_sided("t", "n")))
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, over arrays; nan stays nan."""
+    flip = x > (a + 1) / (a + b + 2)  # the fraction settles fast on the other side
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    z = np.clip(z, 1e-300, 1 - 1e-16)
+    gamma = np.array([math.lgamma(i + j) - math.lgamma(i) - math.lgamma(j) for i, j in zip(p, q, strict=True)])
+    front = np.exp(gamma + p * np.log(z) + q * np.log1p(-z)) / p
+    c, d = np.ones_like(z), 1 / (1 - (p + q) * z / (p + 1))
+    h = d.copy()
+    for m in range(1, 300):
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / (1 + step * d)
+            c = 1 + step / c
+            h = h * d * c
+        if np.nanmax(np.abs(c * d - 1), initial=0) < 1e-15:
+            break
+    return np.where(flip, 1 - front * h, front * h)
+
+
 def ranks(rows: DataFrame, by: Column, key: str) -> DataFrame:
     """rows with rank from 0, least first, ties by key."""
     from .coverage import with_rank
