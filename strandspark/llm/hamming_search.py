@@ -29,11 +29,12 @@ FOUND = pa.schema([("query", pa.int64()), ("code", pa.int64()), ("distance", pa.
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """vec_id, code: bit i is 1 where component i is positive; nulls count as not positive, components past 64 are left out. Null ids and null vectors have no code."""
-    bits = F.transform(F.slice("embedding", 1, BITS), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    """vec_id, code: bit i is 1 where component i is positive; nulls count as not positive. Null ids and null vectors have no code; a vector of more than 64 components fails, as its code would be that of a prefix."""
+    bits = F.transform("embedding", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
     shifted = F.transform(bits, lambda x, i: F.call_function("shiftleft", x, i))
     code = F.aggregate(shifted, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    return vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), code.alias("code"))
+    short = F.when(F.size("embedding") > BITS, F.raise_error(F.lit(f"vectors have more than {BITS} components"))).otherwise(code)
+    return vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), short.cast("long").alias("code"))
 
 
 def _segments(m: int) -> list[tuple[int, int]]:

@@ -390,6 +390,8 @@ def test_sign_codes(spark):
     rows = [(0, [1.0, -1.0, 0.0, 2.0]), (1, None), (None, [1.0]), (2, [])]
     got = hamming_search.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert {tuple(r) for r in got} == {(0, 9), (2, 0)}
+    with pytest.raises(Exception, match="more than 64"):
+        hamming_search.sign_codes(spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>")).collect()
 
 
 def test_mixing(docs, rows, empty):
@@ -574,6 +576,13 @@ def test_fixity(spark):
     assert warc_fixity.audit(good, good.limit(0)).where("status = 'missing'").count() == good.count()
 
 
+def test_fixity_spreads_records_without_an_id(spark):
+    pages = spark.createDataFrame([(None, f"u{k}", "x" * k) for k in range(300)], "page_id long, url string, html string")
+    good = warc_fixity.index(warc_fixity.records(pages))
+    assert good.select("file").distinct().count() > 200 and good.agg(F.max("file")).first()[0] < 0
+    assert warc_fixity.audit(good, warc_fixity.damaged(pages)).count() == 0
+
+
 def test_fixity_offsets_are_those_of_a_file(spark):
     pages = spark.createDataFrame(PAGES[:50], "page_id long, url string, html string")
     rows = warc_fixity.records(pages).orderBy("page_id").collect()
