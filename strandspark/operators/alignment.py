@@ -158,6 +158,41 @@ def lift_intervals(cols: DataFrame, parts: DataFrame, source, target, key: str =
     return hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block")).agg(F.min("r_to").alias("t_s"), F.max("r_to").alias("t_e"), F.count("*").alias("n"))
 
 
+def part_columns(cols: DataFrame, parts: DataFrame, species, key: str = "pid", most: int | None = None) -> DataFrame:
+    """key, block, lo, hi, status: the columns from the first to the last base of the species' parent that a part (key, block, s, e inclusive) has.
+
+    status: unmapped where either end isn't in the block, wide where the columns are more than `most` times the part, else ok. Parts without any base have no row.
+    """
+    bases = cols.where((F.col("species") == species) & F.col("parent").isNotNull())
+    points = bases.select(F.col("block").alias("chr"), F.col("parent").alias("s"), F.col("parent").alias("e"), "col")
+    hit = interval_join(parts.select(key, F.col("block").alias("chr"), "s", "e"), points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")), width=256)
+    span = hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block"), "l_s", "l_e").agg(F.min("r_col").alias("lo"), F.max("r_col").alias("hi"), F.min("r_s").alias("_a"), F.max("r_s").alias("_b"))
+    wide = F.col("hi") - F.col("lo") + 1 > most * (F.col("l_e") - F.col("l_s") + 1) if most else F.lit(False)
+    status = F.when((F.col("_a") > F.col("l_s")) | (F.col("_b") < F.col("l_e")), "unmapped").when(wide, "wide").otherwise("ok")
+    return span.select(key, "block", "lo", "hi", status.alias("status"))
+
+
+def trimmed(cols: DataFrame, spans: DataFrame, key: str = "pid", species: list | None = None) -> DataFrame:
+    """key, block, species, seq, p_start, p_end, strand: all rows of the blocks cut to columns lo to hi of each span; the strand follows from the order of parent places, a row of gaps has none.
+
+    species: those that must be there; one that a block lacks comes as gaps.
+    """
+    points = cols.select(F.col("block").alias("chr"), F.col("col").alias("s"), F.col("col").alias("e"), "species", "base", "parent")
+    ranges = spans.select(key, F.col("block").alias("chr"), F.col("lo").alias("s"), F.col("hi").alias("e"))
+    inside = interval_join(ranges, points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")), width=256)
+    parts = F.array_sort(F.collect_list(F.struct("r_s", "r_base")))
+    at = F.when(F.col("r_parent").isNotNull(), F.col("r_s"))
+    out = inside.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block"), F.col("r_species").alias("species")).agg(
+        F.array_join(F.transform(parts, lambda x: x["r_base"]), "").alias("seq"), F.min("r_parent").alias("p_start"), F.max("r_parent").alias("p_end"),
+        F.when(F.min_by("r_parent", at) > F.max_by("r_parent", at), "-").when(F.count("r_parent") > 0, "+").alias("strand"),
+    )
+    if species is None:
+        return out
+    every = spans.select(key, "block", (F.col("hi") - F.col("lo") + 1).alias("_n"), F.explode(F.array(*[F.lit(x) for x in species])).alias("species"))
+    filled = F.coalesce("seq", F.repeat(F.lit("-"), F.col("_n").cast("int")))
+    return every.join(out, [key, "block", "species"], "left").withColumn("seq", filled).drop("_n")
+
+
 def unlifted(targets: DataFrame, lifted: DataFrame, key: str = "pid") -> DataFrame:
     return targets.join(lifted.select(key).distinct(), key, "left_anti")
 

@@ -263,21 +263,43 @@ def benjamini_hochberg(rows: DataFrame, fdr: float, key: str, p: str = "p") -> D
     return placed.join(F.broadcast(last)).where(F.col("rank") <= F.col("_last")).drop("_last")  # one row
 
 
+def _stretch_scores(text: Column, columns: list[dict[str, float]], least: int) -> list[list[Column]]:
+    """By width from least on: scores of all stretches of the text so wide laid over all places of the matrix."""
+    k = len(columns)
+    places = lambda width: [(at, z) for at in range(k - width + 1) for z in range(k - width + 1)]
+    return [[literal_score(F.substring(text, z + 1, width), columns[at : at + width]) for at, z in places(width)] for width in range(least, k + 1)]
+
+
 def subseq_scores(kmer_list: DataFrame, columns: list[dict[str, float]], least: int = 5) -> DataFrame:
-    """kmer, total, most: over all stretches of least to k bases of a k-mer laid over all places of the matrix, on the better strand."""
-    k_max = len(columns)
-
-    def side(text: Column) -> tuple[Column, Column]:
-        scores = []
-        for width in range(least, k_max + 1):
-            for at in range(k_max - width + 1):
-                for z in range(k_max - width + 1):
-                    scores.append(literal_score(F.substring(text, z + 1, width), columns[at : at + width]))
-        a = F.array(*scores)
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), F.array_max(a)
-
-    (fs, fm), (rs, rm) = side(F.col("kmer")), side(revcomp(F.col("kmer")))
-    return kmer_list.select("kmer", F.greatest(fs, rs).alias("total"), F.greatest(fm, rm).alias("most"))
+    """kmer, total, most, widths: over all stretches of least to k bases of a k-mer laid over all places of the matrix, on the better strand; widths holds the most of each width."""
+    sides = []
+    for text in (F.col("kmer"), revcomp(F.col("kmer"))):
+        scores = _stretch_scores(text, columns, least)
+        flat = F.array(*[x for some in scores for x in some])
+        total = F.aggregate(flat, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+        sides.append((total, F.array_max(flat), F.array(*[F.array_max(F.array(*some)) for some in scores])))
+    (fs, fm, fw), (rs, rm, rw) = sides
+    return kmer_list.select("kmer", F.greatest(fs, rs).alias("total"), F.greatest(fm, rm).alias("most"), F.zip_with(fw, rw, lambda a, b: F.greatest(a, b)).alias("widths"))
+
+
+def matrix_scores(kmer_list: DataFrame, matrices: dict[str, list[dict[str, float]]], least: int = 5) -> DataFrame:
+    """matrix, kmer, total_rank, share, most_rank, width_rank of k-mers under each matrix: ranks from 0 of the summed and of the greatest score, the sum scaled from 0 to 1, the greatest of the ranks by width.
+
+    Each matrix ranks its at most 4^k k-mers; ties go by k-mer.
+    """
+    out = None
+    for name, columns in matrices.items():
+        rows = subseq_scores(kmer_list, columns, least)
+        n = len(columns) - least + 1
+        rows = rows.select(F.lit(name).alias("matrix"), "*")
+        rank = lambda c: F.row_number().over(Window.partitionBy("matrix").orderBy(c, "kmer")) - 1
+        everything = Window.partitionBy("matrix")
+        low, high = F.min("total").over(everything), F.max("total").over(everything)
+        widths = [rank(F.get("widths", k)) for k in range(n)]
+        best = F.greatest(*widths) if n > 1 else widths[0]
+        rows = rows.select("matrix", "kmer", rank("total").alias("total_rank"), F.when(high > low, (F.col("total") - low) / (high - low)).otherwise(F.lit(0.0)).alias("share"), rank("most").alias("most_rank"), best.alias("width_rank"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def permutation_null(pairs: DataFrame, by: str, rounds: int = 1000, seed: int = 1) -> DataFrame:

@@ -260,7 +260,10 @@ def power_set(spark, d):
     return G.species_subsets(spark, ["mel", "yak", "ana", "pse", "vir"])
 
 
-@query()
+@query("""with recursive nodes(node, parent, length) as (values ('root', null, 0.0::double), ('in', 'root', 1.0), ('mel', 'in', 0.2), ('yak', 'in', 0.3), ('pse', 'root', 1.5)),
+  subsets(subset, leaf) as (values ('mel', 'mel'), ('yak', 'yak'), ('pse', 'pse'), ('mel,yak', 'mel'), ('mel,yak', 'yak'), ('mel,pse', 'mel'), ('mel,pse', 'pse'), ('pse,yak', 'pse'), ('pse,yak', 'yak'), ('mel,pse,yak', 'mel'), ('mel,pse,yak', 'pse'), ('mel,pse,yak', 'yak')),
+  up(subset, node) as (select subset, leaf from subsets union select subset, parent from up join nodes using (node) where parent is not null)
+  select subset, node, parent, length from up join nodes using (node)""")
 def pruned_trees(spark, d):
     nodes = spark.createDataFrame([("root", None, 0.0), ("in", "root", 1.0), ("mel", "in", 0.2), ("yak", "in", 0.3), ("pse", "root", 1.5)], "node string, parent string, length double")
     return G.pruned_trees(nodes, G.species_subsets(spark, ["mel", "yak", "pse"]))
@@ -287,6 +290,34 @@ def pairwise_distance(spark, d):
     return Z.pair_distances(e, 0.05).withColumn("mean", F.round("mean", 9))
 
 
+PARTS = "t as (select block * 10 + k as pid, block, p_start + 50 + k * 100 as s, p_start + 129 + k * 100 as e from (select block, p_start, unnest([0, 1, 2]) as k from aligned where species = 0) a)"
+SPANS = "e as (select t.pid, p.block, t.s, t.e, min(col) as lo, max(col) as hi, min(parent) as a, max(parent) as b from t join p on p.block = t.block and p.species = 0 and p.parent between t.s and t.e group by 1, 2, 3, 4)"
+CUT = """select e.pid, p.block, p.species, string_agg(base, '' order by col) as seq, min(parent) as p_start, max(parent) as p_end,
+  case when arg_min(parent, col) filter (parent is not null) > arg_max(parent, col) filter (parent is not null) then '-' when count(parent) > 0 then '+' end as strand from e join p on p.block = e.block and p.col between e.lo and e.hi"""
+
+
+def parts(spark, d):
+    starts = block(spark, d).where("species = 0").select("block", "p_start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    return starts.selectExpr("block * 10 + k as pid", "block", "p_start + 50 + k * 100 as s", "p_start + 129 + k * 100 as e")
+
+
+@query(f"with {COLS}, {PARTS}, {SPANS} select pid, block, lo, hi, case when a > s or b < e then 'unmapped' when hi - lo + 1 > 1.1 * (e - s + 1) then 'wide' else 'ok' end as status from e")
+def slice_columns_of_parts(spark, d):
+    return A.part_columns(cols(spark, d), parts(spark, d), 0, most=1.1)
+
+
+@query(f"with {COLS}, {PARTS}, {SPANS} {CUT} group by 1, 2, 3")
+def trimmed_blocks(spark, d):
+    return A.trimmed(cols(spark, d), A.part_columns(cols(spark, d), parts(spark, d), 0))
+
+
+@query(f"""with {COLS}, {PARTS}, {SPANS}, x as ({CUT} and p.species != p.block % 3 + 2 group by 1, 2, 3), y as (select pid, block, hi - lo + 1 as n, unnest([0, 2, 3, 4])::int as species from e)
+  select y.pid, y.block, y.species, coalesce(x.seq, repeat('-', y.n)) as seq, p_start, p_end, strand from y left join x on x.pid = y.pid and x.species = y.species""")
+def trimmed_blocks_filled(spark, d):
+    c = cols(spark, d)
+    return A.trimmed(c.where("species != block % 3 + 2"), A.part_columns(c, parts(spark, d), 0), species=[0, 2, 3, 4])
+
+
 def shown(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 

@@ -257,7 +257,35 @@ def likelihood_ratio(spark, d):
     return M.likelihood_ratio(rows).select(F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+def sql_stretches(columns: list[dict[str, float]], least: int = 5) -> str:
+    """x rows (kmer) to y rows (kmer, total, most, one column w a width) over both strands, the better of each."""
+    k = len(columns)
+
+    def scored(text: str, z: int, at: int, width: int) -> str:
+        return "(" + " + ".join(f"case substr({text}, {z + j + 1}, 1) " + " ".join(f"when '{b}' then {v}::double" for b, v in columns[at + j].items()) + " end" for j in range(width)) + ")"
+
+    by_width = lambda text: [[scored(text, z, at, w) for at in range(k - w + 1) for z in range(k - w + 1)] for w in range(least, k + 1)]
+    f, r = by_width("kmer"), by_width("rc")
+    flat = lambda some: [x for y in some for x in y]
+    top = lambda some: f"greatest({', '.join(some)})" if len(some) > 1 else some[0]
+    widths = ", ".join(f"greatest({top(a)}, {top(b)}) as w{i}" for i, (a, b) in enumerate(zip(f, r, strict=True)))
+    return f"y as (select kmer, greatest({' + '.join(flat(f))}, {' + '.join(flat(r))}) as total, greatest({top(flat(f))}, {top(flat(r))}) as most, {widths} from (select kmer, {RC.format('kmer')} as rc from x) x)"
+
+
+SEEN = f"{KMERS}, x as (select distinct {CANON.format('kmer')} as kmer from k)"
+WIDE = {"m1": MATRIX + MATRIX, "m2": MATRIX[::-1] + MATRIX}
+
+
+@query(f"with {SEEN}, {sql_stretches(WIDE['m1'])} select kmer, total, most from y")
 def kmer_matrix_scores(spark, d):
-    wide = MATRIX + MATRIX
-    return M.subseq_scores(M.kmer_profile(view(spark, d, "seqs"), "doc_id", 6).select("kmer").distinct(), wide)
+    return M.subseq_scores(M.kmer_profile(view(spark, d, "seqs"), "doc_id", 6).select("kmer").distinct(), WIDE["m1"]).drop("widths")
+
+
+RANKED = """select '{n}' as matrix, kmer, row_number() over (order by total, kmer) - 1 as total_rank, round((total - min(total) over ()) / (max(total) over () - min(total) over ()), 9) as share,
+  row_number() over (order by most, kmer) - 1 as most_rank, greatest(row_number() over (order by w0, kmer) - 1, row_number() over (order by w1, kmer) - 1) as width_rank from {y}"""
+
+
+@query(f"with {SEEN}, {sql_stretches(WIDE['m1'])}, {sql_stretches(WIDE['m2']).replace('y as', 'y2 as', 1)} {RANKED.format(n='m1', y='y')} union all {RANKED.format(n='m2', y='y2')}")
+def kmer_matrix_ranks(spark, d):
+    seen = M.kmer_profile(view(spark, d, "seqs"), "doc_id", 6).select("kmer").distinct()
+    return M.matrix_scores(seen, WIDE).withColumn("share", F.round("share", 9))
