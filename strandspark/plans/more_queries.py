@@ -243,3 +243,82 @@ def regression_p(spark, d):
     from .sequence_queries import kmer_signal
 
     return M.with_p(M.regressions(kmer_signal(spark, d), "kmer")).select("kmer", F.round("p", 9).alias("p"))
+
+
+FILES = "s as (select cast(line % 5 as int) as file, chr, loc, count(*)::double as val from tags group by 1, 2, 3)"
+
+
+def by_file(spark, d):
+    return view(spark, d, "tags").groupBy((F.col("line") % 5).cast("int").alias("file"), "chr", "loc").agg(F.count("*").cast("double").alias("val"))
+
+
+@query(f"with {FILES}, t as (select file, sum(sum(val)) over (order by file) as t from s group by file) select file, chr, loc, round(val * 1e6::double / t, 6) as norm from s join t using (file)")
+def normalized_files(spark, d):
+    return C.normalize_files(by_file(spark, d), "file").select("file", "chr", "loc", F.round("norm", 6).alias("norm"))
+
+
+@query(f"with {FILES}, t as (select file, sum(val) as t from s group by file) select file, chr, loc, round(val * 1e6::double / t, 6) as norm from s join t using (file)")
+def normalized_each_file(spark, d):
+    return C.normalize_files(by_file(spark, d), "file", cumulative=False).select("file", "chr", "loc", F.round("norm", 6).alias("norm"))
+
+
+@query("select gid, gid % 17 as score, gid % 13 as suggested from genes where gid % 17 >= gid % 13")
+def hits_above_their_cutoff(spark, d):
+    from ..operators import motif as M
+
+    return M.hits_above(view(spark, d, "genes").selectExpr("gid", "gid % 17 as score", "gid % 13 as suggested"), None)
+
+
+@query("select gid, gid % 17 as score from genes where gid % 17 >= 0")
+def hits_above_zero(spark, d):
+    from ..operators import motif as M
+
+    return M.hits_above(view(spark, d, "genes").selectExpr("gid", "gid % 17 as score"), 0)
+
+
+@query("""with l as (select block, species, i, substr(seq, cast(i + 1 as int), 1) as base from (select block, species, seq, unnest(range(length(seq))) as i from aligned) a)
+  select block, species, cast(row_number() over (partition by block, species order by i) - 1 as int) as u, cast(i as int) as col from l where base != '-'""")
+def gap_map_columns(spark, d):
+    from ..functions import sequence as S
+
+    return view(spark, d, "aligned").select("block", "species", F.posexplode(S.gap_map(F.col("seq"))).alias("u", "col"))
+
+
+@query("select doc_id, 'x' || doc_id || '.tar' as base from seqs")
+def base_names(spark, d):
+    from ..functions import sequence as S
+
+    return view(spark, d, "seqs").select("doc_id", S.base_name(F.concat(F.lit("/a/b.c/x"), "doc_id", F.lit(".tar.gz"))).alias("base"))
+
+
+@query("""with z as (select chr, max(gid) as length from genes group by chr) select chr, unnest(['+', '-']) as strand, loc, 0 as n from (select chr, unnest(range(0, length, 7)) as loc from z) x""")
+def empty_counts(spark, d):
+    sizes = view(spark, d, "genes").groupBy("chr").agg(F.max("gid").alias("length"))
+    return C.scaffold(sizes, 7)
+
+
+@query("select chr, s + k as loc, gid as val from (select chr, s, gid, unnest(range(4)) as k from genes) g")
+def expanded_steps(spark, d):
+    return C.expand_steps(view(spark, d, "genes").selectExpr("chr", "s as loc", "gid as val"), 4)
+
+
+@query("""select chr, line, last_value(case when line % 5 = 1 then loc end ignore nulls) over (partition by chr order by line rows unbounded preceding) as carried from (select chr, line, min(loc) as loc from tags group by 1, 2) t""")
+def carried_values(spark, d):
+    from ..sources.readers import forward_filled
+
+    rows = view(spark, d, "tags").groupBy("chr", "line").agg(F.min("loc").alias("loc")).selectExpr("chr", "chr as file", "line div 1000 as block", "line", "loc")
+    return forward_filled(rows, F.when(F.col("line") % 5 == 1, F.col("loc")), "carried").select("chr", "line", "carried")
+
+
+@query("""select block, species, 40 as columns, length(substr(seq, 11, 40)) - length(replace(substr(seq, 11, 40), 'A', '')) as n_a from aligned where length(seq) >= 50""")
+def function_of_slices(spark, d):
+    import pandas as pd
+
+    from ..operators import alignment as A
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby(["block", "species"])["base"].agg(columns="size", n_a=lambda b: int((b == "A").sum())).reset_index()
+
+    blocks = view(spark, d, "aligned").where("length(seq) >= 50")
+    parts = blocks.select("block").distinct().selectExpr("block as pid", "block", "10 as lo", "49 as hi")
+    return A.apply_to_slices(A.columns(blocks), parts, counted, "block long, species int, columns int, n_a int")
