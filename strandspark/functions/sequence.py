@@ -15,6 +15,8 @@ AMINO_NAMES = {
     "L": ("Leu", "Leucine"), "K": ("Lys", "Lysine"), "M": ("Met", "Methionine"), "F": ("Phe", "Phenylalanine"), "P": ("Pro", "Proline"),
     "S": ("Ser", "Serine"), "T": ("Thr", "Threonine"), "W": ("Trp", "Tryptophan"), "Y": ("Tyr", "Tyrosine"), "V": ("Val", "Valine"), "*": ("***", "Stop"),
 }
+#: What the three stop codons are called. Fixed values.
+STOP_NAMES = {"TAA": "Stop (Ochre)", "TAG": "Stop (Amber)", "TGA": "Stop (Opal)"}
 #: Bases in the order in which variants and k-mers are listed. Fixed value.
 LISTED = "ATGC"
 CODONS = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
@@ -25,6 +27,12 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
+def codon_name(codon: Column) -> Column:
+    """The full name of a codon's amino acid, stop codons by their own names; null for no codon."""
+    names = {c: STOP_NAMES.get(c, AMINO_NAMES[a][1]) for c, a in CODONS.items()}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), codon)
+
+
 def slice_(seq: Column, start: int | None, end: int | None) -> Column:
     """1-based, both ends included; 0 or None: from the first base, to the last."""
     return F.substring(seq, F.lit(start or 1), F.greatest(F.lit(0), (F.lit(end) if end else F.length(seq)) - (start or 1) + 1))

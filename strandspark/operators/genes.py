@@ -137,11 +137,11 @@ def gene_lanes(genes: DataFrame, step: float = 0.11) -> DataFrame:
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, float]] = []
         for _, island in rows.sort_values(["s", "e", "gid"]).groupby("run"):
-            placed: list[tuple[int, int, float]] = []
+            placed: list[tuple[int, float]] = []
             for r in island.itertuples(index=False):
-                over = [p for p in placed if p[0] <= r.e and p[1] >= r.s]
-                placed.append((r.s, r.e, over[-1][2] + step if over else 0.0))
-                out.append((r.gid, placed[-1][2]))
+                placed = [p for p in placed if p[0] >= r.s]  # starts only rise: the others reach no later gene
+                placed.append((r.e, placed[-1][1] + step if placed else 0.0))
+                out.append((r.gid, placed[-1][1]))
         return pd.DataFrame(out, columns=["gid", "lane"])
 
     rows = running_max(genes.select("chr", "s", "e", "gid"), ["chr"], ["e", "gid"], "s", F.col("e"), "_reach")

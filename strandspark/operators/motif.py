@@ -172,7 +172,11 @@ def cooccurrence(positions: DataFrame, key: str, cells: int, targets: DataFrame)
 
     @F.pandas_udf("double")
     def tail(both: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(x), cells, i / cells * (j / cells)) for x, i, j in zip(both, n_a, n_b, strict=True)])
+        chance = {}  # few different triples among many pairs
+        for key in zip(both.tolist(), n_a.tolist(), n_b.tolist(), strict=True):
+            if key not in chance:
+                chance[key] = binomial_tail(key[0], cells, key[1] / cells * (key[2] / cells))
+        return pd.Series([chance[k] for k in zip(both.tolist(), n_a.tolist(), n_b.tolist(), strict=True)])
 
     return pairs.select("a", "b", "n_a", "n_b", "both", tail("both", "n_a", "n_b").alias("p"))
 

@@ -69,6 +69,14 @@ def variant_classes(spark, d):
     return S.classified_variants(all_codons(spark), "codon")
 
 
+NAMES = ", ".join(f"('{a}', '{n[1]}')" for a, n in S.AMINO_NAMES.items())
+
+
+@query(f"""with {CODE_TABLE}, n(aa, name) as (values {NAMES}) select codon, case codon when 'TAA' then 'Stop (Ochre)' when 'TAG' then 'Stop (Amber)' when 'TGA' then 'Stop (Opal)' else name end as name from code join n using (aa)""")
+def codon_names(spark, d):
+    return all_codons(spark).select("codon", S.codon_name(F.col("codon")).alias("name"))
+
+
 @query("""with c as (select doc_id, i as index, substr(seq, cast(i * 3 + 1 as int), 3) as codon from (select *, unnest(range(length(seq) // 3)) as i from seqs)),
   p as (select *, case when substr(codon, 1, 1) != 'A' and substr(codon, 2, 2) = 'TG' then 1 when substr(codon, 2, 1) != 'T' and substr(codon, 1, 1) = 'A' and substr(codon, 3, 1) = 'G' then 2
     when substr(codon, 3, 1) != 'G' and substr(codon, 1, 2) = 'AT' then 3 end as place from c) select doc_id, cast(index as int) as index, codon, cast(place as int) as place from p where place is not null""")
