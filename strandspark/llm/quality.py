@@ -74,6 +74,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
     rows = with_hashes(keyed(docs))
     three = F.zip_with(_head(F.col("two")), _tail(F.col("one"), 2), lambda a, b: F.xxhash64(a, b))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    # one reference to the constant array: each is a copy in every task
     summed = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.get(ratio, bucket(h)))
     rows = rows.select(
         "doc_id",
@@ -82,15 +83,15 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         three.alias("three"),
-        ((summed("one") + summed("two")) / F.greatest(F.size("one") + F.size("two"), F.lit(1))).alias("ratio"),
+        (summed(F.concat("one", "two")) / F.greatest(F.size("one") + F.size("two"), F.lit(1))).alias("ratio"),
     )
     # three-word windows found twice: neighbours in the order of (hash, place)
     twice = F.size(F.array_distinct("three")) < F.size("three")
-    rows = rows.withColumn("placed", F.when(twice, F.array_sort(F.transform("three", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    rows = rows.withColumn("placed", F.when(twice, F.sort_array(F.transform("three", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     rows = rows.withColumn("same", F.zip_with(_head(F.col("placed")), _tail(F.col("placed")), lambda a, b: a["h"] == b["h"]))
     none = F.array(F.lit(False))
     found = F.zip_with(F.zip_with(F.concat("same", none), F.concat(none, "same"), lambda a, b: a | b), "placed", lambda s, p: F.when(s, p["i"]))
-    rows = rows.withColumn("places", F.array_sort(F.filter(found, lambda p: p.isNotNull())))
+    rows = rows.withColumn("places", F.sort_array(F.filter(found, lambda p: p.isNotNull())))
     steps = F.zip_with(_head(F.col("places")), _tail(F.col("places")), lambda a, b: F.least(F.lit(3), b - a))
     repeated = F.when(F.col("places").isNotNull(), F.aggregate(steps, F.lit(3), lambda s, x: s + x)).otherwise(F.lit(0)).cast("long")
     rows = rows.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated.alias("n_repeat_words"))

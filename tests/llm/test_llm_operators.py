@@ -510,6 +510,24 @@ def test_quality(docs, rows, empty, spark):
     assert all(r.ratio == 0 and r.kept == (not r.base_failed) for r in plain)
 
 
+def test_quality_ratio_is_the_mean_of_log_ratios(docs, rows, spark):
+    ids = set(range(0, 60, 2))
+    long_ = lambda x: x.to_bytes(8, "little")
+    grams = []
+    for i, t, *_ in rows:
+        one = [xxhash.xxh64_intdigest(w, 42) for w in WORD.findall(raw(t))]
+        two = [xxhash.xxh64_intdigest(long_(b), xxhash.xxh64_intdigest(long_(a), 42)) for a, b in zip(one, one[1:], strict=False)]
+        grams.append((i, [h % quality.BUCKETS for h in one + two]))
+    corpus = Counter(b for _, bs in grams for b in bs)
+    target = Counter(b for i, bs in grams if i in ids for b in bs)
+    share = target.total() / corpus.total()
+    value = lambda b: np.log((target[b] + quality.PRIOR) / (corpus[b] * share + quality.PRIOR))
+    want = sorted((key(i), float(np.mean([value(b) for b in bs])) if bs else 0.0) for i, bs in grams)
+    got = sorted((key(r.doc_id), r.ratio) for r in quality.verdicts(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-5)
+
+
 def test_quality_ratio_tells_junk_from_prose(spark):
     rng = random.Random(1)
     prose, junk = [f"w{k}" for k in range(50)], [f"J{k}!" for k in range(50)]
