@@ -28,4 +28,9 @@ QUERIES = {
     "op10_quality": lambda spark, sf_dir: quality.verdicts(documents(spark, sf_dir), quality.trusted_ids(labels(spark, sf_dir))),
 }
 
-SQL: dict[str, str] = {"op1_warc_fixity": warc_fixity.SQL, "op5_hamming_search": hamming_search.SQL}
+SQL: dict[str, str] = {
+    "op1_warc_fixity": warc_fixity.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op5_hamming_search": hamming_search.SQL,
+}

@@ -245,3 +245,23 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int =
     found = matches(docs, window, gram, block).groupBy("doc_id", "hash").agg(F.collect_list("packed").alias("runs"))
     joined = keyed(docs, text_hash().alias("hash")).join(found, ["doc_id", "hash"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", real_id())
+
+
+#: For tables with one row a doc_id, none of them null.
+SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') as words from documents),
+starts as (select doc_id, words, unnest(range(1, greatest(len(words) - 18, 1))) as s from d),
+windows as (select doc_id, s, md5(array_to_string(words[s:s + 19], ' ')) as w from starts),
+again as (select doc_id, s from windows qualify row_number() over (partition by w order by doc_id, s) > 1),
+marked as (select *, coalesce(s - lag(s) over (partition by doc_id order by s) > 20, true)::int as new from again),
+numbered as (select *, sum(new) over (partition by doc_id order by s) as run from marked),
+runs as (select doc_id, run, min(s) as a, max(s) + 19 as b from numbered group by all),
+removed as (select doc_id, sum(b - a + 1) as n, list({'a': a, 'b': b} order by a) as runs from runs group by doc_id),
+whole as (
+  select d.doc_id, words, coalesce(n, 0) as n,
+    list_concat([0], list_transform(coalesce(runs, []), lambda r: r.b)) as ends,
+    list_append(list_transform(coalesce(runs, []), lambda r: r.a), len(words) + 1) as begins
+  from d left join removed using (doc_id)),
+kept as (select *, flatten(list_transform(list_zip(ends, begins), lambda z: words[z[1] + 1:z[2] - 1])) as rest from whole)
+select doc_id, len(words)::bigint as n_words, n::bigint as n_removed, sha256(coalesce(array_to_string(rest, ' '), '')) as kept_sha256 from kept
+"""

@@ -354,3 +354,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     runs = repeats(docs, length, gram).groupBy("doc_id", "hash").agg(F.collect_list(F.expr("shiftleft(cast(start as long), 32) | n")).alias("runs"))
     joined = keyed(docs, text_hash().alias("hash")).join(runs, ["doc_id", "hash"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", real_id())
+
+
+#: For tables with one row a doc_id, none of them null; texts are read as hex in parts of 500 starts.
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select doc_id, k, h[2 * k + 1:2 * k + 1398] as part from (select doc_id, h, unnest(range(0, len(h) // 2, 500)) as k from d)),
+starts as (select doc_id, k, part, unnest(range(1, least(len(part) // 2 - 198, 501))) as s from parts where len(part) >= 400),
+strings as (select doc_id, k + s as s, md5_number(part[2 * s - 1:2 * s + 398]) as w from starts),
+found as (select doc_id, s from strings qualify count(*) over (partition by w) > 1),
+marked as (select *, coalesce(s - lag(s) over (partition by doc_id order by s) > 200, true)::int as new from found),
+numbered as (select *, sum(new) over (partition by doc_id order by s) as run from marked),
+runs as (select doc_id, run, min(s) as a, max(s) + 199 as b from numbered group by all),
+removed as (select doc_id, count(*) as spans, sum(b - a + 1) as n, list({'a': a, 'b': b} order by a) as runs from runs group by doc_id),
+whole as (
+  select d.doc_id, h, coalesce(n, 0) as n, coalesce(spans, 0) as spans,
+    list_concat([0], list_transform(coalesce(runs, []), lambda r: r.b)) as ends,
+    list_append(list_transform(coalesce(runs, []), lambda r: r.a), len(h) // 2 + 1) as begins
+  from d left join removed using (doc_id)),
+kept as (select *, list_transform(list_zip(ends, begins), lambda z: h[2 * z[1] + 1:2 * z[2] - 2]) as rest from whole)
+select doc_id, (len(h) // 2)::bigint as n_bytes, n::bigint as n_removed, spans::bigint as n_spans, sha256(unhex(array_to_string(rest, ''))) as kept_sha256 from kept
+"""
