@@ -10,10 +10,10 @@ to the nearer side, and what it's off by is made up in one of the source's chunk
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WORD, checkpoint, real_id
+from .common import NULL_ID, WORD, checkpoint, real_id, text_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -54,31 +54,45 @@ aggregate(sort_array(transform(done, d -> named_struct('size', d.size, 'doc_id',
 """
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, key, size: key is 's' and the source, 't' for a null one, so that keys sort as asked."""
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+def _known() -> list[Column]:
+    """doc_id, key, size: key is 's' and the source, 't' for a null one, so that keys sort as asked."""
+    return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    ]
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """row, doc_id, key, size of each document."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), *_known())
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """key, n, source_size, target: share of all sizes by weight, none above most times its source; the level is found in one pass over sources by cap per weight."""
+    """key, n, source_size, target: share of all sizes by weight, none above most times its source.
+
+    Sources may be many, so none of this sorts them in one task: ranks come from a range-partitioned sort, and the level,
+    words for a weight of 1, rises until no further source is at its cap, each time from a sum for each weight.
+    """
     by_source = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy("key")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    rows = by_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "key")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn(
-        "level", (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    )
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))
-    rows = rows.withColumn("found", F.min(fits).over(everything))
-    return rows.select("key", "n", "source_size", F.coalesce(F.least("cap", F.col("found.level") * F.col("weight")), F.col("cap")).alias("target"))
+    place = F.monotonically_increasing_id()  # the partition and, in the lower 33 bits, the row within it
+    ranged = checkpoint(by_source.orderBy("key").withColumn("part", F.shiftright(place, 33)).withColumn("at", place.bitwiseAND((1 << 33) - 1)))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = counts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    kind = F.pmod(F.col("before") + F.col("at"), F.lit(len(weights))).cast("int")
+    rows = checkpoint(ranged.join(before, "part").select("key", "n", "source_size", F.get(F.array(*[F.lit(float(w)) for w in weights]), kind).alias("weight")))
+    cap = F.col("source_size") * float(most)
+    level, full = 0.0, -1
+    while True:
+        open_ = cap > level * F.col("weight")
+        # a row for each weight
+        sums = rows.groupBy("weight").agg(F.sum("source_size"), F.count_if(~open_), F.sum(F.when(~open_, F.col("source_size")).otherwise(0)), F.count_if(open_)).collect()
+        sums = sorted(tuple(r) for r in sums)
+        now, weight = sum(r[2] for r in sums), sum(r[0] * r[4] for r in sums)
+        if now == full or not weight:
+            break
+        full, level = now, (share * sum(r[1] for r in sums) - most * sum(r[3] for r in sums)) / weight
+    return rows.select("key", "n", "source_size", F.when(open_, level * F.col("weight")).otherwise(cap).alias("target"))
 
 
 def _with(rows: DataFrame, small: DataFrame, n: int, on: str, how: str = "inner") -> DataFrame:
@@ -86,13 +100,8 @@ def _with(rows: DataFrame, small: DataFrame, n: int, on: str, how: str = "inner"
     return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, copies.
-
-    A null source is a source, the last; a null text has size 0 and so has an empty one; such documents are never
-    taken. Draws hash doc_id and size, so reruns agree whatever the partitions; repeated rows are rounded each and may differ
-    in copies. An empty table gives no rows. Other columns are ignored.
-    """
+def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, chunk: int, seed: int) -> DataFrame:
+    """doc_id (never null), key, size, source_size, target, taken, copies."""
     sized = checkpoint(sizes(docs))
     sources = checkpoint(targets(sized, weights, share, most))
     n, largest = sources.agg(F.count("*"), F.max("n")).first()
@@ -127,15 +136,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     settled = rows.where("not (p > 0 and size > 0)").select("key", "row", "doc_id", "size", F.lit(0).alias("x"))
     out = _with(decided.select("key", "row", "doc_id", "size", "x").unionByName(settled), sources.select("key", "source_size", "target", "whole"), n, "key")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("x")).otherwise(F.lit(0)).cast("long")
-    return out.select(real_id(), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "key", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken, copies.
+
+    A null source is a source, the last; a null text has size 0 and so has an empty one; such documents are never
+    taken. Draws hash doc_id and size, so reruns agree whatever the partitions; repeated rows are rounded each and may differ
+    in copies. An empty table gives no rows. Other columns are ignored.
+    """
+    return _mix(docs, weights, share, most, chunk, seed).select(real_id(), "size", "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns stay."""
-    taken = mix(docs).groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("size", "source_size", "copies"))).alias("_all"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(taken, "_id")
-    # repeated rows take their turns in the order of their sizes
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_id").orderBy(size)))
-    copies = F.element_at("_all", F.col("_turn"))["copies"].cast("int")
-    return rows.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it; the columns stay.
+
+    Rows of size 0 (null and empty texts) are never taken. Rows alike in doc_id (null is one), source and size take their turns
+    in the order of a hash of the text: their copies differ by one at most, and the first have the more. An empty table gives no rows.
+    """
+    alike = ["doc_id", "key", "size"]
+    decided = _mix(docs, WEIGHTS, SHARE, MOST, CHUNK, SEED).where("size > 0").groupBy(*alike)
+    decided = decided.agg(F.min("copies").alias("least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
+    rows = docs.select(F.struct("*").alias("doc"), *_known(), text_hash().alias("hash")).where("size > 0").join(decided, alike)
+    turn = F.row_number().over(Window.partitionBy(*alike).orderBy("hash"))
+    rows = rows.withColumn("copies", (F.col("least") + (turn <= F.col("more")).cast("int")).cast("int")).where("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -428,7 +428,47 @@ def test_mixing(docs, rows, empty):
     same([tuple(r) for r in again.collect()], [tuple(r.values()) for r in got])
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_mixed_takes_what_the_mix_decides_of_each_source(spark):
+    """Rows of one id and size in different sources keep their own copies; helper names of the operator may be columns."""
+    rows = [(None if i % 3 else i % 40, " ".join(f"w{i % 17}" for _ in range(1 + i % 6)), f"s{i % 4}", i, "x", i) for i in range(400)]
+    rows += [(1, None, "s1", -1, "x", -1), (2, "", None, -2, "x", -2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, key string, `_id` int").repartition(4)
+    out = [tuple(r) for r in mixing.mixed(table).collect()]
+    times = Counter(r[5] for r in out)
+    want, got = defaultdict(Counter), defaultdict(Counter)
+    for r in mixing.mix(table).where("size > 0").collect():
+        want[(r.doc_id, r.size, r.source_size)][r.copies] += 1
+    words = defaultdict(int)
+    for _, t, s, *_ in rows:
+        words[s] += len((t or "").split())
+    for i, t, s, _, _, n in rows:
+        if t:
+            got[(i, len(t.split()), words[s])][times[n]] += 1
+    assert got == want and set(out) <= set(rows)
+
+
+def test_targets_of_many_sources(spark):
+    """Levels and ranks against the plain loop, with sources of many sizes, one of them empty."""
+    sizes = {f"s{k:03}": (k * k * k) % 997 for k in range(300)}
+    table = spark.createDataFrame([(f"{s}", n, 1) for s, n in sizes.items()], "key string, size long, n int").repartition(7)
+    got = {r.key: r.target for r in mixing.targets(table).collect()}
+    left, open_, target = 1.5 * sum(sizes.values()), set(sizes), dict.fromkeys(sizes, 0.0)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes))}
+    while left > 1e-9 and open_:
+        total, spill = sum(weight[s] for s in open_), 0.0
+        for s in sorted(open_):
+            target[s] += left * weight[s] / total
+            if target[s] >= 2 * sizes[s]:
+                spill += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                open_.discard(s)
+        left = spill
+    assert got == pytest.approx(target)
+    everything = {r.key: r.target for r in mixing.targets(table, share=3).collect()}
+    assert everything == {s: 2.0 * n for s, n in sizes.items()}
 
 
 def test_pivotal_rounding_keeps_expectations(spark):
