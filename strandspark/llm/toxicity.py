@@ -267,7 +267,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, unchanged."""
+    """The rows of docs that aren't predicted toxic, unchanged.
+
+    Null and empty texts are judged by the bias alone, repeated rows alike; doc_ids play no part but in learning. An empty table
+    gives no rows.
+    """
     weights, bias = fit(docs, labels, sample)
     at = docs.columns.index("text")
 

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,14 @@ def test_each_operator_has_one_query():
 
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op3_suffix_dedup"])
+def test_dedup_agrees_with_sql(spark, name):
+    from strandspark.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, SF).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
