@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, mixing, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
+from . import hamming_search, mixing, packing, piece_encoding, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
 from .common import documents
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op8_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash_dedup.groups(documents(spark, sf_dir)),
     "op10_quality": lambda spark, sf_dir: quality.verdicts(documents(spark, sf_dir), quality.trusted_ids(labels(spark, sf_dir))),
+    "op11_sentencepiece": lambda spark, sf_dir: piece_encoding.digests(documents(spark, sf_dir)),
 }
 
 SQL: dict[str, str] = {
