@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, mixing, packing, piece_encoding, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
+from . import centroid_clustering, hamming_search, mixing, packing, piece_encoding, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
 from .common import documents
 
 
@@ -10,6 +10,10 @@ def labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def fixity(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc_fixity.audit(warc_fixity.index(warc_fixity.records(pages)), warc_fixity.damaged(pages))
@@ -20,13 +24,14 @@ QUERIES = {
     "op2_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup(documents(spark, sf_dir)),
     "op3_suffix_dedup": lambda spark, sf_dir: suffix_dedup.dedup(documents(spark, sf_dir)),
     "op4_secret_scan": lambda spark, sf_dir: secret_scan.find(documents(spark, sf_dir)),
-    "op5_hamming_search": lambda spark, sf_dir: hamming_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op5_hamming_search": lambda spark, sf_dir: hamming_search.search(embeddings(spark, sf_dir)),
     "op6_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash_dedup.groups(documents(spark, sf_dir)),
     "op10_quality": lambda spark, sf_dir: quality.verdicts(documents(spark, sf_dir), quality.trusted_ids(labels(spark, sf_dir))),
     "op11_sentencepiece": lambda spark, sf_dir: piece_encoding.digests(documents(spark, sf_dir)),
+    "op13_clustering": lambda spark, sf_dir: centroid_clustering.cluster(embeddings(spark, sf_dir)),
 }
 
 SQL: dict[str, str] = {
@@ -34,4 +39,5 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_suffix_dedup": suffix_dedup.SQL,
     "op5_hamming_search": hamming_search.SQL,
+    "op13_clustering": centroid_clustering.SQL,
 }
