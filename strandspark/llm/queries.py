@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clustering, hamming_search, mixing, packing, piece_encoding, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
+from . import centroid_clustering, hamming_search, hard_negatives, mixing, packing, piece_encoding, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc_fixity
 from .common import documents
 
 
@@ -31,6 +31,7 @@ QUERIES = {
     "op9_simhash": lambda spark, sf_dir: simhash_dedup.groups(documents(spark, sf_dir)),
     "op10_quality": lambda spark, sf_dir: quality.verdicts(documents(spark, sf_dir), quality.trusted_ids(labels(spark, sf_dir))),
     "op11_sentencepiece": lambda spark, sf_dir: piece_encoding.digests(documents(spark, sf_dir)),
+    "op12_hard_negatives": lambda spark, sf_dir: hard_negatives.mine(hard_negatives.with_noise(embeddings(spark, sf_dir))),
     "op13_clustering": lambda spark, sf_dir: centroid_clustering.cluster(embeddings(spark, sf_dir)),
 }
 
@@ -39,5 +40,6 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_suffix_dedup": suffix_dedup.SQL,
     "op5_hamming_search": hamming_search.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_clustering": centroid_clustering.SQL,
 }
