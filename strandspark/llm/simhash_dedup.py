@@ -263,12 +263,13 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, the least by doc_id (null first) and then by hashes of the text; the columns stay.
 
-    Rows are told apart by doc_id and 128 bits of text, so rows that share an id, or have none, count each by its own text.
+    Rows are told apart by doc_id and 128 bits of text, so rows that share an id, or have none, count each by its own text; of rows
+    alike in both any one stays. Columns may have any names. An empty table gives no rows.
     """
     prints = checkpoint(keyed(docs).mapInArrow(_fingerprint_rows, "doc_id long, _h1 long, _h2 long, print long"))
     kept = _rooted(prints, F.struct("doc_id", "_h1", "_h2")).groupBy("root").agg(F.min("least").alias("least"))
-    keys = ["_kept", "_h1", "_h2"]
-    kept = kept.select(F.col("least.doc_id").alias("_kept"), "least._h1", "least._h2")
+    kept = kept.select(F.col("least.doc_id").alias("id"), "least._h1", "least._h2")
+    keys = ["id", "_h1", "_h2"]
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    rows = docs.withColumns({"_kept": key, "_h1": text_hash(0), "_h2": text_hash(1)})
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("id"), text_hash(0).alias("_h1"), text_hash(1).alias("_h2"))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("doc.*")
