@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix, real_id
+from .common import keyed, mix, real_id, text_hash
 
 #: Labelled rows that the model is fitted on, at most; taken in the order of a hash of doc_id.
 SAMPLE = 16_000
@@ -57,11 +57,12 @@ def held_out():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(toxic, text) of at most `sample` labelled rows outside the held-out fold. A document labelled twice counts by its mean, 0.5 is toxic."""
+    """(toxic, text) of at most `sample` labelled ids outside the held-out fold. A document labelled twice counts by its mean, 0.5 is toxic; of several rows of one id that of the least text hash is taken."""
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     picked = picked.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text")  # picked: SAMPLE rows at most
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("hash"))
+    found = texts.join(F.broadcast(picked), "doc_id")  # picked: SAMPLE rows at most
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct("hash", "text")).alias("text")).select(F.col("toxic").cast("long").alias("toxic"), "text")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
