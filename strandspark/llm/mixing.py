@@ -21,12 +21,16 @@ MOST = 2
 CHUNK = 64
 #: Rows of sources that are broadcast at most, some 100 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Rows alike that are written out together.
+ALIKE = 4096
 SEED = 20_240_611
 
-ITEM = "struct<row:bigint,doc_id:bigint,size:bigint,p:double>"
-DONE = "array<struct<row:bigint,doc_id:bigint,size:bigint,x:int>>"
-GAIN_I, LOSS_I = "(1 - s.carry.p) * s.carry.size", "s.carry.p * s.carry.size"
-GAIN_J, LOSS_J = "(1 - j.p) * j.size", "j.p * j.size"
+#: seed is a hash of all that tells a row from others, for draws; row is its number in this run, for joins.
+WHO = "struct<seed:bigint,row:bigint,doc_id:bigint,size:bigint,hash:bigint>"
+ITEM = f"struct<who:{WHO},p:double>"
+DONE = f"array<struct<who:{WHO},x:int>>"
+GAIN_I, LOSS_I = "(1 - s.carry.p) * s.carry.who.size", "s.carry.p * s.carry.who.size"
+GAIN_J, LOSS_J = "(1 - j.p) * j.who.size", "j.p * j.who.size"
 #: t.up: the carried document gains, the next one loses; t.first: the carried one becomes whole.
 STEP = f"""
 transform(transform(
@@ -34,38 +38,47 @@ transform(transform(
   t -> named_struct('a', t.a, 'b', t.b, 'up', j.u * (t.a + t.b) < t.b, 'first', if(j.u * (t.a + t.b) < t.b, {GAIN_I} <= {LOSS_J}, {GAIN_J} > {LOSS_I}))),
   t -> named_struct(
     'carry', if(t.first,
-      named_struct('row', j.row, 'doc_id', j.doc_id, 'size', j.size, 'p', greatest(0D, least(1D, j.p + if(t.up, -t.a, t.b) / j.size))),
-      named_struct('row', s.carry.row, 'doc_id', s.carry.doc_id, 'size', s.carry.size, 'p', greatest(0D, least(1D, s.carry.p + if(t.up, t.a, -t.b) / s.carry.size)))),
+      named_struct('who', j.who, 'p', greatest(0D, least(1D, j.p + if(t.up, -t.a, t.b) / j.who.size))),
+      named_struct('who', s.carry.who, 'p', greatest(0D, least(1D, s.carry.p + if(t.up, t.a, -t.b) / s.carry.who.size)))),
     'done', concat(s.done, array(if(t.first,
-      named_struct('row', s.carry.row, 'doc_id', s.carry.doc_id, 'size', s.carry.size, 'x', cast(t.up as int)),
-      named_struct('row', j.row, 'doc_id', j.doc_id, 'size', j.size, 'x', cast(not t.up as int)))))))[0]
+      named_struct('who', s.carry.who, 'x', cast(t.up as int)),
+      named_struct('who', j.who, 'x', cast(not t.up as int)))))))[0]
 """
 FOLD = f"""
 aggregate(items, named_struct('carry', cast(null as {ITEM}), 'done', cast(array() as {DONE})),
   (s, j) -> if(s.carry is null,
-    named_struct('carry', named_struct('row', j.row, 'doc_id', j.doc_id, 'size', j.size, 'p', j.p), 'done', s.done),
+    named_struct('carry', named_struct('who', j.who, 'p', j.p), 'done', s.done),
     {STEP}))
 """
 #: Rows of the chunk's documents to flip: those taken too much (or too little) that fit into what's left, large ones first.
 FLIPS = """
-aggregate(sort_array(transform(done, d -> named_struct('size', d.size, 'doc_id', d.doc_id, 'row', d.row, 'x', d.x)), false),
+aggregate(sort_array(transform(done, d -> named_struct('size', d.who.size, 'seed', d.who.seed, 'row', d.who.row, 'x', d.x)), false),
   named_struct('left', abs(off), 'rows', cast(array() as array<bigint>)),
   (s, d) -> if(d.x = cast(off > 0 as int) and d.size <= s.left, named_struct('left', s.left - d.size, 'rows', concat(s.rows, array(d.row))), s)).rows
 """
 
 
 def _known() -> list[Column]:
-    """doc_id, key, size: key is 's' and the source, 't' for a null one, so that keys sort as asked."""
+    """doc_id, key, size, hash: key is 's' and the source, 't' for a null one, so that keys sort as asked; hash is of the text."""
     return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        text_hash().alias("hash"),
     ]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, key, size of each document."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), *_known())
+    """key, size and who (see WHO) of each document; rows alike are told apart by a number from 0.
+
+    Rows alike are counted where they lie and written out again in stretches of ALIKE, which are dealt anew, so that no group of them is one task's.
+    """
+    alike = docs.select(*_known()).groupBy("doc_id", "key", "size", "hash").agg(F.count("*").alias("c"))
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(ALIKE).cast("long"))).alias("low")
+    dealt = alike.select("*", stretch).repartition("hash", "low")
+    numbered = dealt.select("doc_id", "key", "size", "hash", F.explode(F.sequence("low", F.least(F.col("low") + ALIKE, "c") - 1)).alias("number"))
+    seed = F.xxhash64("doc_id", "key", "size", "hash", "number").alias("seed")
+    return numbered.select("key", "size", F.struct(seed, F.monotonically_increasing_id().alias("row"), "doc_id", "size", "hash").alias("who"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -101,20 +114,20 @@ def _with(rows: DataFrame, small: DataFrame, n: int, on: str, how: str = "inner"
 
 
 def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, chunk: int, seed: int) -> DataFrame:
-    """doc_id (never null), key, size, source_size, target, taken, copies."""
+    """doc_id (never null), key, size, hash (of the text), source_size, target, taken, copies."""
     sized = checkpoint(sizes(docs))
     sources = checkpoint(targets(sized, weights, share, most))
     n, largest = sources.agg(F.count("*"), F.max("n")).first()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = sources.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
     rows = _with(sized, sources.select("key", "n", "p"), n, "key")
-    live = rows.where("p > 0 and size > 0").select("key", "n", "row", "doc_id", "size", "p")
+    live = rows.where("p > 0 and size > 0").select("key", "n", "who", "p")
     done, span, first = [], 1, None
     while True:
         span *= chunk
-        draw = [F.xxhash64(F.lit(seed + k), F.lit(span), "doc_id", "size") for k in range(3)]
+        draw = [F.xxhash64(F.lit(seed + k), F.lit(span), "who.seed") for k in range(3)]
         part = F.pmod(draw[0], F.ceil(F.col("n") / span))
-        item = F.struct(draw[1].alias("h"), "doc_id", "size", "row", "p", (F.pmod(draw[2], F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+        item = F.struct(draw[1].alias("h"), "who", "p", (F.pmod(draw[2], F.lit(1 << 40)) / float(1 << 40)).alias("u"))
         chunks = live.withColumn("item", item).withColumn("part", part).groupBy("key", "part").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
         chunks = checkpoint(chunks.select("key", "n", F.expr(FOLD).alias("out")))
         first = first or chunks
@@ -126,17 +139,19 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, chu
     decided = done[0]
     for d in done[1:]:
         decided = decided.unionByName(d)
-    off = last.select("key", ((F.col("x") - F.col("p")) * F.col("size")).alias("off"))
-    words = F.aggregate("out.done", F.lit(0).cast("long"), lambda s, d: s + d["size"])
+    off = last.select("key", ((F.col("x") - F.col("p")) * F.col("who.size")).alias("off"))
+    words = F.aggregate("out.done", F.lit(0).cast("long"), lambda s, d: s + d["who"]["size"])
     largest_chunk = first.groupBy("key").agg(F.max_by("out.done", F.struct(words, F.col("out.done"))).alias("done"))
     flips = _with(largest_chunk, off, n, "key").select(F.explode(F.expr(FLIPS)).alias("row"), F.lit(True).alias("flip"))
-    decided = decided.unionByName(last.select("key", "row", "doc_id", "size", "x"))
+    decided = decided.unionByName(last.select("key", "who", "x"))
     flips = checkpoint(flips)  # a few for each source
-    decided = _with(decided, flips, flips.count(), "row", "left").withColumn("x", F.when(F.col("flip"), 1 - F.col("x")).otherwise(F.col("x")))
-    settled = rows.where("not (p > 0 and size > 0)").select("key", "row", "doc_id", "size", F.lit(0).alias("x"))
-    out = _with(decided.select("key", "row", "doc_id", "size", "x").unionByName(settled), sources.select("key", "source_size", "target", "whole"), n, "key")
+    decided = _with(decided.withColumn("row", F.col("who.row")), flips, flips.count(), "row", "left")
+    decided = decided.select("key", "who", F.when(F.col("flip"), 1 - F.col("x")).otherwise(F.col("x")).alias("x"))
+    settled = rows.where("not (p > 0 and size > 0)").select("key", "who", F.lit(0).alias("x"))
+    out = _with(decided.unionByName(settled), sources.select("key", "source_size", "target", "whole"), n, "key")
+    out = out.select("key", "who.doc_id", "who.size", "who.hash", "source_size", "target", "whole", "x")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("x")).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "key", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "key", "size", "hash", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
@@ -152,13 +167,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay.
 
-    Rows of size 0 (null and empty texts) are never taken. Rows alike in doc_id (null is one), source and size take their turns
-    in the order of a hash of the text: their copies differ by one at most, and the first have the more. An empty table gives no rows.
+    Rows of size 0 (null and empty texts) are never taken. Rows alike in doc_id (null is one), source, size and text share their
+    copies evenly: they differ by one at most. An empty table gives no rows.
     """
-    alike = ["doc_id", "key", "size"]
+    alike = ["doc_id", "key", "size", "hash"]
     decided = _mix(docs, WEIGHTS, SHARE, MOST, CHUNK, SEED).where("size > 0").groupBy(*alike)
     decided = decided.agg(F.min("copies").alias("least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
-    rows = docs.select(F.struct("*").alias("doc"), *_known(), text_hash().alias("hash")).where("size > 0").join(decided, alike)
-    turn = F.row_number().over(Window.partitionBy(*alike).orderBy("hash"))
+    rows = docs.select(F.struct("*").alias("doc"), *_known()).where("size > 0").join(decided, alike)
+    turn = F.row_number().over(Window.partitionBy(*alike).orderBy("size"))
     rows = rows.withColumn("copies", (F.col("least") + (turn <= F.col("more")).cast("int")).cast("int")).where("copies > 0")
     return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
