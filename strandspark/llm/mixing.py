@@ -75,7 +75,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     """
     alike = docs.select(*_known()).groupBy("doc_id", "key", "size", "hash").agg(F.count("*").alias("c"))
     stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(ALIKE).cast("long"))).alias("low")
-    dealt = alike.select("*", stretch).repartition("hash", "low")
+    dealt = alike.select("*", stretch).repartition("doc_id", "hash", "low")
     numbered = dealt.select("doc_id", "key", "size", "hash", F.explode(F.sequence("low", F.least(F.col("low") + ALIKE, "c") - 1)).alias("number"))
     seed = F.xxhash64("doc_id", "key", "size", "hash", "number").alias("seed")
     return numbered.select("key", "size", F.struct(seed, F.monotonically_increasing_id().alias("row"), "doc_id", "size", "hash").alias("who"))
