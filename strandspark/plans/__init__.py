@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("interval_queries", "sequence_queries", "genome_queries", "format_queries", "more_queries", "store_queries")
+MODULES = ("interval_queries", "sequence_queries", "genome_queries", "format_queries", "more_queries", "store_queries", "statistic_queries")
 
 
 def queries() -> dict:
