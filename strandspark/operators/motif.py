@@ -306,33 +306,6 @@ def matrix_scores(kmer_list: DataFrame, matrices: dict[str, list[dict[str, float
     return out
 
 
-def permutation_null(pairs: DataFrame, by: str, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """by, slope, p, q25, q50, q75: the slope of y on x against shuffles of y, p two-sided from a Gaussian kernel density with Scott's bandwidth.
-
-    A group is one k-mer's peaks and is shuffled in one task; seeds follow the group's name.
-    """
-    kind = dict(pairs.dtypes)[by]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x", "y"])
-        x, y = rows["x"].to_numpy(float), rows["y"].to_numpy(float)
-        x = x - x.mean()
-        var = (x * x).sum()
-        if len(x) < 3 or var == 0:
-            return pd.DataFrame({by: rows[by].iloc[:1], "slope": [np.nan], "p": [1.0], "q25": [np.nan], "q50": [np.nan], "q75": [np.nan]})
-        import zlib
-
-        rng = np.random.default_rng([seed, zlib.crc32(str(rows[by].iloc[0]).encode())])
-        null = np.array([x @ rng.permutation(y) for _ in range(rounds)]) / var
-        slope = float(x @ y / var)
-        width = null.std(ddof=1) * rounds ** (-1 / 5) or 1e-12
-        below = float(np.mean([0.5 * (1 + math.erf((slope - v) / width / math.sqrt(2))) for v in null]))
-        q = np.quantile(null, [0.25, 0.5, 0.75])
-        return pd.DataFrame({by: rows[by].iloc[:1], "slope": [slope], "p": [min(1.0, 2 * min(below, 1 - below))], "q25": [q[0]], "q50": [q[1]], "q75": [q[2]]})
-
-    return pairs.select(by, "x", "y").groupBy(by).applyInPandas(run, f"{by} {kind}, slope double, p double, q25 double, q50 double, q75 double")
-
-
 def likelihood_ratio(scores: DataFrame, one: str = "m1", two: str = "m2", joint: str = "joint") -> DataFrame:
     """set1, set2 rows' log scores (columns set, m1, m2, joint) to one row: -2 log L(joint) + 2 (log L1 + log L2)."""
     own = F.when(F.col("set") == 1, F.log(one)).otherwise(F.log(two))

@@ -151,11 +151,6 @@ def score_ranks(spark, d):
     return M.ranks(view(spark, d, "seqs").select("doc_id", F.length("seq").alias("n")), F.col("n"), "doc_id").select("doc_id", "rank")
 
 
-@query()
-def permutation_null(spark, d):
-    return M.permutation_null(kmer_signal(spark, d), "kmer", 200)
-
-
 COUNTS = """m as (select cast(p_partkey % 20 as int) as matrix, cast(p_size % 8 as int) as pos, substr('ACGT', cast(p_partkey % 4 + 1 as int), 1) as base, count(*) as n from part group by 1, 2, 3),
   c as (select g.matrix, g.pos, b.base, coalesce(m.n, 0) as n from (select distinct matrix, pos from m) g cross join (values ('A'), ('C'), ('G'), ('T')) b(base) left join m on m.matrix = g.matrix and m.pos = g.pos and m.base = b.base)"""
 
