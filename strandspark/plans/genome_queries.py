@@ -107,7 +107,7 @@ def signal_on_alignment(spark, d):
 
 
 TARGETS = "t as (select block as pid, 0 as chr, p_start + 100 as s, p_start + 300 as e from aligned where species = 0)"
-PARTS = f"{TARGETS}, q as (select t.pid, b.block, greatest(t.s, b.p_start) as s, least(t.e, b.p_start + length(replace(b.seq, '-', '')) - 1) as e from t join aligned b on b.species = 0 and length(replace(b.seq, '-', '')) > 0 and t.s <= b.p_start + length(replace(b.seq, '-', '')) - 1 and t.e >= b.p_start)"
+ON_TARGET = f"{TARGETS}, q as (select t.pid, b.block, greatest(t.s, b.p_start) as s, least(t.e, b.p_start + length(replace(b.seq, '-', '')) - 1) as e from t join aligned b on b.species = 0 and length(replace(b.seq, '-', '')) > 0 and t.s <= b.p_start + length(replace(b.seq, '-', '')) - 1 and t.e >= b.p_start)"
 
 
 def on_target(spark, d):
@@ -116,12 +116,12 @@ def on_target(spark, d):
     return b, targets
 
 
-@query(f"with {PARTS} select pid, block, s, e from q")
+@query(f"with {ON_TARGET} select pid, block, s, e from q")
 def blocks_on_target(spark, d):
     return A.blocks_on_target(*on_target(spark, d), 0)
 
 
-LIFTED = f"{COLS}, {PARTS}, y as (select q.pid, q.block, min(b.parent) as t_s, max(b.parent) as t_e, count(*) as n from q join p a on a.block = q.block and a.species = 0 and a.parent between q.s and q.e join p b on b.block = a.block and b.col = a.col and b.species = 1 and b.parent is not null group by 1, 2)"
+LIFTED = f"{COLS}, {ON_TARGET}, y as (select q.pid, q.block, min(b.parent) as t_s, max(b.parent) as t_e, count(*) as n from q join p a on a.block = q.block and a.species = 0 and a.parent between q.s and q.e join p b on b.block = a.block and b.col = a.col and b.species = 1 and b.parent is not null group by 1, 2)"
 
 
 @query(f"with {LIFTED} select * from y")

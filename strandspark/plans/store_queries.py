@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alignment as A
 from ..operators.ordered import new_path
+from ..sources import alignment_store as S
 from ..sources import fasta_index as X
+from ..sources import files
+from ..sources import readers as R
 from ..sources import writers as W
+from .genome_queries import ON_TARGET, on_target
 from .registry import registry
 from .views import view
 
@@ -47,3 +52,67 @@ def fasta_indexed_scan(spark, d):
     a = F.length("seq") - F.length(F.replace("seq", F.lit("A"), F.lit("")))
     found = rows.where(F.substring("name", 2, 20).cast("long") % 3 == 1).groupBy("name")
     return found.agg(F.sum(F.length("seq")).alias("bases"), F.sum(a).alias("adenines"), F.count("*").alias("stretches"))
+
+
+def stored(spark, d) -> str:
+    """The alignment in a store of two appends."""
+    path = new_path(spark)
+    rows = view(spark, d, "aligned").withColumn("chr", F.lit("0"))
+    for part in (0, 1):
+        S.append(rows.where(F.col("block") % 2 == part), path)
+    return path
+
+
+@query("select block::varchar as block, species::varchar as species, p_start, strand, seq from aligned where species in (1, 4)")
+def stored_species_rows(spark, d):
+    return S.of_species(spark, stored(spark, d), [1, 4]).select("block", "species", "p_start", "strand", "seq")
+
+
+@query(f"with {ON_TARGET} select pid, block::varchar as block, s, e from q where pid % 3 = 0")
+def stored_blocks_on_target(spark, d):
+    _, targets = on_target(spark, d)
+    targets = targets.where("pid % 3 = 0").withColumn("chr", F.col("chr").cast("string"))
+    return A.blocks_on_target(S.on_targets(spark, stored(spark, d), targets, 0), targets, 0)
+
+
+@query("select block::varchar as block, species::varchar as species, p_start, seq from aligned where block in (select block from aligned where species = 0 and p_start <= 9000000 and p_start + length(replace(seq, '-', '')) - 1 >= 2000000)")
+def stored_whole_blocks(spark, d):
+    path = stored(spark, d)
+    hit = S.on_interval(spark, path, 0, 0, 2_000_000, 9_000_000)
+    return S.whole_blocks(spark, path, hit).select("block", "species", "p_start", "seq")
+
+
+GENOMES = ["mel", "yak", "pse"]
+
+
+@query("""select block::varchar as block, (['mel', 'yak', 'pse'])[species + 1] as species, seq, case when (block + species) % 4 > 0 then 'c' || block % 5 end as chr,
+  case when (block + species) % 4 > 0 then p_start end as p_start, case when (block + species) % 4 > 0 then p_start + 9 end as p_end, case when (block + species) % 4 > 0 then strand end as strand
+  from aligned where species < 3 and length(seq) > 0""")
+def mercator_folder_round_trip(spark, d):
+    folder = new_path(spark)
+    rows = view(spark, d, "aligned").where("species < 3 and length(seq) > 0")
+    name = F.get(F.array(*[F.lit(g) for g in GENOMES]), F.col("species"))
+    record = F.concat(F.lit(">"), name, F.lit("_r1 row\n"), F.regexp_replace("seq", "(.{1,50})", "$1\n"))
+    place = F.when((F.col("block") + F.col("species")) % 4 > 0, F.concat_ws("\t", F.concat(F.lit("c"), F.col("block") % 5), "p_start", F.col("p_start") + 9, "strand")).otherwise(F.lit("NA\tNA\tNA\tNA"))
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("species", record.alias("r"), place.alias("p")))).alias("x"))  # three rows a block
+    files.write_named(blocks.select(F.concat("block", F.lit(".mfa")).alias("name"), F.array_join(F.col("x.r"), "").alias("value")), folder)
+    # the map has a place for every species, in the order of the genomes
+    where = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.element_at(F.filter("x", lambda t: t["species"] == i)["p"], 1), F.lit("NA\tNA\tNA\tNA")))
+    blocks.select(F.concat_ws("\t", F.col("block").cast("string"), F.array_join(where, "\t")).alias("value")).write.text(f"{folder}/map")
+    spark.createDataFrame([("\t".join(f"{g}_r1" for g in GENOMES),)], "value string").write.text(f"{folder}/genomes")
+    return R.mercator_folder(spark, folder)
+
+
+@query("""select set, protein, species, rate from (
+  select 's' || p_partkey % 2 as set, 'p' || p_partkey as protein, unnest(case when p_partkey % 2 = 0 then ['mel', 'yak'] else ['yak', 'pse', 'sim'] end) as species,
+    unnest(case when p_partkey % 2 = 0 then [p_size / 4::double, case when p_partkey % 3 > 0 then p_size / 8::double end] else [p_size / 2::double, null, p_size::double] end) as rate from part) t""")
+def rate_folder_round_trip(spark, d):
+    folder = new_path(spark)
+    part = spark.read.parquet(f"{d}/part.parquet")
+    name = F.concat(F.lit("s"), F.col("p_partkey") % 2)
+    even = F.concat_ws("\t", F.concat(F.lit("p"), "p_partkey"), F.col("p_size") / 4, F.when(F.col("p_partkey") % 3 > 0, (F.col("p_size") / 8).cast("string")).otherwise("-"), F.lit(""))
+    odd = F.concat_ws("\t", F.concat(F.lit("p"), "p_partkey"), F.col("p_size") / 2, F.lit("-"), F.col("p_size").cast("double"), F.lit(""))
+    lines = part.groupBy(name.alias("s")).agg(F.array_join(F.collect_list(F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd)), "\n").alias("body"))
+    head = F.when(F.col("s") == "s0", "protein\tmel\tyak\t").otherwise("protein\tyak\tpse\tsim\t")
+    files.write_named(lines.select(F.concat("s", F.lit("_dom_rates/"), "s", F.lit("_pw_rates_domains")).alias("name"), F.concat(head, F.lit("\n"), "body", F.lit("\n")).alias("value")), folder)
+    return R.rate_folder(spark, folder).select("set", "protein", F.explode("rates").alias("species", "rate"))

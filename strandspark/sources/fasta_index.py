@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from .files import located, opened
+
 #: Bytes of a file that a task scans, of one read while it does, and of a partition of the data source, about.
 SPLIT, READ, PART = 32 << 20, 1 << 20, 16 << 20
 #: Bases of a row of the data source, by default.
@@ -28,15 +30,6 @@ PIECES_DDL = "file string, split long, ordinal int, head string, offset long, st
 BLANKS = np.isin(np.arange(256), [9, 11, 12, 13, 32])
 
 
-def opened(uri: str):
-    """A file that any part can be read of."""
-    from pyarrow import fs
-
-    # Hadoop writes local paths with one slash
-    system, path = fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    return system.open_input_file(path)
-
-
 def whole_lines(source, size: int, start: int, stop: int) -> tuple[int, bytes]:
     """(offset, bytes) of the lines that begin in start to stop; the offset is -1 if none does."""
     at = start
@@ -242,9 +235,8 @@ class IndexedReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         import pyarrow.dataset as ds
-        from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(f"file://{self.path[5:]}" if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path)
+        system, path = located(self.path)
         index = ds.dataset(path, filesystem=system, format="parquet")
         wanted = None if self.names is None else ds.field("name").isin(sorted(self.names))
         rows = index.to_table(columns=["file", "name", "offset", "stop", "length", "width", "step"], filter=wanted).sort_by([("file", "ascending"), ("offset", "ascending")])

@@ -71,13 +71,23 @@ def chunked(seqs: DataFrame, size: int, overlap: int, key: str = "name") -> Data
     return rows.select(key, (F.col("_k") * size).cast("long").alias("start"), F.substring(F.col("seq"), F.col("_k") * size + 1, F.lit(size + overlap)).alias("seq"))
 
 
-def parse_maf(blocks: DataFrame) -> DataFrame:
-    """score, species, chr, start, size, strand, src_size, seq of alignment blocks between blank lines; comments are skipped, the last block counts."""
+def parse_maf(blocks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns to keep, score, species, chr, start, size, strand, src_size, seq of alignment blocks between blank lines; comments are skipped, the last block counts."""
     rows = blocks.withColumn("score", F.regexp_extract("value", r"(?m)^a\s.*?score=(\S+)", 1)).where(F.col("value").rlike(r"(?m)^a\b"))
     row = F.explode(F.filter(F.split("value", "\n"), lambda x: x.startswith("s ")))
     parts = F.split(F.trim("_s"), r"\s+")
     out = rows.withColumn("_s", row).withColumn("_p", parts)
-    return out.select(F.col("score").cast("double").alias("score"), F.substring_index(F.get("_p", 1), ".", 1).alias("species"), F.regexp_replace(F.get("_p", 1), r"^[^.]*\.", "").alias("chr"), F.get("_p", 2).cast("long").alias("start"), F.get("_p", 3).cast("long").alias("size"), F.get("_p", 4).alias("strand"), F.get("_p", 5).cast("long").alias("src_size"), F.get("_p", 6).alias("seq"))
+    return out.select(
+        *(keep or []),
+        F.col("score").cast("double").alias("score"),
+        F.substring_index(F.get("_p", 1), ".", 1).alias("species"),
+        F.regexp_replace(F.get("_p", 1), r"^[^.]*\.", "").alias("chr"),
+        F.get("_p", 2).cast("long").alias("start"),
+        F.get("_p", 3).cast("long").alias("size"),
+        F.get("_p", 4).alias("strand"),
+        F.get("_p", 5).cast("long").alias("src_size"),
+        F.get("_p", 6).alias("seq"),
+    )
 
 
 def maf(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +102,36 @@ def parse_mercator(rows: DataFrame, species: list[str]) -> DataFrame:
     return out.select("block", "p.species", "p.chr", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("end"), "p.strand")
 
 
+def mercator_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """block, species, seq, chr, p_start, p_end, strand of a folder of block files (block.mfa) with its `map` and `genomes` files.
+
+    genomes: one line of species in the map's order; a name's part before '_' counts. A species without a place in the map has nulls there. Files are read
+    whole, a task one at least; blocks that the map lacks are left out.
+    """
+    from ..operators.alignment import parse_fasta_text
+
+    named = spark.read.text(f"{folder}/genomes").where(F.trim("value") != "").first()  # one line
+    species = [s.split("_")[0] for s in named.value.split()] if named else []
+    places = parse_mercator(spark.read.text(f"{folder}/map"), species).withColumnsRenamed({"start": "p_start", "end": "p_end"})
+    files = spark.read.text(f"{folder}/*.mfa", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.mfa$", 1).alias("block"), "value")
+    rows = parse_fasta_text(files, "value", "block").select("block", F.substring_index("name", "_", 1).alias("species"), "seq")
+    return rows.join(places, ["block", "species"]).select("block", "species", "seq", "chr", "p_start", "p_end", "strand")
+
+
+def rate_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """set, protein, rates (species to rate, null for '-') of files NAME_dom_rates/NAME_pw_rates_domains, each with a header of its own species."""
+    rows = lines(spark, f"{folder}/*_dom_rates/*_pw_rates_domains")
+    fields_of = lambda text: F.split(F.rtrim(text, F.lit("\t")), "\t")
+    first = rows.groupBy("file").agg(F.min_by(F.struct("value", "block", "line"), F.struct("block", "line")).alias("_head"))  # a row a file
+    is_row = ((F.col("block") != F.col("_head.block")) | (F.col("line") != F.col("_head.line"))) & (F.trim("value") != "")
+    body = rows.join(first, "file").where(is_row)
+    # filters move: a header's fields must be no error wherever they are looked at
+    heads, cells = F.slice(fields_of(F.col("_head.value")), 2, 1 << 20), F.when(is_row, fields_of(F.col("value")))
+    rate = lambda i: F.nullif(F.get(cells, i + 1), F.lit("-")).cast("double")
+    rates = F.map_from_entries(F.transform(heads, lambda s, i: F.struct(s, rate(i))))
+    return body.select(F.regexp_extract("file", r"([^/]+)_pw_rates_domains$", 1).alias("set"), F.get(cells, F.lit(0)).alias("protein"), rates.alias("rates"))
+
+
 def parse_sam(rows: DataFrame) -> DataFrame:
     """name, strand, chr, loc, mapq, seq, qual; header lines are skipped, flag bit 16 is '-'."""
     out = fields(rows.where(~F.col("value").startswith("@")), "\t", "name", "flag:int", "chr", "loc:long", "mapq:int", None, None, None, None, "seq", "qual")
