@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import checkpoint
+from .ordered import STRETCH, carried_scan, checkpoint
 
 
 def ortholog_pairs(genes_a: DataFrame, orth: DataFrame, genes_b: DataFrame, first_only: bool = False) -> DataFrame:
@@ -36,11 +36,11 @@ def paired_peaks(a: DataFrame, b: DataFrame) -> DataFrame:
     return best.select("a_pid", "b_pid", "p.gene", "p.kind")
 
 
-def gene_clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """pid, cluster: peaks connected through shared genes, named by the least pid; pairs are (pid, gene). Labels spread until none changes, cut at a reliable checkpoint each round."""
+def gene_clusters(pairs: DataFrame) -> DataFrame:
+    """pid, cluster: peaks connected through shared genes, named by the least pid; pairs are (pid, gene). Labels spread, and hop to their own labels, until none changes."""
     pairs = checkpoint(pairs.select("pid", "gene").distinct())
     labels = checkpoint(pairs.select("pid").distinct().withColumn("cluster", F.col("pid")))
-    for _ in range(rounds):
+    while True:
         of_gene = pairs.join(labels, "pid").groupBy("gene").agg(F.min("cluster").alias("c"))
         new = pairs.join(of_gene, "gene").groupBy("pid").agg(F.min("c").alias("cluster"))
         # a label's own label is at least as small
@@ -48,7 +48,6 @@ def gene_clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         if not hop.join(labels.withColumnRenamed("cluster", "old"), "pid").where("cluster != old").take(1):
             return hop
         labels = hop
-    raise RuntimeError("clusters did not settle")
 
 
 def cluster_counts(a: DataFrame, b: DataFrame, key: str = "gene") -> DataFrame:
@@ -128,26 +127,23 @@ def feature_text() -> Column:
     return F.concat(F.col("type"), F.lit("|start:"), F.col("start").cast("string"), F.lit("|end:"), F.col("end").cast("string"), F.lit("|tags:"), tags)
 
 
-def gene_lanes(genes: DataFrame, step: float = 0.11) -> DataFrame:
-    """gid, lane: a gene's lane lies step above that of the last gene placed before it that overlaps it; a fold along islands of overlapping genes."""
+def gene_lanes(genes: DataFrame, step: float = 0.11, stretch: int = STRETCH) -> DataFrame:
+    """gid, lane: a gene's lane lies step above that of the last gene placed before it that overlaps it, ends included; a scan that carries the genes still open."""
     import pandas as pd
 
-    from .ordered import running_max, running_sum
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, float]] = []
-        for _, island in rows.sort_values(["s", "e", "gid"]).groupby("run"):
-            placed: list[tuple[int, float]] = []
-            for r in island.itertuples(index=False):
-                placed = [p for p in placed if p[0] >= r.s]  # starts only rise: the others reach no later gene
-                placed.append((r.e, placed[-1][1] + step if placed else 0.0))
-                out.append((r.gid, placed[-1][1]))
-        return pd.DataFrame(out, columns=["gid", "lane"])
+    def fold(rows: pd.DataFrame, state: list | None, last: bool) -> tuple[pd.DataFrame, list]:
+        chrom, placed = state or [None, []]
+        out = []
+        for c, s, e, gid in zip(*(rows[x].tolist() for x in ("chr", "s", "e", "gid")), strict=True):
+            # starts only rise: the others reach no later gene
+            placed = [p for p in placed if p[0] >= s] if c == chrom else []
+            chrom = c
+            placed.append([e, placed[-1][1] + step if placed else 0.0])
+            out.append((gid, placed[-1][1]))
+        return pd.DataFrame(out, columns=["gid", "lane"]), [chrom, placed]
 
-    rows = running_max(genes.select("chr", "s", "e", "gid"), ["chr"], ["e", "gid"], "s", F.col("e"), "_reach")
-    rows = running_sum(rows, ["chr"], ["e", "gid"], "s", F.when(F.col("_reach") >= F.col("s"), 0).otherwise(1), "_run")
-    rows = rows.withColumnRenamed("_run", "run")
-    return rows.groupBy("chr", F.floor(F.col("run") / 512).alias("some")).applyInPandas(fold, f"gid {dict(genes.dtypes)['gid']}, lane double")
+    rows = genes.select("chr", "s", "e", "gid").where("chr is not null and gid is not null and s is not null and e is not null")
+    return carried_scan(rows, ["chr", "s", "e", "gid"], fold, f"gid {dict(genes.dtypes)['gid']}, lane double", stretch)
 
 
 def species_subsets(spark, species: list[str]) -> DataFrame:
@@ -159,14 +155,31 @@ def species_subsets(spark, species: list[str]) -> DataFrame:
     return spark.range(1, 1 << len(species)).select(F.array_join(picked, ",").alias("subset"))
 
 
-def pruned_trees(nodes: DataFrame, subsets: DataFrame) -> DataFrame:
-    """subset, node, parent, length: the tree (node, parent, length; leaves by name) cut to each subset's leaves and their ancestors. Depth by depth, as many joins as the tree is deep."""
-    leaves = subsets.select("subset", F.explode(F.split("subset", ",")).alias("node"))
-    found = leaves
-    level = leaves
+def pruned_trees(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """subset, node, parent, length: the tree (node, parent, length; the root has no parent) cut to each subset's leaves, without inner nodes of one child.
+
+    leaves: subset, node. Where a node of one child goes, its length is added to the child's, so that lengths from the root to the leaves stay; the topmost node that is left is the root and
+    keeps what lies above it. Both the marking of ancestors and the passing over of nodes are pointer doubling: as many rounds as the logarithm of the depth.
+    """
+    tree = checkpoint(nodes.select("node", "parent", F.coalesce("length", F.lit(0.0)).alias("length")).distinct())
+    marked = checkpoint(leaves.select("subset", "node").distinct().join(tree.select("node"), "node", "left_semi").select("subset", "node"))
+    # marked rises by leaps of 1, 2, 4, ... ancestors
+    leap = tree.where("parent is not null").select("node", F.col("parent").alias("to"))
+    while leap.take(1):
+        up = marked.join(leap, "node").select("subset", F.col("to").alias("node"))
+        marked = checkpoint(marked.unionByName(up).distinct())
+        leap = checkpoint(leap.join(leap.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+    edges = marked.join(tree, "node")
+    children = edges.where("parent is not null").groupBy("subset", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
+    asked = leaves.select("subset", "node").distinct().withColumn("leaf", F.lit(True))
+    known = edges.join(children, ["subset", "node"], "left").join(asked, ["subset", "node"], "left")
+    # kept: asked for, or where branches meet
+    state = checkpoint(known.select("subset", "node", F.col("parent").alias("to"), "length", (F.coalesce("leaf", F.lit(False)) | (F.coalesce("n", F.lit(0)) > 1)).alias("kept")))
     while True:
-        level = level.join(nodes, "node").where("parent is not null").select("subset", F.col("parent").alias("node")).distinct().join(found, ["subset", "node"], "left_anti")
-        if not level.take(1):
-            break
-        found = found.unionByName(level)
-    return found.join(nodes, "node").select("subset", "node", "parent", "length")
+        over = state.where("not kept").select("subset", F.col("node").alias("to"), F.col("to").alias("far"), F.col("length").alias("more"))
+        found = state.join(over.withColumn("passed", F.lit(True)), ["subset", "to"], "left")
+        passed = F.coalesce("passed", F.lit(False))
+        new = checkpoint(found.select("subset", "node", F.when(passed, F.col("far")).otherwise(F.col("to")).alias("to"), F.when(passed, F.col("length") + F.col("more")).otherwise(F.col("length")).alias("length"), "kept", passed.alias("passed")))
+        state = new.drop("passed")
+        if not new.where("passed").take(1):
+            return state.where("kept").select("subset", "node", F.col("to").alias("parent"), "length")

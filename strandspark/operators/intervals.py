@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_max, running_sum
+from .ordered import STRETCH, carried_scan, running_max, running_sum
 
 WIDTH = 1 << 12
 
@@ -165,36 +165,32 @@ def union_runs(peaks: DataFrame, pad: int = 0, drop_last: bool = False, width: i
     return runs.select("chr", "s", "e", "n", "sets")
 
 
-def merge_runs(peaks: DataFrame, join_cut: float, pad: int = 0, drop_last: bool = False) -> DataFrame:
+def merge_runs(peaks: DataFrame, join_cut: float, pad: int = 0, drop_last: bool = False, stretch: int = STRETCH) -> DataFrame:
     """As union_runs, but neighbours merge only if their overlap is more than join_cut of either one's length; else the earlier one is cut before the later.
 
-    The outcome depends on the order, so it's a fold; it runs over some of union_runs' islands at a time, which no merge crosses.
+    The outcome depends on the order, so it's a scan that carries the open run (chr, s, e, n, sets, length) from stretch to stretch.
     """
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["s", "e", "st"])
-        out, now = [], None
-        for r in rows.itertuples():
-            if now is None:
-                now = [r.s, r.e, 1, {r.st}, r.e - r.s]
-                continue
-            shared = min(now[1], r.e) - max(now[0], r.s)
-            if r.s < now[1] and max(shared / (r.e - r.s), shared / now[4]) > join_cut:
-                now = [now[0], max(now[1], r.e), now[2] + 1, now[3] | {r.st}, max(now[1], r.e) - now[0]]
-                continue
-            out.append((*(now[:2] if r.s >= now[1] else (now[0], r.s - 1)), now[2], len(now[3])))
-            now = [r.s, r.e, 1, {r.st}, r.e - r.s]
-        if now:
-            out.append((now[0], now[1], now[2], len(now[3])))
-        got = pd.DataFrame(out, columns=["s", "e", "n", "sets"])
-        got.insert(0, "chr", rows["chr"].iloc[0])
-        return got
-
-    rows = peaks.select("chr", (F.col("s") - pad).alias("s"), (F.col("e") + pad).alias("e"), "st").where("e > s")
-    rows = running_max(rows, ["chr"], ["e", "st"], "s", F.col("e"), "_reach")
-    rows = running_sum(rows, ["chr"], ["e", "st"], "s", F.when(F.col("_reach") > F.col("s"), 0).otherwise(1), "_run")
-    kind = dict(rows.dtypes)["chr"]
-    # neighbouring islands share a group; the fold breaks between them by itself
-    runs = rows.groupBy("chr", F.floor(F.col("_run") / 512).alias("_some")).applyInPandas(fold, f"chr {kind}, s long, e long, n long, sets long")
+    kind = dict(peaks.dtypes)["chr"]
+
+    def fold(rows: pd.DataFrame, now: list | None, last: bool) -> tuple[pd.DataFrame, list | None]:
+        out = []
+        for chrom, s, e, st in zip(*(rows[c].tolist() for c in ("chr", "s", "e", "st")), strict=True):
+            if now and now[0] == chrom:
+                shared = min(now[2], e) - max(now[1], s)
+                if s < now[2] and max(shared / (e - s), shared / now[5]) > join_cut:
+                    end = max(now[2], e)
+                    now = [chrom, now[1], end, now[3] + 1, sorted({*now[4], st}), end - now[1]]
+                    continue
+                now[2] = now[2] if s >= now[2] else s - 1
+            if now:
+                out.append((*now[:4], len(now[4])))
+            now = [chrom, s, e, 1, [st], e - s]
+        if last and now:
+            out.append((*now[:4], len(now[4])))
+        return pd.DataFrame(out, columns=["chr", "s", "e", "n", "sets"]), now
+
+    rows = peaks.select("chr", (F.col("s") - pad).alias("s"), (F.col("e") + pad).alias("e"), "st").where("chr is not null and st is not null and e > s")
+    runs = carried_scan(rows, ["chr", "s", "e", "st"], fold, f"chr {kind}, s long, e long, n long, sets long", stretch)
     if drop_last:
         last = runs.agg(F.max(F.struct("chr", "s")).alias("l")).select("l.*")
         runs = runs.join(F.broadcast(last), ["chr", "s"], "left_anti")  # one row

@@ -6,9 +6,12 @@ to the rows, which run on within their bin only.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +70,49 @@ def next_value(df: DataFrame, part: list[str], pos: str, name: str, width: int =
     after = firsts.select(*part, "_bin", F.lead("_total").over(Window.partitionBy(*part).orderBy("_bin")).alias("_following"))
     local = Window.partitionBy(*part, "_bin").orderBy(pos)
     return df.join(after, [*part, "_bin"]).withColumn(name, F.coalesce(F.lead(pos).over(local), "_following")).drop("_bin", "_following")
+
+
+#: Rows of a stretch that a carried scan folds at once.
+STRETCH = 4096
+
+
+def carried_scan(rows: DataFrame, order: list[str], fold: Callable, schema: str, stretch: int = STRETCH) -> DataFrame:
+    """A fold over rows in the order of those columns, whose outcome depends on what came before, without a task for all of them.
+
+    fold(frame, state, last) gets a stretch of rows in order, the state that the stretch before left (None at the very beginning) and whether it's the
+    last one, and returns (frame of results, state); states are JSON values. Rows are ranked and cut into stretches of fixed size. All are folded as if nothing came before
+    them, and left states go on to the next stretches; those that got another state than they reckoned with are folded again, until none
+    does. Where states forget what is far behind, that takes few rounds, each of the stretches still open. Rows must not differ but in these columns.
+    """
+    from .coverage import with_rank
+
+    ranked = with_rank(rows.select(*order), F.struct(*order), order[-1], "_rank")
+    ranked = checkpoint(ranked.withColumn("_stretch", F.floor((F.col("_rank") - 1) / stretch)))
+    most = ranked.agg(F.max("_stretch")).first()[0]
+
+    def stated(keep: bool):
+        def run(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+            at = int(frame["_stretch"].iloc[0]) if len(frame) else 0
+            text = entry["state"].iloc[0] if len(entry) else "null"
+            if not len(frame):
+                return pd.DataFrame({"_stretch": [], "state": []})
+            out, state = fold(frame.sort_values("_rank"), json.loads(text), at == most)
+            return out if keep else pd.DataFrame({"_stretch": [at], "state": [json.dumps(state)]})
+
+        return run
+
+    def left_by(entries: DataFrame, some: DataFrame) -> DataFrame:
+        return checkpoint(some.groupBy("_stretch").cogroup(entries.groupBy("_stretch")).applyInPandas(stated(False), "_stretch long, state string"))
+
+    none = ranked.sparkSession.createDataFrame([], "_stretch long, state string")
+    reckoned = checkpoint(ranked.select("_stretch").distinct().withColumn("state", F.lit("null")))  # what each stretch began with
+    left = left_by(none, ranked)
+    while True:
+        entries = left.select((F.col("_stretch") + 1).alias("_stretch"), "state").where(F.col("_stretch") <= (most or 0))
+        wrong = checkpoint(entries.join(reckoned.withColumnRenamed("state", "_old"), "_stretch").where("state != _old").select("_stretch", "state"))
+        if not wrong.take(1):
+            break
+        again = left_by(wrong, ranked.join(wrong.select("_stretch"), "_stretch", "left_semi"))
+        kept = lambda old, new: old.join(new.select("_stretch"), "_stretch", "left_anti").unionByName(new)
+        left, reckoned = checkpoint(kept(left, again)), checkpoint(kept(reckoned, wrong))
+    return ranked.groupBy("_stretch").cogroup(reckoned.groupBy("_stretch")).applyInPandas(stated(True), schema)

@@ -191,7 +191,13 @@ def paired_peaks(spark, d):
     return G.paired_peaks(sided(spark, d, 0), sided(spark, d, 1))
 
 
-@query()
+@query("""with recursive e as materialized (select distinct l_orderkey as pid, l_partkey as gene from lineitem),
+  hop as materialized (select distinct a.pid, b.pid as other from e a join e b using (gene)),
+  cc(pid, cluster) using key (pid) as (
+    select pid, pid from (select distinct pid from e)
+    union
+    select hop.pid, min(c.cluster) from hop join cc c on c.pid = hop.other join recurring.cc mine on mine.pid = hop.pid where c.cluster < mine.cluster group by hop.pid)
+  select pid, cluster from cc""")
 def gene_clusters(spark, d):
     line = spark.read.parquet(f"{d}/lineitem.parquet")
     return G.gene_clusters(line.select(F.col("l_orderkey").alias("pid"), F.col("l_partkey").alias("gene")))
@@ -249,9 +255,16 @@ def track_text(spark, d):
     return G.with_tag(track(spark, d), "chr", F.col("seq_id")).select("gid", G.feature_text().alias("text"))
 
 
-@query()
+@query("""with recursive o as materialized (select *, row_number() over (partition by chr order by s, e, gid) as i from genes),
+  r(chr, i, gid, lane, placed) as (
+    select chr, i, gid, 0.0::double, [{'e': e, 'lane': 0.0::double}] from o where i = 1
+    union all
+    select chr, i, gid, lane, list_append(still, {'e': e, 'lane': lane}) from (
+      select chr, i, gid, e, still, case when len(still) > 0 then still[len(still)].lane + 0.11::double else 0.0::double end as lane from (
+        select o.chr, o.i, o.gid, o.e, list_filter(r.placed, lambda p: p.e >= o.s) as still from r join o on o.chr = r.chr and o.i = r.i + 1)))
+  select gid, round(lane, 9) as lane from r""")
 def gene_lanes(spark, d):
-    return G.gene_lanes(view(spark, d, "genes"))
+    return G.gene_lanes(view(spark, d, "genes")).withColumn("lane", F.round("lane", 9))
 
 
 @query("""with n as (select range as id from range(1, 32)), s(i, name) as (values (0, 'ana'), (1, 'mel'), (2, 'pse'), (3, 'vir'), (4, 'yak'))

@@ -127,7 +127,18 @@ def peak_intersect(spark, d):
     return I.intersect_runs(view(spark, d, "peaks"))
 
 
-@query()
+@query("""with recursive o as materialized (select chr, s, e, st, row_number() over (partition by chr order by s, e, st) as i, count(*) over (partition by chr) as m from peaks where e > s),
+  r(chr, i, m, s, e, n, sets, len, os, oe, o_n, o_sets) as (
+    select chr, i, m, s, e, 1, [st], e - s, null::bigint, null::bigint, null::int, null::bigint from o where i = 1
+    union all
+    select chr, i, m, case when merge then s else s2 end, case when merge then greatest(e, e2) else e2 end, case when merge then n + 1 else 1 end,
+      case when merge then list_distinct(list_append(sets, st)) else [st] end, case when merge then greatest(e, e2) - s else e2 - s2 end,
+      case when not merge then s end, case when not merge then case when s2 >= e then e else s2 - 1 end end, case when not merge then n end, case when not merge then len(sets) end
+    from (select r.chr, o.i, r.m, r.s, r.e, r.n, r.sets, o.st, o.s as s2, o.e as e2,
+        o.s < r.e and greatest((least(r.e, o.e) - greatest(r.s, o.s))::double / (o.e - o.s), (least(r.e, o.e) - greatest(r.s, o.s))::double / r.len) > 0.5 as merge
+      from r join o on o.chr = r.chr and o.i = r.i + 1) x)
+  select chr, os as s, oe as e, o_n::bigint as n, o_sets::bigint as sets from r where os is not null
+  union all select chr, s, e, n::bigint, len(sets)::bigint from r where i = m""")
 def peak_merge_cut(spark, d):
     return I.merge_runs(view(spark, d, "peaks"), 0.5)
 

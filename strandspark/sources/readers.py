@@ -347,19 +347,48 @@ def parse_newick(trees: DataFrame, key: str, text: str = "text") -> DataFrame:
     return trees.select(key, text).mapInPandas(run, f"{key} {kind}, node string, parent string, length double")
 
 
-def newick_edges(text: str) -> list[tuple[str, str | None, float | None]]:
-    """(node, parent, length): children come before their parents."""
-    out: list[tuple[str, str | None, float | None]] = []
+#: Of Newick text: a comment, a quoted label ('' stands for '), a mark, or a bare label or number.
+NEWICK = re.compile(r"\[[^\]]*\]|'((?:[^']|'')*)'|([(),:;])|([^\s(),:;\[\]']+)")
+
+
+def newick_edges(text: str | None) -> list[tuple[str, str | None, float | None]]:
+    """(node, parent, length): children come before their parents. Comments in brackets are skipped, quoted labels may hold anything."""
+    out: list[list] = []  # name, parent's place, length
     open_: list[list[int]] = [[]]
-    for token in re.finditer(r"\(|\)?\s*([^(),:;]*)(?::\s*([-+.\deE]+))?\s*[,;]?", text):
-        part = token[0]
-        if part == "(":
+    now: int | None = None  # the node being described
+    expect_length = False
+
+    def node() -> int:
+        nonlocal now
+        if now is None:
+            now = len(out)
+            out.append([None, None, None])
+            open_[-1].append(now)
+        return now
+
+    for m in NEWICK.finditer(text or ""):
+        quoted, mark, bare = m.groups()
+        if mark == "(":
             open_.append([])
-        elif part:
-            children = open_.pop() if part.startswith(")") else []
-            name = token[1].strip() or str(len(out))
-            for i in children:
-                out[i] = (out[i][0], name, out[i][2])
-            open_[-1].append(len(out))
-            out.append((name, None, float(token[2]) if token[2] else None))
-    return out
+            now, expect_length = None, False
+        elif mark in (",", ")", ";"):
+            if open_[-1] or mark != ";":
+                node()
+            now, expect_length = None, False
+            if mark == ")" and len(open_) > 1:
+                children = open_.pop()
+                parent = node()
+                for i in children:
+                    out[i][1] = parent
+        elif mark == ":":
+            node()
+            expect_length = True
+        elif quoted is not None or bare is not None:
+            label = quoted.replace("''", "'") if quoted is not None else bare
+            if expect_length:
+                out[node()][2], expect_length = float(label), False
+            else:
+                i = node()
+                out[i][0] = label if out[i][0] is None else f"{out[i][0]} {label}"
+    names = [name if name else str(i) for i, (name, _, _) in enumerate(out)]
+    return [(names[i], None if parent is None else names[parent], length) for i, (_, parent, length) in enumerate(out)]
