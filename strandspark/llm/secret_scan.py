@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and an assignment-aware lexer for source and configuration syntax.
 
-The lexer goes over a text once, past comments and strings, and reads every `name = literal`, `name: literal`,
+The lexer goes over a text once, past comments and strings, and reads every `name = literal`, `name: literal`, `name: type = literal`,
+`name ||= literal`, `name = test ? literal : literal`, `#define NAME literal`, `key="name" value="literal"`,
 `"name" => "a" + B`, `name: |` with a deeper block and the like into name-literal pairs, in text order; literals may be in triple quotes,
 in parentheses over several lines, or templates with ${NAME} in them. A name assigned a literal becomes a constant
 until it is assigned anew; constants used later, alone, in `+` chains or in templates, stand for their value. Calls and
@@ -34,11 +35,11 @@ NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "
 THRESHOLD = 0.45
 PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example|placeholder|redacted|x+|\*+|\.+|your[-_].*|\$\{.*\}|<.*>|%\(.*\)s?)$")
 #: Where a name may stand before an operator, in quotes or not.
-OPERATOR = r"(?:\])?+[ \t]*+(?P<{}>:=|=>|[=:](?![=~:]))"
+OPERATOR = r"(?:\])?+[ \t]*+(?P<{}>:=|=>|\|\|=|\?\?=|\?=|[=:](?![=~:]))"
 STRING = r"""(?:\"{3}[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"{3}|'{3}[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
-#: A comment up to the line's end, the start of a longer one, a string, or a name with its operator: what a scan stops at.
+#: A macro with a value, a comment up to the line's end, the start of a longer one, a string, or a name with its operator: what a scan stops at.
 TOKEN = re.compile(
-    rf"""(?a)(?P<line>(?<!\S)(?:#|//|--[ \t])[^\n]*+)|(?P<block>/\*|<!--)|(?<![\w"'`\\])(?P<string>[rRbBuUfF]{{0,2}}+{STRING})|(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+){OPERATOR.format("op")}"""
+    rf"""(?a)(?<!\S)\#[ \t]*+define[ \t]++(?P<define>\w++)[ \t]++(?=["'\w(])|(?P<line>(?<!\S)(?:#|//|--[ \t])[^\n]*+)|(?P<block>/\*|<!--)|(?<![\w"'`\\])(?P<string>[rRbBuUfF]{{0,2}}+{STRING})|(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+){OPERATOR.format("op")}"""
 )
 KEYED = re.compile(rf"(?a){OPERATOR.format('op')}")
 CLOSES = {"/*": "*/", "<!--": "-->"}
@@ -58,6 +59,16 @@ BRACES = re.compile(r"(?a)\$?\{(\w++)[^{}\n]*+\}")
 REACH = 128
 #: Characters of either end by which a long placeholder is told.
 ENDS = 64
+#: A declared type between a colon and its `=`, which stands alone or before a string.
+ATOM = r"[&*]*+(?:'\w++[ \t]++)?+(?:mut[ \t]++)?+[A-Za-z_][\w.]*+(?:\[[^\]\n]{0,128}+\]|<[^>\n]{0,128}+>)*+\??+"
+TYPED = re.compile(rf"""(?a)[ \t]*+{ATOM}(?:[ \t]*+\|[ \t]*+{ATOM}){{0,8}}+(?:[ \t]++=|=(?=[ \t]*+["'`]))(?![=~>])(?=[ \t]*+\S)""")
+#: What is asked before either arm of a choice, what stands between the arms, and the other order of the two.
+ASKED = re.compile(r"""(?:[^\n"'`;?#]|"[^"\\\n]{0,64}+"|'[^'\\\n]{0,64}+'){1,96}+\?(?![?.=])[ \t]*+""")
+OTHERWISE = re.compile(r"\s*+:(?![:=])[ \t]*+")
+IF_ELSE = re.compile(r"""[ \t]++if[ \t][^\n#]{1,96}?[ \t]else[ \t]++""")
+#: Attributes that name what the next one, `value`, holds.
+NAMING = {"key", "name", "id"}
+NAMED_VALUE = re.compile(r"""(?:\s++|\s*+,\s*+)["']?+[vV]alue["']?+\s*+[=:]\s*+""")
 PLUS = re.compile(r"[ \t]*+\+(?!=)")
 NAME_PARTS = re.compile(r"(?a)[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -163,6 +174,7 @@ class _Lexer:
         self.constants: dict[str, tuple[int, int] | _Chain | None] = {}
         self.run = (0, 0)
         self.unclosed: set[str] = set()
+        self.choices = "?" in text
 
     def pairs(self) -> Iterator[tuple[str, tuple[int, int] | _Chain, int]]:
         """(name, value, where its operator is), in text order; the name is a constant of that value from there on."""
@@ -179,26 +191,55 @@ class _Lexer:
                     else:
                         at = close + len(CLOSES[m["block"]])
                 continue
-            name, start = m["name"], m.start()
+            name, start = m["name"] or m["define"], m.start()
             if name is None:
                 key = KEYED.match(text, at)
                 if not key:
                     continue
                 name, m, at = m["string"].strip("rRbBuUfF\"'"), key, key.end()
-            parts, end = self.value(at, start, name, m["op"])
+            operator, place = ("=", at) if m.re is TOKEN and m["define"] else (m["op"], m.start("op"))
+            asked = self.choices and operator != ":" and ASKED.match(text, at)
+            found = []
+            parts, end = self.value(asked.end() if asked else at, start, name, operator)
             at = max(at, end)
+            while True:
+                if parts:
+                    found.append(parts[0] if len(parts) == 1 else _Chain(parts))
+                    yield name, found[-1], place
+                other = parts is not None and len(found) < 2 and self.other_arm(end, bool(asked))
+                if not other:
+                    break
+                asked = None
+                parts, end = self.value(other, start, name, "=")
+                at = max(at, end)
             if parts is None:
                 self.constants.pop(name, None)
-            elif parts:
-                value = parts[0] if len(parts) == 1 else _Chain(parts)
-                self.constants[name] = value
-                yield name, value, m.start("op")
+            elif found:
+                self.constants[name] = found[0] if len(found) == 1 else _Chain(found)
+            if name.lower() in NAMING and len(found) == 1 and isinstance(found[0], tuple) and (named := NAMED_VALUE.match(text, at)):
+                name = text[found[0][0] : found[0][1]]
+                parts, end = self.value(named.end(), start, name, "=")
+                at = max(at, end)
+                if parts:
+                    yield name, parts[0] if len(parts) == 1 else _Chain(parts), place
+
+    def other_arm(self, end: int, asked: bool) -> int | None:
+        """Where the second arm of a choice begins, if there is one after the first arm's end."""
+        if asked:
+            if RUN.match(self.text, end):
+                end = self.run_end(end)
+            m = OTHERWISE.match(self.text, end)
+        else:
+            m = IF_ELSE.match(self.text, end) if self.text.startswith((" ", "\t"), end) else None
+        return m.end() if m else None
 
     def value(self, at: int, start: int, name: str, operator: str) -> tuple[list | None, int]:
         """(literals and constants that the value is made of, where to read on); None if it isn't made of such."""
         text = self.text
         if operator == ":" and (scalar := SCALAR.match(text, at)):
             return self.scalar(scalar.end(), start)
+        if operator == ":" and (typed := TYPED.match(text, at)):
+            at = typed.end()
         inside = OPEN.match(text, at)
         space = SPACES if inside else SPACE
         at = inside.end() if inside else at
@@ -326,7 +367,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: counts by kind, a digest of the base spans, all spans. Null is the empty text, which has no spans.
 
-    Repeated rows give repeated results; equal starts are ordered by kind. Other columns are ignored.
+    Repeated rows give repeated results; equal starts are ordered by kind. Texts may be of any length; time is linear in it. An empty table
+    gives no rows. Other columns are ignored.
     """
     return keyed(docs).mapInArrow(_rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumn("doc_id", real_id())
 
@@ -343,7 +385,7 @@ def redact_text(text: str, mask: str = "[REDACTED]") -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced in text, and n_chars, where there is one, as long as the new text; a null text stays null."""
+    """docs with every span replaced in text, and n_chars, where there is one, as long as the new text; a null text stays null. Repeated rows are masked alike, texts may be of any length, an empty table gives no rows."""
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
