@@ -345,7 +345,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and b <= own[k - 1][1]
-    added = [x for x in lex(text) if not inside(x[0], x[1])] if "=" in text or ":" in text else []
+    added = [x for x in lex(text) if not inside(x[0], x[1])] if "=" in text or ":" in text or "define" in text else []
     return base, added
 
 
