@@ -312,18 +312,28 @@ def likelihood_ratio(scores: DataFrame, one: str = "m1", two: str = "m2", joint:
     return scores.agg((-2 * F.sum(F.log(joint)) + 2 * F.sum(own)).alias("ratio"))
 
 
-def random_sequences(spark, n: int, length: int, seed: int = 1) -> DataFrame:
-    """id, seq: uniform bases; reruns with a seed agree."""
-    base = F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), F.pmod(F.xxhash64(F.lit(seed), "id", F.col("i")), F.lit(4)).cast("int") + 1)
-    letters = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("i")).select("id", "i", base.alias("b"))
-    return letters.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]), "").alias("seq"))
+def drawn(*parts) -> Column:
+    """The first 15 hexadecimal digits of md5 of the parts, colon-joined, as a number: a draw that other engines can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def random_sequences(rows: DataFrame, key: str = "id", length: str = "length", seed: int = 1) -> DataFrame:
+    """key, seq: for each row as many bases as its length, drawn alike; rows without a length of 1 or more are left out; reruns agree."""
+    letters = rows.where(F.col(length) >= 1).select(key, F.explode(F.sequence(F.lit(1), F.col(length).cast("int"))).alias("i"))
+    digit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("i").cast("string"))), 1, 1)
+    base = F.substring(F.lit("ACGT"), ((F.instr(F.lit("0123456789abcdef"), digit) - 1) % 4 + 1).cast("int"), F.lit(1))
+    each = letters.select(key, "i", base.alias("b"))
+    return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]), "").alias("seq"))  # one sequence's bases
 
 
 def random_windows(peaks: DataFrame, n: int, width: int, seed: int = 1) -> DataFrame:
-    """i, chr, start, end: windows, chromosomes drawn by their greatest start, starts uniform up to it."""
-    spark = peaks.sparkSession
+    """i, chr, start, end: windows, chromosomes drawn by their greatest start, starts uniform up to it. Draws meet chromosomes by bins of the joint coordinate."""
     sizes = peaks.groupBy("chr").agg(F.max("s").alias("most"))
     ends = sizes.withColumn("hi", F.sum("most").over(Window.orderBy("chr"))).withColumn("lo", F.col("hi") - F.col("most"))  # a row a chromosome
     total = ends.agg(F.max("hi")).first()[0] or 0
-    draws = spark.range(n).select(F.col("id").alias("i"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("at"))
-    return draws.join(F.broadcast(ends), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("i", "chr", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("lo") + width).alias("end"))
+    at = F.pmod(drawn(str(seed), F.col("id")), F.lit(max(total, 1)))
+    draws = peaks.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(0).alias("chr"), at.alias("s"), at.alias("e"))
+    places = ends.select(F.lit(0).alias("chr"), F.col("lo").alias("s"), (F.col("hi") - 1).alias("e"), F.col("chr").alias("name")).where("e >= s")
+    pairs = interval_join(draws, places, lambda: F.col("l_s").between(F.col("r_s"), F.col("r_e")), width=max(1, total // 256))
+    start = F.col("l_s") - F.col("r_s")
+    return pairs.select(F.col("l_i").alias("i"), F.col("r_name").alias("chr"), start.alias("start"), (start + width).alias("end"))

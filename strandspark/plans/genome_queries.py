@@ -267,19 +267,33 @@ def gene_lanes(spark, d):
     return G.gene_lanes(view(spark, d, "genes")).withColumn("lane", F.round("lane", 9))
 
 
-@query("""with n as (select range as id from range(1, 32)), s(i, name) as (values (0, 'ana'), (1, 'mel'), (2, 'pse'), (3, 'vir'), (4, 'yak'))
+@query("""with s as (select row_number() over (order by r_name) - 1 as i, r_name as name from region), n as (select range as id from range(1, (1 << (select count(*) from region))::bigint))
   select string_agg(name, ',' order by i) as subset from n join s on (n.id >> s.i) & 1 = 1 group by n.id""")
 def power_set(spark, d):
-    return G.species_subsets(spark, ["mel", "yak", "ana", "pse", "vir"])
+    names = [r.r_name for r in spark.read.parquet(f"{d}/region.parquet").select("r_name").collect()]
+    return G.species_subsets(spark, names)
 
 
-@query("""with recursive nodes(node, parent, length) as (values ('root', null, 0.0::double), ('in', 'root', 1.0), ('mel', 'in', 0.2), ('yak', 'in', 0.3), ('pse', 'root', 1.5)),
-  subsets(subset, leaf) as (values ('mel', 'mel'), ('yak', 'yak'), ('pse', 'pse'), ('mel,yak', 'mel'), ('mel,yak', 'yak'), ('mel,pse', 'mel'), ('mel,pse', 'pse'), ('pse,yak', 'pse'), ('pse,yak', 'yak'), ('mel,pse,yak', 'mel'), ('mel,pse,yak', 'pse'), ('mel,pse,yak', 'yak')),
-  up(subset, node) as (select subset, leaf from subsets union select subset, parent from up join nodes using (node) where parent is not null)
-  select subset, node, parent, length from up join nodes using (node)""")
+#: A tree of the world, regions, nations and customers, and customers dealt over subsets.
+TREE = """nodes as (select 'w' as node, null as parent, 0.0::double as length union all select 'r' || r_regionkey, 'w', (r_regionkey + 1) / 4.0::double from region
+    union all select 'n' || n_nationkey, 'r' || n_regionkey, (n_nationkey + 1) / 8.0::double from nation union all select 'c' || c_custkey, 'n' || c_nationkey, (c_custkey % 16) / 16.0::double from customer),
+  leaves as (select c_mktsegment || c_custkey % 40 as subset, 'c' || c_custkey as node from customer)"""
+
+
+@query(f"""with recursive {TREE},
+  up(subset, node) as (select subset, node from leaves union select subset, parent from up join nodes using (node) where parent is not null),
+  kept as (select subset, node from leaves union select subset, parent from up join nodes using (node) where parent is not null group by subset, parent having count(*) > 1),
+  walk(subset, node, parent, length) as (select subset, node, parent, length from kept join nodes using (node)
+    union all select w.subset, w.node, p.parent, w.length + p.length from walk w join nodes p on p.node = w.parent where not exists (select 1 from kept k where k.subset = w.subset and k.node = w.parent))
+  select w.* from walk w where parent is null or exists (select 1 from kept k where k.subset = w.subset and k.node = w.parent)""")
 def pruned_trees(spark, d):
-    nodes = spark.createDataFrame([("root", None, 0.0), ("in", "root", 1.0), ("mel", "in", 0.2), ("yak", "in", 0.3), ("pse", "root", 1.5)], "node string, parent string, length double")
-    return G.pruned_trees(nodes, G.species_subsets(spark, ["mel", "yak", "pse"]))
+    read = lambda table: spark.read.parquet(f"{d}/{table}.parquet")
+    nodes = read("region").selectExpr("'w' as node", "cast(null as string) as parent", "0D as length").distinct()
+    nodes = nodes.unionByName(read("region").selectExpr("concat('r', r_regionkey) as node", "'w' as parent", "(r_regionkey + 1) / 4D as length"))
+    nodes = nodes.unionByName(read("nation").selectExpr("concat('n', n_nationkey) as node", "concat('r', n_regionkey) as parent", "(n_nationkey + 1) / 8D as length"))
+    nodes = nodes.unionByName(read("customer").selectExpr("concat('c', c_custkey) as node", "concat('n', c_nationkey) as parent", "(c_custkey % 16) / 16D as length"))
+    leaves = read("customer").selectExpr("concat(c_mktsegment, c_custkey % 40) as subset", "concat('c', c_custkey) as node")
+    return G.pruned_trees(nodes, leaves)
 
 
 SOURCES = [(0.1, 0.0, 1.0, 0.2, 0.3), (-0.2, 0.1, 0.5, 0.1, 0.1), (0.0, -0.1, 2.0, 0.4, 0.2)]

@@ -47,34 +47,37 @@ def codons(spark, d):
     return view(spark, d, "seqs").select("doc_id", F.posexplode(S.codons(F.col("seq"))).alias("index", "codon")).withColumn("index", F.col("index").cast("long"))
 
 
-VARIANTS = f"""{CODE_TABLE}, b(base) as (values ('A'), ('T'), ('G'), ('C')), v as (
-  select codon, aa, base || substr(codon, 2) as variant from code, b where base != substr(codon, 1, 1)
-  union all select codon, aa, substr(codon, 1, 1) || base || substr(codon, 3) from code, b where base != substr(codon, 2, 1)
-  union all select codon, aa, substr(codon, 1, 2) || base from code, b where base != substr(codon, 3, 1))"""
+#: The different whole codons of all sequences, how often each occurs, and the codons one base away.
+SEEN = f"""{CODE_TABLE}, seen as (select codon, aa, count(*) as n from (select substr(seq, cast(i * 3 + 1 as int), 3) as codon from (select seq, unnest(range(length(seq) // 3)) as i from seqs)) join code using (codon) group by codon, aa)"""
+VARIANTS = f"""{SEEN}, b(base) as (values ('A'), ('T'), ('G'), ('C')), v as (
+  select codon, n, aa, base || substr(codon, 2) as variant from seen, b where base != substr(codon, 1, 1)
+  union all select codon, n, aa, substr(codon, 1, 1) || base || substr(codon, 3) from seen, b where base != substr(codon, 2, 1)
+  union all select codon, n, aa, substr(codon, 1, 2) || base from seen, b where base != substr(codon, 3, 1))"""
 
 
-def all_codons(spark):
-    letters = spark.createDataFrame([(b,) for b in "ACGT"], "b string")
-    return letters.selectExpr("b as x").crossJoin(letters.selectExpr("b as y")).crossJoin(letters.selectExpr("b as z")).select(F.concat("x", "y", "z").alias("codon"))
+def seen_codons(spark, d):
+    """codon, n of all sequences' whole codons."""
+    each = view(spark, d, "seqs").select(F.explode(S.codons(F.col("seq"))).alias("codon"))
+    return each.where(F.length("codon") == 3).groupBy("codon").agg(F.count("*").alias("n"))
 
 
-@query(f"with {VARIANTS} select codon, variant from v")
+@query(f"with {VARIANTS} select codon, n, variant from v")
 def codon_variants(spark, d):
-    return all_codons(spark).select("codon", F.explode(S.codon_variants(F.col("codon"))).alias("variant"))
+    return seen_codons(spark, d).select("codon", "n", F.explode(S.codon_variants(F.col("codon"))).alias("variant"))
 
 
-@query(f"""with {VARIANTS} select v.codon, variant, v.aa as aa_from, c.aa as aa_to,
+@query(f"""with {VARIANTS} select v.codon, v.n, variant, v.aa as aa_from, c.aa as aa_to,
   case when v.aa = c.aa then 'synonymous' when c.aa = '*' then 'nonsense' else 'nonsynonymous' end as kind from v join code c on c.codon = v.variant""")
 def variant_classes(spark, d):
-    return S.classified_variants(all_codons(spark), "codon")
+    return S.classified_variants(seen_codons(spark, d), "codon")
 
 
 NAMES = ", ".join(f"('{a}', '{n[1]}')" for a, n in S.AMINO_NAMES.items())
 
 
-@query(f"""with {CODE_TABLE}, n(aa, name) as (values {NAMES}) select codon, case codon when 'TAA' then 'Stop (Ochre)' when 'TAG' then 'Stop (Amber)' when 'TGA' then 'Stop (Opal)' else name end as name from code join n using (aa)""")
+@query(f"""with {SEEN}, n(aa, name) as (values {NAMES}) select codon, seen.n, case codon when 'TAA' then 'Stop (Ochre)' when 'TAG' then 'Stop (Amber)' when 'TGA' then 'Stop (Opal)' else name end as name from seen join n using (aa)""")
 def codon_names(spark, d):
-    return all_codons(spark).select("codon", S.codon_name(F.col("codon")).alias("name"))
+    return seen_codons(spark, d).select("codon", "n", S.codon_name(F.col("codon")).alias("name"))
 
 
 @query("""with c as (select doc_id, i as index, substr(seq, cast(i * 3 + 1 as int), 3) as codon from (select *, unnest(range(length(seq) // 3)) as i from seqs)),
@@ -244,14 +247,22 @@ def motif_cooccurrence(spark, d):
     return M.oriented_hits(*loci(spark, d), 1000, 0)
 
 
-@query()
+#: The start of md5's hexadecimal digits as a number.
+DRAW = "('0x' || left(md5({}), 15))::bigint"
+
+
+@query(f"""with z as (select chr, max(s) as most from peaks group by chr), e as (select chr, sum(most) over (order by chr) as hi, most from z),
+  d as (select i, {DRAW.format("'1:' || i")} % (select sum(most) from z) as x from range(200) t(i))
+  select i, chr, cast(x - (hi - most) as bigint) as start, cast(x - (hi - most) + 500 as bigint) as "end" from d join e on x >= hi - most and x < hi""")
 def random_windows(spark, d):
     return M.random_windows(view(spark, d, "peaks"), 200, 500)
 
 
-@query()
+@query("""select p_partkey as id, string_agg(substr('ACGT', (instr('0123456789abcdef', left(md5('1:' || p_partkey || ':' || i), 1)) - 1) % 4 + 1, 1), '' order by i) as seq
+  from (select p_partkey, unnest(range(1, p_size + 1)) as i from part) t group by 1""")
 def random_sequences(spark, d):
-    return M.random_sequences(spark, 50, 40)
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("length"))
+    return M.random_sequences(part)
 
 
 @query("""select sum(case when pair = 'F' then 2 * ln(rate + 0.5) else 2 * ln(rate + 0.25) end) - 2 * sum(ln(rate + 0.4)) as ratio from rates""".replace("select sum", "select round(sum").replace(") as ratio", "), 6) as ratio"))
