@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.sequence import revcomp, ungapped
 from .intervals import interval_join
-from .ordered import running_sum
+from .ordered import checkpoint, running_sum
 
 COLUMN_BIN = 1 << 12
 
@@ -172,27 +173,75 @@ def part_columns(cols: DataFrame, parts: DataFrame, species, key: str = "pid", m
     return span.select(key, "block", "lo", "hi", status.alias("status"))
 
 
-def trimmed(cols: DataFrame, spans: DataFrame, key: str = "pid", species: list | None = None) -> DataFrame:
-    """key, block, species, seq, p_start, p_end, strand: all rows of the blocks cut to columns lo to hi of each span; the strand follows from the order of parent places, a row of gaps has none.
+def trimmed(block: DataFrame, spans: DataFrame, key: str = "pid", species: list | None = None, gap: str = "-") -> DataFrame:
+    """key, block, species, seq, p_start, p_end, strand: all rows of the blocks cut to columns lo to hi of each span, by slices of their strings; the strand is that of the order of parent places (one base: +), a row of gaps has none.
 
     species: those that must be there; one that a block lacks comes as gaps.
     """
-    points = cols.select(F.col("block").alias("chr"), F.col("col").alias("s"), F.col("col").alias("e"), "species", "base", "parent")
-    ranges = spans.select(key, F.col("block").alias("chr"), F.col("lo").alias("s"), F.col("hi").alias("e"))
-    inside = interval_join(ranges, points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")), width=256)
-    parts = F.array_sort(F.collect_list(F.struct("r_s", "r_base")))
-    at = F.when(F.col("r_parent").isNotNull(), F.col("r_s"))
-    out = inside.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block"), F.col("r_species").alias("species")).agg(
-        F.array_join(F.transform(parts, lambda x: x["r_base"]), "").alias("seq"), F.min("r_parent").alias("p_start"), F.max("r_parent").alias("p_end"),
-        F.when(F.min_by("r_parent", at) > F.max_by("r_parent", at), "-").when(F.count("r_parent") > 0, "+").alias("strand"),
-    )
+    rows = block.select("block", "species", "seq", "p_start", F.col("strand").alias("_strand")).join(spans.select(key, "block", "lo", "hi"), "block")
+    n = lambda text: F.length(ungapped(text, gap))
+    width = (F.col("hi") - F.col("lo") + 1).cast("int")
+    part = F.substring(F.col("seq"), F.col("lo").cast("int") + 1, width)
+    found = rows.select(key, "block", "species", part.alias("seq"), "p_start", "_strand", n(F.substring(F.col("seq"), F.lit(1), F.col("lo").cast("int"))).alias("_before"), n(part).alias("_m"), n(F.col("seq")).alias("_n"))
+    back = F.col("_strand") == "-"
+    low = F.col("p_start") + F.when(back, F.col("_n") - F.col("_before") - F.col("_m") + 1).otherwise(F.col("_before"))
+    some = (F.col("_m") > 0) & F.col("p_start").isNotNull()
+    strand = F.when(some, F.when(back & (F.col("_m") > 1), "-").otherwise("+"))
+    out = found.select(key, "block", "species", "seq", F.when(some, low).alias("p_start"), F.when(some, low + F.col("_m") - 1).alias("p_end"), strand.alias("strand"))
     if species is None:
         return out
     every = spans.select(key, "block", (F.col("hi") - F.col("lo") + 1).alias("_n"), F.explode(F.array(*[F.lit(x) for x in species])).alias("species"))
-    filled = F.coalesce("seq", F.repeat(F.lit("-"), F.col("_n").cast("int")))
+    filled = F.coalesce("seq", F.repeat(F.lit(gap), F.col("_n").cast("int")))
     return every.join(out, [key, "block", "species"], "left").withColumn("seq", filled).drop("_n")
 
 
+def turned(rows: DataFrame, back: Column) -> DataFrame:
+    """rows (seq, strand) reverse complemented, and on the other strand, where back holds."""
+    strand = F.when(back & (F.col("strand") == "+"), "-").when(back & (F.col("strand") == "-"), "+").otherwise(F.col("strand"))
+    return rows.withColumns({"seq": F.when(back, revcomp(F.col("seq"))).otherwise(F.col("seq")), "strand": strand})
+
+
+def isolated(fn, by: list[str], schema: str, default: dict):
+    """For applyInPandas over groups of the columns by: fn(frame) gives a dict of the schema's columns; where it raises, the group gets the default and the reason in the column error."""
+    names = [c.name for c in StructType.fromDDL(schema)]
+
+    def run(frame):
+        import pandas as pd
+
+        row = {c: frame[c].iloc[0] for c in by}
+        try:
+            row |= fn(frame.drop(columns=by)) | {"error": None}
+        except Exception as e:  # whatever one group's callback does, the others go on
+            row |= {c: default.get(c) for c in names} | {"error": f"{type(e).__name__}: {e}"}
+        return pd.DataFrame([[row.get(c) for c in [*by, *names, "error"]]], columns=[*by, *names, "error"])
+
+    return run
+
+
+def map_slices(block: DataFrame, targets: DataFrame, species, fn, schema: str, default: dict, key: str = "pid", pad: int = 0, most: int | None = None, fill: list | None = None) -> DataFrame:
+    """key, the schema's columns, error: fn of the alignment around each target (key, chr, s, e, strand), one row a target whatever happens.
+
+    block: rows with chr; targets are padded and looked up in the species' rows. fn gets a pandas frame of the slice (species, seq, p_start, p_end, strand), turned
+    where the target is on '-', and returns a dict. A target gets the default, and error says why, where no block has it ("not aligned"), several have ("several blocks"), an end isn't
+    in the block ("unmapped"), columns are more than `most` times its length ("wide"), or fn raises; the others don't mind. fill: species that must be in a slice, as gaps if need be.
+    """
+    asked = targets.select(key, "chr", (F.col("s") - pad).alias("s"), (F.col("e") + pad).alias("e"), "strand")
+    parts = checkpoint(blocks_on_target(block, asked, species, key))
+    number = parts.groupBy(key).agg(F.count("*").alias("_n"))
+    one = parts.join(number.where("_n = 1"), key, "left_semi").select(key, "block").join(asked.select(key, "s", "e"), key)
+    own = block.where(F.col("species") == species).join(one.select("block").distinct(), "block", "left_semi")
+    spans = checkpoint(part_columns(with_parent(columns(own), own), one, species, key, most))
+    rows = trimmed(block, spans.where("status = 'ok'"), key, fill).join(targets.select(key, F.col("strand").alias("_strand")), key)
+    rows = turned(rows, F.col("_strand") == "-").select(key, "species", "seq", "p_start", "p_end", "strand")
+    kind = dict(targets.dtypes)[key]
+    done = rows.groupBy(key).applyInPandas(isolated(fn, [key], schema, default), f"{key} {kind}, {schema}, error string")
+    names = [c.name for c in StructType.fromDDL(schema)]
+    why = F.when(F.col("_n").isNull(), "not aligned").when(F.col("_n") > 1, "several blocks").when(F.col("status") != "ok", F.col("status")).when(F.col("_done").isNull(), "unmapped").otherwise(F.col("error"))
+    found = targets.select(key).join(number, key, "left").join(spans.select(key, "status"), key, "left").join(done.withColumn("_done", F.lit(True)), key, "left").withColumn("error", why)
+    types = {c.name: c.dataType for c in StructType.fromDDL(schema)}
+    return found.select(key, *[F.when(F.col("_done"), F.col(c)).otherwise(F.lit(default.get(c)).cast(types[c])).alias(c) for c in names], "error")
+
+
 def unlifted(targets: DataFrame, lifted: DataFrame, key: str = "pid") -> DataFrame:
     return targets.join(lifted.select(key).distinct(), key, "left_anti")
 

@@ -335,14 +335,14 @@ def slice_columns_of_parts(spark, d):
 
 @query(f"with {COLS}, {PARTS}, {SPANS} {CUT} group by 1, 2, 3")
 def trimmed_blocks(spark, d):
-    return A.trimmed(cols(spark, d), A.part_columns(cols(spark, d), parts(spark, d), 0))
+    return A.trimmed(block(spark, d), A.part_columns(cols(spark, d), parts(spark, d), 0))
 
 
 @query(f"""with {COLS}, {PARTS}, {SPANS}, x as ({CUT} and p.species != p.block % 3 + 2 group by 1, 2, 3), y as (select pid, block, hi - lo + 1 as n, unnest([0, 2, 3, 4])::int as species from e)
   select y.pid, y.block, y.species, coalesce(x.seq, repeat('-', y.n)) as seq, p_start, p_end, strand from y left join x on x.pid = y.pid and x.species = y.species""")
 def trimmed_blocks_filled(spark, d):
-    c = cols(spark, d)
-    return A.trimmed(c.where("species != block % 3 + 2"), A.part_columns(c, parts(spark, d), 0), species=[0, 2, 3, 4])
+    rows = block(spark, d).where("species != block % 3 + 2")
+    return A.trimmed(rows, A.part_columns(cols(spark, d), parts(spark, d), 0), species=[0, 2, 3, 4])
 
 
 def shown(c: str):
@@ -359,3 +359,25 @@ def event_windows(spark, d):
   select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 2 hour, '%Y-%m-%d %H:%M:%S') as "end", count(*) as n from g group by user_id, run""")
 def event_sessions(spark, d):
     return E.sessions(spark.read.parquet(f"{d}/events.parquet"), "2 hours").select("user_id", shown("start"), shown("end"), "n")
+
+
+@query(f"""with {COLS}, t as (select block as pid, p_start + 60 as s, p_start + 119 as e, case when block % 2 = 0 then '+' else '-' end as strand, block % 4 = 3 as bad from aligned where species = 0
+    union all select -1 - block, p_start - 50, p_start - 20, '+', false from aligned where species = 0),
+  e as (select t.pid, t.s, t.e, any_value(t.bad) as bad, any_value(t.strand) as turn, p.block, min(col) as lo, max(col) as hi, min(parent) as a, max(parent) as b from t join p on p.species = 0 and p.parent between t.s - 5 and t.e + 5 group by 1, 2, 3, p.block),
+  x as (select e.pid, bad, turn, p.species, string_agg(base, '' order by col) as seq from e join p on p.block = e.block and p.col between lo and hi where a = s - 5 and b = e + 5 group by 1, 2, 3, 4),
+  y as (select pid, bad, count(*) as rows, max(case when species = 0 then case when turn = '-' then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end end) as own from x group by 1, 2)
+  select t.pid, case when y.pid is null or y.bad then -1 else y.rows end as rows, case when y.pid is null or y.bad then 'none' else left(own, 12) end as head,
+    case when not exists (select 1 from e where e.pid = t.pid) then 'not aligned' when y.pid is null then 'unmapped' when y.bad then 'ValueError: refused' end as error from t left join y on y.pid = t.pid""")
+def mapped_slices(spark, d):
+    def counted(rows) -> dict:
+        own = rows[rows["species"] == 0].iloc[0]
+        # places tell which block it is; some are refused
+        if own["p_start"] // 800000 % 4 == 3:
+            raise ValueError("refused")
+        return {"rows": len(rows), "head": own["seq"][:12]}
+
+    b = block(spark, d).withColumn("chr", F.lit(0))
+    ref = b.where("species = 0")
+    targets = ref.selectExpr("block as pid", "chr", "p_start + 60 as s", "p_start + 119 as e", "if(block % 2 = 0, '+', '-') as strand")
+    targets = targets.unionByName(ref.selectExpr("-1 - block as pid", "chr", "p_start - 50 as s", "p_start - 20 as e", "'+' as strand"))
+    return A.map_slices(b, targets, 0, counted, "rows long, head string", {"rows": -1, "head": "none"}, pad=5)
