@@ -61,7 +61,13 @@ def histogram(counts: DataFrame, genome: int | None = None) -> DataFrame:
     if genome is not None:
         covered = counts.where("n > 0").count()
         dense = dense.withColumn("positions", F.when(F.col("bin") == 0, F.lit(genome - covered)).otherwise(F.col("positions")))
-    return dense.withColumn("share", F.col("positions") / F.sum("positions").over(Window.partitionBy()))
+    return _shares(dense, "positions")
+
+
+def _shares(rows: DataFrame, of: str) -> DataFrame:
+    """rows with share: of a column's total, which one row carries."""
+    total = rows.agg(F.sum(of).alias("_total"))
+    return rows.join(F.broadcast(total)).withColumn("share", F.col(of) / F.col("_total")).drop("_total")  # one row
 
 
 def extend(counts: DataFrame, ext: int, length: DataFrame | None = None) -> DataFrame:
@@ -222,8 +228,7 @@ def top_peaks(peaks: DataFrame, tags: DataFrame, control: DataFrame, n: int, one
 
 def chromosome_share(rows: DataFrame) -> DataFrame:
     """chr, n, share."""
-    counts = rows.groupBy("chr").agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return _shares(rows.groupBy("chr").agg(F.count("*").alias("n")), "n")
 
 
 def expand_steps(signal: DataFrame, step: int) -> DataFrame:

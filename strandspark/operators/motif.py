@@ -7,13 +7,15 @@ bounded length (chunk chromosomes with an overlap of the width less one).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import revcomp, windows
+from ..functions.sequence import revcomp, spread, windows
 from .intervals import interval_join
 from .ordered import checkpoint
 
@@ -45,11 +47,6 @@ def literal_score(seq: Column, columns: list[dict[str, float]], upper: bool = Tr
     return total
 
 
-def mirrored(columns: list[dict[str, float]]) -> list[dict[str, float]]:
-    """The matrix that scores a sequence as `columns` scores its reverse complement."""
-    return [{b: c["TGCA"["ACGT".index(b)]] for b in "ACGT"} for c in reversed(columns)]
-
-
 def best_strand(seq: Column, columns: list[dict[str, float]]) -> Column:
     """struct(score, strand): the better of both strands, forward if equal."""
     head = F.substring(seq, 1, len(columns))
@@ -57,18 +54,60 @@ def best_strand(seq: Column, columns: list[dict[str, float]]) -> Column:
     return F.when(b > a, F.struct(b.alias("score"), F.lit("-").alias("strand"))).otherwise(F.struct(a.alias("score"), F.lit("+").alias("strand")))
 
 
+#: Bases that are scored at a time.
+PIECE = 1 << 20
+#: A base's number by its character, 4 for any other; and the numbers of the complements.
+NUMBERS = np.full(256, 4, np.uint8)
+NUMBERS[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
+COMPLEMENTS = np.array([3, 2, 1, 0, 4], np.uint8)
+
+
+def numbers(text: str | None) -> np.ndarray:
+    """0 to 3 for A, C, G and T in either case, 4 for other characters."""
+    if not text:
+        return np.zeros(0, np.uint8)
+    if text.isascii():
+        return NUMBERS[np.frombuffer(text.encode(), np.uint8)]
+    return NUMBERS[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 255)]
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch], seq: str, width: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
+    """(batch, row, place, numbers) of the sequences in pieces of PIECE windows, which overlap by the width less one."""
+    for batch in batches:
+        for row, text in enumerate(batch.column(seq).to_pylist()):
+            own = numbers(text)
+            for at in range(0, len(own) - width + 1, PIECE):
+                yield batch, row, at, own[at : at + PIECE + width - 1]
+
+
 def scan(seqs: DataFrame, columns: list[dict[str, float]], cutoff: float, seq: str = "seq") -> DataFrame:
     """Other columns of seqs, pos (from 0), strand, score of every window of either strand at cutoff or above.
 
-    The other strand is scored by the mirrored matrix, added up from its own first base on; windows under the cutoff on both strands go before strands are rows.
+    Bases become numbers and a strand's scores are sums of looked-up columns, over arrays of a whole stretch; only hits become rows. The other strand adds up from its
+    own first base on. Windows with other symbols than ACGT have no score.
     """
+    width = len(columns)
+    table = np.array([[c[b] for b in "ACGT"] + [np.nan] for c in columns], np.float64)
     keep = [c for c in seqs.columns if c != seq]
-    complement = dict(zip("ACGTacgt", "TGCATGCA", strict=True))
-    found = windows(seqs, len(columns), seq, mirrored=complement)
-    scored = found.select(*keep, "pos", literal_score(F.col("w"), columns).alias("_f"), literal_score(F.col("m"), columns, upper=False).alias("_r"))
-    both = scored.where((F.col("_f") >= cutoff) | (F.col("_r") >= cutoff))
-    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("_f").alias("score")), F.struct(F.lit("-").alias("strand"), F.col("_r").alias("score")))
-    return both.select(*keep, "pos", F.explode(strands).alias("_hit")).select(*keep, "pos", "_hit.strand", "_hit.score").where(F.col("score") >= cutoff)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, at, own in _in_pieces(batches, seq, width):
+            n = len(own) - width + 1
+            other = COMPLEMENTS[own]
+            forward, reverse = table[0][own[:n]], table[0][other[width - 1 :]]
+            for k in range(1, width):
+                forward = forward + table[k][own[k : k + n]]
+                reverse = reverse + table[k][other[width - 1 - k : width - 1 - k + n]]
+            plus, minus = np.flatnonzero(forward >= cutoff), np.flatnonzero(reverse >= cutoff)
+            total = len(plus) + len(minus)
+            if total:
+                kept = batch.select(keep).take(pa.array(np.full(total, row)))
+                strand = pa.array(["+"] * len(plus) + ["-"] * len(minus))
+                found = [pa.array((np.concatenate((plus, minus)) + at).astype(np.int32)), strand, pa.array(np.concatenate((forward[plus], reverse[minus])))]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*keep, "pos", "strand", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
+    return spread(seqs).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "pos int", "strand string", "score double"]))
 
 
 def hits_above(hits: DataFrame, cutoff: float | None) -> DataFrame:
@@ -116,7 +155,7 @@ def motif_fraction(peaks: DataFrame, hits: DataFrame, window: int, key: str = "p
 def distances_by_matrix(peaks: DataFrame, hits: DataFrame, matrices: DataFrame, window: int, key: str = "pid") -> DataFrame:
     """key, matrix, n, nearest: for every peak and matrix the hits in the window, none included."""
     pairs = hits_in_windows(peaks, hits, window).groupBy(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix")).agg(F.count("*").alias("n"), F.min(F.abs(F.col("l_loc") - F.col("r_start"))).alias("nearest"))
-    every = peaks.select(key).join(F.broadcast(matrices.select("matrix")))  # a catalogue of motifs
+    every = peaks.select(key).crossJoin(matrices.select("matrix"))  # a row for each is what is asked for
     return every.join(pairs, [key, "matrix"], "left").select(key, "matrix", F.coalesce("n", F.lit(0)).alias("n"), "nearest")
 
 
@@ -149,9 +188,36 @@ def _decoded(code: str) -> Column:
     return F.translate(code, "0123", "ATGC").alias("kmer")
 
 
+#: A base's number in the order A, T, G, C, from its number in that of A, C, G, T.
+LISTED = np.array([0, 3, 2, 1, 0], np.int64)
+
+
 def kmer_profile(seqs: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
-    """key, kmer, n: canonical k-mers; those with other symbols than ACGT are skipped. Codes are counted, what is left is decoded."""
-    return _canonical_windows(seqs, [key], k, seq).groupBy(key, "code").agg(F.count("*").alias("n")).select(key, _decoded("code"), "n")
+    """key, kmer, n: canonical k-mers; those with other symbols than ACGT are skipped.
+
+    A stretch's k-mers are counted as whole numbers over arrays before they are rows, so that what is shuffled is a row a stretch and k-mer; up to 31 bases fit.
+    """
+    if k > 31:
+        return _canonical_windows(seqs, [key], k, seq).groupBy(key, "code").agg(F.count("*").alias("n")).select(key, _decoded("code"), "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, _, own in _in_pieces(batches, seq, k):
+            n = len(own) - k + 1
+            one, two = LISTED[own], LISTED[COMPLEMENTS[own]]
+            forward, reverse = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for j in range(k):
+                forward = forward * 4 + one[j : j + n]
+                reverse = reverse * 4 + two[k - 1 - j : k - 1 - j + n]
+            bad = np.concatenate(([0], np.cumsum(own == 4)))
+            codes, counts = np.unique(np.minimum(forward, reverse)[bad[k:] == bad[: n]], return_counts=True)
+            if len(codes):
+                kept = batch.column(key).take(pa.array(np.full(len(codes), row)))
+                yield pa.RecordBatch.from_arrays([kept, pa.array(codes), pa.array(counts)], names=[key, "code", "n"])
+
+    found = spread(seqs.select(key, seq)).mapInArrow(run, f"`{key}` {dict(seqs.dtypes)[key]}, code long, n long")
+    counted = found.groupBy(key, "code").agg(F.sum("n").alias("n"))
+    letters = [F.substring(F.lit("ATGC"), (F.shiftright("code", 2 * j).bitwiseAND(3) + 1).cast("int"), F.lit(1)) for j in range(k - 1, -1, -1)]
+    return counted.select(key, F.concat(*letters).alias("kmer"), "n")
 
 
 def kmer_positions(seqs: DataFrame, key: str, k: int, width: int, seq: str = "seq") -> DataFrame:

@@ -203,7 +203,7 @@ def parse_gff(rows: DataFrame, types: list[str] | None = None, chrs: list[str] |
 def before_fasta(rows: DataFrame) -> DataFrame:
     """Lines of a file before its ##FASTA."""
     stop = rows.where(F.col("value").startswith("##FASTA")).groupBy("file").agg(F.min(F.struct("block", "line")).alias("_stop"))
-    return rows.join(F.broadcast(stop), "file", "left").where(F.col("_stop").isNull() | (F.struct("block", "line") < F.col("_stop"))).drop("_stop")  # a row a file
+    return rows.join(stop, "file", "left").where(F.col("_stop").isNull() | (F.struct("block", "line") < F.col("_stop"))).drop("_stop")  # a row a file
 
 
 def flybase_genes(rows: DataFrame) -> DataFrame:
@@ -274,11 +274,13 @@ def parse_pdb(rows: DataFrame) -> DataFrame:
 
 def parse_vertical_counts(rows: DataFrame) -> DataFrame:
     """pos, base, n: a header of bases between bars, then a row of counts a position; rows as lines() gives them."""
+    from ..operators.ordered import running_sum
+
     bars = rows.where(F.col("value").contains("|"))
-    w = Window.partitionBy("file").orderBy("block", "line")  # a matrix is a small file
-    rows = bars.withColumns({"_k": F.row_number().over(w), "_head": F.first("value").over(w), "_p": F.split("value", r"\s*\|\s*")})
+    first = bars.groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("_head"))  # a row a file
+    rows = running_sum(bars, ["file"], ["line"], "block", F.lit(1), "_k", width=1).join(first, "file").withColumn("_p", F.split("value", r"\s*\|\s*"))
     pairs = F.arrays_zip(F.split("_head", r"\s*\|\s*").alias("base"), F.col("_p").alias("n"))
-    out = rows.where("_k > 1").select("file", (F.col("_k") - 2).alias("pos"), F.explode(pairs).alias("z"))
+    out = rows.where("_k > 1").select("file", (F.col("_k") - 2).cast("int").alias("pos"), F.explode(pairs).alias("z"))
     return out.select("file", "pos", F.trim("z.base").alias("base"), F.trim("z.n").cast("long").alias("n")).where("base != '' and n is not null")
 
 
@@ -296,7 +298,7 @@ def parse_scanner_report(rows: DataFrame, cutoff: float | None = None) -> DataFr
     own = F.regexp_extract("value", rf"cutoff score[^=:]*[=:]\s*{number}", 1)
     head = rows.groupBy("file").agg(F.max(F.nullif(width, F.lit("")).cast("int")).alias("_w"), F.max(F.nullif(own, F.lit("")).cast("double")).alias("_own"))
     hit = r"^\s*(\S+)\s+position=\s*(\d+)\s*(C?)\s+score=\s*" + number
-    out = rows.where(F.col("value").rlike(hit)).join(F.broadcast(head), "file")  # a row a report
+    out = rows.where(F.col("value").rlike(hit)).join(head, "file")  # a row a report
     get = lambda k: F.regexp_extract("value", hit, k)
     start = get(2).cast("long")
     hits = out.select(get(1).alias("name"), start.alias("start"), (start + F.col("_w")).alias("end"), F.when(get(3) == "C", "-").otherwise("+").alias("strand"), get(4).cast("double").alias("score"), F.nullif(F.regexp_extract("value", rf"ln\(p-value\)=\s*{number}", 1), F.lit("")).cast("double").alias("ln_p"), "_own")
