@@ -39,8 +39,15 @@ def integer_vectors(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int
     """
     wide = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(wide, lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x * scale).cast("int")).otherwise(F.raise_error(F.lit(f"components must be under {LARGEST} when scaled")).cast("int")))
-    return vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dimensions) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    whole = F.transform(
+        wide,
+        lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x * scale).cast("int")).otherwise(
+            F.raise_error(F.lit(f"components must be under {LARGEST} when scaled")).cast("int")
+        ),
+    )
+    return vectors.where(
+        F.col("embedding").isNotNull() & (F.size("embedding") == dimensions) & finite
+    ).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def first_centroids(rows: DataFrame, k: int = CENTROIDS, salt: int = 3) -> np.ndarray:
@@ -70,7 +77,9 @@ class Ways:
         np.fill_diagonal(apart, -1.0)
         others = np.argsort(apart, axis=1, kind="stable")
         away = np.maximum(np.take_along_axis(apart, others, 1), 0) * (1 - SLACK)
-        moved = np.zeros(len(centroids)) if before is None else np.sqrt(np.einsum("ij,ij->i", centroids - before, centroids - before).astype(np.float64)) * (1 + SLACK)
+        moved = np.zeros(len(centroids)) if before is None else np.sqrt(
+            np.einsum("ij,ij->i", centroids - before, centroids - before).astype(np.float64)
+        ) * (1 + SLACK)
         return cls(centroids, moved, others, away)
 
     def next(self) -> np.ndarray:
@@ -156,7 +165,9 @@ def _labelled(centroids: np.ndarray):
                 continue
             cluster = batch.column("cluster")
             apart = matrix(batch.column("v")) - centroids[cluster.to_numpy()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), cluster, pa.array(np.einsum("ij,ij->i", apart, apart))], names=["vec_id", "cluster", "distance"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), cluster, pa.array(np.einsum("ij,ij->i", apart, apart))], names=["vec_id", "cluster", "distance"]
+            )
 
     return run
 
@@ -202,13 +213,31 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dimens
     rows = integer_vectors(vectors, dimensions, scale)
     start = first_centroids(rows, k)
     if not len(start):
-        return rows.select("vec_id", *[F.lit(None).cast(t).alias(c) for c, t in (("cluster", "int"), ("distance", "long"), ("cluster_inertia", "long"), ("inertia", "long"), ("centroid_sha256", "string"))])
+        return rows.select(
+            "vec_id",
+            *[
+                F.lit(None).cast(t).alias(c) for c, t in (
+                    ("cluster", "int"),
+                    ("distance", "long"),
+                    ("cluster_inertia", "long"),
+                    ("inertia", "long"),
+                    ("centroid_sha256", "string"),
+                )
+            ],
+        )
     out, centroids = clustered(rows, start, rounds)
     found = {r.cluster: r.inertia for r in out.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # k rows
     own = [found.get(j, 0) for j in range(len(centroids))]
     names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     by_cluster = lambda values: F.get(F.array(*map(F.lit, values)), F.col("cluster"))
-    return out.select("vec_id", "cluster", "distance", by_cluster(own).cast("long").alias("cluster_inertia"), F.lit(sum(own)).cast("long").alias("inertia"), by_cluster(names).alias("centroid_sha256"))
+    return out.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        by_cluster(own).cast("long").alias("cluster_inertia"),
+        F.lit(sum(own)).cast("long").alias("inertia"),
+        by_cluster(names).alias("centroid_sha256"),
+    )
 
 
 def sql(k: int = CENTROIDS, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, scale: int = SCALE) -> str:

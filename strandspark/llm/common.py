@@ -217,7 +217,16 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if batch is not None:
             held, known, several = [x[-1:] for x in (anchor, doc, text, at, open_)], bool(several[-1]), several[:-1]
         out = np.flatnonzero(several)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(at[out].astype(np.int32)), pa.array(open_[out].astype(np.int32)), pa.array(np.zeros(len(out), np.int32))], schema=SIEVED)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc[out]),
+                pa.array(text[out]),
+                pa.array(at[out].astype(np.int32)),
+                pa.array(open_[out].astype(np.int32)),
+                pa.array(np.zeros(len(out), np.int32)),
+            ],
+            schema=SIEVED,
+        )
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: int = 0, least: int = 100_000) -> Iterator[pa.Table]:

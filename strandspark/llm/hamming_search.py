@@ -135,7 +135,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = None
         merged = checkpoint(merged)
         # the distance by which k others and itself are seen
         kth = merged.groupBy("query").agg(F.min(F.when(F.col("before") + F.col("n") >= most, F.col("distance"))).alias("kth"), F.count("*").alias("seen"))
-        state = active.join(kth, active.code == kth.query, "left").select("code", F.coalesce("kth", F.lit(BITS)).alias("bound"), F.coalesce("seen", F.lit(0)).alias("seen"))
+        state = active.join(kth, active.code == kth.query, "left").select(
+            "code", F.coalesce("kth", F.lit(BITS)).alias("bound"), F.coalesce("seen", F.lit(0)).alias("seen")
+        )
         state = checkpoint(state.withColumn("over", (F.col("bound") <= m * (radius + 1) - 1) | (F.col("seen") >= total)))
         done.append(merged.join(state.where("over"), merged.query == state.code, "left_semi").select("query", "code", "distance"))
         found = checkpoint(merged.join(state.where("not over"), merged.query == state.code, "left_semi").drop("place", "before"))

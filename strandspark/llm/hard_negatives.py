@@ -35,8 +35,28 @@ SLACK = 1e-7
 #: Scores of any row lie between.
 ANY = 2**62
 POSITIVES, NEGATIVES = 5, 10
-FOUND = pa.schema([("anchor_id", pa.int64()), ("anchor_key", pa.int64()), ("win", pa.int32()), ("vec_id", pa.int64()), ("key", pa.int64()), ("score", pa.int64())])
-PROBES = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("vec_id", pa.int64()), ("key", pa.int64()), ("label", pa.int32()), ("v", pa.list_(pa.int32())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))])
+FOUND = pa.schema(
+    [
+        ("anchor_id", pa.int64()),
+        ("anchor_key", pa.int64()),
+        ("win", pa.int32()),
+        ("vec_id", pa.int64()),
+        ("key", pa.int64()),
+        ("score", pa.int64()),
+    ],
+)
+PROBES = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("kind", pa.int32()),
+        ("vec_id", pa.int64()),
+        ("key", pa.int64()),
+        ("label", pa.int32()),
+        ("v", pa.list_(pa.int32())),
+        ("lo", pa.list_(pa.int64())),
+        ("hi", pa.list_(pa.int64())),
+    ],
+)
 PROBES_DDL = "block long, kind int, vec_id long, key long, label int, v array<int>, lo array<long>, hi array<long>"
 
 
@@ -47,7 +67,12 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     both count once. A component of LARGEST or more either way fails.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform("embedding", lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x.cast("double") * scale).cast("int")).otherwise(F.raise_error(F.lit(f"components must be under {LARGEST} when scaled")).cast("int")))
+    whole = F.transform(
+        "embedding",
+        lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x.cast("double") * scale).cast("int")).otherwise(
+            F.raise_error(F.lit(f"components must be under {LARGEST} when scaled")).cast("int")
+        ),
+    )
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), whole.alias("v"))
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
@@ -131,7 +156,10 @@ def _assign(tree: Tree):
             if batch.num_rows:
                 leaf, away = tree.leaves(augmented(matrix(batch.column("v")), tree.most))
                 offsets = pa.array(np.arange(len(leaf) + 1) * tree.depth, pa.int32())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.ListArray.from_arrays(offsets, pa.array(away.ravel()))], names=[*batch.schema.names, "leaf", "away"])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(leaf), pa.ListArray.from_arrays(offsets, pa.array(away.ravel()))],
+                    names=[*batch.schema.names, "leaf", "away"],
+                )
 
     return run
 
@@ -151,7 +179,10 @@ def index(rows: DataFrame, sample: int = SAMPLE, leaf: int = LEAF) -> tuple[Data
     for r in assigned.groupBy("leaf").count().collect():  # a row a leaf
         held[r[0]] = r[1]
     tree.low, tree.high = np.full((2**depth, depth), np.inf), np.full((2**depth, depth), -np.inf)
-    for r in assigned.select("leaf", F.posexplode("away").alias("level", "d")).groupBy("leaf", "level").agg(F.min("d"), F.max("d")).collect():  # leaves by levels
+    # leaves by levels
+    for r in assigned.select(
+        "leaf", F.posexplode("away").alias("level", "d")
+    ).groupBy("leaf", "level").agg(F.min("d"), F.max("d")).collect():
         tree.low[r[0], r[1]], tree.high[r[0], r[1]] = r[2], r[3]
     tree.blocks = -(-held // BLOCK)
     first = F.array(*[F.lit(int(b)) for b in np.cumsum(tree.blocks) - tree.blocks])
@@ -230,7 +261,10 @@ def _probe(k: int, same: bool, exact: bool):
                         out.append((np.full(n, anchor), np.full(n, key), np.full(n, w), ids[some], keys[some], s[some]))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if f.name == "win" else np.int64)) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.astype(np.int32 if f.name == "win" else np.int64)) for c, f in zip(columns, FOUND, strict=True)],
+                    schema=FOUND,
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: list[pa.RecordBatch] = []
@@ -280,7 +314,16 @@ def search(rows: DataFrame, tree: Tree, queries: DataFrame, k: int, same: bool)
     return found.withColumn("rank", F.row_number().over(best))
 
 
-def mine(vectors: DataFrame, anchor: Column | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = 30, high: int = 90, scale: int = SCALE, leaf: int = LEAF) -> DataFrame:
+def mine(
+    vectors: DataFrame,
+    anchor: Column | None = None,
+    positives: int = POSITIVES,
+    negatives: int = NEGATIVES,
+    low: int = 30,
+    high: int = 90,
+    scale: int = SCALE,
+    leaf: int = LEAF,
+) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: for each anchor and each of its first positives (rows of its label, by score) the first rows of other labels whose score is low to high hundredths of the positive's.
 
     anchor: which rows are anchors, by default those whose vec_id is divisible by 100. Scores are inner products of
@@ -304,7 +347,13 @@ def mine(vectors: DataFrame, anchor: Column | None = None, positives: int = POSI
     windows = everyone.drop("lo", "hi").join(ends, (F.col("vec_id") == F.col("anchor_id")) & (F.col("key") == F.col("anchor_key")))
     windows = checkpoint(windows.select("vec_id", "key", "label", "v", pad("lo", ANY).alias("lo"), pad("hi", -ANY).alias("hi")))
     found = search(placed, tree, windows, negatives, same=False)
-    positive = pairs.select("anchor_id", "anchor_key", (F.col("rank") - 1).alias("win"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
+    positive = pairs.select(
+        "anchor_id",
+        "anchor_key",
+        (F.col("rank") - 1).alias("win"),
+        F.col("vec_id").alias("positive_id"),
+        F.col("score").alias("positive_score"),
+    )
     out = found.join(positive, ["anchor_id", "anchor_key", "win"])
     return out.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

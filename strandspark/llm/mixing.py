@@ -99,7 +99,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     while True:
         open_ = cap > level * F.col("weight")
         # a row for each weight
-        sums = rows.groupBy("weight").agg(F.sum("source_size"), F.count_if(~open_), F.sum(F.when(~open_, F.col("source_size")).otherwise(0)), F.count_if(open_)).collect()
+        sums = rows.groupBy("weight").agg(
+            F.sum("source_size"), F.count_if(~open_), F.sum(F.when(~open_, F.col("source_size")).otherwise(0)), F.count_if(open_)
+        ).collect()
         sums = sorted(tuple(r) for r in sums)
         now, weight = sum(r[2] for r in sums), sum(r[0] * r[4] for r in sums)
         if now == full or not weight:
@@ -128,7 +130,9 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, chu
         draw = [F.xxhash64(F.lit(seed + k), F.lit(span), "who.seed") for k in range(3)]
         part = F.pmod(draw[0], F.ceil(F.col("n") / span))
         item = F.struct(draw[1].alias("h"), "who", "p", (F.pmod(draw[2], F.lit(1 << 40)) / float(1 << 40)).alias("u"))
-        chunks = live.withColumn("item", item).withColumn("part", part).groupBy("key", "part").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
+        chunks = live.withColumn("item", item).withColumn("part", part).groupBy("key", "part").agg(
+            F.first("n").alias("n"), F.array_sort(F.collect_list("item")).alias("items")
+        )
         chunks = checkpoint(chunks.select("key", "n", F.expr(FOLD).alias("out")))
         first = first or chunks
         done.append(chunks.select("key", F.explode("out.done").alias("d")).select("key", "d.*"))

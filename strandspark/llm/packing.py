@@ -175,7 +175,14 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, par
     table gives no rows; other columns are ignored.
     """
     found = checkpoint(pieces(docs, path, capacity, ids))
-    rows = found.withColumns({"row": F.monotonically_increasing_id(), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "loose": F.lit(True)})
+    rows = found.withColumns(
+        {
+            "row": F.monotonically_increasing_id(),
+            "sequence_id": F.lit(0).cast("long"),
+            "offset": F.lit(0).cast("long"),
+            "loose": F.lit(True),
+        },
+    )
     done: list[DataFrame] = []
     left, bins = found.count(), None
     for number in range(rounds):

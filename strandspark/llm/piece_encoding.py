@@ -25,7 +25,16 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Text encoded at a time, in bytes; a longer document is a chunk of its own.
 CHUNK = 1 << 20
-PIECES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int32())), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("decoded", pa.string())])
+PIECES = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_bytes", pa.int64()),
+        ("ids", pa.list_(pa.int32())),
+        ("begins", pa.list_(pa.int32())),
+        ("ends", pa.list_(pa.int32())),
+        ("decoded", pa.string()),
+    ],
+)
 
 
 def vocabulary(name: str = MODEL) -> str:
@@ -199,7 +208,9 @@ class Codec:
         if at[-1] != len(source) - 1:
             raise ValueError("the pieces don't cover the normalised text")
         closing = [source[-1]]
-        return np.append(ids, np.int32(self.decoder.eos_id())), np.concatenate((source[at[:-1]], closing)).astype(np.int32), np.concatenate((source[at[1:]], closing)).astype(np.int32)
+        return np.append(
+            ids, np.int32(self.decoder.eos_id())
+        ), np.concatenate((source[at[:-1]], closing)).astype(np.int32), np.concatenate((source[at[1:]], closing)).astype(np.int32)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.decoder.decode([i.tolist() for i in ids], num_threads=1) if ids else []

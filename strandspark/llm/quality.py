@@ -55,7 +55,11 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     rows = with_hashes(keyed(docs).join(good.hint("merge"), "doc_id", "left")).select("good", F.explode(F.concat("one", "two")).alias("h"))
     counts = rows.groupBy(bucket(F.col("h")).alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    counts = checkpoint(dense.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))
+    counts = checkpoint(
+        dense.join(counts, "bucket", "left").select(
+            "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
+        ),
+    )
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
     # smoothing both multinomials leaves this; without trusted n-grams there is nothing to tell apart
     value = F.log((F.col("target") + PRIOR) / (F.col("raw") * (target / raw) + PRIOR)) if target else F.lit(0.0)

@@ -28,10 +28,36 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal", "constant")
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+RESULT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_assign", pa.int64()),
+        ("n_access", pa.int64()),
+        ("n_hex", pa.int64()),
+        ("base_sha256", pa.string()),
+        ("spans", pa.string()),
+    ],
+)
 
 #: How telling a part of a target name is.
-NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.7, "bearer": 0.9, "auth": 0.7, "key": 0.6, "salt": 0.6, "signature": 0.6, "dsn": 0.6}
+NAME_WEIGHTS = {
+    "password": 1.0,
+    "passwd": 1.0,
+    "pwd": 1.0,
+    "passphrase": 1.0,
+    "secret": 1.0,
+    "token": 0.9,
+    "apikey": 1.0,
+    "credential": 0.9,
+    "credentials": 0.9,
+    "private": 0.7,
+    "bearer": 0.9,
+    "auth": 0.7,
+    "key": 0.6,
+    "salt": 0.6,
+    "signature": 0.6,
+    "dsn": 0.6,
+}
 THRESHOLD = 0.45
 PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example|placeholder|redacted|x+|\*+|\.+|your[-_].*|\$\{.*\}|<.*>|%\(.*\)s?)$")
 #: Where a name may stand before an operator, in quotes or not.
@@ -315,7 +341,11 @@ class _Lexer:
             begin = m.end() if begin is None else begin
             stop = text.find("\n", m.end())
             end = len(text) if stop < 0 else stop + 1
-        return ([(begin, len(text[:end].rstrip()) if end - at < REACH else end - (len(text[at:end]) - len(text[at:end].rstrip())))] if begin is not None else []), end
+        return (
+            [
+                (begin, len(text[:end].rstrip()) if end - at < REACH else end - (len(text[at:end]) - len(text[at:end].rstrip())))
+            ] if begin is not None else []
+        ), end
 
 
 def lex(text: str) -> list[tuple[int, int, str]]:
@@ -370,7 +400,9 @@ def find(docs: DataFrame) -> DataFrame:
     Repeated rows give repeated results; equal starts are ordered by kind. Texts may be of any length; time is linear in it. An empty table
     gives no rows. Other columns are ignored.
     """
-    return keyed(docs).mapInArrow(_rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumn("doc_id", real_id())
+    return keyed(docs).mapInArrow(
+        _rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    ).withColumn("doc_id", real_id())
 
 
 def redact_text(text: str, mask: str = "[REDACTED]") -> str:
@@ -396,7 +428,10 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             if chars is not None:
-                columns[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(batch.column(chars).to_pylist(), old, new, strict=True)], batch.schema.field(chars).type)
+                columns[chars] = pa.array(
+                    [n if a == b else len(b) for n, a, b in zip(batch.column(chars).to_pylist(), old, new, strict=True)],
+                    batch.schema.field(chars).type,
+                )
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

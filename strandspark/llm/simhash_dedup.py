@@ -70,7 +70,15 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same with two hashes of the text, which together with doc_id tell rows apart."""
     for ids, texts in text_chunks(batches, CHUNK):
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text_hashes(texts, 0)), pa.array(text_hashes(texts, 1)), pa.array(fingerprints_of(texts).view(np.int64))], schema=FINGERPRINT_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids),
+                pa.array(text_hashes(texts, 0)),
+                pa.array(text_hashes(texts, 1)),
+                pa.array(fingerprints_of(texts).view(np.int64)),
+            ],
+            schema=FINGERPRINT_ROWS,
+        )
 
 
 def _moves() -> list[list[tuple[int, int, int]]]:

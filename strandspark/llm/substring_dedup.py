@@ -32,7 +32,17 @@ from .common import SEEDS, Powers, anchor_places, anchor_runs, changes, checkpoi
 WINDOW, GRAM, CHUNK = 20, 6, 3 << 20
 #: Rows that are extended together; of a longer group the leaders are carried on.
 BLOCK = 100_000
-CONTEXTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("before", pa.int32()), ("words", pa.binary())])
+CONTEXTS = pa.schema(
+    [
+        ("key", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("hash", pa.int64()),
+        ("at", pa.int32()),
+        ("open", pa.int32()),
+        ("before", pa.int32()),
+        ("words", pa.binary()),
+    ],
+)
 MATCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("packed", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -45,7 +55,14 @@ class _Hashes(dict):
         return h
 
 
-def extend(group: np.ndarray, place: np.ndarray, open_: np.ndarray, word: Callable[[int, np.ndarray], np.ndarray], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+def extend(
+    group: np.ndarray,
+    place: np.ndarray,
+    open_: np.ndarray,
+    word: Callable[[int, np.ndarray], np.ndarray],
+    window: int = WINDOW,
+    gram: int = GRAM,
+) -> np.ndarray:
     """The bits of open_ whose windows have an equal one earlier: bit o is the window that starts o words before the gram.
 
     Seeds are in the order of (group, place). word(j, seeds): hashes of the words j after the gram's first. Seeds of one
@@ -117,13 +134,33 @@ def _seeds(window: int, gram: int):
                 settled[by] = extend(np.cumsum(changes(anchors[by])) - 1, place[by], open_[by], lambda j, rows, at=at, by=by: h[at[by[rows]] + j], window, gram)
             left = open_ & ~settled
             live = left > 0
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[live].view(np.int64)), pa.array(ids[d[live]]), pa.array(hashed[d[live]]), pa.array((at - first[d])[live].astype(np.int32)), pa.array(left[live].astype(np.int32)), pa.array(np.zeros(int(live.sum()), np.int32))], schema=SEEDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchors[live].view(np.int64)),
+                    pa.array(ids[d[live]]),
+                    pa.array(hashed[d[live]]),
+                    pa.array((at - first[d])[live].astype(np.int32)),
+                    pa.array(left[live].astype(np.int32)),
+                    pa.array(np.zeros(int(live.sum()), np.int32)),
+                ],
+                schema=SEEDS,
+            )
             flags = np.zeros(n, bool)
             for o in range(reach + 1):
                 flags[at[settled >> o & 1 > 0] - o] = True
             s, e = runs_of(flags)
             d = doc_of[s]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(ids[d].view(np.uint64) + s.view(np.uint64)).view(np.int64)), pa.array(ids[d]), pa.array(hashed[d]), pa.array((s - first[d]).astype(np.int32)), pa.array(np.zeros(len(s), np.int32)), pa.array((e - s).astype(np.int32))], schema=SEEDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mix(ids[d].view(np.uint64) + s.view(np.uint64)).view(np.int64)),
+                    pa.array(ids[d]),
+                    pa.array(hashed[d]),
+                    pa.array((s - first[d]).astype(np.int32)),
+                    pa.array(np.zeros(len(s), np.int32)),
+                    pa.array((e - s).astype(np.int32)),
+                ],
+                schema=SEEDS,
+            )
 
     return run
 
@@ -137,14 +174,33 @@ def _contexts(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, seeds, hashed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, text, seeds, hashed in zip(
+                batch.column(0).to_pylist(),
+                batch.column(1).cast(pa.binary()).to_pylist(),
+                batch.column(2).to_pylist(),
+                batch.column(3).to_pylist(),
+                strict=True,
+            ):
                 words = text.split()
                 for seed in seeds:
                     at = seed["at"]
-                    for mask, key in ((seed["open"] & right, words[at : at + gram + reach - half]), (seed["open"] & ~right, words[max(0, at - half - 1) : at + gram])):
+                    for mask, key in (
+                        (seed["open"] & right, words[at : at + gram + reach - half]),
+                        (seed["open"] & ~right, words[max(0, at - half - 1) : at + gram]),
+                    ):
                         if mask:
                             high, low = mask.bit_length() - 1, (mask & -mask).bit_length() - 1
-                            out.append((xxhash.xxh3_64_intdigest(b" ".join(key), mask > right) - 2**63, doc, hashed, at, mask, high, b" ".join(words[at - high : at + gram + reach - low])))
+                            out.append(
+                                (
+                                    xxhash.xxh3_64_intdigest(b" ".join(key), mask > right) - 2**63,
+                                    doc,
+                                    hashed,
+                                    at,
+                                    mask,
+                                    high,
+                                    b" ".join(words[at - high : at + gram + reach - low]),
+                                ),
+                            )
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXTS, strict=True)], schema=CONTEXTS)
                     out = []
@@ -207,11 +263,17 @@ def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     """(doc_id, hash, packed): hash is that of the text, packed >> 32 is the first word of a run of repeated windows, the lower half their number."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seeds = keyed(docs).mapInArrow(_seeds(window, gram), "anchor long, doc_id long, hash long, at int, open int, n int")
-    sieved = checkpoint(seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "at").mapInArrow(shared_anchors, "doc_id long, hash long, at int, open int, n int"))
+    sieved = checkpoint(
+        seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "hash", "at").mapInArrow(
+            shared_anchors, "doc_id long, hash long, at int, open int, n int"
+        ),
+    )
     wanted = sieved.where("open > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("at", "open")).alias("seeds"))
     texts = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "seeds", "hash")
     contexts = texts.mapInArrow(_contexts(window, gram), "key long, doc_id long, hash long, at int, open int, before int, words binary")
-    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc_id", "hash", "at").mapInArrow(_extend(window, gram, block), "doc_id long, hash long, packed long")
+    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc_id", "hash", "at").mapInArrow(
+        _extend(window, gram, block), "doc_id long, hash long, packed long"
+    )
     return found.unionByName(sieved.where("open = 0").select("doc_id", "hash", F.expr("shiftleft(cast(at as long), 32) | n").alias("packed")))
 
 

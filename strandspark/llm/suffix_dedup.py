@@ -35,9 +35,29 @@ from .common import Powers, anchor_places, anchor_runs, changes, checkpoint, key
 LENGTH, GRAM, CHUNK = 200, 16, 3 << 19
 #: Suffixes that are sorted together, about; a group of equal leading bytes isn't cut.
 SORTED = 1_000_000
-SEEDS = pa.schema([("anchor", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("n", pa.int32())])
+SEEDS = pa.schema(
+    [
+        ("anchor", pa.int64()),
+        ("print", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("hash", pa.int64()),
+        ("at", pa.int32()),
+        ("open", pa.int32()),
+        ("n", pa.int32()),
+    ],
+)
 SIEVED = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("open", pa.int32()), ("n", pa.int32())])
-SUFFIXES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("many", pa.bool_()), ("segment", pa.binary())])
+SUFFIXES = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("hash", pa.int64()),
+        ("start", pa.int32()),
+        ("n", pa.int32()),
+        ("lead", pa.int32()),
+        ("many", pa.bool_()),
+        ("segment", pa.binary()),
+    ],
+)
 SUFFIXES_DDL = "doc_id long, hash long, start int, n int, lead int, many boolean, segment binary"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 #: Random odd numbers, one for each value of a byte.
@@ -84,7 +104,20 @@ def _segments(length: int, gram: int):
             settled = by[np.bincount(group, other, size)[group] > 1]
             lead = by[~same]
             open_ = lengths[lead] << 16 | (at - runs)[lead]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[lead].view(np.int64), prints[lead].view(np.int64), doc[lead], text[lead], start[lead], open_.astype(np.int32), np.zeros(len(lead), np.int32))], schema=SEEDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(x) for x in (
+                        anchors[lead].view(np.int64),
+                        prints[lead].view(np.int64),
+                        doc[lead],
+                        text[lead],
+                        start[lead],
+                        open_.astype(np.int32),
+                        np.zeros(len(lead), np.int32),
+                    )
+                ],
+                schema=SEEDS,
+            )
             # settled segments of one document next to each other become one row
             settled = np.sort(settled)
             if len(settled):
@@ -93,7 +126,20 @@ def _segments(length: int, gram: int):
                 a, b = a[new], b[np.concatenate((new[1:], [True]))]
                 d = np.searchsorted(first + counts, a, "right")
                 spread = mix(ids[d].view(np.uint64) + a.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, np.zeros(len(a), np.int64), ids[d], hashed[d], (a - first[d]).astype(np.int32), np.zeros(len(a), np.int32), (b - a).astype(np.int32))], schema=SEEDS)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(x) for x in (
+                            spread,
+                            np.zeros(len(a), np.int64),
+                            ids[d],
+                            hashed[d],
+                            (a - first[d]).astype(np.int32),
+                            np.zeros(len(a), np.int32),
+                            (b - a).astype(np.int32),
+                        )
+                    ],
+                    schema=SEEDS,
+                )
 
     return run
 
@@ -119,7 +165,14 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(first) - 1
         many = (np.bincount(run) > 1) | (np.bincount(run, many0) > 0)
         whole = np.flatnonzero(many[run] & (many0 == 0))
-        yield pa.RecordBatch.from_arrays([pa.array(x[whole].astype(t)) for x, t in ((doc, np.int64), (text, np.int64), (at, np.int32), (np.zeros_like(at), np.int32), (open_ >> 16, np.int32))], schema=SIEVED)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(x[whole].astype(t)) for x, t in (
+                    (doc, np.int64), (text, np.int64), (at, np.int32), (np.zeros_like(at), np.int32), (open_ >> 16, np.int32)
+                )
+            ],
+            schema=SIEVED,
+        )
         lead = np.flatnonzero(first)
         group = np.cumsum(changes(anchor[lead])) - 1
         several = np.bincount(group)[group] > 1
@@ -129,7 +182,14 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = lead[-1:]
             held, known, several = [x[last] for x in (anchor, print_, doc, text, at, open_)] + [many[-1:].astype(np.int64)], bool(several[-1]), several[:-1]
         out = lead[np.flatnonzero(several)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(t)) for x, t in ((doc, np.int64), (text, np.int64), (at, np.int32), (open_, np.int32), (many[run], np.int32))], schema=SIEVED)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(x[out].astype(t)) for x, t in (
+                    (doc, np.int64), (text, np.int64), (at, np.int32), (open_, np.int32), (many[run], np.int32)
+                )
+            ],
+            schema=SIEVED,
+        )
 
 
 def _suffixes(length: int, gram: int):
@@ -139,7 +199,13 @@ def _suffixes(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, segments, hashed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, text, segments, hashed in zip(
+                batch.column(0).to_pylist(),
+                batch.column(1).cast(pa.binary()).to_pylist(),
+                batch.column(2).to_pylist(),
+                batch.column(3).to_pylist(),
+                strict=True,
+            ):
                 for s in segments:
                     start, n, before, many = s["at"], s["open"] >> 16, s["open"] & 0xFFFF, s["n"] > 0
                     turn = min(n, max(0, before - half))  # windows before it have more than half of their other bytes left of the anchor
@@ -294,10 +360,23 @@ def _bucket(length: int, gram: int, borders: bool):
             r = np.repeat(rows, size + 1)[x]
             at = x - (np.cumsum(size + 1) - size - 1)[np.searchsorted(np.cumsum(size + 1), x, "right")]
             nothing = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(text[r]), pa.array((start[r] + at).astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.bool_()), pa.nulls(nothing, pa.binary())], schema=SUFFIXES)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(doc[r]),
+                    pa.array(text[r]),
+                    pa.array((start[r] + at).astype(np.int32)),
+                    pa.array((y - x).astype(np.int32)),
+                    pa.nulls(nothing, pa.int32()),
+                    pa.nulls(nothing, pa.bool_()),
+                    pa.nulls(nothing, pa.binary()),
+                ],
+                schema=SUFFIXES,
+            )
             if borders:
                 edge = one[(opening & (group[one] == 0)) | (last & (group[one] == group[-1]))]
-                yield table.take(pa.array(edge)).set_column(5, "many", pa.array(several[of[edge]])).cast(SUFFIXES).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if len(edge) else pa.RecordBatch.from_pylist([], SUFFIXES)
+                yield table.take(pa.array(edge)).set_column(
+                    5, "many", pa.array(several[of[edge]])
+                ).cast(SUFFIXES).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if len(edge) else pa.RecordBatch.from_pylist([], SUFFIXES)
             opening = False
         yield from passed
 
@@ -308,7 +387,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """(doc_id, hash, start, n), hash that of the text: runs of n byte offsets at which a string starts that also starts elsewhere."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segments = keyed(docs).mapInArrow(_segments(length, gram), "anchor long, print long, doc_id long, hash long, at int, open int, n int")
-    sieve = segments.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "doc_id", "hash", "at").mapInArrow(_sieve, "doc_id long, hash long, at int, open int, n int")
+    sieve = segments.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "doc_id", "hash", "at").mapInArrow(
+        _sieve, "doc_id long, hash long, at int, open int, n int"
+    )
     sieved = checkpoint(sieve)
     wanted = sieved.where("open > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("at", "open", "n")).alias("segments"))
     texts = keyed(docs, text_hash().alias("hash")).join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "segments", "hash")

@@ -62,7 +62,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     picked = picked.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("hash"))
     found = texts.join(F.broadcast(picked), "doc_id")  # picked: SAMPLE rows at most
-    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct("hash", "text")).alias("text")).select(F.col("toxic").cast("long").alias("toxic"), "text")
+    return found.groupBy("doc_id", "toxic").agg(
+        F.min_by("text", F.struct("hash", "text")).alias("text")
+    ).select(F.col("toxic").cast("long").alias("toxic"), "text")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

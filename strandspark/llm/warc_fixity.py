@@ -55,13 +55,21 @@ def tree(located: DataFrame, extent: int, span: int = RANGE, fan: int = FAN) ->
     located: file, offset, digest. Of records at one offset all digests count.
     """
     level = located.groupBy("file", F.col("offset").alias("node"), "digest").agg(F.count("*").alias("n"))
-    level = level.groupBy("file", "node").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.concat_ws("x", "digest", "n")).otherwise(F.col("digest")))), "+").alias("digest"))
+    level = level.groupBy("file", "node").agg(
+        F.array_join(
+            F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.concat_ws("x", "digest", "n")).otherwise(F.col("digest")))), "+"
+        ).alias("digest"),
+    )
     levels, size = [checkpoint(level)], 1
     while size < extent:
         step = span if len(levels) == 1 else fan
         size *= step
         parts = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        level = levels[-1].groupBy("file", F.floor(F.col("node") / step).alias("up")).agg(F.sha2(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), "\n"), 256).alias("digest"))
+        level = levels[-1].groupBy("file", F.floor(F.col("node") / step).alias("up")).agg(
+            F.sha2(
+                F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), "\n"), 256
+            ).alias("digest"),
+        )
         levels.append(checkpoint(level.withColumnRenamed("up", "node")))
     return levels
 

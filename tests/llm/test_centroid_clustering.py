@@ -12,7 +12,11 @@ SCHEMA = "vec_id long, embedding array<float>, label int, cluster string, v int"
 
 
 def lloyd(rows, k, rounds, dimensions, scale):
-    kept = [(i, np.floor(scale * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in rows if v is not None and len(v) == dimensions and all(x is not None and np.isfinite(x) for x in v)]
+    kept = [
+        (
+            i, np.floor(scale * np.array(v, np.float32).astype(float)).astype(np.int64)
+        ) for i, v in rows if v is not None and len(v) == dimensions and all(x is not None and np.isfinite(x) for x in v)
+    ]
     first = sorted(kept, key=lambda r: (r[0] is None, "" if r[0] is None else hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1].tolist()))[:k]
     c = np.array([v for _, v in first])
     v = np.array([v for _, v in kept])
@@ -22,7 +26,16 @@ def lloyd(rows, k, rounds, dimensions, scale):
         if r < rounds:
             c = np.array([v[a == j].sum(0) // (a == j).sum() if (a == j).any() else c[j] for j in range(len(c))])
     least = d.min(1)
-    return [(i, int(j), int(x), int(least[a == j].sum()), int(least.sum()), hashlib.sha256(",".join(map(str, c[j].tolist())).encode()).hexdigest()) for (i, _), j, x in zip(kept, a, least, strict=True)]
+    return [
+        (
+            i,
+            int(j),
+            int(x),
+            int(least[a == j].sum()),
+            int(least.sum()),
+            hashlib.sha256(",".join(map(str, c[j].tolist())).encode()).hexdigest(),
+        ) for (i, _), j, x in zip(kept, a, least, strict=True)
+    ]
 
 
 def made(dimensions, n=300, seed=3):

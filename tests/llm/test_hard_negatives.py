@@ -17,7 +17,14 @@ def made(n=700, width=8, seed=4):
     rows = [(i, (middle[rng.integers(6)] + rng.normal(size=width) / 4).round(1).tolist(), int(rng.integers(3))) for i in range(n)]
     rows += [(n + i, rows[5][1], i % 3) for i in range(n // 3)]  # a third of all alike
     rows += [rows[0], rows[0], rows[100], (100, rows[7][1], 1), (200, rows[100][1], 2), (300, [], 0), (400, [1.0, 2.0], 1)]
-    rows += [(500, None, 1), (600, [None] * width, 1), (601, [float("nan")] * width, 1), (602, [float("inf")] * width, 1), (603, rows[0][1], None), (None, rows[0][1], 1)]
+    rows += [
+        (500, None, 1),
+        (600, [None] * width, 1),
+        (601, [float("nan")] * width, 1),
+        (602, [float("inf")] * width, 1),
+        (603, rows[0][1], None),
+        (None, rows[0][1], 1),
+    ]
     return rows
 
 

@@ -12,7 +12,11 @@ def test_keep_one_leaves_columns_alone(spark):
     rows = [(i, f"some {i % 3} words {i % 3} of text {i % 3}", 7, "mine", 8, "own", "d", 9) for i in range(9)]
     got = simhash_dedup.keep_one(spark.createDataFrame(rows, schema).repartition(3))
     assert got.columns == [c.split()[0] for c in schema.split(", ")]
-    assert sorted(map(tuple, got.collect())) == [rows[r.component_id] for r in simhash_dedup.groups(spark.createDataFrame(rows, schema)).select("component_id").distinct().orderBy("component_id").collect()]
+    assert sorted(map(tuple, got.collect())) == [
+        rows[r.component_id] for r in simhash_dedup.groups(
+            spark.createDataFrame(rows, schema)
+        ).select("component_id").distinct().orderBy("component_id").collect()
+    ]
 
 
 def test_empty_tables_stay_empty(spark):

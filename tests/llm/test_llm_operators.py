@@ -288,7 +288,11 @@ def program(rng):
             constants[f"CONST{k}"] = x
         elif style == 6 and constants:
             c = rng.choice(list(constants))
-            lines.append(rng.choice(["{n} = {c}", "{n}: ${{{c}}}", '{n} = f"{{{c}}}"', '{n} = "${{{c}}}"', "{n} = `${{{c}}}`", "{n} = ({c})"]).format(n=name, c=c))
+            lines.append(
+                rng.choice(
+                    ["{n} = {c}", "{n}: ${{{c}}}", '{n} = f"{{{c}}}"', '{n} = "${{{c}}}"', "{n} = `${{{c}}}`", "{n} = ({c})"]
+                ).format(n=name, c=c),
+            )
             want.setdefault(constants[c], "constant")
         elif style == 7 and constants:
             c = rng.choice(list(constants))
@@ -323,7 +327,16 @@ def test_secret_lexing_of_made_programs(seed):
 
 
 def test_secret_lexing_stays_linear():
-    for text in ("key: " * 50_000, "key: |\n" * 50_000, "key: |\n" + " a\n" * 100_000, "key = (\n" * 50_000, "/* " * 200_000, '"' * 200_000, "key = " + "\\\n" * 50_000, "Private_Key=Zx8:" * 10_000):
+    for text in (
+        "key: " * 50_000,
+        "key: |\n" * 50_000,
+        "key: |\n" + " a\n" * 100_000,
+        "key = (\n" * 50_000,
+        "/* " * 200_000,
+        '"' * 200_000,
+        "key = " + "\\\n" * 50_000,
+        "Private_Key=Zx8:" * 10_000,
+    ):
         secret_scan.scan(text)
 
 
@@ -361,7 +374,11 @@ def test_secret_find_agrees_with_the_patterns(spark):
     rows = [(i, "".join(rng.choices(parts, k=30))) for i in range(200)]
     want = {}
     for i, t in rows:
-        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP]asswd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
+        spans = [
+            (m.start(), 0, m.end()) for m in re.finditer(
+                r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP]asswd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t
+            ) if len(m[1]) >= 6
+        ]
         spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
@@ -512,7 +529,21 @@ def test_packing(docs, rows, empty):
     assert [x for r in whole for x in r.ids] == hf.encode(rows[67][1] or "", add_special_tokens=False).ids + [0]
 
 
-@pytest.mark.parametrize("text", ["", " ", "a<|endoftext|>b", "naïve ñandú — 漢字 🙂", "x" * 5000, "don't   stop\n\n\t12345", "\r\n\x00", " " * 1_000_000, "x" + "\n" * 1_000_000 + " y", "a" * 1_000_000])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "",
+        " ",
+        "a<|endoftext|>b",
+        "naïve ñandú — 漢字 🙂",
+        "x" * 5000,
+        "don't   stop\n\n\t12345",
+        "\r\n\x00",
+        " " * 1_000_000,
+        "x" + "\n" * 1_000_000 + " y",
+        "a" * 1_000_000,
+    ],
+)
 def test_tokens_are_those_of_the_tokenizers_library(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -615,7 +646,9 @@ def test_label_model_discounts_copies_of_a_voter():
     assert np.mean((post > 0.5) == truth) > 0.96
 
 
-PAGES = [(i, f"http://h{i % 3}/p", "x" * (i * 37 % 900)) for i in range(2500)] + [(2600, None, None), (2601, "u", ""), (None, "u", "null id"), (7, "http://again", "second row")]
+PAGES = [(i, f"http://h{i % 3}/p", "x" * (i * 37 % 900)) for i in range(2500)] + [
+    (2600, None, None), (2601, "u", ""), (None, "u", "null id"), (7, "http://again", "second row")
+]
 
 
 def test_fixity(spark):

@@ -22,7 +22,17 @@ def test_found_and_masked(form):
     assert VALUE not in secret_scan.redact_text(text)
 
 
-@pytest.mark.parametrize("text", [f"# define credential = {VALUE}", f'credential ?? "{VALUE}"', "credential = x ? y : z", f'<add key="colour" value="{VALUE}"/>', f'colour: str = "{VALUE}"', f'credential == "{VALUE}"'])
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"# define credential = {VALUE}",
+        f'credential ?? "{VALUE}"',
+        "credential = x ? y : z",
+        f'<add key="colour" value="{VALUE}"/>',
+        f'colour: str = "{VALUE}"',
+        f'credential == "{VALUE}"',
+    ],
+)
 def test_left_alone(text):
     assert secret_scan.lex(text) == []
 
