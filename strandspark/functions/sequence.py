@@ -45,12 +45,22 @@ def codon_map() -> Column:
 def pieces(seq: Column, size: int, overlap: int = 0) -> Column:
     """Array of stretches of size, each with the next overlap symbols; places in a string are found by walking, so long strings are cut first."""
     n = F.ceil(F.length(seq) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: F.substring(seq, j * size + 1, F.lit(size + overlap)))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        n > 0,
+        F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: F.substring(seq, j * size + 1, F.lit(size + overlap))),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def codons(seq: Column) -> Column:
     """Array of codons, a last shorter one included."""
-    return F.flatten(F.transform(pieces(seq, 300), lambda c: F.transform(F.sequence(F.lit(0), F.ceil(F.length(c) / 3).cast("int") - 1), lambda k: F.substring(c, k * 3 + 1, F.lit(3)))))
+    return F.flatten(
+        F.transform(
+            pieces(seq, 300),
+            lambda c: F.transform(
+                F.sequence(F.lit(0), F.ceil(F.length(c) / 3).cast("int") - 1), lambda k: F.substring(c, k * 3 + 1, F.lit(3))
+            ),
+        ),
+    )
 
 
 def translate(seq: Column, table: Column | None = None) -> Column:
@@ -76,7 +86,9 @@ def codon_variants(codon: Column, base_from: str | None = None, base_to: str | N
 
 def classified_variants(rows: DataFrame, codon: str) -> DataFrame:
     """rows for each variant of the codon column: variant, aa_from, aa_to, kind (synonymous, nonsense, nonsynonymous)."""
-    out = rows.withColumn("variant", F.explode(codon_variants(F.col(codon)))).withColumns({"aa_from": F.element_at(codon_map(), F.col(codon)), "aa_to": F.element_at(codon_map(), F.col("variant"))})
+    out = rows.withColumn("variant", F.explode(codon_variants(F.col(codon)))).withColumns(
+        {"aa_from": F.element_at(codon_map(), F.col(codon)), "aa_to": F.element_at(codon_map(), F.col("variant"))}
+    )
     kind = F.when(F.col("aa_from") == F.col("aa_to"), "synonymous").when(F.col("aa_to") == "*", "nonsense").otherwise("nonsynonymous")
     return out.withColumn("kind", kind)
 
@@ -95,7 +107,10 @@ def ungapped(seq: Column, gap: str = "-") -> Column:
 
 def gap_map(seq: Column, gap: str = "-") -> Column:
     """Array: the column of each ungapped base, from 0."""
-    return F.filter(F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(seq, i + 1, F.lit(1)) != gap)
+    return F.filter(
+        F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substring(seq, i + 1, F.lit(1)) != gap,
+    )
 
 
 #: Windows are read from stretches so long: places in a string are found by walking.
@@ -105,7 +120,10 @@ STRETCH = 64
 def kmers(seq: Column, k: int) -> Column:
     """Array of all k-mers in their order; windows() gives them as rows, faster."""
     none = F.array().cast("array<string>")
-    each = lambda c: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - k, F.lit(0))), lambda i: F.substring(c, i + 1, F.lit(k)))).otherwise(none)
+    each = lambda c: F.when(
+        F.length(c) >= k,
+        F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - k, F.lit(0))), lambda i: F.substring(c, i + 1, F.lit(k))),
+    ).otherwise(none)
     return F.flatten(F.transform(pieces(seq, 256, k - 1), each))
 
 
@@ -115,7 +133,10 @@ def spread(rows: DataFrame) -> DataFrame:
     cores = session.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() >= cores:
         return rows
-    return rows.repartition(max(cores, int(session.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]))
+    return rows.repartition(
+        max(cores, int(session.conf.get("spark.sql.shuffle.partitions"))),
+        F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]),
+    )
 
 
 def windows(rows: DataFrame, width: int, seq: str = "seq", mirrored: dict[str, str] | None = None) -> DataFrame:
@@ -129,7 +150,12 @@ def windows(rows: DataFrame, width: int, seq: str = "seq", mirrored: dict[str, s
         cut = cut.withColumn("_d", F.translate("_c", "".join(mirrored), "".join(mirrored.values())))
     each = cut.select("*", F.explode(F.sequence(F.lit(1), F.length("_c") - width + 1)).alias("_i"))
     at = lambda c: F.substring(F.col(c), F.col("_i"), F.lit(width))
-    return each.select(*keep, (F.col("_k") * STRETCH + F.col("_i") - 1).alias("pos"), at("_c").alias("w"), *([F.reverse(at("_d")).alias("m")] if mirrored else []))
+    return each.select(
+        *keep,
+        (F.col("_k") * STRETCH + F.col("_i") - 1).alias("pos"),
+        at("_c").alias("w"),
+        *([F.reverse(at("_d")).alias("m")] if mirrored else []),
+    )
 
 
 def canonical(kmer: Column) -> Column:

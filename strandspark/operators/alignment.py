@@ -22,7 +22,13 @@ def parse_fasta_text(rows: DataFrame, text: str, key: str) -> DataFrame:
     found = rows.select(key, F.posexplode(F.filter(F.split(F.col(text), r"(?m)^>"), lambda x: F.trim(x) != "")).alias("i", "_r"))
     head = F.regexp_extract("_r", r"^([^\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("_r", r"^[^\n]*\n?", ""), r"\s", "")
-    return found.select(key, "i", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), body.alias("seq"))
+    return found.select(
+        key,
+        "i",
+        F.regexp_extract(head, r"^(\S*)", 1).alias("name"),
+        F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"),
+        body.alias("seq"),
+    )
 
 
 def columns(block: DataFrame, gap: str = "-") -> DataFrame:
@@ -58,12 +64,20 @@ def slice_columns(block: DataFrame, start: int, end: int, gap: str = "-") -> Dat
     part = F.substring("seq", start + 1, end - start)
     before = F.length(ungapped(F.substring("seq", 1, start), gap))
     after = F.length(ungapped(F.substring(F.col("seq"), F.lit(end + 1), F.length("seq")), gap))
-    return block.select("block", "species", part.alias("seq"), (F.col("p_start") + F.when(F.col("strand") == "-", after).otherwise(before)).alias("p_start"), "strand")
+    return block.select(
+        "block",
+        "species",
+        part.alias("seq"),
+        (F.col("p_start") + F.when(F.col("strand") == "-", after).otherwise(before)).alias("p_start"),
+        "strand",
+    )
 
 
 def slice_by_reference(cols: DataFrame, reference, start: int, end: int) -> DataFrame:
     """block, species, seq: the columns in which the reference's bases [start, end) lie, gap columns between them kept."""
-    edge = cols.where((F.col("species") == reference) & (F.col("base") != "-") & (F.col("u") >= start) & (F.col("u") < end)).groupBy("block").agg(F.min("col").alias("_lo"), F.max("col").alias("_hi"))
+    edge = cols.where(
+        (F.col("species") == reference) & (F.col("base") != "-") & (F.col("u") >= start) & (F.col("u") < end)
+    ).groupBy("block").agg(F.min("col").alias("_lo"), F.max("col").alias("_hi"))
     return joined_rows(cols.join(edge, "block").where("col between _lo and _hi"))
 
 
@@ -116,7 +130,11 @@ def segregating_sites(cols: DataFrame, gaps: bool = False) -> DataFrame:
 def private_alleles(cols: DataFrame, species, snps_only: bool = True, keep_n: bool = False) -> DataFrame:
     """block, col, base: where the species differs from all others. snps_only: no column with a gap or N."""
     own = F.max(F.when(F.col("species") == species, F.col("base")))
-    per = cols.groupBy("block", "col").agg(own.alias("base"), F.collect_set(F.when(F.col("species") != species, F.col("base"))).alias("_others"), F.count_if(F.col("base").isin("-", "N")).alias("_odd"))
+    per = cols.groupBy("block", "col").agg(
+        own.alias("base"),
+        F.collect_set(F.when(F.col("species") != species, F.col("base"))).alias("_others"),
+        F.count_if(F.col("base").isin("-", "N")).alias("_odd"),
+    )
     out = per.where(F.col("base").isNotNull() & (F.size("_others") > 0) & ~F.array_contains("_others", F.col("base")))
     out = out.where("_odd = 0") if snps_only else out
     return (out if keep_n else out.where("base != 'N'")).select("block", "col", "base")
@@ -138,7 +156,9 @@ def fill_gaps(cols: DataFrame) -> DataFrame:
 def signal_on_columns(cols: DataFrame, signal: DataFrame, species) -> DataFrame:
     """block, col, val: a species' signal (loc, val by parent place) on alignment columns, gaps repeating the base before."""
     rows = cols.where(F.col("species") == species)
-    on_base = rows.where(F.col("parent").isNotNull()).join(signal.select(F.col("loc").alias("parent"), "val"), "parent", "left").select("block", (F.col("u") + 1).alias("_k"), F.coalesce("val", F.lit(0.0)).alias("val"))
+    on_base = rows.where(F.col("parent").isNotNull()).join(signal.select(F.col("loc").alias("parent"), "val"), "parent", "left").select(
+        "block", (F.col("u") + 1).alias("_k"), F.coalesce("val", F.lit(0.0)).alias("val")
+    )
     k = F.when(F.col("parent").isNotNull(), F.col("u") + 1).otherwise(F.col("u"))
     return rows.withColumn("_k", k).join(on_base, ["block", "_k"], "left").select("block", "col", F.coalesce("val", F.lit(0.0)).alias("val"))
 
@@ -156,7 +176,9 @@ def lift_intervals(cols: DataFrame, parts: DataFrame, source, target, key: str =
     both = lift(cols, source, target).where("to is not null")
     points = both.select(F.col("block").alias("chr"), F.col("from").alias("s"), F.col("from").alias("e"), "to")
     hit = interval_join(parts.select(key, F.col("block").alias("chr"), "s", "e"), points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")), width=256)
-    return hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block")).agg(F.min("r_to").alias("t_s"), F.max("r_to").alias("t_e"), F.count("*").alias("n"))
+    return hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block")).agg(
+        F.min("r_to").alias("t_s"), F.max("r_to").alias("t_e"), F.count("*").alias("n")
+    )
 
 
 def part_columns(cols: DataFrame, parts: DataFrame, species, key: str = "pid", most: int | None = None) -> DataFrame:
@@ -167,7 +189,9 @@ def part_columns(cols: DataFrame, parts: DataFrame, species, key: str = "pid", m
     bases = cols.where((F.col("species") == species) & F.col("parent").isNotNull())
     points = bases.select(F.col("block").alias("chr"), F.col("parent").alias("s"), F.col("parent").alias("e"), "col")
     hit = interval_join(parts.select(key, F.col("block").alias("chr"), "s", "e"), points, lambda: F.col("r_s").between(F.col("l_s"), F.col("l_e")), width=256)
-    span = hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block"), "l_s", "l_e").agg(F.min("r_col").alias("lo"), F.max("r_col").alias("hi"), F.min("r_s").alias("_a"), F.max("r_s").alias("_b"))
+    span = hit.groupBy(F.col(f"l_{key}").alias(key), F.col("l_chr").alias("block"), "l_s", "l_e").agg(
+        F.min("r_col").alias("lo"), F.max("r_col").alias("hi"), F.min("r_s").alias("_a"), F.max("r_s").alias("_b")
+    )
     wide = F.col("hi") - F.col("lo") + 1 > most * (F.col("l_e") - F.col("l_s") + 1) if most else F.lit(False)
     status = F.when((F.col("_a") > F.col("l_s")) | (F.col("_b") < F.col("l_e")), "unmapped").when(wide, "wide").otherwise("ok")
     return span.select(key, "block", "lo", "hi", status.alias("status"))
@@ -182,12 +206,30 @@ def trimmed(block: DataFrame, spans: DataFrame, key: str = "pid", species: list
     n = lambda text: F.length(ungapped(text, gap))
     width = (F.col("hi") - F.col("lo") + 1).cast("int")
     part = F.substring(F.col("seq"), F.col("lo").cast("int") + 1, width)
-    found = rows.select(key, "block", "species", part.alias("seq"), "p_start", "_strand", n(F.substring(F.col("seq"), F.lit(1), F.col("lo").cast("int"))).alias("_before"), n(part).alias("_m"), n(F.col("seq")).alias("_n"))
+    found = rows.select(
+        key,
+        "block",
+        "species",
+        part.alias("seq"),
+        "p_start",
+        "_strand",
+        n(F.substring(F.col("seq"), F.lit(1), F.col("lo").cast("int"))).alias("_before"),
+        n(part).alias("_m"),
+        n(F.col("seq")).alias("_n"),
+    )
     back = F.col("_strand") == "-"
     low = F.col("p_start") + F.when(back, F.col("_n") - F.col("_before") - F.col("_m") + 1).otherwise(F.col("_before"))
     some = (F.col("_m") > 0) & F.col("p_start").isNotNull()
     strand = F.when(some, F.when(back & (F.col("_m") > 1), "-").otherwise("+"))
-    out = found.select(key, "block", "species", "seq", F.when(some, low).alias("p_start"), F.when(some, low + F.col("_m") - 1).alias("p_end"), strand.alias("strand"))
+    out = found.select(
+        key,
+        "block",
+        "species",
+        "seq",
+        F.when(some, low).alias("p_start"),
+        F.when(some, low + F.col("_m") - 1).alias("p_end"),
+        strand.alias("strand"),
+    )
     if species is None:
         return out
     every = spans.select(key, "block", (F.col("hi") - F.col("lo") + 1).alias("_n"), F.explode(F.array(*[F.lit(x) for x in species])).alias("species"))
@@ -218,7 +260,18 @@ def isolated(fn, by: list[str], schema: str, default: dict):
     return run
 
 
-def map_slices(block: DataFrame, targets: DataFrame, species, fn, schema: str, default: dict, key: str = "pid", pad: int = 0, most: int | None = None, fill: list | None = None) -> DataFrame:
+def map_slices(
+    block: DataFrame,
+    targets: DataFrame,
+    species,
+    fn,
+    schema: str,
+    default: dict,
+    key: str = "pid",
+    pad: int = 0,
+    most: int | None = None,
+    fill: list | None = None,
+) -> DataFrame:
     """key, the schema's columns, error: fn of the alignment around each target (key, chr, s, e, strand), one row a target whatever happens.
 
     block: rows with chr; targets are padded and looked up in the species' rows. fn gets a pandas frame of the slice (species, seq, p_start, p_end, strand), turned
@@ -236,8 +289,12 @@ def map_slices(block: DataFrame, targets: DataFrame, species, fn, schema: str, d
     kind = dict(targets.dtypes)[key]
     done = rows.groupBy(key).applyInPandas(isolated(fn, [key], schema, default), f"{key} {kind}, {schema}, error string")
     names = [c.name for c in StructType.fromDDL(schema)]
-    why = F.when(F.col("_n").isNull(), "not aligned").when(F.col("_n") > 1, "several blocks").when(F.col("status") != "ok", F.col("status")).when(F.col("_done").isNull(), "unmapped").otherwise(F.col("error"))
-    found = targets.select(key).join(number, key, "left").join(spans.select(key, "status"), key, "left").join(done.withColumn("_done", F.lit(True)), key, "left").withColumn("error", why)
+    why = F.when(F.col("_n").isNull(), "not aligned").when(F.col("_n") > 1, "several blocks").when(
+        F.col("status") != "ok", F.col("status")
+    ).when(F.col("_done").isNull(), "unmapped").otherwise(F.col("error"))
+    found = targets.select(key).join(number, key, "left").join(spans.select(key, "status"), key, "left").join(
+        done.withColumn("_done", F.lit(True)), key, "left"
+    ).withColumn("error", why)
     types = {c.name: c.dataType for c in StructType.fromDDL(schema)}
     return found.select(key, *[F.when(F.col("_done"), F.col(c)).otherwise(F.lit(default.get(c)).cast(types[c])).alias(c) for c in names], "error")
 
@@ -265,11 +322,29 @@ def clustal(block: DataFrame, width: int = 60) -> DataFrame:
     n = F.ceil(F.length("seq") / width).cast("int")
     part = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("part")
     rows = block.select("block", "species", "seq", part)
-    return rows.select("block", "part", "species", F.concat(F.rpad(F.col("species").cast("string"), 20, " "), F.substring(F.col("seq"), F.col("part") * width + 1, F.lit(width))).alias("line"))
+    return rows.select(
+        "block",
+        "part",
+        "species",
+        F.concat(
+            F.rpad(F.col("species").cast("string"), 20, " "), F.substring(F.col("seq"), F.col("part") * width + 1, F.lit(width))
+        ).alias("line"),
+    )
 
 
 def fasta_lines(block: DataFrame) -> DataFrame:
     """block, species, text: '>species parent:start-end:strand' over the row."""
     end = F.col("p_start") + F.length(ungapped(F.col("seq")))
-    head = F.concat(F.lit(">"), F.col("species").cast("string"), F.lit(" "), F.col("block").cast("string"), F.lit(":"), F.col("p_start").cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), F.col("strand"))
+    head = F.concat(
+        F.lit(">"),
+        F.col("species").cast("string"),
+        F.lit(" "),
+        F.col("block").cast("string"),
+        F.lit(":"),
+        F.col("p_start").cast("string"),
+        F.lit("-"),
+        end.cast("string"),
+        F.lit(":"),
+        F.col("strand"),
+    )
     return block.select("block", "species", F.concat(head, F.lit("\n"), F.col("seq")).alias("text"))

@@ -65,7 +65,12 @@ def window_enrichment(hits: DataFrame, signal: DataFrame, window: int, key: str
     points = signal.select("chr", F.col("loc").alias("s"), F.col("loc").alias("e"), "val")
     distance = F.abs(F.col("r_s") - F.col("l_s"))
     pairs = interval_join(at, points, lambda: distance * 2 < window, pad=window // 2, width=max(64, window))
-    found = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.count("*").alias("samples"), F.min_by("r_val", F.struct(distance, F.col("r_s"))).alias("nearest"), F.avg("r_val").alias("_mean"), F.median("r_val").alias("_median"))
+    found = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(
+        F.count("*").alias("samples"),
+        F.min_by("r_val", F.struct(distance, F.col("r_s"))).alias("nearest"),
+        F.avg("r_val").alias("_mean"),
+        F.median("r_val").alias("_median"),
+    )
     over = lambda c: F.when(F.col(c) != 0, F.col("nearest") / F.col(c))
     return found.select(key, "samples", "nearest", over("_mean").alias("by_mean"), over("_median").alias("by_median"))
 
@@ -88,7 +93,9 @@ def run_members(peaks: DataFrame, key: str = "pid", least: int = 2) -> DataFrame
     runs = union_runs(peaks).where(F.col("sets") >= least).select("chr", "s", "e")
     inside = lambda: (F.col("r_s") >= F.col("l_s")) & (F.col("r_e") <= F.col("l_e"))
     pairs = interval_join(runs, peaks.where("e > s").select("chr", "s", "e", "st", key), inside)
-    return pairs.groupBy(F.col("l_chr").alias("chr"), F.col("l_s").alias("s"), F.col("l_e").alias("e"), F.col("r_st").alias("st")).agg(F.sort_array(F.collect_list(f"r_{key}")).alias("members"))
+    return pairs.groupBy(
+        F.col("l_chr").alias("chr"), F.col("l_s").alias("s"), F.col("l_e").alias("e"), F.col("r_st").alias("st")
+    ).agg(F.sort_array(F.collect_list(f"r_{key}")).alias("members"))
 
 
 def overlap_combinations(tables: dict[str, DataFrame], key: str = "pid") -> DataFrame:
@@ -96,7 +103,9 @@ def overlap_combinations(tables: dict[str, DataFrame], key: str = "pid") -> Data
     names = list(tables)
     hits = {}
     for a, b in combinations(names, 2):
-        hits[a, b] = interval_join(tables[a].select(key, "chr", "s", "e"), tables[b].select("chr", "s", "e"), touches).select(F.col(f"l_{key}").alias(key)).distinct()
+        hits[a, b] = interval_join(
+            tables[a].select(key, "chr", "s", "e"), tables[b].select("chr", "s", "e"), touches
+        ).select(F.col(f"l_{key}").alias(key)).distinct()
     out = None
     for size in range(2, len(names) + 1):
         for first, *rest in combinations(names, size):
@@ -111,7 +120,9 @@ def overlap_combinations(tables: dict[str, DataFrame], key: str = "pid") -> Data
 def distance_lists(peaks: DataFrame, hits: DataFrame, window: int, key: str = "pid") -> DataFrame:
     """key, matrix, distances: peak less start of every hit in the window, in rising order; peaks and matrices without hits have no row."""
     pairs = hits_in_windows(peaks, hits, window)
-    return pairs.groupBy(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix")).agg(F.sort_array(F.collect_list(F.col("l_loc") - F.col("r_start"))).alias("distances"))
+    return pairs.groupBy(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix")).agg(
+        F.sort_array(F.collect_list(F.col("l_loc") - F.col("r_start"))).alias("distances")
+    )
 
 
 def fraction_by_matrix(peaks: DataFrame, hits: DataFrame, window: int, key: str = "pid") -> DataFrame:
@@ -123,7 +134,12 @@ def fraction_by_matrix(peaks: DataFrame, hits: DataFrame, window: int, key: str
 
 def prioritised_hits(peaks: DataFrame, hits: DataFrame, window: int, priority: list, key: str = "pid") -> DataFrame:
     """key, class, reference, matrix, offset: as motif.oriented_hits(), the reference being the first matrix of the list that has a hit at the peak; the reference's own hit comes first by offset 0."""
-    pairs = hits_in_windows(peaks, hits, window).select(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix"), F.col("r_strand").alias("strand"), (F.col("r_start") - F.col("l_loc")).alias("offset"))
+    pairs = hits_in_windows(peaks, hits, window).select(
+        F.col(f"l_{key}").alias(key),
+        F.col("r_matrix").alias("matrix"),
+        F.col("r_strand").alias("strand"),
+        (F.col("r_start") - F.col("l_loc")).alias("offset"),
+    )
     place = F.array_position(F.array(*[F.lit(m) for m in priority]), F.col("matrix"))
     per = pairs.groupBy(key).agg(F.count_distinct("matrix").alias("class"))
     lead = F.row_number().over(Window.partitionBy(key).orderBy("_p", F.abs("offset"), "offset", "strand"))
@@ -192,7 +208,13 @@ def conservation_counts(windows: DataFrame, a: DataFrame, b: DataFrame, key: str
     for name, sites in (("_a", a), ("_b", b)):
         held = interval_join(windows.select(key, "chr", "s", "e"), sites.select("chr", "s", "e"), touches).select(F.col(f"l_{key}").alias(key)).distinct()
         out = out.join(held.withColumn(name, F.lit(True)), key, "left").fillna(False, [name])
-    return out.agg(*[F.count_if((F.col("_a") == x) & (F.col("_b") == y)).alias(n) for n, x, y in (("both", True, True), ("only_a", True, False), ("only_b", False, True), ("neither", False, False))])
+    return out.agg(
+        *[
+            F.count_if((F.col("_a") == x) & (F.col("_b") == y)).alias(n) for n, x, y in (
+                ("both", True, True), ("only_a", True, False), ("only_b", False, True), ("neither", False, False)
+            )
+        ],
+    )
 
 
 def domain_rates(domains: DataFrame, rates: DataFrame, species: list[str], family: str | None = None, genes: DataFrame | None = None) -> DataFrame:
@@ -204,7 +226,9 @@ def domain_rates(domains: DataFrame, rates: DataFrame, species: list[str], famil
 
 def marked_rates(rates: DataFrame, pattern: str, name: str = "name") -> DataFrame:
     """family, species, median, n, marked: medians of a family by species, and how many of its rows have a name like the pattern."""
-    return rates.groupBy("family", "species").agg(F.median("rate").alias("median"), F.count("*").alias("n"), F.count_if(F.col(name).rlike(pattern)).alias("marked"))
+    return rates.groupBy("family", "species").agg(
+        F.median("rate").alias("median"), F.count("*").alias("n"), F.count_if(F.col(name).rlike(pattern)).alias("marked")
+    )
 
 
 def with_cluster(peaks: DataFrame, clusters: DataFrame, key: str = "pid") -> DataFrame:
@@ -225,4 +249,10 @@ def ortholog_claims(lines: DataFrame, species: str, source: str = "FlyBase", kin
     place = r"(?:^|;)\s*Target=(\S+) (\d+) (\d+)"
     at = lambda k: F.nullif(F.regexp_extract("_a", place, k), F.lit(""))
     rows = rows.where(F.lower(get(r"(?:^|;)\s*to_species=([^;]*)")) == species.lower())
-    return rows.select(F.substring_index(get(r"(?:^|;)\s*ID=([^;]*)"), "_", 1).alias("key1"), get(r"(?:^|;)\s*to_name=([^;]*)").alias("fbid"), at(1).alias("chr"), at(2).cast("long").alias("s"), at(3).cast("long").alias("e"))
+    return rows.select(
+        F.substring_index(get(r"(?:^|;)\s*ID=([^;]*)"), "_", 1).alias("key1"),
+        get(r"(?:^|;)\s*to_name=([^;]*)").alias("fbid"),
+        at(1).alias("chr"),
+        at(2).cast("long").alias("s"),
+        at(3).cast("long").alias("e"),
+    )

@@ -31,7 +31,9 @@ def first_tags(tags: DataFrame, mapq: int | None = None, line: str = "line") ->
 def totals(tags: DataFrame, mapq: int | None = None) -> DataFrame:
     """One row: total, unique (positions), suppressed (tags beyond the first of a position), stored (after the quality cut)."""
     kept = F.col("mapq") >= mapq if mapq else F.lit(True)
-    return tags.agg(F.count("*").alias("total"), F.count_distinct(*STRAND_KEY).alias("unique"), F.count_if(kept).alias("stored")).select("total", "unique", (F.col("total") - F.col("unique")).alias("suppressed"), "stored")
+    return tags.agg(
+        F.count("*").alias("total"), F.count_distinct(*STRAND_KEY).alias("unique"), F.count_if(kept).alias("stored")
+    ).select("total", "unique", (F.col("total") - F.col("unique")).alias("suppressed"), "stored")
 
 
 def limit_tags(counts: DataFrame, limit: int = 3) -> DataFrame:
@@ -83,7 +85,12 @@ def extend(counts: DataFrame, ext: int, length: DataFrame | None = None) -> Data
     if length is not None:
         spans = spans.join(length, "chr").select("chr", "a", F.least("b", "length").alias("b"), "n")
     spans = spans.where("a < b")
-    steps = spans.select("chr", F.explode(F.array(F.struct(F.col("a").alias("pos"), F.col("n").alias("d")), F.struct(F.col("b").alias("pos"), (-F.col("n")).alias("d")))).alias("s"))
+    steps = spans.select(
+        "chr",
+        F.explode(
+            F.array(F.struct(F.col("a").alias("pos"), F.col("n").alias("d")), F.struct(F.col("b").alias("pos"), (-F.col("n")).alias("d")))
+        ).alias("s"),
+    )
     steps = steps.groupBy("chr", F.col("s.pos").alias("pos")).agg(F.sum("s.d").alias("d")).where("d != 0")
     signal = running_sum(steps, ["chr"], [], "pos", F.col("d"), "val")
     signal = next_value(signal, ["chr"], "pos", "end")
@@ -121,7 +128,9 @@ def binned(counts: DataFrame, step: int) -> DataFrame:
 
 def wig_means(counts: DataFrame, span: int) -> DataFrame:
     """chr, start, val: sums / span in spans from position 1 on; position 0 is left out, a short last span still divides by span."""
-    return counts.where("loc >= 1").groupBy("chr", (F.floor((F.col("loc") - 1) / span) * span + 1).cast("long").alias("start")).agg((F.sum("n") / span).alias("val"))
+    return counts.where("loc >= 1").groupBy(
+        "chr", (F.floor((F.col("loc") - 1) / span) * span + 1).cast("long").alias("start")
+    ).agg((F.sum("n") / span).alias("val"))
 
 
 def smooth(bins: DataFrame, steps: int = 5, step: int = 1) -> DataFrame:
@@ -129,7 +138,9 @@ def smooth(bins: DataFrame, steps: int = 5, step: int = 1) -> DataFrame:
     half = steps // 2
     rows = bins.select("chr", "start", F.floor(F.col("start") / step).alias("k"), "val")
     ends = rows.groupBy("chr").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min_by("val", "k").alias("first"), F.max_by("val", "k").alias("last"))
-    near = rows.withColumn("d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).groupBy("chr", (F.col("k") + F.col("d")).alias("k")).agg(F.sum("val").alias("around"))
+    near = rows.withColumn(
+        "d", F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    ).groupBy("chr", (F.col("k") + F.col("d")).alias("k")).agg(F.sum("val").alias("around"))
     out = rows.join(near, ["chr", "k"]).join(ends, "chr")
     pad = F.greatest(F.lit(0), F.col("lo") - F.col("k") + half) * F.col("first") + F.greatest(F.lit(0), F.col("k") + half - F.col("hi")) * F.col("last")
     mean = (F.col("around") + pad) / (2 * half + 1)
@@ -202,7 +213,11 @@ def input_ratio(peaks: DataFrame, sample: DataFrame, control: DataFrame, key: st
         return inside.groupBy(F.col(f"l_{key}").alias(key)).agg(F.sum("r_v").alias(name), F.count("*").alias(f"n_{name}"))
 
     both = sums(sample, "a").where("n_a >= 2").join(sums(control, "b"), key, "left").fillna(0, ["b"])
-    return both.select(key, (F.col("a") - F.col("b")).alias("diff"), F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(F.col("a").cast("double")).alias("ratio"))
+    return both.select(
+        key,
+        (F.col("a") - F.col("b")).alias("diff"),
+        F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(F.col("a").cast("double")).alias("ratio"),
+    )
 
 
 def region_profile(counts: DataFrame, chrom, start: int, end: int) -> DataFrame:
@@ -238,4 +253,9 @@ def expand_steps(signal: DataFrame, step: int) -> DataFrame:
 
 def scaffold(sizes: DataFrame, step: int = 1) -> DataFrame:
     """chr, strand, loc, n = 0 for every step-th position of each chromosome (chr, length)."""
-    return sizes.select("chr", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), "length").where("length > 0").select("chr", "strand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("loc"), F.lit(0).alias("n"))
+    return sizes.select("chr", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), "length").where("length > 0").select(
+        "chr",
+        "strand",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("loc"),
+        F.lit(0).alias("n"),
+    )

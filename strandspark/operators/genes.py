@@ -10,7 +10,9 @@ from .ordered import STRETCH, carried_scan, checkpoint
 
 def ortholog_pairs(genes_a: DataFrame, orth: DataFrame, genes_b: DataFrame, first_only: bool = False) -> DataFrame:
     """a_key, b_key, name: genes of two species by ortholog keys (key1, key2); first_only: one partner each, the least key."""
-    pairs = genes_a.select(F.col("key").alias("a_key")).join(orth, F.col("a_key") == F.col("key1")).join(genes_b.select(F.col("key").alias("b_key"), "name"), F.col("b_key") == F.col("key2"))
+    pairs = genes_a.select(F.col("key").alias("a_key")).join(orth, F.col("a_key") == F.col("key1")).join(
+        genes_b.select(F.col("key").alias("b_key"), "name"), F.col("b_key") == F.col("key2")
+    )
     pairs = pairs.select("a_key", "b_key", "name")
     if not first_only:
         return pairs
@@ -21,7 +23,9 @@ def ortholog_table(claims: DataFrame, genes: DataFrame) -> DataFrame:
     """key1, key2: claims (key1, fbid, chr, s, e) matched to genes (key, fbid, chr, s, e) by id, else by the same place; unmatched ones go."""
     by_id = genes.select(F.col("fbid").alias("_id"), F.col("key").alias("_by_id"))
     by_place = genes.select(F.col("chr").alias("_c"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("key").alias("_by_place"))
-    out = claims.join(by_id, claims.fbid == F.col("_id"), "left").join(by_place, (claims.chr == F.col("_c")) & (claims.s == F.col("_s")) & (claims.e == F.col("_e")), "left")
+    out = claims.join(by_id, claims.fbid == F.col("_id"), "left").join(
+        by_place, (claims.chr == F.col("_c")) & (claims.s == F.col("_s")) & (claims.e == F.col("_e")), "left"
+    )
     return out.select("key1", F.coalesce("_by_id", "_by_place").alias("key2")).where("key2 is not null").distinct()
 
 
@@ -30,7 +34,9 @@ def paired_peaks(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Of the four ways (us-us, us-ds, ds-us, ds-ds) the first that holds counts, one gene each.
     """
-    pairs = a.select(F.col("pid").alias("a_pid"), F.col("side").alias("_sa"), "gene").join(b.select(F.col("pid").alias("b_pid"), F.col("side").alias("_sb"), "gene"), "gene")
+    pairs = a.select(F.col("pid").alias("a_pid"), F.col("side").alias("_sa"), "gene").join(
+        b.select(F.col("pid").alias("b_pid"), F.col("side").alias("_sb"), "gene"), "gene"
+    )
     order = F.when(F.col("_sa") == "us", 0).otherwise(2) + F.when(F.col("_sb") == "us", 0).otherwise(1)
     best = pairs.groupBy("a_pid", "b_pid").agg(F.min(F.struct(order.alias("o"), "gene", F.concat_ws("-", "_sa", "_sb").alias("kind"))).alias("p"))
     return best.select("a_pid", "b_pid", "p.gene", "p.kind")
@@ -44,7 +50,11 @@ def gene_clusters(pairs: DataFrame) -> DataFrame:
         of_gene = pairs.join(labels, "pid").groupBy("gene").agg(F.min("cluster").alias("c"))
         new = pairs.join(of_gene, "gene").groupBy("pid").agg(F.min("c").alias("cluster"))
         # a label's own label is at least as small
-        hop = checkpoint(new.alias("n").join(new.select(F.col("pid").alias("_p"), F.col("cluster").alias("_c")), F.col("n.cluster") == F.col("_p")).select("pid", F.least("n.cluster", "_c").alias("cluster")))
+        hop = checkpoint(
+            new.alias("n").join(
+                new.select(F.col("pid").alias("_p"), F.col("cluster").alias("_c")), F.col("n.cluster") == F.col("_p")
+            ).select("pid", F.least("n.cluster", "_c").alias("cluster")),
+        )
         if not hop.join(labels.withColumnRenamed("cluster", "old"), "pid").where("cluster != old").take(1):
             return hop
         labels = hop
@@ -53,7 +63,11 @@ def gene_clusters(pairs: DataFrame) -> DataFrame:
 def cluster_counts(a: DataFrame, b: DataFrame, key: str = "gene") -> DataFrame:
     """One row: keys of both, of a only, of b only."""
     x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
-    return x.join(y, key, "full").agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"))
+    return x.join(y, key, "full").agg(
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"),
+        F.count_if(F.col("_b").isNull()).alias("only_a"),
+        F.count_if(F.col("_a").isNull()).alias("only_b"),
+    )
 
 
 def family_medians(rates: DataFrame, by: list[str], least: float | None = 0.0) -> DataFrame:
@@ -151,7 +165,10 @@ def species_subsets(spark, species: list[str]) -> DataFrame:
     if len(species) > 20:
         raise ValueError("over 20 species have over a million subsets")
     names = F.array(*[F.lit(s) for s in sorted(species)])
-    picked = F.transform(F.filter(F.sequence(F.lit(0), F.lit(len(species) - 1)), lambda i: F.call_function("getbit", F.col("id"), i) == 1), lambda i: F.get(names, i))
+    picked = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(len(species) - 1)), lambda i: F.call_function("getbit", F.col("id"), i) == 1),
+        lambda i: F.get(names, i),
+    )
     return spark.range(1, 1 << len(species)).select(F.array_join(picked, ",").alias("subset"))
 
 
@@ -174,12 +191,29 @@ def pruned_trees(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     asked = leaves.select("subset", "node").distinct().withColumn("leaf", F.lit(True))
     known = edges.join(children, ["subset", "node"], "left").join(asked, ["subset", "node"], "left")
     # kept: asked for, or where branches meet
-    state = checkpoint(known.select("subset", "node", F.col("parent").alias("to"), "length", (F.coalesce("leaf", F.lit(False)) | (F.coalesce("n", F.lit(0)) > 1)).alias("kept")))
+    state = checkpoint(
+        known.select(
+            "subset",
+            "node",
+            F.col("parent").alias("to"),
+            "length",
+            (F.coalesce("leaf", F.lit(False)) | (F.coalesce("n", F.lit(0)) > 1)).alias("kept"),
+        ),
+    )
     while True:
         over = state.where("not kept").select("subset", F.col("node").alias("to"), F.col("to").alias("far"), F.col("length").alias("more"))
         found = state.join(over.withColumn("passed", F.lit(True)), ["subset", "to"], "left")
         passed = F.coalesce("passed", F.lit(False))
-        new = checkpoint(found.select("subset", "node", F.when(passed, F.col("far")).otherwise(F.col("to")).alias("to"), F.when(passed, F.col("length") + F.col("more")).otherwise(F.col("length")).alias("length"), "kept", passed.alias("passed")))
+        new = checkpoint(
+            found.select(
+                "subset",
+                "node",
+                F.when(passed, F.col("far")).otherwise(F.col("to")).alias("to"),
+                F.when(passed, F.col("length") + F.col("more")).otherwise(F.col("length")).alias("length"),
+                "kept",
+                passed.alias("passed"),
+            ),
+        )
         state = new.drop("passed")
         if not new.where("passed").take(1):
             return state.where("kept").select("subset", "node", F.col("to").alias("parent"), "length")

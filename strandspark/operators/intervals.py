@@ -65,9 +65,13 @@ def overlap_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     inside = lambda: F.col("l_s").between(F.col("r_s"), F.col("r_e")) | F.col("l_e").between(F.col("r_s"), F.col("r_e"))
     out = first
     for other in others:
-        found = interval_join(first, other, inside).groupBy([F.col(f"l_{c}").alias(c) for c in first.columns]).agg(F.min("r_s").alias("_s"), F.max("r_e").alias("_e"))
+        found = interval_join(first, other, inside).groupBy([F.col(f"l_{c}").alias(c) for c in first.columns]).agg(
+            F.min("r_s").alias("_s"), F.max("r_e").alias("_e")
+        )
         out = out.join(found, first.columns)
-        out = out.withColumns({"u_s": F.least("u_s", "_s"), "u_e": F.greatest("u_e", "_e")}) if "u_s" in out.columns else out.withColumnsRenamed({"_s": "u_s", "_e": "u_e"})
+        out = out.withColumns(
+            {"u_s": F.least("u_s", "_s"), "u_e": F.greatest("u_e", "_e")}
+        ) if "u_s" in out.columns else out.withColumnsRenamed({"_s": "u_s", "_e": "u_e"})
         out = out.drop("_s", "_e")
     return out
 
@@ -118,11 +122,19 @@ def nearest(peaks: DataFrame, features: DataFrame, key: str, feature: str, n: in
         # looking back, the last ones up to the middle count, and of equals the least id is last
         order = F.col("_id").desc() if back else F.col("_id").asc()
         ranked = a.withColumns({"_key": F.lit(None).cast(peaks.schema[key].dataType), "_kind": F.lit(1 if back else 3)})
-        asked = peaks.select("chr", mid.alias("pos"), F.lit(None).cast(features.schema[feature].dataType).alias("_id"), F.col(key).alias("_key"), F.lit(2).alias("_kind"))
+        asked = peaks.select(
+            "chr",
+            mid.alias("pos"),
+            F.lit(None).cast(features.schema[feature].dataType).alias("_id"),
+            F.col(key).alias("_key"),
+            F.lit(2).alias("_kind"),
+        )
         rows = running_sum(ranked.unionByName(asked), ["chr"], ["_kind", order], "pos", one, "_n")
         numbered = rows.where("_kind != 2").select("chr", F.col("_n").alias("_at"), "_id", F.col("pos").alias("_pos"))
         steps = F.sequence(F.lit(0), F.lit(n - 1)) if back else F.sequence(F.lit(1), F.lit(n))
-        wanted = rows.where("_kind = 2").select("chr", "_key", "pos", F.explode(F.transform(steps, lambda k: F.col("_n") - k if back else F.col("_n") + k)).alias("_at"))
+        wanted = rows.where("_kind = 2").select(
+            "chr", "_key", "pos", F.explode(F.transform(steps, lambda k: F.col("_n") - k if back else F.col("_n") + k)).alias("_at")
+        )
         candidates.append(wanted.join(numbered, ["chr", "_at"]).select("chr", "_key", "_id", (F.col("pos") - F.col("_pos")).alias("distance")))
     both = candidates[0].unionByName(candidates[1]).distinct()
     rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.abs("distance"), "_id"))
@@ -139,7 +151,9 @@ def stream_nearest(peaks: DataFrame, genes: DataFrame, window: int, upstream: bo
     tss = F.when(F.col("r_strand") == "+", F.col("r_s")).otherwise(F.col("r_e"))
     near = lambda: F.col("r_s").between(loc - window, loc + window) | F.col("r_e").between(loc - window, loc + window)
     distance = (loc - tss) if upstream else (tss - loc)
-    pairs = interval_join(peaks.withColumn("e", F.col("s")), genes, near, pad=window).select(F.col(f"l_{key}").alias(key), F.col(f"r_{gene}").alias(gene), distance.alias("distance")).where("distance >= 0")
+    pairs = interval_join(peaks.withColumn("e", F.col("s")), genes, near, pad=window).select(
+        F.col(f"l_{key}").alias(key), F.col(f"r_{gene}").alias(gene), distance.alias("distance")
+    ).where("distance >= 0")
     if not zero_is_unset:
         rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", F.col(gene).desc()))
         return pairs.withColumn("rank", rank).where("rank = 1").drop("rank")

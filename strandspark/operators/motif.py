@@ -154,7 +154,9 @@ def motif_fraction(peaks: DataFrame, hits: DataFrame, window: int, key: str = "p
 
 def distances_by_matrix(peaks: DataFrame, hits: DataFrame, matrices: DataFrame, window: int, key: str = "pid") -> DataFrame:
     """key, matrix, n, nearest: for every peak and matrix the hits in the window, none included."""
-    pairs = hits_in_windows(peaks, hits, window).groupBy(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix")).agg(F.count("*").alias("n"), F.min(F.abs(F.col("l_loc") - F.col("r_start"))).alias("nearest"))
+    pairs = hits_in_windows(peaks, hits, window).groupBy(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix")).agg(
+        F.count("*").alias("n"), F.min(F.abs(F.col("l_loc") - F.col("r_start"))).alias("nearest")
+    )
     every = peaks.select(key).crossJoin(matrices.select("matrix"))  # a row for each is what is asked for
     return every.join(pairs, [key, "matrix"], "left").select(key, "matrix", F.coalesce("n", F.lit(0)).alias("n"), "nearest")
 
@@ -165,11 +167,18 @@ def oriented_hits(peaks: DataFrame, hits: DataFrame, window: int, reference: str
     class: how many matrices have hits there. The reference's hit nearest to the peak decides the orientation; where it's on
     '-', offsets from the peak change sign. Peaks without the reference are left out.
     """
-    pairs = hits_in_windows(peaks, hits, window).select(F.col(f"l_{key}").alias(key), F.col("r_matrix").alias("matrix"), F.col("r_strand").alias("strand"), (F.col("r_start") - F.col("l_loc")).alias("offset"))
+    pairs = hits_in_windows(peaks, hits, window).select(
+        F.col(f"l_{key}").alias(key),
+        F.col("r_matrix").alias("matrix"),
+        F.col("r_strand").alias("strand"),
+        (F.col("r_start") - F.col("l_loc")).alias("offset"),
+    )
     per = pairs.groupBy(key).agg(F.count_distinct("matrix").alias("class"))
     lead = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("offset"), "offset", "strand"))
     ref = pairs.where(F.col("matrix") == reference).withColumn("_r", lead).where("_r = 1").select(key, F.col("strand").alias("_strand"))
-    return pairs.join(ref, key).join(per, key).select(key, "class", "matrix", F.when(F.col("_strand") == "-", -F.col("offset")).otherwise(F.col("offset")).alias("offset"))
+    return pairs.join(ref, key).join(per, key).select(
+        key, "class", "matrix", F.when(F.col("_strand") == "-", -F.col("offset")).otherwise(F.col("offset")).alias("offset")
+    )
 
 
 #: Bases by their place in the order A, T, G, C, other symbols as N, and each one's complement.
@@ -269,7 +278,9 @@ def binomial_tail(x: int, n: int, p: float) -> float:
 
 def regressions(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
     """by, n, slope, intercept, t: least squares of y on x in each group; t of the slope, null without spread."""
-    out = pairs.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("_r2"))
+    out = pairs.groupBy(by).agg(
+        F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("_r2")
+    )
     t = F.when((F.col("n") > 2) & (F.col("_r2") < 1), F.signum("slope") * F.sqrt(F.col("_r2") * (F.col("n") - 2) / (1 - F.col("_r2"))))
     return out.select(by, "n", "slope", "intercept", t.alias("t"))
 
@@ -349,7 +360,12 @@ def subseq_scores(kmer_list: DataFrame, columns: list[dict[str, float]], least:
         total = F.aggregate(flat, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
         sides.append((total, F.array_max(flat), F.array(*[F.array_max(F.array(*some)) for some in scores])))
     (fs, fm, fw), (rs, rm, rw) = sides
-    return kmer_list.select("kmer", F.greatest(fs, rs).alias("total"), F.greatest(fm, rm).alias("most"), F.zip_with(fw, rw, lambda a, b: F.greatest(a, b)).alias("widths"))
+    return kmer_list.select(
+        "kmer",
+        F.greatest(fs, rs).alias("total"),
+        F.greatest(fm, rm).alias("most"),
+        F.zip_with(fw, rw, lambda a, b: F.greatest(a, b)).alias("widths"),
+    )
 
 
 def matrix_scores(kmer_list: DataFrame, matrices: dict[str, list[dict[str, float]]], least: int = 5) -> DataFrame:
@@ -367,7 +383,14 @@ def matrix_scores(kmer_list: DataFrame, matrices: dict[str, list[dict[str, float
         low, high = F.min("total").over(everything), F.max("total").over(everything)
         widths = [rank(F.get("widths", k)) for k in range(n)]
         best = F.greatest(*widths) if n > 1 else widths[0]
-        rows = rows.select("matrix", "kmer", rank("total").alias("total_rank"), F.when(high > low, (F.col("total") - low) / (high - low)).otherwise(F.lit(0.0)).alias("share"), rank("most").alias("most_rank"), best.alias("width_rank"))
+        rows = rows.select(
+            "matrix",
+            "kmer",
+            rank("total").alias("total_rank"),
+            F.when(high > low, (F.col("total") - low) / (high - low)).otherwise(F.lit(0.0)).alias("share"),
+            rank("most").alias("most_rank"),
+            best.alias("width_rank"),
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -389,7 +412,10 @@ def random_sequences(rows: DataFrame, key: str = "id", length: str = "length", s
     digit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("i").cast("string"))), 1, 1)
     base = F.substring(F.lit("ACGT"), ((F.instr(F.lit("0123456789abcdef"), digit) - 1) % 4 + 1).cast("int"), F.lit(1))
     each = letters.select(key, "i", base.alias("b"))
-    return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]), "").alias("seq"))  # one sequence's bases
+    # one sequence's bases
+    return each.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]), "").alias("seq")
+    )
 
 
 def random_windows(peaks: DataFrame, n: int, width: int, seed: int = 1) -> DataFrame:

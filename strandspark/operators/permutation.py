@@ -28,7 +28,10 @@ def shuffled(responses: DataFrame, key: str, rounds: int, y: str = "y", seed: in
     base = checkpoint(with_rank(known, F.col(key), key, "row").withColumn("row", F.col("row") - 1))
     n = base.count()
     draws = base.select(key, "row", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    draws = draws.withColumn("h", F.struct("round", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))).alias("m")))
+    draws = draws.withColumn(
+        "h",
+        F.struct("round", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))).alias("m")),
+    )
     ranked = with_rank(draws, F.col("h"), key, "_rank")
     given = base.select(F.col("row").alias("_from"), "y")
     # every round has n rows
@@ -57,14 +60,18 @@ def slopes(profile: DataFrame, responses: DataFrame, feature: str, key: str, rou
     drawn = checkpoint(shuffled(responses, key, rounds, y, seed))
     base = drawn.where("round = 0")
     n, mean = base.agg(F.count("*"), F.avg("y")).first()
-    cells = profile.groupBy(F.col(feature).cast("string").alias("feature"), key).agg(F.sum(F.col(x).cast("double")).alias("x")).join(base.select(key, "row"), key)
+    cells = profile.groupBy(
+        F.col(feature).cast("string").alias("feature"), key
+    ).agg(F.sum(F.col(x).cast("double")).alias("x")).join(base.select(key, "row"), key)
     spread = cells.groupBy("feature").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
     chunks = F.explode(F.sequence(F.lit(0), F.lit(rounds // CHUNK))).alias("chunk")
     place = [F.floor(F.col("row") / BLOCK).alias("block"), F.pmod("row", F.lit(BLOCK)).cast("int").alias("at")]
     left = cells.select(*place, "feature", "x").select("*", chunks)
     right = drawn.select(*place, F.floor(F.col("round") / CHUNK).cast("int").alias("chunk"), (F.col("round") % CHUNK).alias("place"), "y")
     parts = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_multiply, "feature string, chunk int, sums array<double>")
-    each = parts.select("feature", "chunk", F.posexplode("sums").alias("place", "s")).select("feature", (F.col("chunk") * CHUNK + F.col("place")).alias("round"), "s").where(F.col("round") <= rounds)
+    each = parts.select("feature", "chunk", F.posexplode("sums").alias("place", "s")).select(
+        "feature", (F.col("chunk") * CHUNK + F.col("place")).alias("round"), "s"
+    ).where(F.col("round") <= rounds)
     sums = each.groupBy("feature", "round").agg(F.sum("s").alias("sxy")).join(spread, "feature")
     sxx = F.col("sxx") - F.col("sx") * F.col("sx") / n if n else F.lit(0.0)
     return sums.select("feature", "round", F.when(sxx > 1e-9 * F.col("sxx"), (F.col("sxy") - F.col("sx") * (mean or 0.0)) / sxx).alias("slope"))
@@ -113,18 +120,32 @@ def null_summary(lines: DataFrame) -> DataFrame:
     lines = checkpoint(lines)
     null = lines.where("round > 0 and slope is not null")
     of = null.groupBy("feature").agg(
-        F.count("*").alias("n"), F.stddev_samp("slope").alias("sd"), F.skewness("slope").alias("g1"), F.kurtosis("slope").alias("g2"), F.percentile("slope", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+        F.count("*").alias("n"), F.stddev_samp(
+            "slope"
+        ).alias("sd"), F.skewness("slope").alias("g1"), F.kurtosis("slope").alias("g2"), F.percentile("slope", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
     )
     observed = lines.where("round = 0").select("feature", F.col("slope").alias("observed")).join(of, "feature", "left")
     width = F.greatest(F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)), F.lit(1e-300))
     z = (F.col("observed") - F.col("slope")) / width
-    tails = null.join(observed.select("feature", "observed", "sd", "n"), "feature").groupBy("feature").agg(F.avg(upper_tail(z)).alias("above"), F.avg(upper_tail(-z)).alias("below"))
+    tails = null.join(observed.select("feature", "observed", "sd", "n"), "feature").groupBy("feature").agg(
+        F.avg(upper_tail(z)).alias("above"), F.avg(upper_tail(-z)).alias("below")
+    )
     skew, kurt, p = normality(F.col("n"), F.col("g1"), F.col("g2"))
     out = observed.join(tails, "feature", "left")
-    return out.select("feature", F.col("observed").alias("slope"), F.when(F.col("above").isNotNull(), F.least(F.lit(1.0), 2 * F.least("above", "below"))).alias("p"), *[F.get("q", F.lit(i)).alias(f"q{25 * (i + 1)}") for i in range(3)], skew.alias("z_skewness"), kurt.alias("z_kurtosis"), p.alias("normal_p"))
+    return out.select(
+        "feature",
+        F.col("observed").alias("slope"),
+        F.when(F.col("above").isNotNull(), F.least(F.lit(1.0), 2 * F.least("above", "below"))).alias("p"),
+        *[F.get("q", F.lit(i)).alias(f"q{25 * (i + 1)}") for i in range(3)],
+        skew.alias("z_skewness"),
+        kurt.alias("z_kurtosis"),
+        p.alias("normal_p"),
+    )
 
 
-def resampled_ratios(scores: DataFrame, key: list[str], replicates: int = 1000, one: str = "m1", two: str = "m2", joint: str = "joint", seed: int = 1) -> DataFrame:
+def resampled_ratios(
+    scores: DataFrame, key: list[str], replicates: int = 1000, one: str = "m1", two: str = "m2", joint: str = "joint", seed: int = 1
+) -> DataFrame:
     """replicate, ratio: -2 log L(joint) + 2 (log L1 + log L2), for the rows' own sets (replicate 0) and for sets drawn anew.
 
     scores: set (1 or 2), the columns one, two and joint, and key, by which draws hash; in each replicate a row is of set 1 with the chance of set 1's share of all
@@ -133,7 +154,13 @@ def resampled_ratios(scores: DataFrame, key: list[str], replicates: int = 1000,
     first, n = scores.agg(F.count_if(F.col("set") == 1), F.count("*")).first()
     limit = f"{min(int(first / n * 2**32), 2**32 - 1) if n else 0:08x}"
     row = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
-    logs = scores.select(row.alias("_row"), (F.col("set") == 1).alias("_own"), (2 * F.log(one)).alias("_a"), (2 * F.log(two)).alias("_b"), (2 * F.log(joint)).alias("_j"))
+    logs = scores.select(
+        row.alias("_row"),
+        (F.col("set") == 1).alias("_own"),
+        (2 * F.log(one)).alias("_a"),
+        (2 * F.log(two)).alias("_b"),
+        (2 * F.log(joint)).alias("_j"),
+    )
     each = logs.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_row"))) < F.lit(limit)
     is_one = F.when(F.col("replicate") == 0, F.col("_own")).otherwise(drawn)

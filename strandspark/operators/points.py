@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def gaussian_field(points: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """key, field: the sum over sources (x, y, a, sx, sy) of a exp(-(dx^2 / (2 sx)^2 + dy^2 / (2 sy)^2)). sources are a handful and go to every task."""
     s = sources.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "a", "sx", "sy")
-    part = F.col("a") * F.exp(-(F.pow(F.col("x") - F.col("_x"), 2) / F.pow(2 * F.col("sx"), 2) + F.pow(F.col("y") - F.col("_y"), 2) / F.pow(2 * F.col("sy"), 2)))
+    part = F.col("a") * F.exp(
+        -(F.pow(F.col("x") - F.col("_x"), 2) / F.pow(2 * F.col("sx"), 2) + F.pow(F.col("y") - F.col("_y"), 2) / F.pow(2 * F.col("sy"), 2))
+    )
     return points.crossJoin(F.broadcast(s)).groupBy(key).agg(F.sum(part).alias("field"))
 
 
@@ -18,7 +20,14 @@ def pair_distances(states: DataFrame, radius: float, cell: float | None = None)
     cell = cell or radius
     a = states.select("step", "agent", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.withColumn("_d", F.explode(around)).select("step", F.col("agent").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"))
+    b = a.withColumn("_d", F.explode(around)).select(
+        "step",
+        F.col("agent").alias("other"),
+        F.col("x").alias("ox"),
+        F.col("y").alias("oy"),
+        (F.col("cx") + F.col("_d.i")).alias("cx"),
+        (F.col("cy") + F.col("_d.j")).alias("cy"),
+    )
     d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
     near = a.join(b, ["step", "cx", "cy"]).where("agent < other").withColumn("d", d).where(F.col("d") <= radius)
     return near.groupBy("step").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"))

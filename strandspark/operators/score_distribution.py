@@ -29,7 +29,9 @@ def background(seqs: DataFrame, order: int = 1, seq: str = "seq", both: bool = F
     if both:
         found = found.unionByName(found.select(revcomp(F.col("w")).alias("w"), "n")).groupBy("w").agg(F.sum("n").alias("n"))
     prefix = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("_k")
-    counts = found.select("n", prefix, "w").select(F.substring("w", F.lit(1), F.col("_k")).alias("context"), F.substring("w", F.col("_k") + 1, F.lit(1)).alias("base"), "n")
+    counts = found.select("n", prefix, "w").select(
+        F.substring("w", F.lit(1), F.col("_k")).alias("context"), F.substring("w", F.col("_k") + 1, F.lit(1)).alias("base"), "n"
+    )
     counts = counts.groupBy("context", "base").agg(F.sum("n").alias("n"))
     every = _words(seqs, order).withColumn("base", F.explode(F.array(*[F.lit(b) for b in "ACGT"])))
     total = F.sum("n").over(Window.partitionBy("context"))  # four rows
@@ -78,7 +80,11 @@ def distribution(matrices: DataFrame, background: DataFrame, grain: float = GRAI
         step = state.join(cells.where(F.col("pos") == k).drop("pos"), "matrix").join(background.withColumnRenamed("p", "q").where("q > 0"), ["context", "base"])
         grown = F.concat("context", "base")
         context = F.substring(grown, F.greatest(F.length(grown) - order, F.lit(0)) + 1, F.lit(order)) if order else F.lit("")
-        state = checkpoint(step.groupBy("matrix", "last", context.alias("context"), (F.col("units") + F.col("add")).alias("units")).agg(F.sum(F.col("p") * F.col("q")).alias("p")))
+        state = checkpoint(
+            step.groupBy(
+                "matrix", "last", context.alias("context"), (F.col("units") + F.col("add")).alias("units")
+            ).agg(F.sum(F.col("p") * F.col("q")).alias("p")),
+        )
         done = state.where(F.col("last") == k).groupBy("matrix", "units").agg(F.sum("p").alias("p"))
         ended = done if ended is None else ended.unionByName(done)
     above = Window.partitionBy("matrix").orderBy(F.col("units").desc())  # a matrix's scores; small chances are added first
@@ -91,7 +97,15 @@ def cutoffs(scores: DataFrame, p: float) -> DataFrame:
     return found
 
 
-def scan_with_p(seqs: DataFrame, columns: list[dict[str, float]], background: DataFrame, p: float | None = None, cutoff: float | None = None, seq: str = "seq", grain: float = GRAIN) -> DataFrame:
+def scan_with_p(
+    seqs: DataFrame,
+    columns: list[dict[str, float]],
+    background: DataFrame,
+    p: float | None = None,
+    cutoff: float | None = None,
+    seq: str = "seq",
+    grain: float = GRAIN,
+) -> DataFrame:
     """Other columns of seqs, pos, strand, score, ln_p: windows of either strand whose score has the chance p or less, and is the cutoff or more.
 
     ln_p: the natural logarithm of the chance that a word of the background scores as much. Scores are those of the matrix in units of grain.

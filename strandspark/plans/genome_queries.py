@@ -38,12 +38,16 @@ def unaligned_coords(spark, d):
     return A.unaligned(A.columns(block(spark, d)), block(spark, d)).select("block", "species", "col", "u")
 
 
-@query(f"with {COLS} select a.block, a.col, a.parent as source_pos, b.parent as target_pos from p a join p b on a.block = b.block and a.col = b.col where a.species = 0 and b.species = 1 and a.parent is not null")
+@query(
+    f"with {COLS} select a.block, a.col, a.parent as source_pos, b.parent as target_pos from p a join p b on a.block = b.block and a.col = b.col where a.species = 0 and b.species = 1 and a.parent is not null",
+)
 def lift_coords(spark, d):
     return A.lift(cols(spark, d), 0, 1).select("block", "col", F.col("from").alias("source_pos"), F.col("to").alias("target_pos"))
 
 
-@query("""select block, species, substr(seq, 101, 200) as seq, p_start + case when strand = '-' then length(replace(substr(seq, 301), '-', '')) else length(replace(substr(seq, 1, 100), '-', '')) end as p_start, strand from aligned""")
+@query(
+    """select block, species, substr(seq, 101, 200) as seq, p_start + case when strand = '-' then length(replace(substr(seq, 301), '-', '')) else length(replace(substr(seq, 1, 100), '-', '')) end as p_start, strand from aligned""",
+)
 def alignment_slice(spark, d):
     return A.slice_columns(block(spark, d), 100, 300)
 
@@ -54,7 +58,9 @@ def alignment_slice_by_reference(spark, d):
     return A.slice_by_reference(cols(spark, d), 2, 50, 150)
 
 
-@query(f"""with {COLS} select p.block, p.species, string_agg(p.base, '' order by p.col) as seq from p join p r on r.block = p.block and r.col = p.col and r.species = 3 and r.base != '-' group by 1, 2""")
+@query(
+    f"""with {COLS} select p.block, p.species, string_agg(p.base, '' order by p.col) as seq from p join p r on r.block = p.block and r.col = p.col and r.species = 3 and r.base != '-' group by 1, 2""",
+)
 def alignment_reference_columns(spark, d):
     return A.reference_columns(cols(spark, d), 3)
 
@@ -142,12 +148,16 @@ def shared_sites(spark, d):
     return A.shared_sites(peaks.where("st = 0"), peaks.where("st = 1"))
 
 
-@query("select block, cast(k as int) as part, species, rpad(cast(species as varchar), 20, ' ') || substr(seq, cast(k * 60 + 1 as int), 60) as line from (select *, unnest(range(cast(ceil(length(seq) / 60.0) as bigint))) as k from aligned)")
+@query(
+    "select block, cast(k as int) as part, species, rpad(cast(species as varchar), 20, ' ') || substr(seq, cast(k * 60 + 1 as int), 60) as line from (select *, unnest(range(cast(ceil(length(seq) / 60.0) as bigint))) as k from aligned)",
+)
 def clustal_lines(spark, d):
     return A.clustal(block(spark, d))
 
 
-@query("select block, species, '>' || species || ' ' || block || ':' || p_start || '-' || (p_start + length(replace(seq, '-', ''))) || ':' || strand || chr(10) || seq as text from aligned")
+@query(
+    "select block, species, '>' || species || ' ' || block || ':' || p_start || '-' || (p_start + length(replace(seq, '-', ''))) || ':' || strand || chr(10) || seq as text from aligned",
+)
 def alignment_fasta(spark, d):
     return A.fasta_lines(block(spark, d))
 
@@ -164,7 +174,9 @@ def ortholog_pairs(spark, d):
     return G.ortholog_pairs(a, orth, b)
 
 
-@query("select c_custkey as a_key, min(s_suppkey) as b_key, arg_min(s_name, s_suppkey) as name from customer join supplier on c_nationkey = s_nationkey group by c_custkey")
+@query(
+    "select c_custkey as a_key, min(s_suppkey) as b_key, arg_min(s_name, s_suppkey) as name from customer join supplier on c_nationkey = s_nationkey group by c_custkey",
+)
 def ortholog_first(spark, d):
     a, b, orth = species_genes(spark, d)
     return G.ortholog_pairs(a, orth, b, first_only=True)
@@ -176,13 +188,23 @@ def ortholog_table(spark, d):
     genes = view(spark, d, "genes").select(F.col("gid").alias("key"), F.concat(F.lit("g"), F.col("gid").cast("string")).alias("fbid"), "chr", "s", "e")
     part = spark.read.parquet(f"{d}/part.parquet")
     k = F.col("p_partkey")
-    claims = part.select(k.alias("key1"), F.when(k % 3 == 0, F.concat(F.lit("g"), k.cast("string"))).otherwise("none").alias("fbid"), (k % 5).alias("chr"), (k * 100).alias("s"), (k * 100 + F.col("p_size") * 10 + F.when(k % 7 == 0, 1).otherwise(0)).alias("e"))
+    claims = part.select(
+        k.alias("key1"),
+        F.when(k % 3 == 0, F.concat(F.lit("g"), k.cast("string"))).otherwise("none").alias("fbid"),
+        (k % 5).alias("chr"),
+        (k * 100).alias("s"),
+        (k * 100 + F.col("p_size") * 10 + F.when(k % 7 == 0, 1).otherwise(0)).alias("e"),
+    )
     return G.ortholog_table(claims, genes)
 
 
 def sided(spark, d, m):
     orders = spark.read.parquet(f"{d}/orders.parquet").where(F.col("o_orderkey") % 2 == m)
-    return orders.select(F.col("o_orderkey").alias("pid"), F.when(F.col("o_custkey") % 2 == 0, "us").otherwise("ds").alias("side"), F.col("o_custkey").alias("gene"))
+    return orders.select(
+        F.col("o_orderkey").alias("pid"),
+        F.when(F.col("o_custkey") % 2 == 0, "us").otherwise("ds").alias("side"),
+        F.col("o_custkey").alias("gene"),
+    )
 
 
 @query("""with s as (select o_orderkey as pid, o_orderkey % 2 as m, case when o_custkey % 2 = 0 then 'us' else 'ds' end as side, o_custkey as gene from orders)
@@ -214,12 +236,16 @@ def domain_medians(spark, d):
     return G.family_medians(view(spark, d, "rates"), ["family"])
 
 
-@query("""with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as "F", coalesce(median(rate) filter (pair = 'O'), -1) as "O" from rates group by family) select *, "F" + "O" as total from m""")
+@query(
+    """with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as "F", coalesce(median(rate) filter (pair = 'O'), -1) as "O" from rates group by family) select *, "F" + "O" as total from m""",
+)
 def domain_median_matrix(spark, d):
     return G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"])
 
 
-@query("""with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as f, coalesce(median(rate) filter (pair = 'O'), -1) as o from rates group by family) select printf('%d&%.3f&%.3f', family, f, o) || chr(92) as text from m""")
+@query(
+    """with m as (select family, coalesce(median(rate) filter (pair = 'F'), -1) as f, coalesce(median(rate) filter (pair = 'O'), -1) as o from rates group by family) select printf('%d&%.3f&%.3f', family, f, o) || chr(92) as text from m""",
+)
 def domain_table_rows(spark, d):
     return G.latex_rows(G.median_matrix(view(spark, d, "rates"), "family", "pair", ["F", "O"]), "family", ["F", "O"], digits=3)
 
@@ -237,7 +263,14 @@ def mean_ratio(spark, d):
 def track(spark, d):
     g = view(spark, d, "genes")
     tags = F.create_map(F.lit("score"), ((F.col("gid") * 7) % 100).cast("string"), F.lit("strand"), F.col("strand"))
-    return g.select("gid", F.col("chr").alias("seq_id"), F.col("s").alias("start"), F.col("e").alias("end"), F.when(F.col("gid") % 2 == 0, "gene").otherwise("exon").alias("type"), tags.alias("tags"))
+    return g.select(
+        "gid",
+        F.col("chr").alias("seq_id"),
+        F.col("s").alias("start"),
+        F.col("e").alias("end"),
+        F.when(F.col("gid") % 2 == 0, "gene").otherwise("exon").alias("type"),
+        tags.alias("tags"),
+    )
 
 
 @query("""select gid from genes where gid % 2 = 0 and s >= 10000 and e <= 150000 and (gid * 7) % 100 >= 50""")
@@ -245,12 +278,16 @@ def track_filters(spark, d):
     return G.features_above(G.features_in(G.features_of_type(track(spark, d), "gene"), 10000, 150000), 50.0).select("gid")
 
 
-@query("""with r as (select gid, chr, row_number() over (partition by chr order by (gid * 7) % 100 desc, s, e) as k from genes) select chr as seq_id, gid from r where k = 1""")
+@query(
+    """with r as (select gid, chr, row_number() over (partition by chr order by (gid * 7) % 100 desc, s, e) as k from genes) select chr as seq_id, gid from r where k = 1""",
+)
 def track_best(spark, d):
     return G.best_feature(track(spark, d), ["seq_id"], "score").select("seq_id", "gid")
 
 
-@query("""select gid, case when gid % 2 = 0 then 'gene' else 'exon' end || '|start:' || s || '|end:' || e || '|tags:(chr:' || chr || '),(score:' || (gid * 7) % 100 || '),(strand:' || strand || ')' as text from genes""")
+@query(
+    """select gid, case when gid % 2 = 0 then 'gene' else 'exon' end || '|start:' || s || '|end:' || e || '|tags:(chr:' || chr || '),(score:' || (gid * 7) % 100 || '),(strand:' || strand || ')' as text from genes""",
+)
 def track_text(spark, d):
     return G.with_tag(track(spark, d), "chr", F.col("seq_id")).select("gid", G.feature_text().alias("text"))
 
@@ -290,8 +327,16 @@ def pruned_trees(spark, d):
     read = lambda table: spark.read.parquet(f"{d}/{table}.parquet")
     nodes = read("region").selectExpr("'w' as node", "cast(null as string) as parent", "0D as length").distinct()
     nodes = nodes.unionByName(read("region").selectExpr("concat('r', r_regionkey) as node", "'w' as parent", "(r_regionkey + 1) / 4D as length"))
-    nodes = nodes.unionByName(read("nation").selectExpr("concat('n', n_nationkey) as node", "concat('r', n_regionkey) as parent", "(n_nationkey + 1) / 8D as length"))
-    nodes = nodes.unionByName(read("customer").selectExpr("concat('c', c_custkey) as node", "concat('n', c_nationkey) as parent", "(c_custkey % 16) / 16D as length"))
+    nodes = nodes.unionByName(
+        read("nation").selectExpr(
+            "concat('n', n_nationkey) as node", "concat('r', n_regionkey) as parent", "(n_nationkey + 1) / 8D as length"
+        ),
+    )
+    nodes = nodes.unionByName(
+        read("customer").selectExpr(
+            "concat('c', c_custkey) as node", "concat('n', c_nationkey) as parent", "(c_custkey % 16) / 16D as length"
+        ),
+    )
     leaves = read("customer").selectExpr("concat(c_mktsegment, c_custkey % 40) as subset", "concat('c', c_custkey) as node")
     return G.pruned_trees(nodes, leaves)
 
@@ -306,14 +351,21 @@ def sources(spark):
 @query("""with s(x, y, a, sx, sy) as (values (0.1::double, 0.0::double, 1.0::double, 0.2::double, 0.3::double), (-0.2, 0.1, 0.5, 0.1, 0.1), (0.0, -0.1, 2.0, 0.4, 0.2))
   select vec_id, round(sum(a * exp(-(pow(embedding[1]::double - x, 2) / pow(2 * sx, 2) + pow(embedding[2]::double - y, 2) / pow(2 * sy, 2)))), 9) as field from embeddings, s group by vec_id""")
 def gaussian_field(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
+    )
     return Z.gaussian_field(e, sources(spark), "vec_id").withColumn("field", F.round("field", 9))
 
 
 @query("""with e as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings)
   select a.label as step, count(*) as pairs, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9) as mean from e a join e b on a.label = b.label and a.vec_id < b.vec_id where sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.05 group by 1""")
 def pairwise_distance(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("step"), F.col("vec_id").alias("agent"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("label").alias("step"),
+        F.col("vec_id").alias("agent"),
+        F.col("embedding")[0].cast("double").alias("x"),
+        F.col("embedding")[1].cast("double").alias("y"),
+    )
     return Z.pair_distances(e, 0.05).withColumn("mean", F.round("mean", 9))
 
 
@@ -328,7 +380,9 @@ def parts(spark, d):
     return starts.selectExpr("block * 10 + k as pid", "block", "p_start + 50 + k * 100 as s", "p_start + 129 + k * 100 as e")
 
 
-@query(f"with {COLS}, {PARTS}, {SPANS} select pid, block, lo, hi, case when a > s or b < e then 'unmapped' when hi - lo + 1 > 1.1 * (e - s + 1) then 'wide' else 'ok' end as status from e")
+@query(
+    f"with {COLS}, {PARTS}, {SPANS} select pid, block, lo, hi, case when a > s or b < e then 'unmapped' when hi - lo + 1 > 1.1 * (e - s + 1) then 'wide' else 'ok' end as status from e",
+)
 def slice_columns_of_parts(spark, d):
     return A.part_columns(cols(spark, d), parts(spark, d), 0, most=1.1)
 
@@ -349,7 +403,9 @@ def shown(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-@query("""select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 6) as total from events group by 1, 2""")
+@query(
+    """select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 6) as total from events group by 1, 2""",
+)
 def event_windows(spark, d):
     return E.window_counts(spark.read.parquet(f"{d}/events.parquet"), "1 hour").select("event_type", shown("start"), "n", F.round("total", 6).alias("total"))
 

@@ -51,7 +51,9 @@ def region_annot_parity(spark, d):
 
 @query("select p.pid, g.gid from peaks p join genes g on p.chr = g.chr and g.s <= p.e and g.e >= p.s")
 def region_annot(spark, d):
-    return I.region_annotations(view(spark, d, "peaks"), view(spark, d, "genes"), spanning=True).select(F.col("l_pid").alias("pid"), F.col("r_gid").alias("gid"))
+    return I.region_annotations(
+        view(spark, d, "peaks"), view(spark, d, "genes"), spanning=True
+    ).select(F.col("l_pid").alias("pid"), F.col("r_gid").alias("gid"))
 
 
 @query("select p.pid, g.gid from peaks p join genes g on p.chr = g.chr and p.s > g.s and p.e < g.e")
@@ -59,7 +61,9 @@ def interval_contained(spark, d):
     return I.contained(view(spark, d, "peaks"), view(spark, d, "genes")).select(F.col("l_pid").alias("pid"), F.col("r_gid").alias("gid"))
 
 
-@query("select p.pid, cast(max(case when g.gid is null then 0 else 1 end) as int) as overlap from peaks p left join genes g on p.chr = g.chr and p.s > g.s and p.e < g.e group by p.pid")
+@query(
+    "select p.pid, cast(max(case when g.gid is null then 0 else 1 end) as int) as overlap from peaks p left join genes g on p.chr = g.chr and p.s > g.s and p.e < g.e group by p.pid",
+)
 def bound_sites(spark, d):
     return I.flag_overlap(view(spark, d, "peaks"), view(spark, d, "genes")).select("pid", "overlap")
 
@@ -76,7 +80,9 @@ def interval_anti(spark, d):
 
 @query("select p.pid, g.gid from peaks p left join genes g on p.chr = g.chr and g.s <= p.e and g.e >= p.s")
 def interval_left(spark, d):
-    return I.interval_join(view(spark, d, "peaks"), view(spark, d, "genes"), I.symmetric, "left").select(F.col("l_pid").alias("pid"), F.col("r_gid").alias("gid"))
+    return I.interval_join(
+        view(spark, d, "peaks"), view(spark, d, "genes"), I.symmetric, "left"
+    ).select(F.col("l_pid").alias("pid"), F.col("r_gid").alias("gid"))
 
 
 NEAR = """with m as (select pid, chr, cast(floor((s + e) / 2) as bigint) as mid from peaks),
@@ -154,9 +160,16 @@ def hit_vector(spark, d):
     return I.hit_vector(view(spark, d, "peaks"), 2, 50000, 60000).select("pid", "hit")
 
 
-@query(NEAR.format(n=1).replace("select pid, chr, gid, distance, rank from r where rank <= 1", "select gid, count(*) as peaks, min(pid) as first_pid from r where rank = 1 group by gid"))
+@query(
+    NEAR.format(n=1).replace(
+        "select pid, chr, gid, distance, rank from r where rank <= 1",
+        "select gid, count(*) as peaks, min(pid) as first_pid from r where rank = 1 group by gid",
+    ),
+)
 def peaks_by_gene(spark, d):
-    return I.nearest(view(spark, d, "peaks"), view(spark, d, "genes"), "pid", "gid").groupBy("gid").agg(F.count("*").alias("peaks"), F.min("pid").alias("first_pid"))
+    return I.nearest(
+        view(spark, d, "peaks"), view(spark, d, "genes"), "pid", "gid"
+    ).groupBy("gid").agg(F.count("*").alias("peaks"), F.min("pid").alias("first_pid"))
 
 
 COUNTS = "c as (select chr, strand, loc, count(*) as n from tags group by chr, strand, loc)"
@@ -167,7 +180,9 @@ def tag_counts(spark, d):
     return C.tag_counts(view(spark, d, "tags"))
 
 
-@query("with r as (select *, row_number() over (partition by chr, strand, loc order by line, mapq) as k from tags where mapq >= 10) select chr, strand, loc, mapq, line from r where k = 1")
+@query(
+    "with r as (select *, row_number() over (partition by chr, strand, loc order by line, mapq) as k from tags where mapq >= 10) select chr, strand, loc, mapq, line from r where k = 1",
+)
 def tags_unique(spark, d):
     return C.first_tags(view(spark, d, "tags"), 10).select("chr", "strand", "loc", "mapq", "line")
 
@@ -177,7 +192,9 @@ def tags_mapq(spark, d):
     return C.at_least(view(spark, d, "tags"), 30)
 
 
-@query('select count(*) as total, count(distinct (chr, strand, loc)) as "unique", count(*) - count(distinct (chr, strand, loc)) as suppressed, count(*) filter (mapq >= 10) as stored from tags')
+@query(
+    'select count(*) as total, count(distinct (chr, strand, loc)) as "unique", count(*) - count(distinct (chr, strand, loc)) as suppressed, count(*) filter (mapq >= 10) as stored from tags',
+)
 def tag_totals(spark, d):
     return C.totals(view(spark, d, "tags"), 10)
 
@@ -271,7 +288,9 @@ def peak_signal_rank(spark, d):
     return C.enrichment(view(spark, d, "peaks"), {"plus": plus, "minus": minus}, "plus")
 
 
-@query(f"with {TWO} select x.pid, plus - minus as diff, row_number() over (order by plus - minus desc, x.pid) as rank from x join y on x.pid = y.pid where plus != 0 or minus != 0")
+@query(
+    f"with {TWO} select x.pid, plus - minus as diff, row_number() over (order by plus - minus desc, x.pid) as rank from x join y on x.pid = y.pid where plus != 0 or minus != 0",
+)
 def diff_rank(spark, d):
     return C.difference_rank(view(spark, d, "peaks"), *strands(spark, d))
 
@@ -294,7 +313,9 @@ def chr_distribution(spark, d):
     return C.chromosome_share(view(spark, d, "peaks"))
 
 
-@query("with t as (select loc, count(*) as val from tags where chr = 1 and loc >= 5000 and loc < 15000 group by loc) select loc, val, val::double / (select max(val) from t) as rel from t")
+@query(
+    "with t as (select loc, count(*) as val from tags where chr = 1 and loc >= 5000 and loc < 15000 group by loc) select loc, val, val::double / (select max(val) from t) as rel from t",
+)
 def region_profile_rel(spark, d):
     return C.region_profile(C.tag_counts(view(spark, d, "tags")), 1, 5000, 15000)
 

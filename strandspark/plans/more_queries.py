@@ -15,7 +15,9 @@ Q, SQL, query = registry()
 TOUCH = "b.s <= a.e and (b.e > a.s or (a.s = a.e and b.e = a.s))"
 
 
-@query("select event_id, case when least(v1, v2, v3) >= 0 then least(v1, v2, v3) when greatest(v1, v2, v3) < 0 then v1 else list_min(list_filter([v1, v2, v3], lambda x: x >= 0)) end as least from (select event_id, (event_id % 7 - 3)::bigint as v1, (event_id % 5 - 2)::bigint as v2, (event_id % 11 - 6)::bigint as v3 from events) e")
+@query(
+    "select event_id, case when least(v1, v2, v3) >= 0 then least(v1, v2, v3) when greatest(v1, v2, v3) < 0 then v1 else list_min(list_filter([v1, v2, v3], lambda x: x >= 0)) end as least from (select event_id, (event_id % 7 - 3)::bigint as v1, (event_id % 5 - 2)::bigint as v2, (event_id % 11 - 6)::bigint as v3 from events) e",
+)
 def least_not_negative(spark, d):
     values = F.array(F.col("event_id") % 7 - 3, F.col("event_id") % 5 - 2, F.col("event_id") % 11 - 6)
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", N.least_not_negative(values).cast("long").alias("least"))
@@ -58,7 +60,9 @@ def heat_matrix(spark, d):
     return out.select("pid", "rank", F.round(F.get("values", 0), 9).alias("x"), F.round(F.get("values", 1), 9).alias("y"))
 
 
-@query(f"""select a.pid, min(b.pid) as other from peaks a left join (select * from peaks where st = 1) b on a.chr = b.chr and {TOUCH} where a.st = 0 group by 1""")
+@query(
+    f"""select a.pid, min(b.pid) as other from peaks a left join (select * from peaks where st = 1) b on a.chr = b.chr and {TOUCH} where a.st = 0 group by 1""",
+)
 def overlap_ranks(spark, d):
     peaks = view(spark, d, "peaks")
     return N.overlap_ranks(peaks.where("st = 0"), {"other": peaks.where("st = 1").withColumn("rank", F.col("pid"))})
@@ -106,7 +110,9 @@ def distance_lists(spark, d):
     return out.withColumn("distances", F.array_join(F.col("distances").cast("array<string>"), ","))
 
 
-@query(f"with {WINDOWED} select matrix, count(distinct pid) as with_hit, count(distinct pid)::double / (select count(*) from peaks) as fraction from x group by 1")
+@query(
+    f"with {WINDOWED} select matrix, count(distinct pid) as with_hit, count(distinct pid)::double / (select count(*) from peaks) as fraction from x group by 1",
+)
 def motif_fraction_by_matrix(spark, d):
     return N.fraction_by_matrix(*loci(spark, d), 1000)
 
@@ -123,11 +129,19 @@ REGIONS = "g as (select 'd' || doc_id as name, (doc_id % 40)::bigint as start, (
 
 def named(spark, d):
     seqs = view(spark, d, "seqs").select(F.concat(F.lit("d"), "doc_id").alias("name"), "seq", "doc_id")
-    regions = seqs.selectExpr("name", "cast(doc_id % 40 as long) as start", "cast(doc_id % 40 + 60 as long) as end", "if(doc_id % 2 = 0, '+', '-') as strand", "case doc_id % 3 when 0 then 'k' when 1 then 'r' else 'x' end as code")
+    regions = seqs.selectExpr(
+        "name",
+        "cast(doc_id % 40 as long) as start",
+        "cast(doc_id % 40 + 60 as long) as end",
+        "if(doc_id % 2 = 0, '+', '-') as strand",
+        "case doc_id % 3 when 0 then 'k' when 1 then 'r' else 'x' end as code",
+    )
     return seqs.select("name", "seq"), regions
 
 
-@query(f"""with {REGIONS} select name, start, "end", code, case code when 'r' then {RC.format('substr(whole, cast(start + 1 as int), 60)')} else substr(whole, cast(start + 1 as int), 60) end as seq from g where code != 'x'""")
+@query(
+    f"""with {REGIONS} select name, start, "end", code, case code when 'r' then {RC.format('substr(whole, cast(start + 1 as int), 60)')} else substr(whole, cast(start + 1 as int), 60) end as seq from g where code != 'x'""",
+)
 def fetched_regions(spark, d):
     return N.fetched(*named(spark, d)).drop("strand")
 
@@ -147,10 +161,14 @@ def motif_five_prime(spark, d):
     return N.five_prime(hits(spark, d), WIDTH)
 
 
-@query(f"""with {REGIONS}, p as (select name, substr(whole, cast(start + 1 as int), 60) as a, substr(whole, 11, 20) as b from g) select name as id, a || {RC.format('b')} as seq from p""")
+@query(
+    f"""with {REGIONS}, p as (select name, substr(whole, cast(start + 1 as int), 60) as a, substr(whole, 11, 20) as b from g) select name as id, a || {RC.format('b')} as seq from p""",
+)
 def chimeric_sequences(spark, d):
     seqs, regions = named(spark, d)
-    parts = regions.selectExpr("name as id", "name", "1 as part", "start", "end", "'+' as strand").unionByName(regions.selectExpr("name as id", "name", "2 as part", "10L as start", "30L as end", "'-' as strand"))
+    parts = regions.selectExpr("name as id", "name", "1 as part", "start", "end", "'+' as strand").unionByName(
+        regions.selectExpr("name as id", "name", "2 as part", "10L as start", "30L as end", "'-' as strand")
+    )
     return N.chimera(parts, seqs)
 
 
@@ -159,7 +177,9 @@ def reversed_records(spark, d):
     return N.reversed_records(named(spark, d)[0])
 
 
-@query("select chr, strand, case when strand = '-' then loc - k else loc + k end as loc, val from (select chr, strand, s as loc, gid as val, unnest(range(5)) as k from genes) g")
+@query(
+    "select chr, strand, case when strand = '-' then loc - k else loc + k end as loc, val from (select chr, strand, s as loc, gid as val, unnest(range(5)) as k from genes) g",
+)
 def stepped_signal(spark, d):
     return N.stepped(view(spark, d, "genes").selectExpr("chr", "strand", "s as loc", "gid as val"), 5)
 
@@ -170,7 +190,9 @@ def peak_lists_by_gene(spark, d):
     return N.peaks_by_gene(near).withColumn("peaks", F.array_join(F.col("peaks").cast("array<string>"), ","))
 
 
-@query(f"with {MEANS} select pid, row_number() over (order by x desc, pid) as rank_x, row_number() over (order by y desc, pid) as rank_y, row_number() over (order by round(x - y, 9) desc, pid) as rank_xy, row_number() over (order by round(y - x, 9) desc, pid) as rank_yx from m")
+@query(
+    f"with {MEANS} select pid, row_number() over (order by x desc, pid) as rank_x, row_number() over (order by y desc, pid) as rank_y, row_number() over (order by round(x - y, 9) desc, pid) as rank_xy, row_number() over (order by round(y - x, 9) desc, pid) as rank_yx from m",
+)
 def regional_orders(spark, d):
     means = C.peak_means(view(spark, d, "peaks"), halves(spark, d)).select("pid", F.col("mean_x").alias("x"), F.col("mean_y").alias("y"))
     rows = means.withColumns({"xy": F.round(F.col("x") - F.col("y"), 9), "yx": F.round(F.col("y") - F.col("x"), 9)})
@@ -190,7 +212,9 @@ DOMAINS = "m as (select distinct p_partkey % 200 as protein, 'pf' || p_size as f
 
 def domain_tables(spark, d):
     domains = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey % 200 as protein", "concat('pf', p_size) as family").distinct()
-    return domains, spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 20 = 0").selectExpr("l_partkey % 200 as protein", "l_returnflag as species", "l_discount as rate")
+    return domains, spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 20 = 0").selectExpr(
+        "l_partkey % 200 as protein", "l_returnflag as species", "l_discount as rate"
+    )
 
 
 @query(f"with {DOMAINS} select protein, family, species, rate from m join r using (protein) where species in ('A', 'N') and family = 'pf7'")
@@ -233,7 +257,12 @@ def ortholog_claims(spark, d):
 def regression_residuals(spark, d):
     from ..operators import motif as M
 
-    pairs = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("cast(l_partkey % 50 as int) as family", "cast(l_quantity as double) as x", "cast(l_discount as double) as y", "l_orderkey * 10 + l_linenumber as line")
+    pairs = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(
+        "cast(l_partkey % 50 as int) as family",
+        "cast(l_quantity as double) as x",
+        "cast(l_discount as double) as y",
+        "l_orderkey * 10 + l_linenumber as line",
+    )
     return M.residuals(pairs, "family").select("line", F.round("residual", 6).alias("residual"))
 
 
@@ -252,12 +281,16 @@ def by_file(spark, d):
     return view(spark, d, "tags").groupBy((F.col("line") % 5).cast("int").alias("file"), "chr", "loc").agg(F.count("*").cast("double").alias("val"))
 
 
-@query(f"with {FILES}, t as (select file, sum(sum(val)) over (order by file) as t from s group by file) select file, chr, loc, round(val * 1e6::double / t, 6) as norm from s join t using (file)")
+@query(
+    f"with {FILES}, t as (select file, sum(sum(val)) over (order by file) as t from s group by file) select file, chr, loc, round(val * 1e6::double / t, 6) as norm from s join t using (file)",
+)
 def normalized_files(spark, d):
     return C.normalize_files(by_file(spark, d), "file").select("file", "chr", "loc", F.round("norm", 6).alias("norm"))
 
 
-@query(f"with {FILES}, t as (select file, sum(val) as t from s group by file) select file, chr, loc, round(val * 1e6::double / t, 6) as norm from s join t using (file)")
+@query(
+    f"with {FILES}, t as (select file, sum(val) as t from s group by file) select file, chr, loc, round(val * 1e6::double / t, 6) as norm from s join t using (file)",
+)
 def normalized_each_file(spark, d):
     return C.normalize_files(by_file(spark, d), "file", cumulative=False).select("file", "chr", "loc", F.round("norm", 6).alias("norm"))
 
@@ -291,7 +324,9 @@ def base_names(spark, d):
     return view(spark, d, "seqs").select("doc_id", S.base_name(F.concat(F.lit("/a/b.c/x"), "doc_id", F.lit(".tar.gz"))).alias("base"))
 
 
-@query("""with z as (select chr, max(gid) as length from genes group by chr) select chr, unnest(['+', '-']) as strand, loc, 0 as n from (select chr, unnest(range(0, length, 7)) as loc from z) x""")
+@query(
+    """with z as (select chr, max(gid) as length from genes group by chr) select chr, unnest(['+', '-']) as strand, loc, 0 as n from (select chr, unnest(range(0, length, 7)) as loc from z) x""",
+)
 def empty_counts(spark, d):
     sizes = view(spark, d, "genes").groupBy("chr").agg(F.max("gid").alias("length"))
     return C.scaffold(sizes, 7)
@@ -302,15 +337,21 @@ def expanded_steps(spark, d):
     return C.expand_steps(view(spark, d, "genes").selectExpr("chr", "s as loc", "gid as val"), 4)
 
 
-@query("""select chr, line, last_value(case when line % 5 = 1 then loc end ignore nulls) over (partition by chr order by line rows unbounded preceding) as carried from (select chr, line, min(loc) as loc from tags group by 1, 2) t""")
+@query(
+    """select chr, line, last_value(case when line % 5 = 1 then loc end ignore nulls) over (partition by chr order by line rows unbounded preceding) as carried from (select chr, line, min(loc) as loc from tags group by 1, 2) t""",
+)
 def carried_values(spark, d):
     from ..sources.readers import forward_filled
 
-    rows = view(spark, d, "tags").groupBy("chr", "line").agg(F.min("loc").alias("loc")).selectExpr("chr", "chr as file", "line div 1000 as block", "line", "loc")
+    rows = view(spark, d, "tags").groupBy("chr", "line").agg(F.min("loc").alias("loc")).selectExpr(
+        "chr", "chr as file", "line div 1000 as block", "line", "loc"
+    )
     return forward_filled(rows, F.when(F.col("line") % 5 == 1, F.col("loc")), "carried").select("chr", "line", "carried")
 
 
-@query("""select block, species, 40 as columns, length(substr(seq, 11, 40)) - length(replace(substr(seq, 11, 40), 'A', '')) as n_a from aligned where length(seq) >= 50""")
+@query(
+    """select block, species, 40 as columns, length(substr(seq, 11, 40)) - length(replace(substr(seq, 11, 40), 'A', '')) as n_a from aligned where length(seq) >= 50""",
+)
 def function_of_slices(spark, d):
     import pandas as pd
 

@@ -17,7 +17,11 @@ WIDTH = len(MATRIX)
 
 
 def sql_score(text: str) -> str:
-    return " + ".join(f"case substr({text}, {k + 1}, 1) " + " ".join(f"when '{b}' then {v}::double" for b, v in c.items()) + " end" for k, c in enumerate(MATRIX))
+    return " + ".join(
+        f"case substr({text}, {k + 1}, 1) " + " ".join(
+            f"when '{b}' then {v}::double" for b, v in c.items()
+        ) + " end" for k, c in enumerate(MATRIX)
+    )
 
 
 RC = "reverse(translate({0}, 'ACGTacgt', 'TGCAtgca'))"
@@ -44,7 +48,9 @@ def translate(spark, d):
 
 @query("select doc_id, i as index, substr(seq, cast(i * 3 + 1 as int), 3) as codon from (select *, unnest(range((length(seq) + 2) // 3)) as i from seqs)")
 def codons(spark, d):
-    return view(spark, d, "seqs").select("doc_id", F.posexplode(S.codons(F.col("seq"))).alias("index", "codon")).withColumn("index", F.col("index").cast("long"))
+    return view(spark, d, "seqs").select(
+        "doc_id", F.posexplode(S.codons(F.col("seq"))).alias("index", "codon")
+    ).withColumn("index", F.col("index").cast("long"))
 
 
 #: The different whole codons of all sequences, how often each occurs, and the codons one base away.
@@ -75,7 +81,9 @@ def variant_classes(spark, d):
 NAMES = ", ".join(f"('{a}', '{n[1]}')" for a, n in S.AMINO_NAMES.items())
 
 
-@query(f"""with {SEEN}, n(aa, name) as (values {NAMES}) select codon, seen.n, case codon when 'TAA' then 'Stop (Ochre)' when 'TAG' then 'Stop (Amber)' when 'TGA' then 'Stop (Opal)' else name end as name from seen join n using (aa)""")
+@query(
+    f"""with {SEEN}, n(aa, name) as (values {NAMES}) select codon, seen.n, case codon when 'TAA' then 'Stop (Ochre)' when 'TAG' then 'Stop (Amber)' when 'TGA' then 'Stop (Opal)' else name end as name from seen join n using (aa)""",
+)
 def codon_names(spark, d):
     return seen_codons(spark, d).select("codon", "n", S.codon_name(F.col("codon")).alias("name"))
 
@@ -160,7 +168,11 @@ COUNTS = """m as (select cast(p_partkey % 20 as int) as matrix, cast(p_size % 8
 
 def count_matrices(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    m = part.select((F.col("p_partkey") % 20).cast("int").alias("matrix"), (F.col("p_size") % 8).alias("pos"), F.substring(F.lit("ACGT"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("base"))
+    m = part.select(
+        (F.col("p_partkey") % 20).cast("int").alias("matrix"),
+        (F.col("p_size") % 8).alias("pos"),
+        F.substring(F.lit("ACGT"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("base"),
+    )
     m = m.groupBy("matrix", "pos", "base").agg(F.count("*").alias("n"))
     grid = m.select("matrix", "pos").distinct().withColumn("base", F.explode(F.array(*[F.lit(b) for b in "ACGT"])))
     return grid.join(m, ["matrix", "pos", "base"], "left").fillna(0, ["n"])
@@ -192,12 +204,18 @@ def motif_scan(spark, d):
     return hits(spark, d)
 
 
-@query(f"select doc_id, greatest({sql_score('seq')}, {sql_score('r')}) as score, case when {sql_score('r')} > {sql_score('seq')} then '-' else '+' end as strand from (select *, {RC.format(f'substr(seq, 1, {WIDTH})')} as r from seqs where length(seq) >= {WIDTH})")
+@query(
+    f"select doc_id, greatest({sql_score('seq')}, {sql_score('r')}) as score, case when {sql_score('r')} > {sql_score('seq')} then '-' else '+' end as strand from (select *, {RC.format(f'substr(seq, 1, {WIDTH})')} as r from seqs where length(seq) >= {WIDTH})",
+)
 def motif_score(spark, d):
-    return view(spark, d, "seqs").where(F.length("seq") >= WIDTH).select("doc_id", M.best_strand(F.col("seq"), MATRIX).alias("b")).select("doc_id", "b.score", "b.strand")
+    return view(spark, d, "seqs").where(F.length("seq") >= WIDTH).select(
+        "doc_id", M.best_strand(F.col("seq"), MATRIX).alias("b")
+    ).select("doc_id", "b.score", "b.strand")
 
 
-@query(f"with {HITS}, r as (select *, row_number() over (partition by doc_id order by score desc, pos, strand) as k from hits) select doc_id, pos, strand, score from r where k = 1")
+@query(
+    f"with {HITS}, r as (select *, row_number() over (partition by doc_id order by score desc, pos, strand) as k from hits) select doc_id, pos, strand, score from r where k = 1",
+)
 def best_hit(spark, d):
     return M.best_hit(hits(spark, d), ["doc_id"])
 
@@ -217,18 +235,24 @@ LOCI = "(select pid, chr, s as loc from peaks)"
 
 
 def loci(spark, d):
-    return view(spark, d, "peaks").select("pid", "chr", F.col("s").alias("loc")), view(spark, d, "genes").select("chr", F.col("s").alias("start"), "strand", (F.col("gid") % 3).cast("int").alias("matrix"))
+    return view(spark, d, "peaks").select("pid", "chr", F.col("s").alias("loc")), view(spark, d, "genes").select(
+        "chr", F.col("s").alias("start"), "strand", (F.col("gid") % 3).cast("int").alias("matrix")
+    )
 
 
 WINDOWED = f"x as (select p.pid, p.loc, h.start, h.strand, h.matrix from {LOCI} p join {GENOMIC} h on h.chr = p.chr and h.start between p.loc - 500 and p.loc + 500)"
 
 
-@query(f"with {WINDOWED} select cast(((loc - start + 500 - 1) % 1000 + 1000) % 1000 as bigint) as bin, count(*) as hits, count(*)::double / (select count(*) from peaks) as rate from x group by 1")
+@query(
+    f"with {WINDOWED} select cast(((loc - start + 500 - 1) % 1000 + 1000) % 1000 as bigint) as bin, count(*) as hits, count(*)::double / (select count(*) from peaks) as rate from x group by 1",
+)
 def motif_window_hist(spark, d):
     return M.window_histogram(*loci(spark, d), 1000)
 
 
-@query(f"with {WINDOWED} select count(distinct pid) as with_hit, (select count(*) from peaks) as peaks, count(distinct pid)::double / (select count(*) from peaks) as fraction from x")
+@query(
+    f"with {WINDOWED} select count(distinct pid) as with_hit, (select count(*) from peaks) as peaks, count(distinct pid)::double / (select count(*) from peaks) as fraction from x",
+)
 def motif_fraction(spark, d):
     return M.motif_fraction(*loci(spark, d), 1000)
 
@@ -265,9 +289,16 @@ def random_sequences(spark, d):
     return M.random_sequences(part)
 
 
-@query("""select sum(case when pair = 'F' then 2 * ln(rate + 0.5) else 2 * ln(rate + 0.25) end) - 2 * sum(ln(rate + 0.4)) as ratio from rates""".replace("select sum", "select round(sum").replace(") as ratio", "), 6) as ratio"))
+@query(
+    """select sum(case when pair = 'F' then 2 * ln(rate + 0.5) else 2 * ln(rate + 0.25) end) - 2 * sum(ln(rate + 0.4)) as ratio from rates""".replace("select sum", "select round(sum").replace(") as ratio", "), 6) as ratio"),
+)
 def likelihood_ratio(spark, d):
-    rows = view(spark, d, "rates").select(F.when(F.col("pair") == "F", 1).otherwise(2).alias("set"), (F.col("rate") + 0.5).alias("m1"), (F.col("rate") + 0.25).alias("m2"), (F.col("rate") + 0.4).alias("joint"))
+    rows = view(spark, d, "rates").select(
+        F.when(F.col("pair") == "F", 1).otherwise(2).alias("set"),
+        (F.col("rate") + 0.5).alias("m1"),
+        (F.col("rate") + 0.25).alias("m2"),
+        (F.col("rate") + 0.4).alias("joint"),
+    )
     return M.likelihood_ratio(rows).select(F.round("ratio", 6).alias("ratio"))
 
 
@@ -276,7 +307,11 @@ def sql_stretches(columns: list[dict[str, float]], least: int = 5) -> str:
     k = len(columns)
 
     def scored(text: str, z: int, at: int, width: int) -> str:
-        return "(" + " + ".join(f"case substr({text}, {z + j + 1}, 1) " + " ".join(f"when '{b}' then {v}::double" for b, v in columns[at + j].items()) + " end" for j in range(width)) + ")"
+        return "(" + " + ".join(
+            f"case substr({text}, {z + j + 1}, 1) " + " ".join(
+                f"when '{b}' then {v}::double" for b, v in columns[at + j].items()
+            ) + " end" for j in range(width)
+        ) + ")"
 
     by_width = lambda text: [[scored(text, z, at, w) for at in range(k - w + 1) for z in range(k - w + 1)] for w in range(least, k + 1)]
     f, r = by_width("kmer"), by_width("rc")
@@ -299,7 +334,9 @@ RANKED = """select '{n}' as matrix, kmer, row_number() over (order by total, kme
   row_number() over (order by most, kmer) - 1 as most_rank, greatest(row_number() over (order by w0, kmer) - 1, row_number() over (order by w1, kmer) - 1) as width_rank from {y}"""
 
 
-@query(f"with {SEEN}, {sql_stretches(WIDE['m1'])}, {sql_stretches(WIDE['m2']).replace('y as', 'y2 as', 1)} {RANKED.format(n='m1', y='y')} union all {RANKED.format(n='m2', y='y2')}")
+@query(
+    f"with {SEEN}, {sql_stretches(WIDE['m1'])}, {sql_stretches(WIDE['m2']).replace('y as', 'y2 as', 1)} {RANKED.format(n='m1', y='y')} union all {RANKED.format(n='m2', y='y2')}",
+)
 def kmer_matrix_ranks(spark, d):
     seen = M.kmer_profile(view(spark, d, "seqs"), "doc_id", 6).select("kmer").distinct()
     return M.matrix_scores(seen, WIDE).withColumn("share", F.round("share", 9))

@@ -40,7 +40,9 @@ def markov_background(spark, d):
     return background(spark, d).select("context", "base", F.round("p", 9).alias("p"))
 
 
-@query(f"with {HITS}, {WORDS} select doc_id, cast(pos as int) as pos, strand, h.score, round(ln(tail), 9) as ln_p from h join dist on dist.score = h.score where tail <= {CHANCE}")
+@query(
+    f"with {HITS}, {WORDS} select doc_id, cast(pos as int) as pos, strand, h.score, round(ln(tail), 9) as ln_p from h join dist on dist.score = h.score where tail <= {CHANCE}",
+)
 def motif_scan_p(spark, d):
     seqs = view(spark, d, "seqs").select("doc_id", "seq")
     return D.scan_with_p(seqs, MATRIX, background(spark, d), CHANCE).withColumn("ln_p", F.round("ln_p", 9))
@@ -113,7 +115,12 @@ RATIOS = f"""rows as (select l_orderkey || ':' || l_linenumber as id, l_linestat
 
 def ratios(spark, d):
     items = spark.read.parquet(f"{d}/lineitem.parquet")
-    rows = items.select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("set"), *[(F.col("l_discount").cast("double") + v).alias(n) for n, v in (("m1", 0.5), ("m2", 0.25), ("joint", 0.4))])
+    rows = items.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("set"),
+        *[(F.col("l_discount").cast("double") + v).alias(n) for n, v in (("m1", 0.5), ("m2", 0.25), ("joint", 0.4))],
+    )
     return P.resampled_ratios(rows, ["l_orderkey", "l_linenumber"], REPLICATES)
 
 

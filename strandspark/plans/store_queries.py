@@ -40,7 +40,11 @@ def fasta_index_table(spark, d):
 def fasta_random_access(spark, d):
     index = spark.read.parquet(written_fasta(spark, d)[1])
     start = 1 + F.col("doc_id") * 7919 % F.length("seq")
-    regions = view(spark, d, "seqs").where("doc_id is not null and seq != ''").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), start.alias("start"), F.least(start + 149, F.length("seq")).alias("end"))
+    regions = view(spark, d, "seqs").where("doc_id is not null and seq != ''").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"),
+        start.alias("start"),
+        F.least(start + 149, F.length("seq")).alias("end"),
+    )
     return X.fetch(regions, index)
 
 
@@ -75,7 +79,9 @@ def stored_blocks_on_target(spark, d):
     return A.blocks_on_target(S.on_targets(spark, stored(spark, d), targets, 0), targets, 0)
 
 
-@query("select block::varchar as block, species::varchar as species, p_start, seq from aligned where block in (select block from aligned where species = 0 and p_start <= 9000000 and p_start + length(replace(seq, '-', '')) - 1 >= 2000000)")
+@query(
+    "select block::varchar as block, species::varchar as species, p_start, seq from aligned where block in (select block from aligned where species = 0 and p_start <= 9000000 and p_start + length(replace(seq, '-', '')) - 1 >= 2000000)",
+)
 def stored_whole_blocks(spark, d):
     path = stored(spark, d)
     hit = S.on_interval(spark, path, 0, 0, 2_000_000, 9_000_000)
@@ -93,11 +99,17 @@ def mercator_folder_round_trip(spark, d):
     rows = view(spark, d, "aligned").where("species < 3 and length(seq) > 0")
     name = F.get(F.array(*[F.lit(g) for g in GENOMES]), F.col("species"))
     record = F.concat(F.lit(">"), name, F.lit("_r1 row\n"), F.regexp_replace("seq", "(.{1,50})", "$1\n"))
-    place = F.when((F.col("block") + F.col("species")) % 4 > 0, F.concat_ws("\t", F.concat(F.lit("c"), F.col("block") % 5), "p_start", F.col("p_start") + 9, "strand")).otherwise(F.lit("NA\tNA\tNA\tNA"))
+    place = F.when(
+        (F.col("block") + F.col("species")) % 4 > 0,
+        F.concat_ws("\t", F.concat(F.lit("c"), F.col("block") % 5), "p_start", F.col("p_start") + 9, "strand"),
+    ).otherwise(F.lit("NA\tNA\tNA\tNA"))
     blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("species", record.alias("r"), place.alias("p")))).alias("x"))  # three rows a block
     files.write_named(blocks.select(F.concat("block", F.lit(".mfa")).alias("name"), F.array_join(F.col("x.r"), "").alias("value")), folder)
     # the map has a place for every species, in the order of the genomes
-    where = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.element_at(F.filter("x", lambda t: t["species"] == i)["p"], 1), F.lit("NA\tNA\tNA\tNA")))
+    where = F.transform(
+        F.sequence(F.lit(0), F.lit(2)),
+        lambda i: F.coalesce(F.element_at(F.filter("x", lambda t: t["species"] == i)["p"], 1), F.lit("NA\tNA\tNA\tNA")),
+    )
     blocks.select(F.concat_ws("\t", F.col("block").cast("string"), F.array_join(where, "\t")).alias("value")).write.text(f"{folder}/map")
     spark.createDataFrame([("\t".join(f"{g}_r1" for g in GENOMES),)], "value string").write.text(f"{folder}/genomes")
     return R.mercator_folder(spark, folder)
@@ -110,9 +122,21 @@ def rate_folder_round_trip(spark, d):
     folder = new_path(spark)
     part = spark.read.parquet(f"{d}/part.parquet")
     name = F.concat(F.lit("s"), F.col("p_partkey") % 2)
-    even = F.concat_ws("\t", F.concat(F.lit("p"), "p_partkey"), F.col("p_size") / 4, F.when(F.col("p_partkey") % 3 > 0, (F.col("p_size") / 8).cast("string")).otherwise("-"), F.lit(""))
+    even = F.concat_ws(
+        "\t",
+        F.concat(F.lit("p"), "p_partkey"),
+        F.col("p_size") / 4,
+        F.when(F.col("p_partkey") % 3 > 0, (F.col("p_size") / 8).cast("string")).otherwise("-"),
+        F.lit(""),
+    )
     odd = F.concat_ws("\t", F.concat(F.lit("p"), "p_partkey"), F.col("p_size") / 2, F.lit("-"), F.col("p_size").cast("double"), F.lit(""))
     lines = part.groupBy(name.alias("s")).agg(F.array_join(F.collect_list(F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd)), "\n").alias("body"))
     head = F.when(F.col("s") == "s0", "protein\tmel\tyak\t").otherwise("protein\tyak\tpse\tsim\t")
-    files.write_named(lines.select(F.concat("s", F.lit("_dom_rates/"), "s", F.lit("_pw_rates_domains")).alias("name"), F.concat(head, F.lit("\n"), "body", F.lit("\n")).alias("value")), folder)
+    files.write_named(
+        lines.select(
+            F.concat("s", F.lit("_dom_rates/"), "s", F.lit("_pw_rates_domains")).alias("name"),
+            F.concat(head, F.lit("\n"), "body", F.lit("\n")).alias("value"),
+        ),
+        folder,
+    )
     return R.rate_folder(spark, folder).select("set", "protein", F.explode("rates").alias("species", "rate"))

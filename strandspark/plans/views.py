@@ -21,7 +21,14 @@ ALIGNED = """select block, species, rpad(seq, cast(max(length(seq)) over (partit
   case when item_id % 3 = 0 then '-' else '+' end as strand from benchmark) t"""
 RATES = """select cast(l_partkey % 50 as int) as family, l_linestatus as pair, l_discount as rate from lineitem"""
 
-TABLES = {"peaks": (PEAKS, "orders"), "genes": (GENES, "part"), "tags": (TAGS, "lineitem"), "seqs": (SEQS, "documents"), "aligned": (ALIGNED, "benchmark"), "rates": (RATES, "lineitem")}
+TABLES = {
+    "peaks": (PEAKS, "orders"),
+    "genes": (GENES, "part"),
+    "tags": (TAGS, "lineitem"),
+    "seqs": (SEQS, "documents"),
+    "aligned": (ALIGNED, "benchmark"),
+    "rates": (RATES, "lineitem"),
+}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

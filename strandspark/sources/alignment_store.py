@@ -40,11 +40,20 @@ def append(block: DataFrame, path: str, width: int = BIN) -> str:
     rows = block if "score" in block.columns else block.withColumn("score", F.lit(None).cast("double"))
     text = [F.col(c).cast("string").alias(c) for c in ("block", "species", "chr")]
     end = F.col("p_start") + F.length(ungapped(F.col("seq"))) - 1
-    rows = rows.select(*text, F.col("p_start").cast("long").alias("p_start"), end.cast("long").alias("p_end"), "strand", "seq", F.col("score").cast("double").alias("score"))
+    rows = rows.select(
+        *text,
+        F.col("p_start").cast("long").alias("p_start"),
+        end.cast("long").alias("p_end"),
+        "strand",
+        "seq",
+        F.col("score").cast("double").alias("score"),
+    )
     placed = F.col("chr").isNotNull() & F.col("p_start").isNotNull()
     rows = rows.withColumns({"version": F.lit(version), "bin": F.when(placed, F.floor(F.col("p_start") / width)).otherwise(F.lit(-1)).cast("long")})
     # a partition's rows meet in one task and one file; partitions are many
-    rows.repartition("species", "chr", "bin").sortWithinPartitions("species", "chr", "bin", "p_start").write.mode("append").partitionBy("version", "species", "chr", "bin").parquet(f"{path}/rows")
+    rows.repartition("species", "chr", "bin").sortWithinPartitions(
+        "species", "chr", "bin", "p_start"
+    ).write.mode("append").partitionBy("version", "species", "chr", "bin").parquet(f"{path}/rows")
     session = block.sparkSession
     written = _scan(session, path, [version])
     where = written.select("version", _bucket("block").alias("bucket"), "block", "species", "chr", "bin")
@@ -77,7 +86,9 @@ def _from(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     few = wanted.limit(PLANNED + 1).collect()
     rows = _scan(spark, path)
     if len(few) > PLANNED:
-        same = rows["version"].eqNullSafe(wanted["version"]) & rows["species"].eqNullSafe(wanted["species"]) & rows["chr"].eqNullSafe(wanted["chr"]) & (rows["bin"] == wanted["bin"])
+        same = rows["version"].eqNullSafe(
+            wanted["version"]
+        ) & rows["species"].eqNullSafe(wanted["species"]) & rows["chr"].eqNullSafe(wanted["chr"]) & (rows["bin"] == wanted["bin"])
         return rows.join(wanted, same, "left_semi")
     for k in keys:
         values = {r[k] for r in few}
@@ -107,7 +118,9 @@ def on_interval(spark: SparkSession, path: str, species, chrom, start: int, end:
 
 def on_targets(spark: SparkSession, path: str, targets: DataFrame, species, width: int = BIN) -> DataFrame:
     """The species' rows of the partitions whose cover meets a target (chr, s, e, both included); what of them meets which target is blocks_on_target()'s."""
-    known = catalogue(spark, path).where(F.col("species") == str(species)).select("version", "species", "bin", "chr", F.col("lo").alias("s"), F.col("hi").alias("e")).where("e >= s")
+    known = catalogue(spark, path).where(F.col("species") == str(species)).select(
+        "version", "species", "bin", "chr", F.col("lo").alias("s"), F.col("hi").alias("e")
+    ).where("e >= s")
     asked = targets.select(F.col("chr").cast("string").alias("chr"), "s", "e").distinct()
     pairs = interval_join(known, asked, lambda: (F.col("r_s") <= F.col("l_e")) & (F.col("r_e") >= F.col("l_s")), how="semi", width=width)
     return _from(spark, path, pairs).select(*COLUMNS)

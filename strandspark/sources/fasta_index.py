@@ -24,7 +24,15 @@ SPLIT, READ, PART = 32 << 20, 1 << 20, 16 << 20
 STRETCH = 1 << 16
 PIECES = pa.schema(
     [("file", pa.string()), ("split", pa.int64()), ("ordinal", pa.int32()), ("head", pa.string()), ("offset", pa.int64()), ("stop", pa.int64())]
-    + [("bases", pa.int64()), ("lines", pa.int32()), ("width", pa.int64()), ("step", pa.int64()), ("even", pa.bool_()), ("full", pa.bool_()), ("edge", pa.bool_())]
+    + [
+        ("bases", pa.int64()),
+        ("lines", pa.int32()),
+        ("width", pa.int64()),
+        ("step", pa.int64()),
+        ("even", pa.bool_()),
+        ("full", pa.bool_()),
+        ("edge", pa.bool_()),
+    ]
 )
 PIECES_DDL = "file string, split long, ordinal int, head string, offset long, stop long, bases long, lines int, width long, step long, even boolean, full boolean, edge boolean"
 BLANKS = np.isin(np.arange(256), [9, 11, 12, 13, 32])
@@ -109,7 +117,15 @@ def build(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     ranges = files.where("size > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))))
     ranges = ranges.withColumn("stop", F.col("start") + split).repartition("file", "start")
     found = ranges.mapInArrow(_scanned, PIECES_DDL)
-    inner = found.where("not edge").select("file", "head", "offset", "stop", "bases", F.when(F.col("even"), F.col("width")).alias("width"), F.when(F.col("even"), F.col("step")).alias("step"))
+    inner = found.where("not edge").select(
+        "file",
+        "head",
+        "offset",
+        "stop",
+        "bases",
+        F.when(F.col("even"), F.col("width")).alias("width"),
+        F.when(F.col("even"), F.col("step")).alias("step"),
+    )
     return _described(inner.unionByName(_joined(found.where("edge"))))
 
 
@@ -118,7 +134,10 @@ def _joined(edges: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("split", "ordinal")
     owner = F.last(F.when(F.col("head").isNotNull(), F.struct("head", "offset")), ignorenulls=True).over(order)
     piece = F.struct("split", "ordinal", "stop", "bases", "lines", "width", "step", "even", "full")
-    records = edges.withColumn("owner", owner).where("owner is not null").groupBy("file", "owner").agg(F.array_sort(F.collect_list(piece)).alias("p"))  # a piece a range
+    # a piece a range
+    records = edges.withColumn("owner", owner).where("owner is not null").groupBy("file", "owner").agg(
+        F.array_sort(F.collect_list(piece)).alias("p")
+    )
     held = F.filter("p", lambda x: x["bases"] > 0)
     first = F.get("h", F.lit(0))
     last = F.size("h") - 1
@@ -126,27 +145,50 @@ def _joined(edges: DataFrame) -> DataFrame:
     alike = F.forall(
         F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         lambda t: t["x"]["even"] & ((t["i"] == last) | t["x"]["full"])
-        & (((t["x"]["width"] == first["width"]) & (t["x"]["step"] == first["step"])) | ((t["i"] == last) & (t["x"]["lines"] == 1) & (t["x"]["width"] <= first["width"]))),
+        & (
+            ((t["x"]["width"] == first["width"]) & (t["x"]["step"] == first["step"])) | (
+                (t["i"] == last) & (t["x"]["lines"] == 1) & (t["x"]["width"] <= first["width"])
+            )
+        ),
     )
     # what lies between them and has no bases must have no lines either
     gaps = F.exists(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: (x["bases"] == 0) & ~x["full"])
     rows = records.withColumn("h", held).withColumn("ok", (F.size("h") > 0) & alike & ~gaps)
     total = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["bases"])
-    return rows.select("file", "owner.head", "owner.offset", F.element_at("p", -1)["stop"].alias("stop"), total.alias("bases"), F.when(F.col("ok"), first["width"]).alias("width"), F.when(F.col("ok"), first["step"]).alias("step"))
+    return rows.select(
+        "file",
+        "owner.head",
+        "owner.offset",
+        F.element_at("p", -1)["stop"].alias("stop"),
+        total.alias("bases"),
+        F.when(F.col("ok"), first["width"]).alias("width"),
+        F.when(F.col("ok"), first["step"]).alias("step"),
+    )
 
 
 def _described(rows: DataFrame) -> DataFrame:
     text = F.regexp_replace("head", r"^>\s*", "")
     entries = F.filter(F.split(F.trim(F.regexp_replace(text, r"^\S+", "")), r";\s*"), lambda x: x.contains("="))
     attrs = F.map_from_entries(F.transform(entries, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)), F.trim(F.regexp_replace(x, r"^[^=]*=", "")))))
-    return rows.select("file", F.regexp_extract(text, r"^(\S*)", 1).alias("name"), attrs.alias("attrs"), "offset", "stop", F.col("bases").alias("length"), "width", "step")
+    return rows.select(
+        "file",
+        F.regexp_extract(text, r"^(\S*)", 1).alias("name"),
+        attrs.alias("attrs"),
+        "offset",
+        "stop",
+        F.col("bases").alias("length"),
+        "width",
+        "step",
+    )
 
 
 def _range(start, end) -> tuple:
     """Columns of the first byte and the one after the last of bases start to end (from 1); the whole record where lines differ."""
     byte = lambda base: F.col("offset") + F.floor((base - 1) / F.col("width")) * F.col("step") + F.pmod(base - 1, F.col("width"))
     none = end < start
-    return F.when(none | F.col("width").isNull(), F.col("offset")).otherwise(byte(start)), F.when(none, F.col("offset")).when(F.col("width").isNull(), F.col("stop")).otherwise(byte(end) + 1)
+    return F.when(
+        none | F.col("width").isNull(), F.col("offset")
+    ).otherwise(byte(start)), F.when(none, F.col("offset")).when(F.col("width").isNull(), F.col("stop")).otherwise(byte(end) + 1)
 
 
 def stripped(text: bytes) -> bytes:
@@ -161,13 +203,28 @@ def fetch(regions: DataFrame, index: DataFrame) -> DataFrame:
     """
     keep = regions.columns
     once = index.groupBy("name").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("file", "offset", "stop", "length", "width", "step")])
-    rows = regions.select(F.struct("*").alias("_row"), "name", F.coalesce(F.nullif("start", F.lit(0)), F.lit(1)).cast("long").alias("_start"), F.nullif("end", F.lit(0)).cast("long").alias("_end"))
+    rows = regions.select(
+        F.struct("*").alias("_row"),
+        "name",
+        F.coalesce(F.nullif("start", F.lit(0)), F.lit(1)).cast("long").alias("_start"),
+        F.nullif("end", F.lit(0)).cast("long").alias("_end"),
+    )
     rows = rows.join(once, "name", "left").withColumn("_end", F.coalesce("_end", "length"))
     wrong = F.when(F.col("_n") > 1, F.concat(F.lit("several records are called "), F.col("name")))
-    wrong = wrong.when((F.col("_start") < 1) | (F.col("_end") > F.col("length")) | (F.col("_end") < F.col("_start") - 1), F.concat(F.lit("region out of range: "), F.col("name")))
+    wrong = wrong.when(
+        (F.col("_start") < 1) | (F.col("_end") > F.col("length")) | (F.col("_end") < F.col("_start") - 1),
+        F.concat(F.lit("region out of range: "), F.col("name")),
+    )
     a, b = _range(F.col("_start"), F.col("_end"))
     checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(a.cast("long"))
-    asked = rows.select("_row", "file", checked.alias("_a"), b.cast("long").alias("_b"), F.when(F.col("width").isNull(), F.col("_start")).alias("_s"), F.when(F.col("width").isNull(), F.col("_end")).alias("_e"))
+    asked = rows.select(
+        "_row",
+        "file",
+        checked.alias("_a"),
+        b.cast("long").alias("_b"),
+        F.when(F.col("width").isNull(), F.col("_start")).alias("_s"),
+        F.when(F.col("width").isNull(), F.col("_end")).alias("_e"),
+    )
     n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = asked.repartitionByRange(n, "file", "_a").sortWithinPartitions("file", "_a")
     kinds = {f.name: f.dataType.simpleString() for f in regions.schema}
@@ -239,7 +296,9 @@ class IndexedReader(DataSourceReader):
         system, path = located(self.path)
         index = ds.dataset(path, filesystem=system, format="parquet")
         wanted = None if self.names is None else ds.field("name").isin(sorted(self.names))
-        rows = index.to_table(columns=["file", "name", "offset", "stop", "length", "width", "step"], filter=wanted).sort_by([("file", "ascending"), ("offset", "ascending")])
+        rows = index.to_table(
+            columns=["file", "name", "offset", "stop", "length", "width", "step"], filter=wanted
+        ).sort_by([("file", "ascending"), ("offset", "ascending")])
         out, held, size = [], [], 0
         for r in rows.to_pylist():
             for s in self._stretches(r):

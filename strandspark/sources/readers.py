@@ -68,7 +68,11 @@ def chunked(seqs: DataFrame, size: int, overlap: int, key: str = "name") -> Data
     """key, start, seq: sequences in stretches of size, each with the next overlap bases, so that windows may cross."""
     n = F.ceil(F.length("seq") / size).cast("int")
     rows = seqs.where(F.length("seq") > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.select(key, (F.col("_k") * size).cast("long").alias("start"), F.substring(F.col("seq"), F.col("_k") * size + 1, F.lit(size + overlap)).alias("seq"))
+    return rows.select(
+        key,
+        (F.col("_k") * size).cast("long").alias("start"),
+        F.substring(F.col("seq"), F.col("_k") * size + 1, F.lit(size + overlap)).alias("seq"),
+    )
 
 
 def parse_maf(blocks: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -97,7 +101,14 @@ def maf(spark: SparkSession, path: str) -> DataFrame:
 def parse_mercator(rows: DataFrame, species: list[str]) -> DataFrame:
     """block, species, chr, start, end, strand: four fields a species; NA is null."""
     parts = F.split(F.trim("value"), r"\s+")
-    each = F.array(*[F.struct(F.lit(s).alias("species"), *[F.nullif(F.get(parts, 1 + 4 * k + j), F.lit("NA")).alias(n) for j, n in enumerate(("chr", "start", "end", "strand"))]) for k, s in enumerate(species)])
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("species"),
+                *[F.nullif(F.get(parts, 1 + 4 * k + j), F.lit("NA")).alias(n) for j, n in enumerate(("chr", "start", "end", "strand"))],
+            ) for k, s in enumerate(species)
+        ],
+    )
     out = rows.where(F.trim("value") != "").select(F.get(parts, 0).alias("block"), F.explode(each).alias("p"))
     return out.select("block", "p.species", "p.chr", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("end"), "p.strand")
 
@@ -173,10 +184,24 @@ def parse_wig(rows: DataFrame) -> DataFrame:
     # the number of a value below its header counts its steps: blocks carry over as above
     from ..operators.ordered import running_sum
 
-    out = running_sum(out.withColumn("_key", F.struct("_head.block", "_head.line")), ["file", "_key"], [], "line", F.lit(1), "_n", inclusive=False, width=1 << 33)
-    start = F.when(fixed, get("start").cast("long") + F.col("_n") * F.coalesce(F.nullif(get("step"), F.lit("")).cast("long"), F.lit(1))).otherwise(F.regexp_extract("value", r"^(\d+)", 1).cast("long"))
+    out = running_sum(
+        out.withColumn("_key", F.struct("_head.block", "_head.line")),
+        ["file", "_key"],
+        [],
+        "line",
+        F.lit(1),
+        "_n",
+        inclusive=False,
+        width=1 << 33,
+    )
+    start = F.when(
+        fixed, get("start").cast("long") + F.col("_n") * F.coalesce(F.nullif(get("step"), F.lit("")).cast("long"), F.lit(1))
+    ).otherwise(F.regexp_extract("value", r"^(\d+)", 1).cast("long"))
     value = F.when(fixed, F.trim("value")).otherwise(F.regexp_extract("value", r"^\d+\s+(\S+)", 1)).cast("double")
-    span = F.coalesce(F.nullif(get("span"), F.lit("")).cast("long"), F.when(fixed, F.coalesce(F.nullif(get("step"), F.lit("")).cast("long"), F.lit(1))).otherwise(F.lit(1)))
+    span = F.coalesce(
+        F.nullif(get("span"), F.lit("")).cast("long"),
+        F.when(fixed, F.coalesce(F.nullif(get("step"), F.lit("")).cast("long"), F.lit(1))).otherwise(F.lit(1)),
+    )
     return out.select(F.regexp_replace(get("chrom"), "^chr", "").alias("chr"), start.alias("start"), span.alias("span"), value.alias("val"))
 
 
@@ -239,7 +264,13 @@ def parse_rates(rows: DataFrame, header: str) -> DataFrame:
     """protein, species, rate: a matrix's rows by its header line; '-' is missing."""
     names = header.split("\t")[1:]
     parts = F.split("value", "\t")
-    each = F.array(*[F.struct(F.lit(n).alias("species"), F.nullif(F.get(parts, k + 1), F.lit("-")).cast("double").alias("rate")) for k, n in enumerate(names) if n.strip()])
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("species"), F.nullif(F.get(parts, k + 1), F.lit("-")).cast("double").alias("rate")
+            ) for k, n in enumerate(names) if n.strip()
+        ],
+    )
     out = rows.where(F.col("value") != header).select(F.get(parts, 0).alias("protein"), F.explode(each).alias("p")).select("protein", "p.*")
     return out.where("rate is not null")
 
@@ -247,7 +278,9 @@ def parse_rates(rows: DataFrame, header: str) -> DataFrame:
 def parse_fastq(pieces: DataFrame) -> DataFrame:
     """name, seq, qual of records split before a line of '@'; give records of four lines."""
     parts = F.split("value", "\n")
-    return pieces.where(F.size(parts) >= 4).select(F.regexp_replace(F.get(parts, 0), "^@", "").alias("name"), F.get(parts, 1).alias("seq"), F.get(parts, 3).alias("qual"))
+    return pieces.where(F.size(parts) >= 4).select(
+        F.regexp_replace(F.get(parts, 0), "^@", "").alias("name"), F.get(parts, 1).alias("seq"), F.get(parts, 3).alias("qual")
+    )
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -269,7 +302,12 @@ def parse_pdb(rows: DataFrame) -> DataFrame:
     """element, x, y, z of ATOM lines."""
     atom = rows.where(F.col("value").startswith("ATOM"))
     at = lambda a, n: F.trim(F.substring("value", a, n))
-    return atom.select(F.coalesce(F.nullif(at(77, 2), F.lit("")), F.substring(F.regexp_replace(at(13, 4), r"\d", ""), 1, 1)).alias("element"), at(31, 8).cast("double").alias("x"), at(39, 8).cast("double").alias("y"), at(47, 8).cast("double").alias("z"))
+    return atom.select(
+        F.coalesce(F.nullif(at(77, 2), F.lit("")), F.substring(F.regexp_replace(at(13, 4), r"\d", ""), 1, 1)).alias("element"),
+        at(31, 8).cast("double").alias("x"),
+        at(39, 8).cast("double").alias("y"),
+        at(47, 8).cast("double").alias("z"),
+    )
 
 
 def parse_vertical_counts(rows: DataFrame) -> DataFrame:
@@ -287,7 +325,9 @@ def parse_vertical_counts(rows: DataFrame) -> DataFrame:
 def parse_horizontal_counts(rows: DataFrame) -> DataFrame:
     """pos, base, n: a row of counts a base, after a bar."""
     parts = F.split("value", r"\s*\|\s*")
-    out = rows.where(F.col("value").contains("|")).select(F.trim(F.get(parts, 0)).alias("base"), F.posexplode(F.split(F.trim(F.get(parts, 1)), r"\s+")).alias("pos", "n"))
+    out = rows.where(F.col("value").contains("|")).select(
+        F.trim(F.get(parts, 0)).alias("base"), F.posexplode(F.split(F.trim(F.get(parts, 1)), r"\s+")).alias("pos", "n")
+    )
     return out.select("pos", "base", F.col("n").cast("long").alias("n"))
 
 
@@ -301,7 +341,15 @@ def parse_scanner_report(rows: DataFrame, cutoff: float | None = None) -> DataFr
     out = rows.where(F.col("value").rlike(hit)).join(head, "file")  # a row a report
     get = lambda k: F.regexp_extract("value", hit, k)
     start = get(2).cast("long")
-    hits = out.select(get(1).alias("name"), start.alias("start"), (start + F.col("_w")).alias("end"), F.when(get(3) == "C", "-").otherwise("+").alias("strand"), get(4).cast("double").alias("score"), F.nullif(F.regexp_extract("value", rf"ln\(p-value\)=\s*{number}", 1), F.lit("")).cast("double").alias("ln_p"), "_own")
+    hits = out.select(
+        get(1).alias("name"),
+        start.alias("start"),
+        (start + F.col("_w")).alias("end"),
+        F.when(get(3) == "C", "-").otherwise("+").alias("strand"),
+        get(4).cast("double").alias("score"),
+        F.nullif(F.regexp_extract("value", rf"ln\(p-value\)=\s*{number}", 1), F.lit("")).cast("double").alias("ln_p"),
+        "_own",
+    )
     return hits.where(F.col("score") >= (F.col("_own") if cutoff is None else F.lit(cutoff))).drop("_own")
 
 
@@ -312,14 +360,27 @@ def parse_mapper_report(pieces: DataFrame) -> DataFrame:
     at = r"Path 1:.*?genome (\S+?):"
     span = r"genome \S+?:([\d,]+)\.\.([\d,]+)"
     number = lambda k: F.replace(F.regexp_extract("value", span, k), F.lit(","), F.lit("")).cast("long")
-    return rows.select(F.regexp_extract("value", r"^>?(\S+)", 1).alias("name"), get(r"TEMPLATE:\s*(\S+)").alias("template"), get(r"DIRECTION:\s*(\S+)").alias("direction"), get(r"cDNA direction:\s*(\S+)").alias("cdna"), get(at).alias("chr"), number(1).alias("start"), number(2).alias("end"), get(r"Percent identity:\s*([\d.]+)").cast("double").alias("identity"))
+    return rows.select(
+        F.regexp_extract("value", r"^>?(\S+)", 1).alias("name"),
+        get(r"TEMPLATE:\s*(\S+)").alias("template"),
+        get(r"DIRECTION:\s*(\S+)").alias("direction"),
+        get(r"cDNA direction:\s*(\S+)").alias("cdna"),
+        get(at).alias("chr"),
+        number(1).alias("start"),
+        number(2).alias("end"),
+        get(r"Percent identity:\s*([\d.]+)").cast("double").alias("identity"),
+    )
 
 
 def mercator_species(blocks: DataFrame) -> DataFrame:
     """block, species (sorted array), places (species to chr, start, end, strand) of parse_mercator()'s rows; species without a place are left out."""
     each = F.array_sort(F.collect_list(F.struct("species", "chr", "start", "end", "strand")))
     found = blocks.where("chr is not null").groupBy("block").agg(each.alias("_all"))
-    return found.select("block", F.transform("_all", lambda x: x["species"]).alias("species"), F.map_from_entries(F.transform("_all", lambda x: F.struct(x["species"], x))).alias("places"))
+    return found.select(
+        "block",
+        F.transform("_all", lambda x: x["species"]).alias("species"),
+        F.map_from_entries(F.transform("_all", lambda x: F.struct(x["species"], x))).alias("places"),
+    )
 
 
 def stage(stages: DataFrame, name: str, chrs: list | None = None) -> DataFrame:

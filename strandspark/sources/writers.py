@@ -17,7 +17,17 @@ def bed(hits: DataFrame) -> DataFrame:
 def tss_bed(genes: DataFrame, window: int, name: str = "gid") -> DataFrame:
     """value: the window around the start of '+' genes, the end of others."""
     tss = F.when(F.col("strand") == "-", F.col("e")).otherwise(F.col("s"))
-    return genes.select(F.concat_ws("\t", F.col("chr").cast("string"), (tss - window).cast("string"), (tss + window).cast("string"), F.col(name).cast("string"), F.lit("0"), F.col("strand")).alias("value"))
+    return genes.select(
+        F.concat_ws(
+            "\t",
+            F.col("chr").cast("string"),
+            (tss - window).cast("string"),
+            (tss + window).cast("string"),
+            F.col(name).cast("string"),
+            F.lit("0"),
+            F.col("strand"),
+        ).alias("value"),
+    )
 
 
 def bedgraph(signal: DataFrame) -> DataFrame:
@@ -49,14 +59,30 @@ def fixed_wig(signal: DataFrame, parity: bool = False, exclude: tuple = ()) -> D
         lost = F.col("_last") | ((F.col("chr") == lead[0]["chr"]) & (F.col("n") == 1)) if lead else F.lit(False)
         placed = placed.where(~lost)
     start = placed.groupBy("chr").agg((F.min("loc") + 1).alias("s"))
-    head = start.select("chr", F.lit(0).alias("n"), F.concat(F.lit("fixedStep chrom=chr"), F.col("chr").cast("string"), F.lit(" start="), F.col("s").cast("string"), F.lit(f" step={step}")).alias("value"))
+    head = start.select(
+        "chr",
+        F.lit(0).alias("n"),
+        F.concat(
+            F.lit("fixedStep chrom=chr"), F.col("chr").cast("string"), F.lit(" start="), F.col("s").cast("string"), F.lit(f" step={step}")
+        ).alias("value"),
+    )
     return head.unionByName(placed.select("chr", "n", F.col("val").cast("string").alias("value")))
 
 
 def variable_wig(signal: DataFrame, span: int) -> DataFrame:
     """chr, start, value: a header (start 0) a chromosome, then start and value."""
-    head = signal.select("chr").distinct().select("chr", F.lit(0).cast("long").alias("start"), F.concat(F.lit("variableStep chrom=chr"), F.col("chr").cast("string"), F.lit(f" span={span}")).alias("value"))
-    return head.unionByName(signal.select("chr", F.col("start").cast("long").alias("start"), F.concat_ws(" ", F.col("start").cast("string"), F.col("val").cast("string")).alias("value")))
+    head = signal.select("chr").distinct().select(
+        "chr",
+        F.lit(0).cast("long").alias("start"),
+        F.concat(F.lit("variableStep chrom=chr"), F.col("chr").cast("string"), F.lit(f" span={span}")).alias("value"),
+    )
+    return head.unionByName(
+        signal.select(
+            "chr",
+            F.col("start").cast("long").alias("start"),
+            F.concat_ws(" ", F.col("start").cast("string"), F.col("val").cast("string")).alias("value"),
+        ),
+    )
 
 
 def fasta(seqs: DataFrame, name, width: int = 60) -> DataFrame:

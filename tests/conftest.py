@@ -11,7 +11,9 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    builder = SparkSession.builder.master("local[4]").config(
+        "spark.sql.shuffle.partitions", "4"
+    ).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
     session = builder.config("spark.driver.memory", "3g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session

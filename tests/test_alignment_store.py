@@ -85,7 +85,10 @@ def test_appends_are_seen_whole(spark, tmp_path):
     S.append(spark.createDataFrame(made(2, 10, 100), SCHEMA), path)
     assert S.of_species(spark, path, ["mel"]).count() > one
     # an append that stopped before its catalogue was written
-    stray = spark.createDataFrame([("900", 1, 2, "+", "AC", None, "stopped", "mel", "X", 0)], "block string, p_start long, p_end long, strand string, seq string, score double, version string, species string, chr string, bin long")
+    stray = spark.createDataFrame(
+        [("900", 1, 2, "+", "AC", None, "stopped", "mel", "X", 0)],
+        "block string, p_start long, p_end long, strand string, seq string, score double, version string, species string, chr string, bin long",
+    )
     before = S.of_species(spark, path, ["mel"]).count()
     stray.write.mode("append").partitionBy("version", "species", "chr", "bin").parquet(f"{path}/rows")
     assert S.of_species(spark, path, ["mel"]).count() == before and S.on_interval(spark, path, "mel", "X", 1, 2).where("block = '900'").count() == 0
@@ -95,7 +98,9 @@ def test_load_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("##maf version=1\na score=5.5\ns mel.X 10 4 + 100 AC-GT\ns yak.2 20 5 - 100 ACCGT\n\na score=1\ns mel.X 50 3 + 100 ACG\n")
     S.load_maf(spark, str(tmp_path / "a.maf"), str(tmp_path / "s"))
     got = S.of_species(spark, str(tmp_path / "s"), ["mel", "yak"])
-    assert sorted((r.species, r.chr, r.p_start, r.p_end, r.strand, r.seq, r.score) for r in got.collect()) == [("mel", "X", 10, 13, "+", "AC-GT", 5.5), ("mel", "X", 50, 52, "+", "ACG", 1.0), ("yak", "2", 75, 79, "-", "ACCGT", 5.5)]
+    assert sorted((r.species, r.chr, r.p_start, r.p_end, r.strand, r.seq, r.score) for r in got.collect()) == [
+        ("mel", "X", 10, 13, "+", "AC-GT", 5.5), ("mel", "X", 50, 52, "+", "ACG", 1.0), ("yak", "2", 75, 79, "-", "ACCGT", 5.5)
+    ]
     assert got.where("species = 'yak'").first().block == got.where("score = 5.5 and species = 'mel'").first().block
 
 
@@ -106,7 +111,16 @@ def test_mercator_folder(spark, tmp_path):
     (tmp_path / "2.mfa").write_text(">mel_r5\nACG\n>pse\nA-G\n")
     (tmp_path / "9.mfa").write_text(">mel_r5\nA\n")
     got = sorted(map(tuple, R.mercator_folder(spark, str(tmp_path)).collect()), key=str)
-    assert got == sorted([("1", "mel", "AC-GT", "X", 5, 9, "+"), ("1", "yak", "ACGG-", "2L", 1, 4, "-"), ("1", "pse", "-----", None, None, None, None), ("2", "mel", "ACG", "X", 50, 52, "+"), ("2", "pse", "A-G", "3", 7, 9, "+")], key=str)
+    assert got == sorted(
+        [
+            ("1", "mel", "AC-GT", "X", 5, 9, "+"),
+            ("1", "yak", "ACGG-", "2L", 1, 4, "-"),
+            ("1", "pse", "-----", None, None, None, None),
+            ("2", "mel", "ACG", "X", 50, 52, "+"),
+            ("2", "pse", "A-G", "3", 7, 9, "+"),
+        ],
+        key=str,
+    )
 
 
 def test_rate_folder(spark, tmp_path):

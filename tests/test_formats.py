@@ -104,7 +104,9 @@ def test_matrices_and_reports(spark, tmp_path):
     assert got[0, "A"] == 1 and got[1, "T"] == 8 and len(got) == 8
     assert rows(R.parse_horizontal_counts(text(spark, "A | 1 2")), "pos") == [(0, "A", 1), (1, "A", 2)]
     report = tmp_path / "p.txt"
-    report.write_text("width of matrix: 6\nnumerically calculated cutoff score: 5.5\n seq1 position= 10 score= 7.25 ln(p-value)= -9.5\n seq1 position= 20C score= 4.0 ln(p-value)= -3\n")
+    report.write_text(
+        "width of matrix: 6\nnumerically calculated cutoff score: 5.5\n seq1 position= 10 score= 7.25 ln(p-value)= -9.5\n seq1 position= 20C score= 4.0 ln(p-value)= -3\n",
+    )
     lines = R.lines(spark, str(report))
     assert rows(R.parse_scanner_report(lines)) == [("seq1", 10, 16, "+", 7.25, -9.5)]
     assert rows(R.parse_scanner_report(lines, 0.0), "start")[1] == ("seq1", 20, 26, "-", 4.0, -3.0)
@@ -116,7 +118,9 @@ def test_matrices_and_reports(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    hits = spark.createDataFrame([("1", 5, 9, "m_hit", 2.5, "-", -3.0)], "chr string, start int, end int, name string, score double, strand string, ln_p double")
+    hits = spark.createDataFrame(
+        [("1", 5, 9, "m_hit", 2.5, "-", -3.0)], "chr string, start int, end int, name string, score double, strand string, ln_p double"
+    )
     assert W.bed(hits).first().value == "1\t5\t9\tm_hit\t2.5\t-\t-3.0"
     genes = spark.createDataFrame([(1, "2L", 100, 200, "-")], "gid int, chr string, s long, e long, strand string")
     assert W.tss_bed(genes, 10).first().value == "2L\t190\t210\t1\t0\t-"

@@ -21,7 +21,16 @@ ROWS = [
 
 def test_every_target_comes_back(spark):
     block = spark.createDataFrame(ROWS, BLOCK)
-    targets = [(1, "X", 101, 102, "+"), (2, "X", 101, 102, "-"), (3, "X", 103, 104, "+"), (4, "X", 106, 107, "+"), (5, "X", 300, 301, "+"), (6, "Y", 1, 2, "+"), (7, "X", 106, 109, "+"), (8, "X", 100, 101, "+")]
+    targets = [
+        (1, "X", 101, 102, "+"),
+        (2, "X", 101, 102, "-"),
+        (3, "X", 103, 104, "+"),
+        (4, "X", 106, 107, "+"),
+        (5, "X", 300, 301, "+"),
+        (6, "Y", 1, 2, "+"),
+        (7, "X", 106, 109, "+"),
+        (8, "X", 100, 101, "+"),
+    ]
     table = spark.createDataFrame(targets, "pid int, chr string, s long, e long, strand string").repartition(3)
 
     def fn(rows) -> dict:
@@ -30,7 +39,11 @@ def test_every_target_comes_back(spark):
             raise KeyError("refused")
         return {"text": "|".join(f"{s}:{r.seq}:{r.strand}" for s, r in sorted(own.items())), "n": len(rows)}
 
-    got = {r.pid: tuple(r)[1:] for r in A.map_slices(block, table, "mel", fn, "text string, n int", {"text": "-", "n": 0}, most=3, fill=["mel", "yak"]).collect()}
+    got = {
+        r.pid: tuple(r)[1:] for r in A.map_slices(
+            block, table, "mel", fn, "text string, n int", {"text": "-", "n": 0}, most=3, fill=["mel", "yak"]
+        ).collect()
+    }
     assert got == {
         1: ("mel:C-G:+|yak:CCG:-", 2, None),
         2: ("mel:C-G:-|yak:CGG:+", 2, None),

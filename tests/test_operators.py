@@ -58,7 +58,16 @@ def test_canonical_takes_the_listed_order(spark):
     assert one(spark, S.canonical(F.col("t")), t="CAC") == "GTG"
 
 
-@pytest.mark.parametrize("a,b,want", [((10, 20), (20, 30), [(20, 20)]), ((10, 20), (5, 10), []), ((10, 20), (12, 15), [(12, 15)]), ((20, 20), (10, 20), [(20, 20)]), ((10, 9000), (0, 20000), [(10, 9000)])])
+@pytest.mark.parametrize(
+    "a,b,want",
+    [
+        ((10, 20), (20, 30), [(20, 20)]),
+        ((10, 20), (5, 10), []),
+        ((10, 20), (12, 15), [(12, 15)]),
+        ((20, 20), (10, 20), [(20, 20)]),
+        ((10, 9000), (0, 20000), [(10, 9000)]),
+    ],
+)
 def test_touching(spark, a, b, want):
     got = I.overlap(iv(spark, (*a, 0)), iv(spark, (*b, 1)), width=7)
     assert [(r.os, r.oe) for r in got.collect()] == want

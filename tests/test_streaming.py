@@ -10,7 +10,13 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="needs the test data")
 
 
-@pytest.mark.parametrize("make", [lambda e: E.window_counts(e, "1 hour").select("event_type", "start", "n"), lambda e: E.sessions(e, "2 hours").select("user_id", "start", "n")])
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda e: E.window_counts(e, "1 hour").select("event_type", "start", "n"),
+        lambda e: E.sessions(e, "2 hours").select("user_id", "start", "n"),
+    ],
+)
 def test_stream_and_batch_agree(spark, tmp_path, make):
     batch = spark.read.parquet(f"{SF}/events.parquet")
     batch.repartition(2).write.parquet(str(tmp_path / "in"))
