@@ -11,6 +11,7 @@ from ..sources import fasta_index as X
 from ..sources import files
 from ..sources import readers as R
 from ..sources import writers as W
+from .format_queries import SAM, lines, tabs
 from .genome_queries import ON_TARGET, on_target
 from .registry import registry
 from .views import view
@@ -140,3 +141,33 @@ def rate_folder_round_trip(spark, d):
         folder,
     )
     return R.rate_folder(spark, folder).select("set", "protein", F.explode("rates").alias("species", "rate"))
+
+
+@query(SAM)
+def read_sam_gz(spark, d):
+    """Compressed lines, told by their extension."""
+    folder = new_path(spark)
+    body = lines(view(spark, d, "tags"), tabs("concat('r', line)", "if(strand = '-', 16, 0)", "concat('c', chr)", "loc", "mapq", "'4M'", "'*'", "0", "0", "'ACGT'", "'IIII'"))
+    body.write.option("compression", "gzip").text(folder)
+    return R.reads(spark, f"{folder}/*.gz", "sam").select("name", "strand", "chr", "loc", "mapq")
+
+
+@query("select chr, loc, count(*) as n from tags group by 1, 2")
+def split_by_chromosome(spark, d):
+    """A folder of text for each chromosome, read back with the folder's name as a column."""
+    folder = new_path(spark)
+    counts = view(spark, d, "tags").groupBy("chr", "loc").agg(F.count("*").alias("n"))
+    W.split_by(counts.select("chr", F.concat_ws("\t", "loc", "n").alias("value")), "chr", folder)
+    parts = F.split("value", "\t")
+    return spark.read.text(folder).select("chr", F.get(parts, F.lit(0)).cast("long").alias("loc"), F.get(parts, F.lit(1)).cast("long").alias("n"))
+
+
+@query("""with d as (select i, ('0x' || left(md5('1:' || i), 15))::bigint / 1152921504606846976.0 as u from range(2000) t(i)),
+  s as (select i, case when u <= 0.3 then 0 else 1 end as side, row_number() over (partition by case when u <= 0.3 then 0 else 1 end order by i) as rank from d),
+  r as (select 0 as side, 'p' || p_partkey as name, 'A' as seq, 'I' as qual, row_number() over (order by 'p' || p_partkey) as rank from part
+    union all select 1, 'c' || c_custkey, 'C', '#', row_number() over (order by 'c' || c_custkey) from customer)
+  select s.i, name, seq, qual from s left join r on r.side = s.side and r.rank = s.rank""")
+def mixed_reads(spark, d):
+    """Reads named by parts and by customers, mixed at random."""
+    named = lambda table, name, seq, qual: spark.read.parquet(f"{d}/{table}.parquet").selectExpr(f"{name} as name", f"'{seq}' as seq", f"'{qual}' as qual")
+    return W.mixed_fastq(named("part", "concat('p', p_partkey)", "A", "I"), named("customer", "concat('c', c_custkey)", "C", "#"), 0.3, 2000)

@@ -124,8 +124,10 @@ def append_new(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def mixed_fastq(a: DataFrame, b: DataFrame, share: float, n: int, seed: int = 1) -> DataFrame:
     """i, name, seq, qual: n draws, from a with that chance, each side taken in the order of name; a side that ran out gives nulls."""
     from ..operators.coverage import with_rank
+    from ..operators.motif import drawn
 
-    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)
+    # 60 bits of a draw that other engines can repeat
+    u = drawn(str(seed), F.col("id")) / float(1 << 60)
     draws = a.sparkSession.range(n).select(F.col("id").alias("i"), F.when(u <= share, 0).otherwise(1).alias("side"))
     draws = running_sum(draws, ["side"], [], "i", F.lit(1), "rank")
     both = with_rank(a, F.col("name"), "name").withColumn("side", F.lit(0)).unionByName(with_rank(b, F.col("name"), "name").withColumn("side", F.lit(1)))
