@@ -368,31 +368,63 @@ def subseq_scores(kmer_list: DataFrame, columns: list[dict[str, float]], least:
     )
 
 
+def _side_scores(codes: np.ndarray, table: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one strand's k-mers as rows of base numbers: the sum and the most of all stretches' scores, and the most of each width; nan where a stretch has no score."""
+    n, k = codes.shape
+    total, tops = np.zeros(n), []
+    for width in range(least, k + 1):
+        top = np.full(n, np.nan)
+        for at in range(k - width + 1):
+            for z in range(k - width + 1):
+                score = table[at][codes[:, z]]
+                for j in range(1, width):
+                    score = score + table[at + j][codes[:, z + j]]
+                total = total + np.nan_to_num(score)
+                top = np.fmax(top, score)
+        tops.append(top)
+    widths = np.stack(tops, axis=1)
+    return total, np.fmax.reduce(widths, axis=1), widths
+
+
 def matrix_scores(kmer_list: DataFrame, matrices: dict[str, list[dict[str, float]]], least: int = 5) -> DataFrame:
-    """matrix, kmer, total_rank, share, most_rank, width_rank of k-mers under each matrix: ranks from 0 of the summed and of the greatest score, the sum scaled from 0 to 1, the greatest of the ranks by width.
+    """matrix, kmer, total_rank, share, most_rank, width_rank of k-mers under each matrix, of at least `least` columns: ranks from 0 of the summed and of the greatest score
+    of subseq_scores(), the sum scaled from 0 to 1, the greatest of the ranks by width.
 
-    Each matrix ranks its at most 4^k k-mers; ties go by k-mer.
+    One pass scores all matrices, which become rows; each matrix ranks its at most 4^k k-mers, ties go by k-mer.
     """
-    out = None
-    for name, columns in matrices.items():
-        rows = subseq_scores(kmer_list, columns, least)
-        n = len(columns) - least + 1
-        rows = rows.select(F.lit(name).alias("matrix"), "*")
-        rank = lambda c: F.row_number().over(Window.partitionBy("matrix").orderBy(c, "kmer")) - 1
-        everything = Window.partitionBy("matrix")
-        low, high = F.min("total").over(everything), F.max("total").over(everything)
-        widths = [rank(F.get("widths", k)) for k in range(n)]
-        best = F.greatest(*widths) if n > 1 else widths[0]
-        rows = rows.select(
-            "matrix",
-            "kmer",
-            rank("total").alias("total_rank"),
-            F.when(high > low, (F.col("total") - low) / (high - low)).otherwise(F.lit(0.0)).alias("share"),
-            rank("most").alias("most_rank"),
-            best.alias("width_rank"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    tables = {name: np.array([[c[b] for b in "ACGT"] + [np.nan] for c in columns], np.float64) for name, columns in matrices.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kmers = batch.column(0)
+            texts = kmers.to_pylist()
+            for name, table in tables.items():
+                k = len(table)
+                strands = np.full((2, len(texts), k), 4, np.uint8)
+                for row, text in enumerate(texts):
+                    own = numbers(text)
+                    for side, seq in zip(strands, (own, COMPLEMENTS[own[::-1]]), strict=True):
+                        side[row, : min(k, len(seq))] = seq[:k]
+                sides = [_side_scores(x, table, least) for x in strands]
+                total, most, widths = (np.fmax(one, two) for one, two in zip(*sides, strict=True))
+                offsets = pa.array(np.arange(len(texts) + 1) * widths.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(widths.ravel(), from_pandas=True))
+                columns = [pa.array([name] * len(texts), pa.string()), kmers, pa.array(total), pa.array(most, from_pandas=True), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["matrix", "kmer", "total", "most", "widths"])
+
+    rows = kmer_list.select("kmer").mapInArrow(run, "matrix string, kmer string, total double, most double, widths array<double>")
+    rank = lambda c: F.row_number().over(Window.partitionBy("matrix").orderBy(c, "kmer")) - 1
+    everything = Window.partitionBy("matrix")
+    low, high = F.min("total").over(everything), F.max("total").over(everything)
+    each = [F.when(F.size("widths") > k, rank(F.get("widths", F.lit(k)))) for k in range(max(map(len, matrices.values()), default=least) - least + 1)]
+    return rows.select(
+        "matrix",
+        "kmer",
+        rank("total").alias("total_rank"),
+        F.when(high > low, (F.col("total") - low) / (high - low)).otherwise(F.lit(0.0)).alias("share"),
+        rank("most").alias("most_rank"),
+        (F.greatest(*each) if len(each) > 1 else each[0]).alias("width_rank"),
+    )
 
 
 def likelihood_ratio(scores: DataFrame, one: str = "m1", two: str = "m2", joint: str = "joint") -> DataFrame:
