@@ -1,8 +1,11 @@
 """The pipeline on sf0.001, stage by stage, and the registered queries' columns."""
 
 import os
+import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -11,7 +14,10 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="needs the test d
 
 def test_stages(spark, tmp_path):
     import corpus_pipeline
-    from strandspark.llm import secret_scan, simhash_dedup, toxicity
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strandspark.llm import mixing, packing, secret_scan, simhash_dedup, toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, {}
@@ -32,8 +38,27 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in kept["secret_scan"].collect()} == {i: secret_scan.redact_text(t) for i, t in texts.items()}
     whole = {r.doc_id: r.text for r in kept["secret_scan"].collect()}
     assert all(whole[r.doc_id] == r.text for r in kept["mixing"].collect())
-    pieces = kept["packing"].where("start = 0").count()
-    assert pieces == kept["mixing"].count()
+    # mixing: each row as often as the operator says, by what tells rows of sf0.001 apart
+    mixed = Counter((r.doc_id, r.text) for r in kept["mixing"].collect())
+    decided = {r.doc_id: r.copies for r in mixing.mix(kept["secret_scan"]).collect()}
+    assert mixed == {(i, t): decided[i] for i, t in whole.items() if decided[i]}
+    # packing: whole documents, their token ids by the tokenizers library, in sequences without gaps
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = False
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in whole.items()}
+    pieces, sequences = Counter(), {}
+    for r in kept["packing"].collect():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+        pieces[r.doc_id, r.piece, r.start, r.length] += 1
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces == {(i, k, a, n): decided[i] for i in whole if decided[i] for k, (a, n) in enumerate(packing.cut(len(ids[i])))}
+    for placed in sequences.values():
+        ends = [0]
+        for offset, length in sorted(placed):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= packing.CAPACITY
 
 
 def test_run_matches_the_stages(spark):
