@@ -153,7 +153,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = None
 
 
 def search(vectors: DataFrame, k: int = K, every: int = 50) -> DataFrame:
-    """The k nearest, by sign codes, of each vector whose id is divisible by every, among all vectors."""
+    """The k nearest, by sign codes, of each vector whose id is divisible by every, among all vectors.
+
+    Rows without an id or a vector take no part, null components count as not positive, rows alike in id and code count once, equal distances go by vec_id. Without
+    vectors there are no rows. Other columns go.
+    """
     codes = checkpoint(sign_codes(vectors))
     return top_k(codes, codes.where(F.col("vec_id") % every == 0), k)
 

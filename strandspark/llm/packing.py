@@ -171,8 +171,8 @@ def _packed(rows: DataFrame, parts: int, key, capacity: int, number: int) -> Dat
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS, ids: bool = False) -> DataFrame:
     """One row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with ids its token ids.
 
-    Null and empty texts are the closing id alone. Repeated rows are packed each. A null doc_id stays null. An empty
-    table gives no rows; other columns are ignored.
+    Null and empty texts are the closing id alone. Repeated rows are packed each; pieces of one length take any order, so which of them
+    lies where may differ between runs, the lengths in a sequence don't. A null doc_id stays null. An empty table gives no rows; other columns are ignored.
     """
     found = checkpoint(pieces(docs, path, capacity, ids))
     rows = found.withColumns(

@@ -99,7 +99,10 @@ def audit(a: DataFrame, b: DataFrame, span: int = RANGE, fan: int = FAN) -> Data
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """file, offset, digest of a replica of these pages, hashed from its own bytes, with known damage: of some records a byte is changed, some are lost, and some are followed by a stray one."""
+    """file, offset, digest of a replica of these pages, hashed from its own bytes, with known damage: of some records a byte is changed, some are lost, and some are followed by a stray one.
+
+    Records without an id are never damaged; repeated rows are damaged alike. No pages give no rows.
+    """
     rotten = F.concat(F.lit("X"), F.substring(F.col("record"), F.lit(2), F.length("record")))
     rows = records(pages).withColumn("copy", F.when(F.col("page_id") % 101 == 7, rotten).otherwise(F.col("record")))
     rows = rows.withColumns({"digest_b": F.sha2("copy", 256), "stray": F.when(F.col("page_id") % 509 == 11, F.sha2(F.concat(F.lit("stray "), "copy"), 256))})
