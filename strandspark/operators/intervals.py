@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import STRETCH, carried_scan, running_max, running_sum
+from .ordered import BIN, STRETCH, carried_scan, running_max, running_sum
 
 WIDTH = 1 << 12
 
@@ -112,10 +112,12 @@ def nearest(peaks: DataFrame, features: DataFrame, key: str, feature: str, n: in
     """key, chr, feature, distance, rank: the n features nearest to each peak's middle, of distance middle - start on '+', middle - end else; ties by feature.
 
     Both sides are put in one order along the chromosome and features numbered on it, so a peak's candidates are the n
-    numbers before and after it; no pair of all rows is made.
+    numbers before and after it; no pair of all rows is made. Keys are unique. One feature only is the last before or the first after: a pass over bins without joins of candidates.
     """
     mid = F.floor((F.col("s") + F.col("e")) / 2)
     a = features.select("chr", F.when(F.col("strand") == "+", F.col("s")).otherwise(F.col("e")).alias("pos"), F.col(feature).alias("_id"))
+    if n == 1:
+        return _nearest_one(peaks.select("chr", mid.alias("pos"), F.col(key).alias("_key")), a, key, feature)
     one = F.when(F.col("_kind") != 2, 1).otherwise(0)
     candidates = []
     for back in (True, False):
@@ -141,6 +143,33 @@ def nearest(peaks: DataFrame, features: DataFrame, key: str, feature: str, n: in
     return both.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("_key").alias(key), "chr", F.col("_id").alias(feature), "distance", "rank")
 
 
+def _nearest_one(asked: DataFrame, features: DataFrame, key: str, feature: str, width: int = BIN) -> DataFrame:
+    """The nearest of features (chr, pos, _id) to each of asked (chr, pos, _key)."""
+    # of features at one place only the least can be nearest
+    places = features.where("chr is not null and pos is not null").groupBy("chr", "pos").agg(F.min("_id").alias("_id"))
+    none = F.lit(None)
+    rows = places.select("chr", "pos", "_id", none.cast(asked.schema["_key"].dataType).alias("_key"), F.lit(1).alias("_kind"))
+    rows = rows.unionByName(asked.select("chr", "pos", none.cast(features.schema["_id"].dataType).alias("_id"), "_key", F.lit(2).alias("_kind")))
+    at = F.when(F.col("_kind") == 1, F.struct("pos", "_id"))
+    rows = rows.withColumns({"_bin": F.floor(F.col("pos") / width), "_f": at})
+    ends = rows.groupBy("chr", "_bin").agg(F.max("_f").alias("_last"), F.min("_f").alias("_first"))  # a row a bin
+    bins = Window.partitionBy("chr").orderBy("_bin")
+    back = Window.partitionBy("chr").orderBy(F.col("_bin").desc())
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "chr",
+        "_bin",
+        F.last("_last", ignorenulls=True).over(earlier(bins)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(earlier(back)).alias("_after"),
+    )
+    up, down = Window.partitionBy("chr", "_bin").orderBy("pos", "_kind"), Window.partitionBy("chr", "_bin").orderBy(F.col("pos").desc(), F.col("_kind").desc())
+    so_far = lambda w: F.last("_f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.join(carried, ["chr", "_bin"]).withColumns({"_l": F.coalesce(so_far(up), "_before"), "_r": F.coalesce(so_far(down), "_after")}).where("_kind = 2")
+    apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("pos") - F.col(f"{c}.pos")).alias("d"), F.col(f"{c}._id").alias("id"), (F.col("pos") - F.col(f"{c}.pos")).alias("distance")))
+    best = found.select("_key", "chr", F.least(apart("_l"), apart("_r")).alias("b")).where("b is not null")
+    return best.select(F.col("_key").alias(key), "chr", F.col("b.id").alias(feature), "b.distance", F.lit(1).alias("rank"))
+
+
 def stream_nearest(peaks: DataFrame, genes: DataFrame, window: int, upstream: bool, key: str, gene: str, zero_is_unset: bool = False) -> DataFrame:
     """key, gene, distance: the nearest gene with an end within window of the peak's start whose transcription start lies before it (upstream) or after.
 
