@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotation as N
 from ..operators import coverage as C
 from .registry import registry
-from .sequence_queries import HITS, MATRIX, RC, WIDTH, WINDOWED, loci, sql_score
+from .sequence_queries import HITS, K3, MATRIX, RC, SLOPES, WIDTH, WINDOWED, loci, sql_score
 from .views import view
 
 Q, SQL, query = registry()
@@ -266,12 +266,16 @@ def regression_residuals(spark, d):
     return M.residuals(pairs, "family").select("line", F.round("residual", 6).alias("residual"))
 
 
-@query()
+@query(f"""with {K3}, {SLOPES}, t as (select kmer, n - 2 as v, atan(sqrt(r2 / (1 - r2))) as a from s where n > 2 and r2 < 1),
+  e as (select kmer, v, a, unnest(range(case when v % 2 = 0 then v // 2 else (v - 1) // 2 end)) as j from t),
+  f as (select kmer, sum(case when v % 2 = 0 then exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * exp(2 * j * ln(cos(a)))
+    else exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * exp((2 * j + 1) * ln(cos(a))) end) as total from e group by kmer)
+  select s.kmer, round(1 - case when v % 2 = 0 then sin(a) * total else 2 / pi() * (a + sin(a) * coalesce(total, 0)) end, 6) as p from s left join t on t.kmer = s.kmer left join f on f.kmer = s.kmer""")
 def regression_p(spark, d):
     from ..operators import motif as M
     from .sequence_queries import kmer_signal
 
-    return M.with_p(M.regressions(kmer_signal(spark, d), "kmer")).select("kmer", F.round("p", 9).alias("p"))
+    return M.with_p(M.regressions(kmer_signal(spark, d), "kmer")).select("kmer", F.round("p", 6).alias("p"))
 
 
 FILES = "s as (select cast(line % 5 as int) as file, chr, loc, count(*)::double as val from tags group by 1, 2, 3)"

@@ -119,12 +119,19 @@ def kmer_cooccurrence(spark, d):
     return M.cooccurrence(M.kmer_positions(view(spark, d, "seqs"), "doc_id", 6, 50), "doc_id", 10**6, targets).drop("p")
 
 
-@query()
+@query(f"""with {KMERS}, o as (select distinct {CANON.format('kmer')} as kmer, doc_id, cast(floor(pos / 50) as bigint) as bin from k), c as (select kmer, count(*) as n from o group by kmer),
+  p as (select x.kmer as a, y.kmer as b, count(*) as x from o x join o y on x.doc_id = y.doc_id and x.bin = y.bin and y.kmer > x.kmer where x.kmer in {TARGETS} group by 1, 2),
+  m as (select count(*)::double as cells from (select distinct doc_id, bin from o)),
+  q as (select a, b, x, cells, ca.n / cells * (cb.n / cells) as p from p join c ca on ca.kmer = a join c cb on cb.kmer = b, m),
+  t as (select distinct x, cells, p, x <= cells * p as under from q),
+  e as (select x, p, under, cells, unnest(case when under then range(greatest(0, x - 1000), x) else range(x, least(cells::bigint, x + 1000) + 1) end) as i from t),
+  r as (select x, p, any_value(under) as under, sum(exp(lgamma(cells + 1) - lgamma(i + 1) - lgamma(cells - i + 1) + i * ln(p) + (cells - i) * ln(1 - p))) as side from e group by x, p)
+  select a, b, round(case when under then 1 - side else side end, 6) as p from q join r on r.x = q.x and r.p = q.p""")
 def kmer_cooccurrence_p(spark, d):
     targets = spark.createDataFrame([(t,) for t in TARGETS], "kmer string")
     positions = M.kmer_positions(view(spark, d, "seqs"), "doc_id", 6, 50)
     cells = positions.select("doc_id", "bin").distinct().count()
-    return M.cooccurrence(positions, "doc_id", cells, targets).select("a", "b", "p")
+    return M.cooccurrence(positions, "doc_id", cells, targets).select("a", "b", F.round("p", 6).alias("p"))
 
 
 def kmer_signal(spark, d):
