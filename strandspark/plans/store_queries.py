@@ -22,7 +22,9 @@ Q, SQL, query = registry()
 def written_fasta(spark, d) -> tuple[str, str]:
     """Folders of the sequences as FASTA in lines of 60, and of their index."""
     files, index = new_path(spark), new_path(spark)
-    W.fasta(view(spark, d, "seqs").where("doc_id is not null"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("  kind=prose"))).write.text(files)
+    # the format has no null sequence: the header tells it from an empty one
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("  kind=prose"), F.when(F.col("seq").isNull(), "; seq=none").otherwise(""))
+    W.fasta(view(spark, d, "seqs").where("doc_id is not null"), name).write.text(files)
     X.build(spark, files).write.parquet(index)
     return files, index
 
@@ -31,7 +33,11 @@ def written_fasta(spark, d) -> tuple[str, str]:
   case when seq != '' then least(length(seq), 60) + 1 end as step, length(seq) + (length(seq) + 59) // 60 as n_bytes from seqs where doc_id is not null""")
 def fasta_index_table(spark, d):
     index = spark.read.parquet(written_fasta(spark, d)[1])
-    return index.select("name", F.element_at("attrs", "kind").alias("kind"), "length", "width", "step", (F.col("stop") - F.col("offset")).alias("n_bytes"))
+    known = F.element_at("attrs", "seq").isNull()
+    n_bytes = F.col("stop") - F.col("offset")
+    return index.select(
+        "name", F.element_at("attrs", "kind").alias("kind"), F.when(known, F.col("length")).alias("length"), "width", "step", F.when(known, n_bytes).alias("n_bytes")
+    )
 
 
 @query("""with r as (select *, 1 + doc_id * 7919 % length(seq) as start from seqs where doc_id is not null and seq != ''),

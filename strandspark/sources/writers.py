@@ -86,9 +86,10 @@ def variable_wig(signal: DataFrame, span: int) -> DataFrame:
 
 
 def fasta(seqs: DataFrame, name, width: int = 60) -> DataFrame:
-    """value: '>name' and the sequence in lines of width."""
-    body = F.regexp_replace("seq", f"(.{{1,{width}}})", "$1\n")
-    return seqs.select(F.concat(F.lit(">"), name, F.lit("\n"), F.rtrim(body, F.lit("\n"))).alias("value"))
+    """value: '>name' and the sequence in lines of width; an empty or null sequence has no lines."""
+    lines = F.rtrim(F.regexp_replace("seq", f"(.{{1,{width}}})", "$1\n"), F.lit("\n"))
+    body = F.when(F.length("seq") > 0, F.concat(F.lit("\n"), lines)).otherwise("")
+    return seqs.select(F.concat(F.lit(">"), name, body).alias("value"))
 
 
 def region_name(chrom: str = "chr", start: str = "start", end: str = "end"):

@@ -112,3 +112,14 @@ def test_data_source(spark, folder, tmp_path):
     assert [f.attribute for f in left] == [("start",)]
     assert {s[1] for p in reader.partitions() for s in p.stretches} <= {"r0_3"}
     assert sum(s[5] - s[4] for p in reader.partitions() for s in p.stretches) < every / 10
+
+
+def test_empty_and_null_sequences(spark, tmp_path):
+    """A record without bases has no lines, and a null sequence isn't an empty one: the table has null where its SQL has."""
+    from strandspark import plans
+
+    texts = [(1, "abc " * 40, "x"), (2, "", "x"), (3, "12 -", "x"), (4, None, "x"), (5, "b" * 60, "x"), (6, "", "x")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.name: (r.kind, r.length, r.width, r.step, r.n_bytes) for r in plans.queries()["fasta_index_table"](spark, str(tmp_path)).collect()}
+    empty, unknown = ("prose", 0, None, None, 0), ("prose", None, None, None, None)
+    assert got == {"d1": ("prose", 120, 60, 61, 122), "d2": empty, "d3": empty, "d4": unknown, "d5": ("prose", 60, 60, 61, 61), "d6": empty}
