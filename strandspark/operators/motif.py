@@ -201,38 +201,129 @@ def _decoded(code: str) -> Column:
 LISTED = np.array([0, 3, 2, 1, 0], np.int64)
 
 
+def _codes(own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, codes): canonical k-mers of base numbers as whole numbers, up to 31 bases, without those that hold other symbols."""
+    n = len(own) - k + 1
+    one, two = LISTED[own], LISTED[COMPLEMENTS[own]]
+    forward, reverse = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for j in range(k):
+        forward = forward * 4 + one[j : j + n]
+        reverse = reverse * 4 + two[k - 1 - j : k - 1 - j + n]
+    bad = np.concatenate(([0], np.cumsum(own == 4)))
+    places = np.flatnonzero(bad[k:] == bad[:n])
+    return places, np.minimum(forward, reverse)[places]
+
+
+def _letters(code: str, k: int) -> Column:
+    """The k-mer of a code, three letters at a time from a table."""
+    parts = []
+    for low in range((k - 1) // 3 * 3, -1, -3):  # the letters behind these
+        size = min(3, k - low)
+        words = ["".join("ATGC"[(i >> 2 * (size - 1 - j)) & 3] for j in range(size)) for i in range(4**size)]
+        at = F.shiftright(code, 2 * low).bitwiseAND(4**size - 1).cast("int")
+        parts.append(F.get(F.array(*[F.lit(w) for w in words]), at))
+    return F.concat(*parts).alias("kmer")
+
+
+def _repeats(seqs: DataFrame, key: str) -> bool:
+    """Whether several rows have one key: then rows of the same key must meet."""
+    return bool(seqs.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").take(1))
+
+
 def kmer_profile(seqs: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
     """key, kmer, n: canonical k-mers; those with other symbols than ACGT are skipped.
 
-    A stretch's k-mers are counted as whole numbers over arrays before they are rows, so that what is shuffled is a row a stretch and k-mer; up to 31 bases fit.
+    A sequence's k-mers are counted as whole numbers over arrays before they are rows, up to 31 bases fit; only where keys repeat (chunks of a chromosome) are rows shuffled.
     """
     if k > 31:
         return _canonical_windows(seqs, [key], k, seq).groupBy(key, "code").agg(F.count("*").alias("n")).select(key, _decoded("code"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, _, own in _in_pieces(batches, seq, k):
-            n = len(own) - k + 1
-            one, two = LISTED[own], LISTED[COMPLEMENTS[own]]
-            forward, reverse = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for j in range(k):
-                forward = forward * 4 + one[j : j + n]
-                reverse = reverse * 4 + two[k - 1 - j : k - 1 - j + n]
-            bad = np.concatenate(([0], np.cumsum(own == 4)))
-            codes, counts = np.unique(np.minimum(forward, reverse)[bad[k:] == bad[: n]], return_counts=True)
-            if len(codes):
-                kept = batch.column(key).take(pa.array(np.full(len(codes), row)))
-                yield pa.RecordBatch.from_arrays([kept, pa.array(codes), pa.array(counts)], names=[key, "code", "n"])
-
-    found = spread(seqs.select(key, seq)).mapInArrow(run, f"`{key}` {dict(seqs.dtypes)[key]}, code long, n long")
-    counted = found.groupBy(key, "code").agg(F.sum("n").alias("n"))
-    letters = [F.substring(F.lit("ATGC"), (F.shiftright("code", 2 * j).bitwiseAND(3) + 1).cast("int"), F.lit(1)) for j in range(k - 1, -1, -1)]
-    return counted.select(key, F.concat(*letters).alias("kmer"), "n")
+        for batch in batches:
+            rows, found, numbers_of = [], [], []
+            for row, text in enumerate(batch.column(seq).to_pylist()):
+                own = numbers(text)
+                codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for at in range(0, len(own) - k + 1, PIECE):
+                    more, n = np.unique(_codes(own[at : at + PIECE + k - 1], k)[1], return_counts=True)
+                    if len(codes):
+                        codes, place = np.unique(np.concatenate((codes, more)), return_inverse=True)
+                        counts = np.bincount(place, np.concatenate((counts, n))).astype(np.int64)
+                    else:
+                        codes, counts = more, n
+                rows.append(np.full(len(codes), row))
+                found.append(codes)
+                numbers_of.append(counts)
+                if sum(map(len, rows)) > PIECE or row == batch.num_rows - 1:
+                    kept = batch.column(key).take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([kept, pa.array(np.concatenate(found)), pa.array(np.concatenate(numbers_of))], names=[key, "code", "n"])
+                    rows, found, numbers_of = [], [], []
+
+    rows = seqs.select(key, seq)
+    counted = spread(rows).mapInArrow(run, f"`{key}` {dict(seqs.dtypes)[key]}, code long, n long")
+    if _repeats(rows, key):
+        counted = counted.groupBy(key, "code").agg(F.sum("n").alias("n"))
+    return counted.select(key, _letters("code", k), "n")
+
+
+def kmer_cells(seqs: DataFrame, key: str, k: int, width: int, seq: str = "seq") -> DataFrame:
+    """key, bin, codes: the different canonical k-mers, up to 31 bases, that start in each stretch of width bases, as whole numbers; a row a stretch with any."""
+
+    size = max(1, PIECE // width) * width  # stretches don't cross pieces
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, total = [], 0  # (rows, bins, sizes, codes)
+            for row, text in enumerate(batch.column(seq).to_pylist()):
+                own = numbers(text)
+                for at in range(0, len(own) - k + 1, size):
+                    places, codes = _codes(own[at : at + size + k - 1], k)
+                    bins = places // width
+                    order = np.lexsort((codes, bins))
+                    bins, codes = bins[order], codes[order]
+                    new = np.ones(len(bins), bool)
+                    new[1:] = (bins[1:] != bins[:-1]) | (codes[1:] != codes[:-1])
+                    bins, sizes = np.unique(bins[new], return_counts=True)
+                    held.append((np.full(len(bins), row), bins + at // width, sizes, codes[new]))
+                    total += len(codes)
+                if held and (total > PIECE or row == batch.num_rows - 1):
+                    at_rows, bins, sizes, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(codes))
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at_rows)), pa.array(bins), lists], names=[key, "bin", "codes"])
+                    held, total = [], 0
+
+    rows = seqs.select(key, seq)
+    cells = spread(rows).mapInArrow(run, f"`{key}` {dict(seqs.dtypes)[key]}, bin long, codes array<long>")
+    if _repeats(rows, key):
+        each = cells.select(key, "bin", F.explode("codes").alias("code")).distinct()
+        cells = each.groupBy(key, "bin").agg(F.array_sort(F.collect_list("code")).alias("codes"))  # a stretch's different k-mers
+    return cells
 
 
 def kmer_positions(seqs: DataFrame, key: str, k: int, width: int, seq: str = "seq") -> DataFrame:
     """kmer, key, bin: which canonical k-mers start in which stretch of width bases."""
-    found = _canonical_windows(seqs, [key], k, seq).select("code", key, F.floor(F.col("pos") / width).cast("long").alias("bin")).distinct()
-    return found.select(_decoded("code"), key, "bin")
+    if k > 31:
+        found = _canonical_windows(seqs, [key], k, seq).select("code", key, F.floor(F.col("pos") / width).cast("long").alias("bin")).distinct()
+        return found.select(_decoded("code"), key, "bin")
+    return kmer_cells(seqs, key, k, width, seq).select(key, "bin", F.explode("codes").alias("code")).select(_letters("code", k), key, "bin")
+
+
+def cell_cooccurrence(cells: DataFrame, key: str, n_cells: int | None, k: int, targets: DataFrame) -> DataFrame:
+    """cooccurrence() of kmer_cells()' rows, in one pass: pairs come from within a row, so that only their counts are shuffled. n_cells: None for the number of rows."""
+    wanted = targets.select(F.conv(F.translate("kmer", "ATGC", "0123"), 4, 10).cast("long").alias("a")).where(F.length("kmer") == k).distinct()
+    codes = F.array(*[F.lit(r.a) for r in wanted.collect()]).cast("array<bigint>")  # a catalogue
+    # -1 stands for any k-mer: -1 and a code counts its cells, -1 twice all cells
+    any_ = F.array(F.lit(-1).cast("long"))
+    here = F.when(F.col(key).isNotNull(), F.concat(F.array_intersect("codes", codes), any_)).otherwise(any_)  # a null key is no cell to share
+    rows = cells.select(F.explode(here).alias("ca"), "codes")
+    counts = rows.select("ca", F.explode(F.concat("codes", any_)).alias("cb")).groupBy("ca", "cb").agg(F.count("*").alias("both"))
+    counts = checkpoint(counts)  # at most a row for each target and k-mer
+    if n_cells is None:
+        n_cells = (counts.where("ca = -1 and cb = -1").first() or {"both": 0})["both"]
+    n = counts.where("ca = -1 and cb >= 0")
+    pairs = counts.where("ca >= 0 and cb >= 0").join(n.select(F.col("cb").alias("ca"), F.col("both").alias("n_a")), "ca").join(n.select("cb", F.col("both").alias("n_b")), "cb")
+    # letters and their numbers have different orders
+    return _with_tails(pairs.select(_letters("ca", k).alias("a"), _letters("cb", k).alias("b"), "n_a", "n_b", "both").where("b > a"), n_cells)
 
 
 def cooccurrence(positions: DataFrame, key: str, cells: int, targets: DataFrame) -> DataFrame:
@@ -244,7 +335,10 @@ def cooccurrence(positions: DataFrame, key: str, cells: int, targets: DataFrame)
     a = positions.join(targets.select("kmer"), "kmer").withColumnRenamed("kmer", "a")
     pairs = a.join(positions.withColumnRenamed("kmer", "b"), [key, "bin"]).where("b > a").groupBy("a", "b").agg(F.count("*").alias("both"))
     pairs = pairs.join(n.withColumnsRenamed({"kmer": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"kmer": "b", "n": "n_b"}), "b")
+    return _with_tails(pairs, cells)
+
 
+def _with_tails(pairs: DataFrame, cells: int) -> DataFrame:
     @F.pandas_udf("double")
     def tail(both: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         chance = {}  # few different triples among many pairs

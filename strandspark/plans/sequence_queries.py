@@ -116,7 +116,7 @@ TARGETS = ("AAAAAA", "ATGCAT", "ATATAT", "GCGCGC", "AATTCC")
   select a, b, ca.n as n_a, cb.n as n_b, "both" from p join c ca on ca.kmer = a join c cb on cb.kmer = b""")
 def kmer_cooccurrence(spark, d):
     targets = spark.createDataFrame([(t,) for t in TARGETS], "kmer string")
-    return M.cooccurrence(M.kmer_positions(view(spark, d, "seqs"), "doc_id", 6, 50), "doc_id", 10**6, targets).drop("p")
+    return M.cell_cooccurrence(M.kmer_cells(view(spark, d, "seqs"), "doc_id", 6, 50), "doc_id", 10**6, 6, targets).drop("p")
 
 
 @query(f"""with {KMERS}, o as (select distinct {CANON.format('kmer')} as kmer, doc_id, cast(floor(pos / 50) as bigint) as bin from k), c as (select kmer, count(*) as n from o group by kmer),
@@ -129,9 +129,8 @@ def kmer_cooccurrence(spark, d):
   select a, b, round(case when under then 1 - side else side end, 6) as p from q join r on r.x = q.x and r.p = q.p""")
 def kmer_cooccurrence_p(spark, d):
     targets = spark.createDataFrame([(t,) for t in TARGETS], "kmer string")
-    positions = M.kmer_positions(view(spark, d, "seqs"), "doc_id", 6, 50)
-    cells = positions.select("doc_id", "bin").distinct().count()
-    return M.cooccurrence(positions, "doc_id", cells, targets).select("a", "b", F.round("p", 6).alias("p"))
+    cells = M.kmer_cells(view(spark, d, "seqs"), "doc_id", 6, 50)
+    return M.cell_cooccurrence(cells, "doc_id", None, 6, targets).select("a", "b", F.round("p", 6).alias("p"))
 
 
 def kmer_signal(spark, d):

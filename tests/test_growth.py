@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark.operators import genes as G
+from strandspark.operators import motif as M
 
 
 def shuffles(df):
@@ -24,3 +25,31 @@ def test_orthogroups(spark, first):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
     # one join alone makes the pairs
     assert len(shuffles(got)) == 1
+
+
+def sequences(spark, repeated):
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choices("ACGTNacgt", [9, 9, 9, 9, 1, 2, 2, 2, 2], k=rng.choice([0, 5, 6, 49, 55, 56, 300])))) for k in range(40)] + [(90, None), (91, "ACGTÄACGTACé" * 9)]
+    rows += [(rows[k][0] if repeated else 100 + k, "ACGT" * 30) for k in range(7)] + [(None, "ATGCAT" * 20)]
+    return spark.createDataFrame(rows + ([(None, "GATTACA" * 9)] if repeated else []), "doc_id long, seq string")
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_kmers_over_arrays(spark, repeated, monkeypatch):
+    """Against windows as rows; without repeated keys nothing is shuffled by key, and pieces and stretches leave no seam."""
+    seqs = sequences(spark, repeated)
+    plain = M._canonical_windows(seqs, ["doc_id"], 6, "seq")
+    letters = F.translate("code", "0123", "ATGC").alias("kmer")
+    want = plain.groupBy("doc_id", letters).agg(F.count("*").alias("n")).select("doc_id", "kmer", "n")
+    at = plain.select(letters, "doc_id", F.floor(F.col("pos") / 50).cast("long").alias("bin")).distinct()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for piece in (1 << 20, 7, 120):
+        monkeypatch.setattr(M, "PIECE", piece)
+        profile, positions = M.kmer_profile(seqs, "doc_id", 6), M.kmer_positions(seqs, "doc_id", 6, 50)
+        assert rows(profile) == rows(want) and rows(positions) == rows(at)
+        for df in (profile, positions):
+            assert ("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString()) == repeated
+    targets = spark.createDataFrame([("ACGTAC",), ("ATGCAT",), ("AAAAAA",), ("ATATAT",)], "kmer string")
+    n = at.select("doc_id", "bin").distinct().count()
+    got = M.cell_cooccurrence(M.kmer_cells(seqs, "doc_id", 6, 50), "doc_id", None, 6, targets)
+    assert rows(got) == rows(M.cooccurrence(at, "doc_id", n, targets)) and got.count() > 5
