@@ -305,8 +305,21 @@ def unlifted(targets: DataFrame, lifted: DataFrame, key: str = "pid") -> DataFra
 
 def shared_sites(a: DataFrame, b: DataFrame, slack: int = 3) -> DataFrame:
     """One row: sites (chr, s, e) of a and b, both in one coordinate system, and pairs with starts or ends under slack apart."""
-    close = lambda: (F.abs(F.col("l_s") - F.col("r_s")) < slack) | (F.abs(F.col("l_e") - F.col("r_e")) < slack)
-    both = interval_join(a, b, close, pad=slack).agg(F.count("*").alias("both"))
+    # pairs with near starts and those with near ends, less those with both: sums of products of counts, without a row a pair
+    width = max(8, 2 * slack)
+    bins = lambda c, reach: F.explode(F.sequence(F.floor((F.col(c) - reach) / width), F.floor((F.col(c) + reach) / width)))
+    both = None
+    for sign, at in ((1, ["s"]), (1, ["e"]), (-1, ["s", "e"])):
+        x, y = (t.groupBy("chr", *at).agg(F.count("*").alias("n")) for t in (a, b))
+        for c in at:
+            x, y = x.withColumn(f"_{c}", bins(c, slack)), y.withColumn(f"_{c}", bins(c, 0))
+        x = x.withColumnsRenamed({**{c: f"x{c}" for c in at}, "n": "nx"})
+        pairs = x.join(y, ["chr", *[f"_{c}" for c in at]])
+        for c in at:
+            pairs = pairs.where(F.abs(F.col(f"x{c}") - F.col(c)) < slack)
+        part = pairs.agg((sign * F.coalesce(F.sum(F.col("nx") * F.col("n")), F.lit(0))).alias("n"))
+        both = part if both is None else both.union(part)
+    both = both.agg(F.sum("n").alias("both"))
     counts = a.agg(F.count("*").alias("a")).join(b.agg(F.count("*").alias("b"))).join(both)  # one row each
     return counts.select("both", (F.col("a") - F.col("both")).alias("only_a"), (F.col("b") - F.col("both")).alias("only_b"))
 
