@@ -52,10 +52,24 @@ def heat_matrix(peaks: DataFrame, experiments: dict[str, DataFrame], order: str,
 
 def overlap_ranks(peaks: DataFrame, others: dict[str, DataFrame], key: str = "pid") -> DataFrame:
     """key and for each other set the least rank (column rank) of its peaks that overlap; null for none."""
+    rows = peaks.select(key, "chr", "s", "e")
     out = peaks.select(key)
     for name, other in others.items():
-        pairs = interval_join(peaks.select(key, "chr", "s", "e"), other.select("chr", "s", "e", "rank"), touches)
-        out = out.join(pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.min("r_rank").alias(name)), key, "left")
+        # ranks that begin inside the peak, of which a start's least will do, and those that hold its start, the same for all peaks that begin there
+        proper, rest = other.where("s <= e").select("chr", "s", "e", "rank"), other.where("s > e").select("chr", "s", "e", "rank")
+        plain = rows.where("s < e")
+        spans = plain.select("chr", "s", "e").distinct()
+        starts = proper.groupBy("chr", "s").agg(F.min("rank").alias("rank")).withColumn("e", F.col("s"))
+        within = interval_join(spans, starts, lambda: (F.col("r_s") > F.col("l_s")) & (F.col("r_s") <= F.col("l_e")))
+        within = within.groupBy(*[F.col(f"l_{c}").alias(c) for c in ("chr", "s", "e")]).agg(F.min("r_rank").alias("_in"))
+        points = spans.select("chr", "s").distinct().withColumn("e", F.col("s"))
+        held = interval_join(points, proper, lambda: (F.col("r_s") <= F.col("l_s")) & (F.col("r_e") > F.col("l_s")))
+        held = held.groupBy(F.col("l_chr").alias("chr"), F.col("l_s").alias("s")).agg(F.min("r_rank").alias("_at"))
+        found = plain.join(within, ["chr", "s", "e"], "left").join(held, ["chr", "s"], "left").select(key, F.least("_in", "_at").alias("_r"))
+        # points, and rows whose end lies before their start, are paired
+        for some, against in ((rows.where("s >= e"), other.select("chr", "s", "e", "rank")), (plain, rest)):
+            found = found.union(interval_join(some, against, touches).select(f"l_{key}", "r_rank"))
+        out = out.join(found.groupBy(key).agg(F.min("_r").alias(name)), key, "left")
     return out
 
 
@@ -103,9 +117,8 @@ def overlap_combinations(tables: dict[str, DataFrame], key: str = "pid") -> Data
     names = list(tables)
     hits = {}
     for a, b in combinations(names, 2):
-        hits[a, b] = interval_join(
-            tables[a].select(key, "chr", "s", "e"), tables[b].select("chr", "s", "e"), touches
-        ).select(F.col(f"l_{key}").alias(key)).distinct()
+        others = tables[b].select("chr", "s", "e").distinct()
+        hits[a, b] = interval_join(tables[a].select(key, "chr", "s", "e"), others, touches, "semi").select(key).distinct()
     out = None
     for size in range(2, len(names) + 1):
         for first, *rest in combinations(names, size):

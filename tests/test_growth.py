@@ -5,8 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandspark.operators import alignment as A
+from strandspark.operators import annotation as N
 from strandspark.operators import genes as G
+from strandspark.operators import intervals as I
 from strandspark.operators import motif as M
+from strandspark.operators import ordered as O
 
 
 def shuffles(df):
@@ -53,3 +57,66 @@ def test_kmers_over_arrays(spark, repeated, monkeypatch):
     n = at.select("doc_id", "bin").distinct().count()
     got = M.cell_cooccurrence(M.kmer_cells(seqs, "doc_id", 6, 50), "doc_id", None, 6, targets)
     assert rows(got) == rows(M.cooccurrence(at, "doc_id", n, targets)) and got.count() > 5
+
+
+def peaks_of(seed, n, place=60, odd=True):
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        s = rng.randrange(place)
+        out.append((k, rng.choice([1, 2]), s, s + rng.choice([0, 1, 3, 8, 15, -2] if odd else [1, 3, 8, 15, 30]), k % 2))
+    return out
+
+
+def both_sides(spark, seed, n=120, **options):
+    rows = peaks_of(seed, n, **options)
+    table = spark.createDataFrame(rows, "pid long, chr int, s long, e long, st int")
+    named = [dict(zip(("pid", "chr", "s", "e", "st"), r, strict=True)) for r in rows]
+    a, b = [r for r in named if not r["st"]], [r for r in named if r["st"]]
+    return table.where("st = 0"), table.where("st = 1"), [(x, y) for x in a for y in b if x["chr"] == y["chr"]], a
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dense_intervals_without_pairs(spark, seed):
+    """Many rows at few places, also points and rows turned round, against all pairs."""
+    left, right, pairs, a = both_sides(spark, seed)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    strict = [(x["pid"], x["chr"], x["s"], x["e"], 0) for x, y in pairs if y["e"] > x["s"] and y["s"] < x["e"]]
+    assert rows(I.filter_by_regions(left, right)) == sorted(strict, key=str) and len(strict) > 100
+    best = {}
+    for x, y in pairs:
+        if y["s"] <= x["e"] and (y["e"] > x["s"] or (x["s"] == x["e"] and y["e"] == x["s"])):
+            best[x["pid"]] = min(best.get(x["pid"], 999), y["pid"])
+    assert rows(N.overlap_ranks(left, {"other": right.withColumn("rank", F.col("pid"))})) == sorted(((x["pid"], best.get(x["pid"])) for x in a), key=str)
+    near = sum(abs(x["s"] - y["s"]) < 3 or abs(x["e"] - y["e"]) < 3 for x, y in pairs)
+    assert A.shared_sites(left, right).first().both == near > 50
+    # no pair of rows is made: what is joined are counts
+    left, right, pairs, a = both_sides(spark, seed, odd=False)
+    short, span = set(), {}
+    for x, y in pairs:
+        if x["s"] > y["s"] and x["s"] < y["e"] or x["e"] > y["s"] and x["e"] < y["e"] or y["s"] > x["s"] and y["e"] < x["e"]:
+            z = y if x["e"] - x["s"] > y["e"] - y["s"] else x
+            short.add((z["chr"], z["s"], z["e"]))
+        if y["s"] <= x["s"] <= y["e"] or y["s"] <= x["e"] <= y["e"]:
+            low, high = span.get(x["pid"], (999, -999))
+            span[x["pid"]] = min(low, y["s"]), max(high, y["e"])
+    assert rows(I.shorter_of_pair(left, right)) == sorted(short, key=str)
+    assert rows(I.overlap_all(left, right).select("pid", "u_s", "u_e")) == sorted(((k, *v) for k, v in span.items()), key=str)
+
+
+def test_bins_fit(spark):
+    """Bins of a join are about as wide as rows are long, so that rows far apart don't meet."""
+    left, right, *_ = both_sides(spark, 3, n=40)
+    assert I.fitting_width(left, right) == 16
+    longer = left.withColumn("e", F.col("s") + 1000)
+    assert I.fitting_width(longer, right) == 512
+
+
+def test_merges_settle_where_runs_never_end(spark, monkeypatch):
+    """A chromosome that is one run: the state forgets where it began, so stretches settle in a few rounds, not one a stretch."""
+    rows = [(1, s, s + 20 + (s * 7) % 13, s % 3) for s in range(400) for _ in range(3)]
+    table = spark.createDataFrame(rows, "chr int, s long, e long, st int").withColumn("e", F.col("e") + F.monotonically_increasing_id() % 3)
+    made = []
+    monkeypatch.setattr(O, "checkpoint", lambda df, real=O.checkpoint: (made.append(1), real(df))[1])
+    got = I.merge_runs(table, 0.5, stretch=60).collect()
+    assert [(r.s, r.n, r.sets) for r in got] == [(0, 1200, 3)] and len(made) < 40
