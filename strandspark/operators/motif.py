@@ -90,8 +90,20 @@ def scan(seqs: DataFrame, columns: list[dict[str, float]], cutoff: float, seq: s
     table = np.array([[c[b] for b in "ACGT"] + [np.nan] for c in columns], np.float64)
     keep = [c for c in seqs.columns if c != seq]
 
+    signs = pa.array(["+", "-"])
+
+    def joined(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        rows, pos, minus, score = (np.concatenate(x) for x in zip(*held, strict=True))
+        kept = batch.select(keep).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(pos), signs.take(pa.array(minus)), pa.array(score)], names=[*keep, "pos", "strand", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, total = None, [], 0  # hits of one batch's rows, as arrays, until they are PIECE
         for batch, row, at, own in _in_pieces(batches, seq, width):
+            if held and (batch is not now or total >= PIECE):
+                yield joined(now, held)
+                held, total = [], 0
+            now = batch
             n = len(own) - width + 1
             other = COMPLEMENTS[own]
             forward, reverse = table[0][own[:n]], table[0][other[width - 1 :]]
@@ -99,12 +111,12 @@ def scan(seqs: DataFrame, columns: list[dict[str, float]], cutoff: float, seq: s
                 forward = forward + table[k][own[k : k + n]]
                 reverse = reverse + table[k][other[width - 1 - k : width - 1 - k + n]]
             plus, minus = np.flatnonzero(forward >= cutoff), np.flatnonzero(reverse >= cutoff)
-            total = len(plus) + len(minus)
-            if total:
-                kept = batch.select(keep).take(pa.array(np.full(total, row)))
-                strand = pa.array(["+"] * len(plus) + ["-"] * len(minus))
-                found = [pa.array((np.concatenate((plus, minus)) + at).astype(np.int32)), strand, pa.array(np.concatenate((forward[plus], reverse[minus])))]
-                yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*keep, "pos", "strand", "score"])
+            if len(plus) + len(minus):
+                pos = (np.concatenate((plus, minus)) + at).astype(np.int32)
+                held.append((np.full(len(pos), row), pos, np.repeat([0, 1], [len(plus), len(minus)]), np.concatenate((forward[plus], reverse[minus]))))
+                total += len(pos)
+        if held:
+            yield joined(now, held)
 
     kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
     return spread(seqs).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "pos int", "strand string", "score double"]))

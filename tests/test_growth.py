@@ -120,3 +120,27 @@ def test_merges_settle_where_runs_never_end(spark, monkeypatch):
     monkeypatch.setattr(O, "checkpoint", lambda df, real=O.checkpoint: (made.append(1), real(df))[1])
     got = I.merge_runs(table, 0.5, stretch=60).collect()
     assert [(r.s, r.n, r.sets) for r in got] == [(0, 1200, 3)] and len(made) < 40
+
+
+def test_hits_of_many_rows_are_one_batch(spark, monkeypatch):
+    """Hits of short sequences travel together, and come out the same when they don't fit into one batch."""
+    seqs = sequences(spark, True)
+    batches = []
+    columns = [dict(zip("ACGT", v, strict=True)) for v in ((1.0, -0.5, 0.25, -1.0), (0.5, 1.5, -1.0, 0.0))]
+    real = M.spread
+
+    class Seen:
+        def __init__(self, df):
+            self.df = df
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            found = list(run(iter(self.df.toArrow().to_batches())))
+            batches.append(len(found))
+            return self.df.sparkSession.createDataFrame([tuple(r.values()) for x in found for r in x.to_pylist()], schema)
+
+    whole = sorted(map(tuple, M.scan(seqs, columns, 1.0).collect()), key=str)
+    monkeypatch.setattr(M, "spread", lambda df: Seen(real(df).coalesce(1)))
+    assert sorted(map(tuple, M.scan(seqs, columns, 1.0).collect()), key=str) == whole and len(whole) > 500
+    monkeypatch.setattr(M, "PIECE", 50)
+    assert sorted(map(tuple, M.scan(seqs, columns, 1.0).collect()), key=str) == whole
+    assert batches[0] <= 4 < batches[1]
