@@ -120,5 +120,6 @@ def scan_with_p(
     tails = scores.select(F.col("units").cast("double").alias("score"), F.log("tail").alias("ln_p"))
     keep = [c for c in hits.columns if c != "score"]
     # a window of the sequences may have a chance of zero where the background is another's
-    out = hits.join(tails, "score", "left")
+    # few scores have all hits, so these are not dealt by score; a matrix has at most its scores' range / grain + 1 rows
+    out = hits.join(F.broadcast(tails), "score", "left")
     return out.select(*keep, (F.col("score") * grain).alias("score"), F.coalesce("ln_p", F.lit(float("-inf"))).alias("ln_p"))

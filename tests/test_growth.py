@@ -11,6 +11,7 @@ from strandspark.operators import genes as G
 from strandspark.operators import intervals as I
 from strandspark.operators import motif as M
 from strandspark.operators import ordered as O
+from strandspark.operators import score_distribution as D
 
 
 def shuffles(df):
@@ -90,7 +91,6 @@ def test_dense_intervals_without_pairs(spark, seed):
     assert rows(N.overlap_ranks(left, {"other": right.withColumn("rank", F.col("pid"))})) == sorted(((x["pid"], best.get(x["pid"])) for x in a), key=str)
     near = sum(abs(x["s"] - y["s"]) < 3 or abs(x["e"] - y["e"]) < 3 for x, y in pairs)
     assert A.shared_sites(left, right).first().both == near > 50
-    # no pair of rows is made: what is joined are counts
     left, right, pairs, a = both_sides(spark, seed, odd=False)
     short, span = set(), {}
     for x, y in pairs:
@@ -144,3 +144,12 @@ def test_hits_of_many_rows_are_one_batch(spark, monkeypatch):
     monkeypatch.setattr(M, "PIECE", 50)
     assert sorted(map(tuple, M.scan(seqs, columns, 1.0).collect()), key=str) == whole
     assert batches[0] <= 4 < batches[1]
+
+
+def test_chances_of_hits_without_a_shuffle(spark):
+    """All hits have a few scores: they aren't dealt by score."""
+    columns = [{"A": 1.0, "C": -0.5, "G": 0.25, "T": -1.0}]
+    seqs = sequences(spark, False)
+    found = D.scan_with_p(seqs, columns, D.background(seqs.select("seq"), 0), 0.5)
+    assert found.count() > 100
+    assert "hashpartitioning(score" not in found._jdf.queryExecution().executedPlan().toString()
