@@ -1,7 +1,8 @@
 """Permutation tests of many features at once, on one shared set of shuffled responses.
 
-A round's shuffle is the order of a hash: the row whose hash has rank j gets the response of the row whose key has rank j. One range-partitioned sort
-ranks all rounds. Slopes of every feature against every shuffle are then one matrix product, features by rows times rows by rounds:
+A round's shuffle is the order of a hash: the row whose hash has rank j gets the response of the row whose key has rank j. Hashes are even, so all rounds' rows
+are dealt by the leading digits of their hashes; numbers of rows by digits tell at which rank each part begins, and the responses of about these ranks come with it.
+Slopes of every feature against every shuffle are then one matrix product, features by rows times rows by rounds:
 rows are cut into blocks and rounds into chunks, a task multiplies one block with one chunk, and partial sums are added up by
 Spark. Neither a feature nor a round is one task.
 """
@@ -22,34 +23,96 @@ BLOCK, CHUNK = 1024, 128
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
-def shuffled(responses: DataFrame, key: str, rounds: int, y: str = "y", seed: int = 1) -> DataFrame:
-    """round (0: as they are, 1 to rounds: shuffled), key, row (place by key, from 0), y. Keys are unique; rows without a key or y take no part; reruns agree."""
+#: Hashes of all rounds that are ranked at once, at most, about.
+RANKED = 250_000
+
+
+def _numbered(responses: DataFrame, key: str, y: str) -> DataFrame:
+    """key, row (place by key, from 0), y of rows with both; checkpointed."""
     known = responses.where(F.col(key).isNotNull() & F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias("y"))
-    base = checkpoint(with_rank(known, F.col(key), key, "row").withColumn("row", F.col("row") - 1))
-    n = base.count()
-    draws = base.select(key, "row", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    draws = draws.withColumn(
-        "h",
-        F.struct("round", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))).alias("m")),
+    return checkpoint(with_rank(known, F.col(key), key, "row").withColumn("row", F.col("row") - 1))
+
+
+def _ranked(hashes: pa.Table, known: pa.Table) -> pa.Table:
+    """Responses of one part of the hashes: the rows of each block and chunk as arrays. known: at which rank the part begins in each round, and y by rank (round 0)."""
+    rounds, rows = (hashes.column(c).to_numpy() for c in ("round", "row"))
+    h = np.frombuffer(b"".join(hashes.column("h").to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((rows, h[:, 1], h[:, 0], rounds))
+    rounds, rows = rounds[order], rows[order]
+    given, at, y = (known.column(c).to_numpy() for c in ("round", "at", "y"))
+    starts = np.zeros(int(rounds.max(initial=0)) + 1, np.int64)
+    starts[given[given > 0]] = at[given > 0]
+    rank = starts[rounds] + np.arange(len(rounds)) - np.searchsorted(rounds, rounds)
+    by = np.argsort(at[given == 0])
+    low, values = at[given == 0][by], y[given == 0][by]
+    values = values[np.searchsorted(low, rank)]
+    block, chunk = rows // BLOCK, rounds // CHUNK
+    order = np.lexsort((chunk, block))
+    block, chunk = block[order], chunk[order]
+    new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1])))) if len(block) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(new, len(block)), pa.int32())
+    lists = (rows[order] % BLOCK, rounds[order] % CHUNK, values[order])
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v, k)) for v, k in zip(lists, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+    return pa.table([pa.array(block[new], pa.int64()), pa.array(chunk[new], pa.int32()), *lists], names=["block", "chunk", "at", "place", "y"])
+
+
+def _dealt(base: DataFrame, n: int, key: str, rounds: int, seed: int) -> DataFrame:
+    """block, chunk, at, place, y (arrays): responses of all rounds, several rows a block and chunk. base: _numbered()'s n rows."""
+    digits = 0
+    while 16**digits * RANKED < n * rounds:
+        digits += 1
+    session = base.sparkSession
+    wide = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    # few rows make many, so they are spread first
+    draws = base.repartition(wide).select(key, "row", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    m = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string")))
+    draws = draws.select("round", "row", m.alias("m"))
+    draws = draws.select(F.conv(F.concat(F.lit("0"), F.substring("m", 1, digits)), 16, 10).cast("int").alias("part"), "round", "row", F.unhex("m").alias("h"))
+    sizes = draws.groupBy("round", "part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("round").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpoint(sizes.select("part", "round", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("at"), "_n"))
+    # the ranks that a part has in any round are nearly the same ones in all
+    spans = starts.groupBy("part").agg(F.min("at").alias("_lo"), F.max(F.col("at") + F.col("_n") - 1).alias("_hi"))
+    spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / BLOCK), F.floor(F.col("_hi") / BLOCK))))
+    given = base.withColumn("_b", F.floor(F.col("row") / BLOCK)).join(spans, "_b").where(F.col("row").between(F.col("_lo"), F.col("_hi")))
+    known = given.select("part", F.lit(0).alias("round"), F.col("row").alias("at"), "y").unionByName(
+        starts.select("part", "round", "at", F.lit(0.0).alias("y"))
+    )
+    ranked = draws.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
+        _ranked, "block long, chunk int, at array<int>, place array<int>, y array<double>"
+    )
+    own = base.select(
+        F.floor(F.col("row") / BLOCK).alias("block"),
+        F.lit(0).alias("chunk"),
+        F.array(F.pmod("row", F.lit(BLOCK)).cast("int")).alias("at"),
+        F.array(F.lit(0)).alias("place"),
+        F.array("y").alias("y"),
     )
-    ranked = with_rank(draws, F.col("h"), key, "_rank")
-    given = base.select(F.col("row").alias("_from"), "y")
-    # every round has n rows
-    out = ranked.withColumn("_from", F.col("_rank") - 1 - (F.col("round") - 1).cast("long") * n).join(given, "_from")
-    return base.select(F.lit(0).alias("round"), key, "row", "y").unionByName(out.select("round", key, "row", "y"))
+    return own.unionByName(ranked)
+
+
+def shuffled(responses: DataFrame, key: str, rounds: int, y: str = "y", seed: int = 1) -> DataFrame:
+    """round (0: as they are, 1 to rounds: shuffled), key, row (place by key, from 0), y. Keys are unique; rows without a key or y take no part; reruns agree."""
+    base = _numbered(responses, key, y)
+    cells = _dealt(base, base.count(), key, rounds, seed).select("block", "chunk", F.explode(F.arrays_zip("at", "place", "y")).alias("c"))
+    rows = cells.select((F.col("chunk") * CHUNK + F.col("c.place")).alias("round"), (F.col("block") * BLOCK + F.col("c.at")).alias("row"), "c.y")
+    return rows.join(base.select(key, "row"), "row").select("round", key, "row", "y")
 
 
 def _multiply(features: pa.Table, responses: pa.Table) -> pa.Table:
-    """Sums of x times y for each feature of a block and each round of a chunk."""
+    """Sums of x times y for each feature of a block and each round of a chunk, and the block's sums of x and of its square."""
     names = features.column("feature").combine_chunks().dictionary_encode()
     x = np.zeros((len(names.dictionary), BLOCK))
     np.add.at(x, (names.indices.to_numpy(), features.column("at").to_numpy()), features.column("x").to_numpy())
     y = np.zeros((BLOCK, CHUNK))
-    y[responses.column("at").to_numpy(), responses.column("place").to_numpy()] = responses.column("y").to_numpy()
+    at, place, values = (responses.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "place", "y"))
+    y[at, place] = values
     sums = x @ y
     chunk = responses.column("chunk")[0].as_py() if responses.num_rows else 0
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * CHUNK, pa.int32()), pa.array(sums.ravel()))
-    return pa.table({"feature": names.dictionary, "chunk": pa.array(np.full(len(sums), chunk), pa.int32()), "sums": lists})
+    return pa.table(
+        {"feature": names.dictionary, "chunk": pa.array(np.full(len(sums), chunk), pa.int32()), "sums": lists, "sx": x.sum(axis=1), "sxx": (x * x).sum(axis=1)}
+    )
 
 
 def slopes(profile: DataFrame, responses: DataFrame, feature: str, key: str, rounds: int = 1000, x: str = "x", y: str = "y", seed: int = 1) -> DataFrame:
@@ -57,22 +120,22 @@ def slopes(profile: DataFrame, responses: DataFrame, feature: str, key: str, rou
 
     profile: feature, key and x, one row where x isn't 0 (repeated rows add up); responses: key and y, all rows. A feature without spread has null slopes.
     """
-    drawn = checkpoint(shuffled(responses, key, rounds, y, seed))
-    base = drawn.where("round = 0")
+    base = _numbered(responses, key, y)
     n, mean = base.agg(F.count("*"), F.avg("y")).first()
-    cells = profile.groupBy(
-        F.col(feature).cast("string").alias("feature"), key
-    ).agg(F.sum(F.col(x).cast("double")).alias("x")).join(base.select(key, "row"), key)
-    spread = cells.groupBy("feature").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    value = F.coalesce(F.col(x).cast("double"), F.lit(0.0))
+    cells = profile.select(F.col(feature).cast("string").alias("feature"), key, value.alias("x")).where("feature is not null").join(base.select(key, "row"), key)
     chunks = F.explode(F.sequence(F.lit(0), F.lit(rounds // CHUNK))).alias("chunk")
     place = [F.floor(F.col("row") / BLOCK).alias("block"), F.pmod("row", F.lit(BLOCK)).cast("int").alias("at")]
     left = cells.select(*place, "feature", "x").select("*", chunks)
-    right = drawn.select(*place, F.floor(F.col("round") / CHUNK).cast("int").alias("chunk"), (F.col("round") % CHUNK).alias("place"), "y")
-    parts = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_multiply, "feature string, chunk int, sums array<double>")
-    each = parts.select("feature", "chunk", F.posexplode("sums").alias("place", "s")).select(
-        "feature", (F.col("chunk") * CHUNK + F.col("place")).alias("round"), "s"
+    right = _dealt(base, n, key, rounds, seed)
+    parts = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(
+        _multiply, "feature string, chunk int, sums array<double>, sx double, sxx double"
+    )
+    each = parts.select("feature", "chunk", "sx", "sxx", F.posexplode("sums").alias("place", "s")).select(
+        "feature", (F.col("chunk") * CHUNK + F.col("place")).alias("round"), "s", "sx", "sxx"
     ).where(F.col("round") <= rounds)
-    sums = each.groupBy("feature", "round").agg(F.sum("s").alias("sxy")).join(spread, "feature")
+    # each round meets all of x once
+    sums = each.groupBy("feature", "round").agg(F.sum("s").alias("sxy"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx"))
     sxx = F.col("sxx") - F.col("sx") * F.col("sx") / n if n else F.lit(0.0)
     return sums.select("feature", "round", F.when(sxx > 1e-9 * F.col("sxx"), (F.col("sxy") - F.col("sx") * (mean or 0.0)) / sxx).alias("slope"))
 

@@ -11,6 +11,7 @@ from strandspark.operators import genes as G
 from strandspark.operators import intervals as I
 from strandspark.operators import motif as M
 from strandspark.operators import ordered as O
+from strandspark.operators import permutation as P
 from strandspark.operators import score_distribution as D
 
 
@@ -153,3 +154,20 @@ def test_chances_of_hits_without_a_shuffle(spark):
     found = D.scan_with_p(seqs, columns, D.background(seqs.select("seq"), 0), 0.5)
     assert found.count() > 100
     assert "hashpartitioning(score" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slopes_by_parts_of_the_hashes(spark, monkeypatch):
+    """The profile is made once, and many parts of the hashes give the slopes of one."""
+    seqs = sequences(spark, False).where("doc_id is not null")
+    responses = seqs.select("doc_id", (F.col("doc_id") * 7 % 11).cast("double").alias("y"))
+    profile = M.kmer_profile(seqs, "doc_id", 2).withColumnRenamed("n", "x")
+    run = lambda: P.slopes(profile, responses, "kmer", "doc_id", 130)
+    assert run()._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    whole = {(r.feature, r.round): r.slope for r in run().collect()}
+    monkeypatch.setattr(P, "RANKED", 30)
+    got = {(r.feature, r.round): r.slope for r in run().collect()}
+    assert got.keys() == whole.keys() and len(got) == 131 * 10
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in whole.items())
+    drawn = P.shuffled(responses, "doc_id", 3).collect()
+    assert len({(r.round, r.row) for r in drawn}) == len(drawn) == 4 * responses.count()
+    assert all(sorted(r.y for r in drawn if r.round == k) == sorted(r.y for r in drawn if r.round == 0) for k in (1, 2, 3))
