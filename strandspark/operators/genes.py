@@ -66,22 +66,42 @@ def paired_peaks(a: DataFrame, b: DataFrame) -> DataFrame:
     return best.select("a_pid", "b_pid", "p.gene", "p.kind")
 
 
-def gene_clusters(pairs: DataFrame) -> DataFrame:
-    """pid, cluster: peaks connected through shared genes, named by the least pid; pairs are (pid, gene). Labels spread, and hop to their own labels, until none changes."""
-    pairs = checkpoint(pairs.select("pid", "gene").distinct())
-    labels = checkpoint(pairs.select("pid").distinct().withColumn("cluster", F.col("pid")))
+def _followed(labels: DataFrame) -> DataFrame:
+    """labels (node, to), where to is less than node, followed until they lead to nodes without a label."""
     while True:
-        of_gene = pairs.join(labels, "pid").groupBy("gene").agg(F.min("cluster").alias("c"))
-        new = pairs.join(of_gene, "gene").groupBy("pid").agg(F.min("c").alias("cluster"))
-        # a label's own label is at least as small
-        hop = checkpoint(
-            new.alias("n").join(
-                new.select(F.col("pid").alias("_p"), F.col("cluster").alias("_c")), F.col("n.cluster") == F.col("_p")
-            ).select("pid", F.least("n.cluster", "_c").alias("cluster")),
-        )
-        if not hop.join(labels.withColumnRenamed("cluster", "old"), "pid").where("cluster != old").take(1):
-            return hop
-        labels = hop
+        onward = labels.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+        longer = checkpoint(labels.join(onward, F.col("to") == F.col("_n"), "left").select("node", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("_more")))
+        labels = longer.select("node", "to")
+        if not longer.where("_more").take(1):
+            return labels
+
+
+def _relabelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """rows with the labels of a column's nodes in place of those that have one."""
+    onward = labels.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+    return rows.join(onward, F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_t", column)).drop("_n", "_t")
+
+
+def gene_clusters(pairs: DataFrame) -> DataFrame:
+    """pid, cluster: peaks connected through shared genes, named by the least pid; pairs are (pid, gene). Rows without a pid take no part, a peak without genes is its own cluster.
+
+    A gene is named by its least peak, a peak by the least name of its genes, to which its genes' other names are linked. Linked names then take on the least that they lead to, until no
+    link is left: pairs are shuffled once by gene and once by peak, and only links between different names go on. Within two rounds, names still linked halve at least.
+    """
+    pairs = pairs.where("pid is not null").select("pid", "gene")
+    names = pairs.groupBy("gene").agg(F.min("pid").alias("a")).where("gene is not null")
+    named = pairs.join(names, "gene", "left").select("pid", F.coalesce("a", "pid").alias("a"))
+    named = checkpoint(named.withColumn("b", F.min("a").over(Window.partitionBy("pid"))))
+    # each peak has a row whose name is its least one
+    members = named.where("a = b").select("pid", F.col("b").alias("cluster")).distinct()
+    links = named.where("a != b").select("a", "b")
+    found = None  # where each name leads to
+    while links.take(1):
+        labels = _followed(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")))
+        found = labels if found is None else checkpoint(_relabelled(found, "to", labels).unionByName(labels))
+        both = _relabelled(_relabelled(links, "a", labels), "b", labels).where("a != b")
+        links = checkpoint(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return members if found is None else _relabelled(members, "cluster", found).select("pid", "cluster")
 
 
 def cluster_counts(a: DataFrame, b: DataFrame, key: str = "gene") -> DataFrame:

@@ -171,3 +171,31 @@ def test_slopes_by_parts_of_the_hashes(spark, monkeypatch):
     drawn = P.shuffled(responses, "doc_id", 3).collect()
     assert len({(r.round, r.row) for r in drawn}) == len(drawn) == 4 * responses.count()
     assert all(sorted(r.y for r in drawn if r.round == k) == sorted(r.y for r in drawn if r.round == 0) for k in (1, 2, 3))
+
+
+@pytest.mark.parametrize("kind", ["chain", "steps", "random"])
+def test_clusters_in_few_rounds(spark, kind, monkeypatch):
+    """Against a union of sets, in rounds that don't grow with a chain's length; a peak without genes is its own cluster."""
+    rng = random.Random(4)
+    if kind == "random":
+        pairs = [(rng.randrange(300), rng.randrange(500)) for _ in range(330)]
+    else:
+        place = list(range(300)) if kind == "chain" else [k // 2 if k % 2 else 299 - k // 2 for k in range(300)]
+        pairs = [(place[k], k) for k in range(300)] + [(place[k], k + 1) for k in range(300)]
+    pairs += pairs[:5] + [(1000, None), (None, 3), (None, 7)]
+    top = {p: p for p, _ in pairs if p is not None}
+
+    def root(p):
+        while top[p] != p:
+            p = top[p]
+        return p
+
+    first = {}
+    for p, g in pairs:
+        if p is not None and g is not None:
+            x, y = sorted((root(p), root(first.setdefault(g, p))))
+            top[y] = x
+    made = []
+    monkeypatch.setattr(G, "checkpoint", lambda df, real=G.checkpoint: (made.append(1), real(df))[1])
+    got = G.gene_clusters(spark.createDataFrame(pairs, "pid int, gene int")).collect()
+    assert sorted(map(tuple, got)) == sorted((p, root(p)) for p in top) and len(made) < 40
