@@ -91,7 +91,10 @@ def extend(counts: DataFrame, ext: int, length: DataFrame | None = None) -> Data
             F.array(F.struct(F.col("a").alias("pos"), F.col("n").alias("d")), F.struct(F.col("b").alias("pos"), (-F.col("n")).alias("d")))
         ).alias("s"),
     )
-    steps = steps.groupBy("chr", F.col("s.pos").alias("pos")).agg(F.sum("s.d").alias("d")).where("d != 0")
+    # few steps share a position, so adding up before the shuffle would hold them all beside the counts' own groups
+    n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = steps.select("chr", "s.pos", "s.d").repartition(n, "chr", "pos").groupBy("chr", "pos").agg(F.sum("d").alias("d"))
+    steps = checkpoint(steps.where("d != 0"))  # the running sum and the next position read them four times
     signal = running_sum(steps, ["chr"], [], "pos", F.col("d"), "val")
     signal = next_value(signal, ["chr"], "pos", "end")
     return signal.where("val != 0 and end is not null").select("chr", F.col("pos").alias("start"), "end", "val")

@@ -149,10 +149,10 @@ def count_stages(counts: DataFrame, to: float = 1e6, limit: int = 3) -> DataFram
     """stage (raw, norm, lim), chr, strand, loc, val: what a store keeps of one experiment."""
     from ..operators.coverage import limit_tags, normalize
 
-    at = ["chr", "strand", "loc"]
-    raw = counts.select(F.lit("raw").alias("stage"), *at, F.col("n").cast("double").alias("val"))
-    norm = normalize(counts, to).select(F.lit("norm").alias("stage"), *at, F.col("norm").alias("val"))
-    return raw.unionByName(norm).unionByName(limit_tags(counts, limit).select(F.lit("lim").alias("stage"), *at, F.col("n").cast("double").alias("val")))
+    rows = limit_tags(normalize(counts, to).withColumn("_raw", F.col("n")), limit)
+    # one pass, so that no stage of the store counts the tags again
+    each = [F.struct(F.lit(s).alias("stage"), F.col(c).cast("double").alias("val")) for s, c in (("raw", "_raw"), ("norm", "norm"), ("lim", "n"))]
+    return rows.select("chr", "strand", "loc", F.inline(F.array(*each))).select("stage", "chr", "strand", "loc", "val")
 
 
 def write_store(stages: DataFrame, path: str) -> None:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from strandspark.operators import alignment as A
 from strandspark.operators import annotation as N
+from strandspark.operators import coverage as C
 from strandspark.operators import genes as G
 from strandspark.operators import intervals as I
 from strandspark.operators import motif as M
 from strandspark.operators import ordered as O
 from strandspark.operators import permutation as P
 from strandspark.operators import score_distribution as D
+from strandspark.sources import writers as W
 
 
 def shuffles(df):
@@ -199,3 +201,28 @@ def test_clusters_in_few_rounds(spark, kind, monkeypatch):
     monkeypatch.setattr(G, "checkpoint", lambda df, real=G.checkpoint: (made.append(1), real(df))[1])
     got = G.gene_clusters(spark.createDataFrame(pairs, "pid int, gene int")).collect()
     assert sorted(map(tuple, got)) == sorted((p, root(p)) for p in top) and len(made) < 40
+
+
+def test_steps_of_tags_are_made_once(spark, monkeypatch):
+    """Tags are counted once for the extension, whose steps are then kept, and once for all stages of a store."""
+    rng = random.Random(6)
+    tags = [(rng.choice([1, 2]), rng.choice("+-"), rng.choice([0, 3, 40, 41, 70000, 70001, 70049])) for _ in range(300)]
+    table = spark.createDataFrame(tags, "chr int, strand string, loc long")
+    got, want = {}, {}
+    made = []
+    monkeypatch.setattr(C, "checkpoint", lambda df, real=C.checkpoint: (made.append(1), real(df))[1])
+    signal = C.extend(C.tag_counts(table), 50)
+    assert len(made) == 1 and "loc" not in signal._jdf.queryExecution().optimizedPlan().toString()
+    for r in signal.collect():
+        got.update({(r.chr, x): r.val for x in range(r.start, r.end)})
+    for c, strand, loc in tags:
+        for x in range(loc + 1, loc + 51) if strand == "+" else range(max(0, loc - 50), loc):
+            want[c, x] = want.get((c, x), 0) + 1
+    assert got == want
+    stages = W.count_stages(C.tag_counts(table), limit=3)
+    assert stages._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    n = {}
+    for t in tags:
+        n[t] = n.get(t, 0) + 1
+    rows = [(s, *t, v) for t, k in n.items() for s, v in (("raw", float(k)), ("norm", k * 1e6 / 300), ("lim", float(min(k, 3))))]
+    assert sorted(map(tuple, stages.collect())) == sorted(rows)
