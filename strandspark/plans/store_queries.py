@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
-from ..operators.ordered import new_path
+from ..operators.ordered import checkpoint, new_path
 from ..sources import alignment_store as S
 from ..sources import fasta_index as X
 from ..sources import files
@@ -46,11 +46,13 @@ def fasta_index_table(spark, d):
     "end" - start + 1 + ("end" - 1) // least(length(seq), 60) - (start - 1) // least(length(seq), 60) as n_read from e""")
 def fasta_random_access(spark, d):
     index = spark.read.parquet(written_fasta(spark, d)[1])
-    start = 1 + F.col("doc_id") * 7919 % F.length("seq")
-    regions = view(spark, d, "seqs").where("doc_id is not null and seq != ''").select(
+    # kept, so that the filter isn't pushed below the view, where sequences would be made a second time for it
+    sized = checkpoint(view(spark, d, "seqs").where("doc_id is not null").select("doc_id", F.length("seq").alias("length")))
+    start = 1 + F.col("doc_id") * 7919 % F.col("length")
+    regions = sized.where("length > 0").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"),
         start.alias("start"),
-        F.least(start + 149, F.length("seq")).alias("end"),
+        F.least(start + 149, F.col("length")).alias("end"),
     )
     return X.fetch(regions, index)
 

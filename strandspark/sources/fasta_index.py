@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from ..operators.ordered import checkpoint
 from .files import located, opened
 
 #: Bytes of a file that a task scans, of one read while it does, and of a partition of the data source, about.
@@ -35,7 +36,7 @@ PIECES = pa.schema(
     ]
 )
 PIECES_DDL = "file string, split long, ordinal int, head string, offset long, stop long, bases long, lines int, width long, step long, even boolean, full boolean, edge boolean"
-BLANKS = np.isin(np.arange(256), [9, 11, 12, 13, 32])
+BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def whole_lines(source, size: int, start: int, stop: int) -> tuple[int, bytes]:
@@ -67,10 +68,9 @@ def pieces_of(text: bytes, at: int) -> list[tuple]:
     if not len(ends) or ends[-1] < len(data):
         ends = np.append(ends, len(data))
     starts = np.concatenate(([0], ends[:-1]))
-    blank = BLANKS[data]
-    before = np.concatenate(([0], np.cumsum(blank | (data == 10))))
     size = ends - starts
-    bases = size - (before[ends] - before[starts])
+    blanks = np.flatnonzero(BLANKS[data])
+    bases = size - (np.searchsorted(blanks, ends) - np.searchsorted(blanks, starts))
     # clean: bases first, then at most a carriage return and a newline
     newline = data[ends - 1] == 10
     returned = newline & (size > 1) & (data[np.maximum(ends - 2, 0)] == 13)
@@ -111,12 +111,14 @@ def build(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """file, name, attrs, offset, stop, length, width, step of each record of the FASTA files at path.
 
     name: the header's first word; attrs: its k=v entries between '; '. A record without lines has length 0. Sequence before a file's first header belongs
-    to no record. Write the result as Parquet to keep it.
+    to no record. Write the result as Parquet to keep it. The files are scanned once, when this is called.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
     ranges = files.where("size > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))))
-    ranges = ranges.withColumn("stop", F.col("start") + split).repartition("file", "start")
-    found = ranges.mapInArrow(_scanned, PIECES_DDL)
+    # a range is a few bytes here and megabytes to scan: with a number of partitions given, small ones aren't merged into a task for all
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.withColumn("stop", F.col("start") + split).repartitionByRange(n, "file", "start")
+    found = checkpoint(ranges.mapInArrow(_scanned, PIECES_DDL))  # both kinds of pieces are read from it
     inner = found.where("not edge").select(
         "file",
         "head",

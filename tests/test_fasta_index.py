@@ -123,3 +123,24 @@ def test_empty_and_null_sequences(spark, tmp_path):
     got = {r.name: (r.kind, r.length, r.width, r.step, r.n_bytes) for r in plans.queries()["fasta_index_table"](spark, str(tmp_path)).collect()}
     empty, unknown = ("prose", 0, None, None, 0), ("prose", None, None, None, None)
     assert got == {"d1": ("prose", 120, 60, 61, 122), "d2": empty, "d3": empty, "d4": unknown, "d5": ("prose", 60, 60, 61, 61), "d6": empty}
+
+
+def test_ranges_are_scanned_once_by_many_tasks(spark, tmp_path):
+    """Ranges aren't merged into one task, small as their rows are, and no file is read again after the pieces were found."""
+    for f in range(4):
+        (tmp_path / f"{f}.fa").write_text("".join(f">r{f}_{k}\nACGT\nAC\n" for k in range(20)))
+    index = X.build(spark, str(tmp_path), 100)
+    for f in tmp_path.glob("*.fa"):
+        f.unlink()
+    placed = index.select("name", "length", F.spark_partition_id().alias("part")).collect()
+    assert {(r.name, r.length) for r in placed} == {(f"r{f}_{k}", 6) for f in range(4) for k in range(20)} and len(placed) == 80
+    assert len({r.part for r in placed}) > 2
+
+
+def test_random_access_of_odd_texts(spark, tmp_path):
+    from strandspark import plans
+
+    texts = [(1, "abc " * 40, "x"), (2, "", "x"), (3, "12 -", "x"), (4, None, "x"), (None, "abc", "x"), (6, "B" * 60, "x")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in plans.queries()["fasta_random_access"](spark, str(tmp_path)).collect()}
+    assert got == {("d1", 120, 120, "G", 1), ("d6", 55, 60, "C" * 6, 6)}
