@@ -115,6 +115,35 @@ def test_bins_fit(spark):
     assert I.fitting_width(longer, right) == 512
 
 
+@pytest.mark.parametrize("pack", [3, 64])
+def test_pairs_of_packed_rows(spark, pack, monkeypatch):
+    """Rows of one start are packed: odd rows, equal rows, nulls and long rows among short ones give all pairs of brute force."""
+    monkeypatch.setattr(I, "PACK", pack)
+    rng = random.Random(9)
+    rows = peaks_of(7, 160) + [(500, 1, 5, 4000, 0), (501, 1, 5, 4000, 1), (502, 2, 3900, 3990, 1), (503, 1, 3990, 3950, 0)]
+    rows += [(None, 1, 7, 9, k % 2) for k in range(9)] + [(600, None, 7, 9, 0), (601, 1, None, 9, 1), (602, 1, 7, None, 0)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "pid long, chr int, s long, e long, st int")
+    got = I.overlap(table.where("st = 0"), table.where("st = 1").withColumn("note", F.concat(F.lit("n"), "pid")))
+    proper = [r for r in rows if None not in r[1:4]]
+    touch = lambda x, y: x[1] == y[1] and y[2] <= x[3] and (y[3] > x[2] or (x[2] == x[3] and y[3] == x[2]))
+    want = [(x[0], y[0], max(x[2], y[2]), min(x[3], y[3]), f"n{y[0]}" if y[0] is not None else None) for x in proper for y in proper if (x[4], y[4]) == (0, 1) and touch(x, y)]
+    assert sorted(map(tuple, got.select("l_pid", "r_pid", "os", "oe", "r_note").collect()), key=str) == sorted(want, key=str) and len(want) > 500
+
+
+def test_pairs_come_in_runs(spark, tmp_path):
+    """Dense rows in no order: a join of starts, whose pairs take less disk than one by one."""
+    rng = random.Random(11)
+    rows = [(k, 1, s := rng.randrange(40), s + rng.randrange(20, 24), k % 2) for k in range(1000)]
+    table = spark.createDataFrame(rows, "pid long, chr int, s long, e long, st int").select("pid", "chr", "s", "e", "st")
+    pairs = I.overlap(table.where("st = 0").drop("st"), table.where("st = 1").drop("st")).select("l_pid", "r_pid", "l_chr", "os", "oe")
+    pairs.coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs")).collect()
+    assert len(found) == sum(y[2] <= x[3] and y[3] > x[2] for x in rows for y in rows if (x[4], y[4]) == (0, 1)) > 100_000
+    runs = 1 + sum((x.os, x.oe) != (y.os, y.oe) for x, y in zip(found, found[1:], strict=False))
+    assert runs < len(found) / 5
+
+
 def test_merges_settle_where_runs_never_end(spark, monkeypatch):
     """A chromosome that is one run: the state forgets where it began, so stretches settle in a few rounds, not one a stretch."""
     rows = [(1, s, s + 20 + (s * 7) % 13, s % 3) for s in range(400) for _ in range(3)]
