@@ -35,6 +35,20 @@ def test_orthogroups(spark, first):
     assert len(shuffles(got)) == 1
 
 
+def test_orthogroup_pairs_come_in_runs(spark, tmp_path, monkeypatch):
+    """Pairs are made from packs of genes, so that rows of one b_key follow each other over the same few a_key; packs and parts leave no seam."""
+    a = spark.createDataFrame([(k * 7 % 601, 1) for k in range(601)] + [(5, 1), (5, 2)], "key long, nation int")
+    b = spark.createDataFrame([(k * 7 % 211, f"n{k * 7 % 211}", 1) for k in range(211)] + [(3, "n3", 1), (900, None, 2)], "key long, name string, nation int")
+    monkeypatch.setattr(G, "PARTS", 2)
+    G.orthogroup_pairs(a, b, "nation").coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    found = list(map(tuple, spark.read.parquet(str(tmp_path / "pairs")).collect()))
+    want = [(x.key, y.key, y.name) for x in a.collect() for y in b.collect() if x.nation == y.nation]
+    assert sorted(found, key=str) == sorted(want, key=str) and len(found) > 100_000
+    assert 1 + sum(x[1] != y[1] for x, y in zip(found, found[1:], strict=False)) < len(found) / 50
+    monkeypatch.setattr(G, "PACK", 3)
+    assert sorted(map(tuple, G.orthogroup_pairs(a, b, "nation").collect()), key=str) == sorted(want, key=str)
+
+
 def sequences(spark, repeated):
     rng = random.Random(8)
     rows = [(k, "".join(rng.choices("ACGTNacgt", [9, 9, 9, 9, 1, 2, 2, 2, 2], k=rng.choice([0, 5, 6, 49, 55, 56, 300])))) for k in range(40)] + [(90, None), (91, "ACGTÄACGTACé" * 9)]
