@@ -121,6 +121,17 @@ def test_dense_intervals_without_pairs(spark, seed):
     assert rows(I.overlap_all(left, right).select("pid", "u_s", "u_e")) == sorted(((k, *v) for k, v in span.items()), key=str)
 
 
+@pytest.mark.parametrize("piece", [3, 1024])
+def test_copies_in_pieces(spark, piece, monkeypatch):
+    """A row comes once for each match, in pieces; where no row is turned round or a point, no rows are paired."""
+    monkeypatch.setattr(I, "PIECE", piece)
+    left, right, pairs, _ = both_sides(spark, 4, odd=False)
+    got = I.filter_by_regions(left, right)
+    want = [(x["pid"], x["chr"], x["s"], x["e"], 0) for x, y in pairs if y["e"] > x["s"] and y["s"] < x["e"]]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bins_fit(spark):
     """Bins of a join are about as wide as rows are long, so that rows far apart don't meet."""
     left, right, *_ = both_sides(spark, 3, n=40)
